@@ -107,7 +107,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_c
     n, items = _groups(items, group_chars)
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema
-    span = T.StructType().add("lo", "int").add("hi", "int")
+    span = T.StructType().add("lo", T.IntegerType()).add("hi", T.IntegerType())
     schema = schema.add("n_words", "long").add("spans", T.ArrayType(span)).add("items", T.ArrayType(T.StringType()))
     out = None
     for g in range(n):
