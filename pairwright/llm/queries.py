@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pairwright.llm import decontaminate, mixing, quality
+from pairwright.llm import decontaminate, lines, mixing, quality, secrets
 
 QUERIES = {
+    "op1_line_dedup": lines.query,
     "op4_decontaminate": decontaminate.query,
     "op7_quality_rules": quality.query,
     "op9_mix_sources": mixing.query,
+    "op10_secret_scan": secrets.query,
 }
 ORACLE = {
+    "op1_line_dedup": lines.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
+    "op10_secret_scan": secrets.ORACLE,
 }
