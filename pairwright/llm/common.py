@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_RE = "[ \\t-\\r]+"
+NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,10 +44,11 @@ def words(text: Column) -> Column:
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Columns k1, k2 that tell rows apart by id and whole text.
 
-    Rows that agree in both are one document that occurs again; they get the same key, on purpose.
+    Rows that agree in both are one document that occurs again; they get the same key, on purpose. A null id
+    takes the least long, so that keys join and sort before all others.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    return [F.col(doc_id).cast("long").alias("k1"), F.xxhash64(body, F.length(body), F.col(text).isNull()).alias("k2")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(body, F.length(body), F.col(text).isNull()).alias("k2")]
 
 
 def partitions(spark: SparkSession) -> int:

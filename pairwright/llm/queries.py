@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pairwright.llm import decontaminate, lines, mixing, quality, secrets
+from pairwright.llm import decontaminate, jaccard, lines, mixing, quality, secrets
 
 QUERIES = {
     "op1_line_dedup": lines.query,
+    "op2_jaccard_join": jaccard.query,
     "op4_decontaminate": decontaminate.query,
     "op7_quality_rules": quality.query,
     "op9_mix_sources": mixing.query,
