@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pairwright.llm import decontaminate, jaccard, lines, mixing, pages, quality, secrets, toxicity
+from pairwright.llm import counts, decontaminate, jaccard, licenses, lines, mixing, pages, quality, secrets, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.query,
     "op2_jaccard_join": jaccard.query,
     "op3_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_token_counts": counts.query,
     "op6_extract_pages": pages.query,
     "op7_quality_rules": quality.query,
+    "op8_license_scan": licenses.query,
     "op9_mix_sources": mixing.query,
     "op10_secret_scan": secrets.query,
 }
