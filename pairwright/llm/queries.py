@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pairwright.llm import counts, decontaminate, jaccard, licenses, lines, mixing, pages, quality, secrets, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_mix_sources": mixing.query,
     "op10_secret_scan": secrets.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_line_dedup": lines.ORACLE,
