@@ -77,7 +77,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("_q_at", F.expr(f"sort_array(transform(filter(_q_sorted, (x, i) -> ({same.format(j='i - 1')}) OR ({same.format(j='i + 1')})), x -> x & _q_low))"))
         .withColumn("n_repeat_words", F.expr("aggregate(transform(_q_at, (x, i) -> least(3L, x - get(_q_at, i - 1))), 0L, (a, x) -> a + x)"))
     )
-    return out.drop("_q_words", "_q_lines", "_q_joined", "_q_bits", "_q_low", "_q_sorted", "_q_at")
+    # A later filter on a measurement would be pushed below and repeat all of the above in its condition;
+    # explode, here of one element, keeps it above.
+    one = F.explode(F.array(F.struct(*MEASURES))).alias("_q")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], one).select(*[F.col(f"`{c}`") for c in docs.columns], "_q.*")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
