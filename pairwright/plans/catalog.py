@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pairwright.plans import linkage, merge, state
+
+QUERIES: dict = {**merge.QUERIES, **linkage.QUERIES, **state.QUERIES}
+ORACLE: dict[str, str] = {**merge.ORACLE, **linkage.ORACLE, **state.ORACLE}
