@@ -19,6 +19,11 @@ _OUTSIDE_QUOTES = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
 _TOKEN = "[A-Za-z0-9_-]+"
 
 
+def let(value: Column, body) -> Column:
+    """*body* of a value that is computed once; a plain Python variable would repeat the expression at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def logical_lines(raw: Column) -> Column:
     """Unfolded lines of a card's bytes; null where a line is not UTF-8. Folds may split a character."""
     latin = F.regexp_replace(F.decode(raw, "ISO-8859-1"), "^\u00ef\u00bb\u00bf", "")
@@ -30,34 +35,38 @@ def logical_lines(raw: Column) -> Column:
 def parse_line(line: Column) -> Column:
     """One property, or null where the line is not ``[group.]name(;param)*:value``."""
     grammar = '(?s)^((?:[^":]++|"[^"]*+")*+):(.*)$'
-    head, value = F.regexp_extract(line, grammar, 1), F.regexp_extract(line, grammar, 2)
-    parts = F.split(head, ";" + _OUTSIDE_QUOTES)
-    label = F.get(parts, F.lit(0))
     named = f"^(?:({_TOKEN})\\.)?({_TOKEN})$"
     unquote = lambda v: F.regexp_replace(v, '^"(.*)"$', "$1")
     param = lambda p: F.when(
         F.instr(p, "=") > 0,
         F.struct(F.regexp_extract(p, "^([^=]*)=", 1).alias("name"), F.transform(F.split(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1), "," + _OUTSIDE_QUOTES), unquote).alias("vals")),
     ).otherwise(F.struct(F.lit("TYPE").alias("name"), F.array(unquote(p)).alias("vals")))
-    params = F.transform(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p != ""), param)
-    ok = line.rlike(grammar) & label.rlike(named)
-    return F.when(
-        ok,
-        F.struct(F.expr("nullif('', '')").alias("none"), F.nullif(F.regexp_extract(label, named, 1), F.lit("")).alias("grp"), F.regexp_extract(label, named, 2).alias("name"), params.alias("params"), value.alias("value")).dropFields("none"),
-    )
+
+    def prop(parts: Column) -> Column:
+        label = F.get(parts, F.lit(0))
+        params = F.transform(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p != ""), param)
+        fields = (
+            F.nullif(F.regexp_extract(label, named, 1), F.lit("")).alias("grp"),
+            F.regexp_extract(label, named, 2).alias("name"),
+            params.alias("params"),
+            F.regexp_extract(line, grammar, 2).alias("value"),
+        )
+        return F.when(label.rlike(named), F.struct(*fields))
+
+    head = F.when(line.rlike(grammar), F.regexp_extract(line, grammar, 1))
+    return let(F.split(head, ";" + _OUTSIDE_QUOTES), prop)
 
 
 def parse(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add props, uid and error (a code, null for a good card) to rows with a card's bytes."""
     df = df.withColumn("_lines", logical_lines(F.col(raw)))
     df = df.withColumn("_props", F.transform("_lines", parse_line)).withColumn("_names", F.transform("_props", lambda p: F.upper(p["name"])))
-    first, last = F.get("_props", F.lit(0)), F.get("_props", F.size("_props") - 1)
+    first = F.get("_props", F.lit(0))
     is_begin = (F.upper(first["name"]) == "BEGIN") & (F.upper(T.unicode_trim(first["value"])) == "VCARD") & first["grp"].isNull()
     begins = F.size(F.filter("_names", lambda n: n == "BEGIN"))
     ends = F.array_position("_names", F.lit("END"))
     version = T.unicode_trim(F.get(F.filter("_props", lambda p: F.upper(p["name"]) == "VERSION"), F.lit(0))["value"])
     uid = T.unicode_trim(F.get(F.filter("_props", lambda p: F.upper(p["name"]) == "UID"), F.lit(0))["value"])
-    del last
     error = (
         F.when(F.exists("_lines", lambda x: x.isNull()), "not_utf8")
         .when(F.exists("_props", lambda p: p.isNull()), "malformed_line")
@@ -75,32 +84,40 @@ def parse(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def canonical_line(p: Column) -> Column:
     """NAME;PARAM=values:value without the group, in the one spelling that compares equal."""
-    name = F.upper(p["name"])
-    is_date = name.isin(*DATES)
+    is_date = F.upper(p["name"]).isin(*DATES)
     tidy = lambda n, v: F.when(n.isin(*CASELESS), F.when((n == "ENCODING") & (F.upper(v) == "BASE64"), "B").otherwise(F.upper(v))).otherwise(v)
     params = F.transform(p["params"], lambda q: F.struct(F.upper(q["name"]).alias("name"), F.transform(q["vals"], lambda v: tidy(F.upper(q["name"]), v)).alias("vals")))
     params = F.filter(params, lambda q: ~(is_date & (q["name"] == "VALUE") & F.forall(q["vals"], lambda v: F.upper(v) == "DATE")))
-    names = F.array_sort(F.array_distinct(F.transform(params, lambda q: q["name"])))
 
-    def merged(n: Column) -> Column:
-        vals = F.flatten(F.transform(F.filter(params, lambda q: q["name"] == n), lambda q: q["vals"]))
-        vals = F.when(n.isin(*CASELESS), F.array_sort(F.array_distinct(vals))).otherwise(vals)
-        return F.concat(F.lit(";"), n, F.lit("="), F.array_join(F.transform(vals, T.quote_if_needed), ","))
+    def joined(params: Column) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(params, lambda q: q["name"])))
 
+        def merged(n: Column) -> Column:
+            vals = F.flatten(F.transform(F.filter(params, lambda q: q["name"] == n), lambda q: q["vals"]))
+            vals = let(vals, lambda v: F.when(n.isin(*CASELESS), F.array_sort(F.array_distinct(v))).otherwise(v))
+            return F.concat(F.lit(";"), n, F.lit("="), F.array_join(F.transform(vals, T.quote_if_needed), ","))
+
+        return F.array_join(F.transform(names, merged), "")
+
+    head = F.when(F.size(p["params"]) > 0, let(params, joined)).otherwise("")
     value = F.when(is_date, T.canonical_date(p["value"])).otherwise(T.canonical_value(p["value"]))
-    return F.concat(name, F.array_join(F.transform(names, merged), ""), F.lit(":"), value)
+    return F.concat(F.upper(p["name"]), head, F.lit(":"), value)
 
 
 def canonical_form(props: Column, without: tuple[str, ...] = ()) -> Column:
     """The text whose hash says whether a card has changed in meaning; *without* may name PHOTO and UID."""
     dropped = VOLATILE + tuple(without)
     lines = F.transform(F.filter(props, lambda p: ~F.upper(p["name"]).isin(*dropped)), lambda p: F.struct(F.lower(p["grp"]).alias("grp"), canonical_line(p).alias("line")))
-    plain = F.transform(F.filter(lines, lambda x: x["grp"].isNull()), lambda x: x["line"])
-    labels = F.array_distinct(F.transform(F.filter(lines, lambda x: x["grp"].isNotNull()), lambda x: x["grp"]))
-    buckets = F.array_sort(F.transform(labels, lambda g: F.array_sort(F.transform(F.filter(lines, lambda x: x["grp"] == g), lambda x: x["line"]))))
-    grouped = F.flatten(F.transform(buckets, lambda b, i: F.transform(b, lambda x: F.concat(F.lit("G"), (i + 1).cast("string"), F.lit("."), x))))
-    every = F.array_sort(F.concat(plain, grouped))
-    return F.concat(F.lit(f"CANONICAL:{CANONICAL_VERSION}\n"), F.array_join(every, "\n"), F.when(F.size(every) > 0, "\n").otherwise(""))
+
+    def sorted_lines(lines: Column) -> Column:
+        plain = F.transform(F.filter(lines, lambda x: x["grp"].isNull()), lambda x: x["line"])
+        labels = F.array_distinct(F.transform(F.filter(lines, lambda x: x["grp"].isNotNull()), lambda x: x["grp"]))
+        buckets = F.array_sort(F.transform(labels, lambda g: F.array_sort(F.transform(F.filter(lines, lambda x: x["grp"] == g), lambda x: x["line"]))))
+        grouped = F.flatten(F.transform(buckets, lambda b, i: F.transform(b, lambda x: F.concat(F.lit("G"), (i + 1).cast("string"), F.lit("."), x))))
+        return F.array_sort(F.concat(plain, grouped))
+
+    body = F.transform(let(lines, sorted_lines), lambda x: F.concat(x, F.lit("\n")))
+    return F.concat(F.lit(f"CANONICAL:{CANONICAL_VERSION}\n"), F.array_join(body, ""))
 
 
 def canonical_hash(props: Column, without: tuple[str, ...] = ()) -> Column:
@@ -122,14 +139,14 @@ def identity(props: Column) -> Column:
 
 def match_keys(props: Column) -> Column:
     """struct(name, emails, phones, org), lower case, arrays sorted and distinct."""
-    who = identity(props)
     tidy = lambda x: F.array_sort(F.array_distinct(F.filter(x, lambda v: v.isNotNull())))
-    return F.struct(
+    keys = lambda who: F.struct(
         F.lower(who["name"]).alias("name"),
         tidy(F.transform(values_of(props, "EMAIL"), T.normalize_email)).alias("emails"),
         tidy(F.transform(values_of(props, "TEL"), T.normalize_phone)).alias("phones"),
         F.lower(who["org"]).alias("org"),
     )
+    return let(identity(props), keys)
 
 
 def tokens(keys: Column) -> Column:

@@ -27,7 +27,8 @@ def content_match(left: DataFrame, right: DataFrame) -> DataFrame:
 
     A hash that thousands of records share costs one row, as the counts combine map-side.
     """
-    both = left.select("hash", F.col("id").alias("l"), F.lit(None).cast("long").alias("r")).unionByName(right.select("hash", F.lit(None).cast("long").alias("l"), F.col("id").alias("r")))
+    none = F.lit(None).cast(left.schema["id"].dataType)
+    both = left.select("hash", F.col("id").alias("l"), none.alias("r")).unionByName(right.select("hash", none.alias("l"), F.col("id").alias("r")))
     per = both.groupBy("hash").agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.min("l").alias("l"), F.min("r").alias("r"))
     single = (F.col("n_left") == 1) & (F.col("n_right") == 1)
     return per.withColumns({"l": F.when(single, F.col("l")), "r": F.when(single, F.col("r"))})

@@ -11,8 +11,10 @@ from urllib.parse import quote, unquote_to_bytes, urljoin, urlsplit
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairwright.functions.text import restore_crlf
 
@@ -59,14 +61,14 @@ def parse_multistatus(body: str) -> list[dict]:
 
 def multistatus(payloads: DataFrame) -> DataFrame:
     """Rows of MULTISTATUS from payloads (doc_id, body); line ends of card data are restored."""
-    names = [x.split()[0] for x in MULTISTATUS.split(", ")]
+    schema = to_arrow_schema(payloads.sparkSession.createDataFrame([], MULTISTATUS).schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [{"doc_id": d, **row} for d, body in zip(pdf["doc_id"], pdf["body"], strict=True) for row in parse_multistatus(body or "")]
-            yield pd.DataFrame(rows, columns=names).astype({"ord": "int32", "status": "Int32", "propstat_error": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"doc_id": d.as_py(), **row} for d, body in zip(*batch.columns, strict=True) for row in parse_multistatus(body.as_py() or "")]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    out = payloads.select("doc_id", "body").mapInPandas(run, MULTISTATUS)
+    out = payloads.select("doc_id", "body").mapInArrow(run, MULTISTATUS)
     return out.withColumn("address_data", restore_crlf(F.col("address_data")))
 
 
@@ -94,7 +96,7 @@ def canonical_paths(base: str, href: Column) -> Column:
 
     @F.pandas_udf("string")
     def apply(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else canonical_path(base, x))
+        return pd.Series([canonical_path(base, x) if isinstance(x, str) else None for x in s], dtype=object)
 
     return apply(href)
 
