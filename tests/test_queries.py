@@ -30,7 +30,7 @@ def test_query(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     names = sorted(df.columns)
     got = Counter(tuple(map(plain, r)) for r in df.select(*[f"`{n}`" for n in names]).collect())
-    assert got or name == "pair_identity_mutual"  # no such pair among 200 parts
+    assert got or name in ("pair_identity_mutual", "synced_duplicates")  # none in the smallest tables
     if name in catalog.ORACLE:
         want = con.sql(catalog.ORACLE[name])
         assert sorted(want.columns) == names
