@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairwright.llm.common import cut
+
 RULE_VERSION = "2025-1"
 #: Kinds in order: (name, pattern, group that is measured, least length). The first three are the base; all fixed values.
 RULES = (
@@ -111,7 +113,8 @@ def report(docs: DataFrame, findings: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(base, span))).alias("base"),
         F.array_sort(F.collect_list(span)).alias("all"),
     )
-    per = per.select("blob", *[f"n_{k}" for k in BASE], F.array_join("base.text", ",").alias("base"), F.array_join("all.text", ",").alias("spans"))
+    # Written apart, so that the join deals its rows anew and can split those of a very common blob.
+    per = cut(per.select("blob", *[f"n_{k}" for k in BASE], F.array_join("base.text", ",").alias("base"), F.array_join("all.text", ",").alias("spans")))
     out = docs.select("doc_id", "blob").join(per, "blob", "left")
     return out.select(
         "doc_id",
