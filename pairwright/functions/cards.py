@@ -204,3 +204,30 @@ def with_uid(raw: Column, uid: Column) -> Column:
     bytes_uid = F.decode(uid.cast("binary"), "ISO-8859-1")
     new = F.concat(F.substring(latin, F.lit(1), at - 1), label, F.lit(":"), bytes_uid, F.substr(latin, at + F.length(found)))
     return F.when(at > 0, F.encode(new, "ISO-8859-1")).otherwise(raw)
+
+
+_PHOTO_LINES = "(?im)^(?:[a-z0-9_-]+\\.)?photo[;:][^\\n]*\\n(?:[ \\t][^\\n]*\\n)*"
+
+
+def with_photos_of(raw: Column, other: Column) -> Column:
+    """The card with the other card's PHOTO lines before END; unchanged if it has one itself or the other has none."""
+    own, theirs = F.decode(raw, "ISO-8859-1"), F.decode(other, "ISO-8859-1")
+    lines = F.array_join(F.regexp_extract_all(theirs, F.lit(f"({_PHOTO_LINES})"), F.lit(1)), "")
+    at = F.regexp_instr(own, F.lit("(?im)^END:VCARD"))
+    merged = F.encode(F.concat(F.substring(own, F.lit(1), at - 1), lines, F.substr(own, at)), "ISO-8859-1")
+    return F.when(own.rlike(_PHOTO_LINES) | (lines == ""), raw).otherwise(merged)
+
+
+def with_member_uids(raw: Column, aliases: Column) -> Column:
+    """A group card with the members that *aliases* (map of old uid to new) names renamed; such a line comes back
+    unfolded, every other byte stays, and a card without one of them is returned as it is."""
+    latin = F.decode(raw, "ISO-8859-1")
+    line = "(?im)^((?:[a-z0-9_-]+\\.)?x-addressbookserver-member[^:\\r\\n]*:urn:uuid:)([^\\r\\n]*(?:\\r?\\n[ \\t][^\\r\\n]*)*)"
+    heads = F.regexp_extract_all(latin, F.lit(line), F.lit(1))
+    tails = F.regexp_extract_all(latin, F.lit(line), F.lit(2))
+    gaps = F.split(latin, line)
+    plain = lambda t: F.regexp_replace(t, "\\r?\\n[ \\t]", "")
+    renamed = F.transform(tails, lambda t: F.coalesce(F.try_element_at(aliases, plain(t)), t))
+    whole = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(heads, i), F.lit("")), F.coalesce(F.get(renamed, i), F.lit(""))))
+    hit = F.exists(tails, lambda t: F.try_element_at(aliases, plain(t)).isNotNull())
+    return F.when(hit, F.encode(F.array_join(whole, ""), "ISO-8859-1")).otherwise(raw)

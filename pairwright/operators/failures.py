@@ -87,3 +87,23 @@ def resolved(stored: DataFrame, failed_again: DataFrame, listed: DataFrame, held
     key = ["side", "href"]
     kept = held.select(*key).join(listed.select(*key), key, "left_semi")
     return stored.join(failed_again.select(*key), key, "left_anti").join(kept, key, "left_anti")
+
+
+def cards_to_hold(failed: DataFrame, written: DataFrame) -> DataFrame:
+    """What failed ops hold: (uid, side, href, etag, op).
+
+    *failed* is (uid, op, on, origin, left struct<href,etag>, right struct<href,etag>); an op holds the card it read
+    from, a pairing op both cards, a deletion its target, state-only ops none. *written* (uid, side, href, etag) are
+    cards an op wrote before it failed; they are held at their new etag, under the op's uid too.
+    """
+    op = F.col("op")
+    source = F.when(op.isin("create", "update", "resurrect", "conflict"), F.when(F.col("on") == "left", "right").otherwise("left")).when(op == "copy_group", "right").when(op == "delete", F.col("on"))
+    pair = (op == "recreate") | ((op == "conflict") & (F.col("origin") == "baseline"))
+    sides = F.when(pair, F.array(F.lit("left"), F.lit("right"))).when(source.isNotNull(), F.array(source))
+    kind = F.when(op.isin("create", "resurrect", "copy_group"), "create").when(op == "delete", "delete").otherwise("update")
+    held = failed.select("uid", kind.alias("op"), "left", "right", F.explode(sides).alias("side"))
+    card = F.when(F.col("side") == "left", F.col("left")).otherwise(F.col("right"))
+    held = held.select("uid", "op", "side", card["href"].alias("href"), card["etag"].alias("etag"), F.lit(0).alias("new"))
+    late = written.join(failed.filter(~op.isin("adopt", "refresh", "forget")).select("uid", kind.alias("op")), "uid").select("uid", "op", "side", "href", "etag", F.lit(1).alias("new"))
+    both = held.unionByName(late)
+    return both.groupBy("uid", "op", "side", "href").agg(F.max_by(F.struct("etag"), "new").alias("x")).select("uid", "side", "href", "x.etag", "op")

@@ -63,3 +63,36 @@ def next_state(rows: DataFrame) -> DataFrame:
             "next_stripped": F.when(left_kept, F.coalesce("stripped", F.lit(False)) & ~moved).otherwise(F.col("left_change") == "stripped"),
         }
     )
+
+
+def merge_ops(rows: DataFrame) -> DataFrame:
+    """Carry photo actions into plan rows (op, on, diag, left_status, right_status, tracked, left_action, right_action).
+
+    Adds photo_action for the side the op writes, counter_side and counter_action for a second write to the other
+    side. A row that only needs a photo becomes an update of that side, or a refused one where that side was not read.
+    Deletions, forgotten and refused rows stay as they are, and so does an untracked row with an unread side: that
+    photo is unknown, and recording it as none would overwrite it later.
+    """
+    listed = lambda s: F.col(f"{s}_status") != "deleted"
+    fetched = lambda s: F.col(f"{s}_status").isin("same", "changed")
+    acts = lambda s: F.col(f"{s}_action") != "keep"
+    unread = (F.col("left_status") == "unchanged") | (F.col("right_status") == "unchanged")
+    known = F.coalesce("tracked", F.lit(False)) | ~unread
+    op = F.coalesce("op", F.lit("none"))
+    writes = op.isin("update", "conflict") & known
+    open_row = op.isin("refresh", "none") & F.col("diag").isNull() & known & listed("left") & listed("right")
+    to = F.when(open_row & acts("left"), "left").when(open_row & acts("right"), "right")
+    blind = F.when(to == "left", ~fetched("left")).when(to == "right", ~fetched("right"))
+    by = lambda side, what: F.when(side == "left", F.col(f"left_{what}")).when(side == "right", F.col(f"right_{what}"))
+    across = F.when(F.col("on") == "left", "right").when(F.col("on") == "right", "left")
+    counter = writes & ((across == "left") & acts("left") & fetched("left") | (across == "right") & acts("right") & fetched("right"))
+    return rows.withColumns(
+        {
+            "photo_action": F.when(writes, by(F.col("on"), "action")).when((op == "resurrect") & known, "copy").when(to.isNotNull() & ~blind, by(to, "action")),
+            "counter_side": F.when(counter, across),
+            "counter_action": F.when(counter, by(across, "action")),
+            "op": F.when(to.isNull(), F.col("op")).when(~blind, "update"),
+            "on": F.coalesce(to, "on"),
+            "diag": F.when(blind, "unread_target").otherwise(F.col("diag")),
+        }
+    )

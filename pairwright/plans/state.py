@@ -110,6 +110,21 @@ def photo_next_state(spark, sf_dir):
     return photos.next_state(rows).select("vec_id", "left_change", "right_change", "next_left_hash", "next_right_hash", "next_stripped")
 
 
+def photo_merge(spark, sf_dir):
+    """Customers' plan rows with photo actions by key."""
+    from pairwright.plans import merge
+
+    k = F.col("uid")
+    rows = merge.three_way_matrix(spark, sf_dir).withColumns(
+        {
+            "tracked": k % 3 != 0,
+            "left_action": F.when(k % 5 == 0, "set").when(k % 5 == 1, "remove").otherwise("keep"),
+            "right_action": F.when(k % 7 == 0, "set").otherwise("keep"),
+        }
+    )
+    return photos.merge_ops(rows).select("uid", "op", "on", "diag", "photo_action", "counter_side", "counter_action")
+
+
 def photo_downloads(spark, sf_dir):
     k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders")
@@ -184,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         failure_history, failure_attempts, failure_record, failures_resolved, backoff, state_upsert, update_versioned, last_seen_max, journal_replace, endpoint_upsert, replay_journal, photo_decide,
-        photo_next_state, photo_downloads, photo_fit, status_class, retry_after, collection_pick, mint_href, dump_sorted, text_forms, canonical_dates, canonical_hash,
+        photo_next_state, photo_merge, photo_downloads, photo_fit, status_class, retry_after, collection_pick, mint_href, dump_sorted, text_forms, canonical_dates, canonical_hash,
     )
 }
 
@@ -270,3 +285,22 @@ ORACLE = {
         SELECT c_custkey, c_custkey::VARCHAR AS uid, sha256('CANONICAL:2' || chr(10) || 'BDAY:19800401' || chr(10) || 'BEGIN:VCARD' || chr(10) || 'END:VCARD' || chr(10) || 'FN:' || c_name || chr(10)
                || 'G1.TEL;TYPE=CELL,VOICE:+' || c_custkey || chr(10) || 'G1.X-ABLABEL:b' || chr(10) || 'UID:' || c_custkey || chr(10) || 'VERSION:3.0' || chr(10)) AS hash, '+' || c_custkey AS phone FROM customer""",
 }
+
+
+def _photo_merge_sql() -> str:
+    from pairwright.plans import merge
+
+    return f"""
+SELECT uid, CASE WHEN dest IS NULL THEN op WHEN NOT blind THEN 'update' END AS op, coalesce(dest, "on") AS "on", CASE WHEN blind THEN 'unread_target' ELSE diag END AS diag,
+       CASE WHEN writes THEN CASE "on" WHEN 'left' THEN la ELSE ra END WHEN op = 'resurrect' AND known THEN 'copy' WHEN dest IS NOT NULL AND NOT blind THEN CASE dest WHEN 'left' THEN la ELSE ra END END AS photo_action,
+       CASE WHEN writes AND "on" = 'left' AND ra <> 'keep' AND rf THEN 'right' WHEN writes AND "on" = 'right' AND la <> 'keep' AND lf THEN 'left' END AS counter_side,
+       CASE WHEN writes AND "on" = 'left' AND ra <> 'keep' AND rf THEN ra WHEN writes AND "on" = 'right' AND la <> 'keep' AND lf THEN la END AS counter_action
+FROM (SELECT *, CASE dest WHEN 'left' THEN NOT lf WHEN 'right' THEN NOT rf END AS blind FROM (
+  SELECT *, known AND op IN ('update', 'conflict') AS writes,
+         CASE WHEN known AND (op IS NULL OR op = 'refresh') AND diag IS NULL AND 'deleted' NOT IN (left_status, right_status) THEN CASE WHEN la <> 'keep' THEN 'left' WHEN ra <> 'keep' THEN 'right' END END AS dest
+  FROM (SELECT *, uid % 3 <> 0 OR 'unchanged' NOT IN (left_status, right_status) AS known, CASE uid % 5 WHEN 0 THEN 'set' WHEN 1 THEN 'remove' ELSE 'keep' END AS la,
+               CASE WHEN uid % 7 = 0 THEN 'set' ELSE 'keep' END AS ra, left_status IN ('same', 'changed') AS lf, right_status IN ('same', 'changed') AS rf FROM ({merge.ORACLE["three_way_matrix"]}))))
+"""
+
+
+ORACLE["photo_merge"] = _photo_merge_sql()

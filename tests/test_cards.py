@@ -83,6 +83,21 @@ def test_photos_and_uid(spark):
     assert bytes(back.p.bytes) == bytes.fromhex("FFD8FF" + "00" * 120)
 
 
+def test_photo_lines_and_members_are_rewritten(spark):
+    a, b = card("FN:x"), card("PHOTO;ENCODING=b:QUJD\r\n REVG", "FN:y", "item1.PHOTO:z")
+    g = GROUP.replace(b"MEMBER:urn:uuid:9A8B", b"MEMBER:URN:UUID:9A\n 8B")
+    df = spark.createDataFrame([(bytearray(a), bytearray(b), bytearray(g))], "a binary, b binary, g binary")
+    names = F.create_map(F.lit("9A8B7C6D-5E4F-4A3B-8C2D-1E0F9A8B7C6D"), F.lit("NEW"))
+    r = df.select(
+        cards.with_photos_of(F.col("a"), F.col("b")).alias("x"),
+        cards.with_photos_of(F.col("b"), F.col("b")).alias("same"),
+        cards.with_member_uids(F.col("g"), names).alias("g"),
+        cards.with_member_uids(F.col("a"), names).alias("none"),
+    ).first()
+    assert bytes(r.x) == card("FN:x", "PHOTO;ENCODING=b:QUJD\r\n REVG", "item1.PHOTO:z") and bytes(r.same) == b and bytes(r.none) == a
+    assert bytes(r.g) == GROUP.replace(b"MEMBER:urn:uuid:9A8B7C6D-5E4F-4A3B-8C2D-1E0F9A8B7C6D", b"MEMBER:URN:UUID:NEW")
+
+
 def test_text(spark):
     f = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert f(T.unescape(F.lit("a\\nb\\\\nc\\,d\\"))) == "a\nb\\nc,d\\"

@@ -147,3 +147,15 @@ def test_failures_and_report(spark):
     text = report.render(report.sections(spark.createDataFrame(ops, "seq int, uid string, op string, on string, origin string, pass string")))
     assert text.splitlines()[1:] == ["In sync:", "  uid=u1", "Paired by identity:", "  uid=u2", "To copy:", "  uid=u3 to left"]
     assert cdc.is_idle(0, 0, 0, 2, 0) and not cdc.is_idle(0, 1, 0, 2, 0)
+
+
+def test_cards_held_after_a_failure(spark):
+    res = lambda s, u: (f"/{s}/{u}", "1")
+    ops = [("c", "create", "right", None), ("d", "delete", "left", None), ("r", "recreate", "right", None), ("b", "conflict", "right", "baseline"), ("s", "conflict", "right", "sync"), ("f", "refresh", None, None)]
+    failed = spark.createDataFrame([(*o, res("l", o[0]), res("r", o[0])) for o in ops], "uid string, op string, on string, origin string, left struct<href:string,etag:string>, right struct<href:string,etag:string>")
+    written = spark.createDataFrame([("r", "right", "/r/r", None), ("c", "right", "/r/new", "9"), ("f", "left", "/l/f", "9")], "uid string, side string, href string, etag string")
+    got = {(r.uid, r.side, r.href, r.etag, r.op) for r in failures.cards_to_hold(failed, written).collect()}
+    assert got == {
+        ("c", "left", "/l/c", "1", "create"), ("c", "right", "/r/new", "9", "create"), ("d", "left", "/l/d", "1", "delete"), ("r", "left", "/l/r", "1", "update"), ("r", "right", "/r/r", None, "update"),
+        ("b", "left", "/l/b", "1", "update"), ("b", "right", "/r/b", "1", "update"), ("s", "left", "/l/s", "1", "update"),
+    }
