@@ -80,7 +80,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     else:
         runs = runs.withColumn("rb", F.col("ra"))
     runs = cut(runs.select(*KEY, "p", "m", "ra", "rb"))
-    first = runs.groupBy("m", "ra", "rb").agg(F.min(F.struct(*KEY, "p")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Written apart, so that the join deals its rows anew and can split those of a very common line.
+    first = cut(runs.groupBy("m", "ra", "rb").agg(F.min(F.struct(*KEY, "p")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     later = runs.join(first, ["m", "ra", "rb"]).filter(F.struct(*KEY, "p") > F.col("first")).select(*KEY, F.col("p").alias("j"), (F.col("p") + F.col("m")).alias("end"), F.lit(False).alias("is_line"))
     lines = rows.select(*KEY, "j", F.lit(None).cast("int").alias("end"), F.lit(True).alias("is_line"))
     reach = F.max("end").over(W.partitionBy(*KEY).orderBy("j").rangeBetween(W.unboundedPreceding, 0))
