@@ -135,7 +135,8 @@ def inherit(scanned: DataFrame, is_license_file=None) -> DataFrame:
     dirs = scanned.select("dir_").filter("dir_ IS NOT NULL").distinct()
     parts = F.split("dir_", "/")
     ups = dirs.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("anc", F.when(F.col("dir_") == "", F.lit("")).otherwise(F.array_join(F.slice(parts, 1, F.col("depth")), "/")))
-    near = ups.join(best, "anc").groupBy("dir_").agg(F.max(F.struct("depth", "anc", "name")).alias("n")).select("dir_", F.col("n.anc").alias("from_dir"), "n.name")
+    # Written apart, so that the join deals its rows anew and can split those of a very large directory.
+    near = cut(ups.join(best, "anc").groupBy("dir_").agg(F.max(F.struct("depth", "anc", "name")).alias("n")).select("dir_", F.col("n.anc").alias("from_dir"), "n.name"))
     out = scanned.join(near, "dir_", "left")
     own = F.col("own_license").isNotNull()
     return out.withColumns({"license": F.coalesce("own_license", "name"), "from_dir": F.when(~own, F.col("from_dir"))}).drop("dir_", "name")
