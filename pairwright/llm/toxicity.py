@@ -27,7 +27,10 @@ SIZES = (3, 4, 5, 6)
 BITS = 17
 DIM = 8
 PER_CLASS = 3000
-EPOCHS = 8
+STEPS = 1100
+L2 = 1e-5
+#: How much the rarer kind of label counts more in training: 0 not at all, 1 until both kinds weigh the same.
+POWER = 0.5
 
 
 class Grams:
@@ -60,7 +63,7 @@ class Grams:
         return np.flatnonzero(seen)
 
 
-def train(texts: list[str | None], labels: list[int], rate: float, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(texts: list[str | None], labels: list[int], rate: float, bits: int = BITS, dim: int = DIM, steps: int = STEPS, seed: int = 5) -> tuple[np.ndarray, float]:
     """(weight per bucket, bias): the trained model, folded to one logit."""
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
@@ -68,7 +71,8 @@ def train(texts: list[str | None], labels: list[int], rate: float, bits: int = B
         return np.zeros(1 << bits, np.float32), float(np.log(rate / (1 - rate)))
     grams = Grams(bits)
     found = [grams.of(t) for t in texts]
-    used = np.bincount(np.concatenate(found), minlength=1 << bits) >= 12  # buckets of rarer n-grams keep the zero vector
+    # Buckets of n-grams that fewer than one text in 120 has keep the zero vector: they would only be learnt by heart.
+    used = np.bincount(np.concatenate(found), minlength=1 << bits) >= max(3, len(texts) // 120)
     bags = [(b[used[b]], np.float32(1 / max(1, len(b)))) for b in found]
     rng = np.random.default_rng(seed)
     emb = (rng.normal(0, 0.1, (1 << bits, dim)) * used[:, None]).astype(np.float32)
@@ -77,9 +81,10 @@ def train(texts: list[str | None], labels: list[int], rate: float, bits: int = B
     gain = np.float32(100)  # a few words in hundreds decide; scales the mean
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
     step, batch = 0, 64
-    for epoch in range(epochs):
+    weigh = (len(y) / 2 / np.bincount(y, minlength=2)) ** POWER  # the rarer kind counts more
+    while step < steps:
         order = rng.permutation(len(bags))
-        rate_now = 0.02 * (1 - epoch / epochs) + 0.002
+        rate_now = 0.02 * max(0.0, 1 - step / steps) + 0.002
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             ids = np.concatenate([bags[k][0] for k in own])
@@ -90,10 +95,10 @@ def train(texts: list[str | None], labels: list[int], rate: float, bits: int = B
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(own)), y[own]] -= 1
-            p /= len(own)
+            p *= weigh[y[own]][:, None] / len(own)
             back = p @ out.T
             grad_emb = np.stack([np.bincount(ids, part * back[doc, d], 1 << bits) for d in range(dim)], 1)
-            grads = (grad_emb + 1e-7 * emb, mean.T @ p, p.sum(0))
+            grads = (grad_emb + L2 * emb, mean.T @ p, p.sum(0))
             step += 1
             for value, g, (m, v) in zip((emb, out, bias), grads, state, strict=True):
                 m += 0.1 * (g - m)
