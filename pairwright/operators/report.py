@@ -68,16 +68,22 @@ def sections(ops: DataFrame) -> DataFrame:
     return ops.withColumn("section", section).filter("section IS NOT NULL").select("section", "seq", line.alias("line"))
 
 
-def render(lines: DataFrame) -> str:
-    """The report's text: a line of counts, then each section that has lines. The report is read as a whole by a person."""
-    held: dict[str, list[str]] = {name: [] for name, _ in SECTIONS}
-    for r in lines.orderBy("section", "seq").toLocalIterator():
-        held[r["section"]].append(r["line"])
-    out = [", ".join(f"{name} {len(held[name])}" for name, _ in SECTIONS[:7])]
-    for name, title in SECTIONS:
-        if held[name]:
-            out += [title, *(f"  {x}" for x in held[name])]
-    return "\n".join(out) + "\n"
+def report_lines(lines: DataFrame) -> DataFrame:
+    """(part, seq, line) of the whole report, to be sorted by (part, seq): a line of counts, then each section that has
+    lines under its title."""
+    spark = lines.sparkSession
+    titles = spark.createDataFrame([(i + 1, name, title) for i, (name, title) in enumerate(SECTIONS)], "part int, section string, title string")
+    counts = titles.join(lines.groupBy("section").agg(F.count(F.lit(1)).alias("n")), "section", "left")  # 14 rows
+    heads = counts.filter("n > 0").select("part", F.lit(None).cast("long").alias("seq"), F.col("title").alias("line"))
+    first = counts.filter("part <= 7").agg(F.array_sort(F.collect_list(F.struct("part", F.format_string("%s %d", "section", F.coalesce("n", F.lit(0))).alias("text")))).alias("x"))
+    first = first.select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("seq"), F.array_join("x.text", ", ").alias("line"))
+    body = lines.join(titles, "section").select("part", F.col("seq").cast("long"), F.concat(F.lit("  "), "line").alias("line"))
+    return first.unionByName(heads).unionByName(body)
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The report as text files in order; nothing of it passes through the driver."""
+    report_lines(lines).sort("part", F.col("seq").asc_nulls_first()).select("line").write.mode("overwrite").text(path)
 
 
 def relink_aliases(recreated: DataFrame, replayed: DataFrame) -> DataFrame:

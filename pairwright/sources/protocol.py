@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pairwright.functions.shared import cut
 from pairwright.functions.text import restore_crlf
 
 _DAV, _CARD = "{DAV:}", "{urn:ietf:params:xml:ns:carddav}"
@@ -110,7 +111,7 @@ def dump_rows(cards: DataFrame) -> DataFrame:
 
     n = int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     js = F.to_json(F.struct("href", "etag", "vcard"))
-    rows = cards.select("href", js.alias("card")).repartitionByRange(n, "href").withColumn("_pid", F.spark_partition_id()).persist()
+    rows = cut(cards.select("href", js.alias("card")).repartitionByRange(n, "href").withColumn("_pid", F.spark_partition_id()))
     before = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     base = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     here = F.row_number().over(W.partitionBy("_pid").orderBy("href")) - 1

@@ -139,13 +139,15 @@ def test_payloads(spark):
     assert [json.loads(r.card)["href"] for r in dump] == ["a", "b"] and [r.ord for r in dump] == [0, 1]
 
 
-def test_failures_and_report(spark):
+def test_failures_and_report(spark, tmp_path):
     ev = [("k", "a", 1), ("k", "a", 2), ("k", None, 3), ("k", None, 4), ("k", "a", 5)]
     h = failures.replay_history(spark.createDataFrame(ev, "k string, etag string, at int"), ["k"], ["at"]).orderBy("at").collect()
     assert [(r.attempts, r.first_at) for r in h] == [(1, 1), (2, 1), (1, 3), (2, 3), (1, 5)]
     ops = [(1, "u1", "adopt", None, None, None), (2, "u2", "recreate", None, None, "identity"), (3, "u3", "create", "left", None, None)]
-    text = report.render(report.sections(spark.createDataFrame(ops, "seq int, uid string, op string, on string, origin string, pass string")))
-    assert text.splitlines()[1:] == ["In sync:", "  uid=u1", "Paired by identity:", "  uid=u2", "To copy:", "  uid=u3 to left"]
+    lines = report.sections(spark.createDataFrame(ops, "seq int, uid string, op string, on string, origin string, pass string"))
+    report.write_report(lines, str(tmp_path / "report"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert text[0].startswith("in_sync 1, conflicts 0, reuid 0, by_identity 1") and text[1:] == ["In sync:", "  uid=u1", "Paired by identity:", "  uid=u2", "To copy:", "  uid=u3 to left"]
     assert cdc.is_idle(0, 0, 0, 2, 0) and not cdc.is_idle(0, 1, 0, 2, 0)
 
 
