@@ -31,7 +31,7 @@ DROP = frozenset(
 )
 #: Names in class, id or role that mark what is not the article.
 MARKS = frozenset(
-    """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner masthead header
+    """ad ads adbox adslot adunit adsbygoogle advert adverts advertisement advertising adsense leaderboard skyscraper sponsor sponsored promo promotion banner masthead header
     footer nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside complementary contentinfo search
     searchbox toolbar pagination pager share sharing social related recommended recommendations newsletter subscribe
     subscription signup login cookie cookies consent gdpr notice notification alert popup modal overlay dialog widget
@@ -65,8 +65,10 @@ def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
+        if name in ("class", "id", "role"):
+            found = MARKS.intersection(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            if found - ({"header"} if inside_article else set()):  # an article's own header holds its title
+                return True
     return False
 
 

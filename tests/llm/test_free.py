@@ -174,6 +174,7 @@ PAGES = {
     "just &lt;text&gt; &am": "just <text> &am",
     "<table><tr><td>a, b</td><td>c</table>": "a, b\nc",
     "<p>un<b>closed <i>it<p>next <!-- no --> one": "unclosed it\nnext one",
+    "<div class=pageHeader>Site</div><article><div class='post-header'><h1>T</h1></div><p>x</p><div class=adSlot>y</div><footer>z</footer></article>": "T\nx",
     "<article><p hidden>h</p><p style='display: none'>s</p><p title='a > b'>seen</p></article>": "seen",
     "<div>" * 3000 + "deep" + "</div>" * 3000: "deep",
 }
