@@ -109,3 +109,18 @@ def test_text(spark):
     assert got == [5, 3600, 60, 0, None]
     assert [f(T.backoff_seconds(F.lit(n))) for n in (1, 2, 10, 11, 5000)] == [120, 240, 61440, 86400, 86400]
     assert f(T.restore_crlf(F.lit("a\nb\r\nc"))) == "a\r\nb\r\nc"
+
+
+def test_any_order_of_properties_has_one_hash(spark):
+    import random
+
+    rng = random.Random(6)
+    lines = ["FN:Ann", "item1.EMAIL;type=WORK:a@b.c", "item1.X-ABLabel:x", "item2.EMAIL:a@b.c", "item2.X-ABLabel:a", "NOTE:x\;y", "TEL;TYPE=a,b:1", "ORG:o;p"]
+    cards_ = []
+    for _ in range(25):
+        order = rng.sample(lines, len(lines))
+        swap = rng.random() < 0.5
+        order = [x.replace("item1", "item9").replace("item2", "item1").replace("item9", "item2") if swap else x for x in order]
+        cards_.append(card(*order, eol=rng.choice(["\n", "\r\n"])))
+    rows = parsed(spark, *cards_).select(cards.canonical_hash(F.col("props")).alias("h")).collect()
+    assert len({r.h for r in rows}) == 1 and rows[0].h is not None

@@ -161,3 +161,14 @@ def test_cards_held_after_a_failure(spark):
         ("c", "left", "/l/c", "1", "create"), ("c", "right", "/r/new", "9", "create"), ("d", "left", "/l/d", "1", "delete"), ("r", "left", "/l/r", "1", "update"), ("r", "right", "/r/r", None, "update"),
         ("b", "left", "/l/b", "1", "update"), ("b", "right", "/r/b", "1", "update"), ("s", "left", "/l/s", "1", "update"),
     }
+
+
+def test_windowed_failures_count_late_events(spark, tmp_path):
+    src = str(tmp_path / "ev")
+    rows = [("2024-01-01 10:00:00", "a", "1"), ("2024-01-01 23:00:00", "a", "2"), ("2024-01-02 01:00:00", "b", "1"), ("2024-01-01 22:30:00", "a", "0")]
+    spark.createDataFrame(rows, "ts string, href string, etag string").select(F.to_timestamp("ts").alias("ts"), "href", "etag").write.parquet(src)
+    stream = spark.readStream.schema("ts timestamp, href string, etag string").parquet(src)
+    q = loop.event_counts(stream).writeStream.format("memory").queryName("late_failures").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(60)
+    got = {(str(r.window.start)[:10], r.href, r.failures, r.etag) for r in spark.table("late_failures").collect()}
+    assert got == {("2024-01-01", "a", 3, "2"), ("2024-01-02", "b", 1, "1")}
