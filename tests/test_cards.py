@@ -115,7 +115,7 @@ def test_any_order_of_properties_has_one_hash(spark):
     import random
 
     rng = random.Random(6)
-    lines = ["FN:Ann", "item1.EMAIL;type=WORK:a@b.c", "item1.X-ABLabel:x", "item2.EMAIL:a@b.c", "item2.X-ABLabel:a", "NOTE:x\;y", "TEL;TYPE=a,b:1", "ORG:o;p"]
+    lines = ["FN:Ann", "item1.EMAIL;type=WORK:a@b.c", "item1.X-ABLabel:x", "item2.EMAIL:a@b.c", "item2.X-ABLabel:a", r"NOTE:x\;y", "TEL;TYPE=a,b:1", "ORG:o;p"]
     cards_ = []
     for _ in range(25):
         order = rng.sample(lines, len(lines))
