@@ -128,18 +128,18 @@ def inherit(scanned: DataFrame, is_license_file=None) -> DataFrame:
     Each distinct directory is joined once, by the paths of its ancestors; files then join their directory.
     """
     is_license_file = F.col("path").rlike(LICENSE_FILE) if is_license_file is None else is_license_file
-    scanned = scanned.drop("license", "from_dir").withColumn("dir_", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
-    licensed = scanned.filter(is_license_file & F.col("own_license").isNotNull() & F.col("dir_").isNotNull())
-    best = licensed.groupBy("dir_").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("name"))).alias("b"))
-    best = best.select(F.col("dir_").alias("anc"), F.col("b.name").alias("name"))
-    dirs = scanned.select("dir_").filter("dir_ IS NOT NULL").distinct()
-    parts = F.split("dir_", "/")
-    ups = dirs.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("anc", F.when(F.col("dir_") == "", F.lit("")).otherwise(F.array_join(F.slice(parts, 1, F.col("depth")), "/")))
+    scanned = scanned.drop("license", "from_dir").withColumn("_lic_dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
+    licensed = scanned.filter(is_license_file & F.col("own_license").isNotNull() & F.col("_lic_dir").isNotNull())
+    best = licensed.groupBy("_lic_dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("name"))).alias("b"))
+    best = best.select(F.col("_lic_dir").alias("anc"), F.col("b.name").alias("name"))
+    dirs = scanned.select("_lic_dir").filter("_lic_dir IS NOT NULL").distinct()
+    parts = F.split("_lic_dir", "/")
+    ups = dirs.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("anc", F.when(F.col("_lic_dir") == "", F.lit("")).otherwise(F.array_join(F.slice(parts, 1, F.col("depth")), "/")))
     # Written apart, so that the join deals its rows anew and can split those of a very large directory.
-    near = cut(ups.join(best, "anc").groupBy("dir_").agg(F.max(F.struct("depth", "anc", "name")).alias("n")).select("dir_", F.col("n.anc").alias("from_dir"), "n.name"))
-    out = scanned.join(near, "dir_", "left")
+    near = cut(ups.join(best, "anc").groupBy("_lic_dir").agg(F.max(F.struct("depth", "anc", "name")).alias("n")).select("_lic_dir", F.col("n.anc").alias("_lic_from"), F.col("n.name").alias("_lic_name")))
+    out = scanned.join(near, "_lic_dir", "left")
     own = F.col("own_license").isNotNull()
-    return out.withColumns({"license": F.coalesce("own_license", "name"), "from_dir": F.when(~own, F.col("from_dir"))}).drop("dir_", "name")
+    return out.withColumns({"license": F.coalesce("own_license", "_lic_name"), "from_dir": F.when(~own, F.col("_lic_from"))}).drop("_lic_dir", "_lic_name", "_lic_from")
 
 
 def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:

@@ -202,7 +202,7 @@ def test_licenses_match_plain_version(spark):
         (None, "All rights reserved."),
         ("q/deep/file", "the license of this version is under the public work"),
     ]
-    files = spark.createDataFrame([(*r, 1) for r in rows], "path string, text string, license int")
+    files = spark.createDataFrame([(*r, 1, "n") for r in rows], "path string, text string, license int, name string")
     got = {r.path: r for r in licenses.scan(files).collect()}
     df = {t: sum(t in licenses.terms(x or "") for _, x in rows) for y in licenses.TEMPLATES.values() for t in licenses.terms(y)}
     idf = {t: math.log((1 + len(rows)) / (1 + n)) + 1 for t, n in df.items()}
@@ -214,4 +214,5 @@ def test_licenses_match_plain_version(spark):
     assert (got["a/b/c/x.py"].license, got["a/b/c/x.py"].from_dir) == ("MIT", "a/b")
     assert got["a/b/y.py"].license == "GPL-3.0" and got["a/b/y.py"].from_dir is None
     assert got["z/w"].from_dir == "z" and got["top.txt"].license is None and got[None].license == "Proprietary"
+    assert all(r.name == "n" for r in got.values())
     assert licenses.scan(empty(spark, "path string, text string")).count() == 0
