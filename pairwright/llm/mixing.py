@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with their own columns and ``repeats``, the times each is taken."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "repeats"]
     keyed = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("m_id"), F.col("source").cast("string").alias("m_source"), row_key()[1].alias("m_key"))
     same = W.partitionBy("m_id", "m_key", "m_source")
     keyed = keyed.withColumn("m_nth", F.row_number().over(same.orderBy(F.lit(0))))

@@ -137,7 +137,7 @@ def test_mix_documents_and_defined_cases(spark):
     schema = "doc_id long, source string, text string, repeats int, size long"
     rows = [(1, "a", "x y", 7, 1), (1, "a", "x y", 7, 1), (2, "b", "x y z", 7, 1), (None, None, "q r", 7, 1), (3, None, None, 7, 1)]
     docs = spark.createDataFrame(rows, schema)
-    out = mixing.mix_documents(docs.drop("repeats"))
+    out = mixing.mix_documents(docs)
     assert out.columns == ["doc_id", "source", "text", "size", "repeats"]
     per = mixing.mix(docs).collect()
     assert sorted(r.repeats for r in per if r.repeats) == sorted(r.repeats for r in out.collect())
