@@ -1,6 +1,7 @@
 """License scans: TF-IDF cosine of lines to templates, then inheritance from the nearest directory.
 
-Every line of a file is compared with license templates by the cosine of sparse TF-IDF vectors; the best line at or
+Every line of a file is compared with license templates, several per license (short notices, grant paragraphs, SPDX
+lines), by the cosine of sparse TF-IDF vectors; the best line at or
 above ``min_cosine`` names the file's license. Document frequencies of the templates' terms are counted over all
 files; any other term weighs like one that no file has, so unrelated words pull a cosine down. A license file's
 finding holds for its directory; a file without one of its own takes that of its nearest ancestor directory.
@@ -41,6 +42,29 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: More notices per license: sentences and headers that also stand alone. SPDX lines follow from the names.
+NOTICES = {
+    "AGPL-3.0": ("GNU Affero General Public License version 3", "GNU AGPL version 3"),
+    "Apache-2.0": ("Apache License Version 2.0", "Apache License 2.0"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",),
+    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "CC0-1.0": ("CC0 1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    "GPL-2.0": ("GNU General Public License version 2", "GNU GPL version 2"),
+    "GPL-3.0": ("GNU General Public License version 3", "GNU GPL version 3"),
+    "LGPL-3.0": ("GNU Lesser General Public License version 3", "GNU LGPL version 3"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "Mozilla Public License 2.0"),
+    "Unlicense": ("The Unlicense",),
+}
+#: Words that name a license; a notice that has some of them is found only where they all stand.
+NAMING = frozenset(
+    """affero agpl apache attribution binary bsd by cc endorse general gpl granted lesser lgpl mit mozilla nc noncommercial permission redistribution
+    reserved rights sa sharealike unencumbered unlicense waived cc0""".split()
+)
+#: Notices of up to so many terms must be there as a whole, or two licenses' headers would pass for each other.
+WHOLE = 4
 LICENSE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright)[^/]*$"
 _TERM = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 
@@ -49,9 +73,23 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+def templates() -> list[tuple[str, str]]:
+    """All (license, notice), by license."""
+    spdx = {name: (f"SPDX-License-Identifier: {name}", *(f"SPDX-License-Identifier: {name}-{x}" for x in ("only", "or-later") if "GPL" in name)) for name in TEMPLATES if name != "Proprietary"}
+    return [(name, x) for name in sorted(TEMPLATES) for x in dict.fromkeys((TEMPLATES[name], *NOTICES.get(name, ()), *spdx.get(name, ())))]
+
+
+def required(notice: str) -> frozenset[str]:
+    """The terms that must be there for something to count as this notice."""
+    found = terms(notice)
+    if len(found) <= WHOLE or found[0] == "spdx":
+        return frozenset(found)
+    return NAMING.intersection(found)
+
+
 def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
     """Number of files, and in how many each term of the templates occurs (a bounded vocabulary)."""
-    vocabulary = sorted({t for x in TEMPLATES.values() for t in terms(x)})
+    vocabulary = sorted({t for _, x in templates() for t in terms(x)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, n = set(vocabulary), Counter(), 0
@@ -70,12 +108,14 @@ class Matcher:
     """Cosines of a line to all templates."""
 
     def __init__(self, n_files: int, df: dict[str, int]) -> None:
-        self.idf = {t: math.log((1 + n_files) / (1 + df.get(t, 0))) + 1 for x in TEMPLATES.values() for t in terms(x)}
+        self.notices = templates()
+        self.names = [name for name, _ in self.notices]
+        self.required = [frozenset() if x == TEMPLATES[name] else required(x) for name, x in self.notices]
+        self.idf = {t: math.log((1 + n_files) / (1 + df.get(t, 0))) + 1 for _, x in self.notices for t in terms(x)}
         self.other = math.log(1 + n_files) + 1
         self.postings: dict[str, list[tuple[int, float]]] = {}
-        self.names = sorted(TEMPLATES)
-        for k, name in enumerate(self.names):
-            tf = Counter(terms(TEMPLATES[name]))
+        for k, (_, notice) in enumerate(self.notices):
+            tf = Counter(terms(notice))
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in tf.items()))
             for t, n in tf.items():
                 self.postings.setdefault(t, []).append((k, n * self.idf[t] / norm))
@@ -91,8 +131,8 @@ class Matcher:
             w = tf[t] * self.idf[t] / norm
             for k, x in self.postings[t]:
                 dots[k] += w * x
-        k = max(range(len(dots)), key=lambda i: (round(dots[i], 9), -i))
-        return dots[k], k
+        k = max(range(len(dots)), key=lambda i: (round(dots[i], 9) if self.required[i] <= tf.keys() else 0.0, -i))
+        return (dots[k], k) if self.required[k] <= tf.keys() else (0.0, -1)
 
 
 def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:

@@ -216,3 +216,26 @@ def test_licenses_match_plain_version(spark):
     assert got["z/w"].from_dir == "z" and got["top.txt"].license is None and got[None].license == "Proprietary"
     assert all(r.name == "n" for r in got.values())
     assert licenses.scan(empty(spark, "path string, text string")).count() == 0
+
+
+#: Every license line that occurs in the documents, and other notices that stand alone.
+LICENSE_LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "All rights reserved.": "Proprietary",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "MIT License": "MIT",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "MIT",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+    "SPDX-License-Identifier: ISC": None,
+}
+
+
+def test_every_notice_alone(spark):
+    rows = [(f"{i}/x", line) for i, line in enumerate(LICENSE_LINES)] + [(f"pad/{i}", "plain words") for i in range(300)]
+    got = {r.path: r for r in licenses.own_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"{i}/x"].own_license for i in range(len(LICENSE_LINES))] == list(LICENSE_LINES.values())
+    assert all(got[f"{i}/x"].own_score > 0.99 for i, name in enumerate(LICENSE_LINES.values()) if name)
