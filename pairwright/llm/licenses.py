@@ -1,10 +1,12 @@
 """License scans: TF-IDF cosine of lines to templates, then inheritance from the nearest directory.
 
 Every line of a file is compared with license templates, several per license (short notices, grant paragraphs, SPDX
-lines), by the cosine of sparse TF-IDF vectors; the best line at or
-above ``min_cosine`` names the file's license. Document frequencies of the templates' terms are counted over all
-files; any other term weighs like one that no file has, so unrelated words pull a cosine down. A license file's
-finding holds for its directory; a file without one of its own takes that of its nearest ancestor directory.
+lines), by the cosine of sparse TF-IDF vectors, and so is every window of as many terms as a template has, across
+line ends, that holds the words which name the license. The best at or above ``min_cosine`` names the file's license.
+Document frequencies of the templates' terms are counted over all files and taken as shares of at most ``IDF_FILES``
+files, so more files of the same kind change no score; any other term weighs like one that no file has, so unrelated
+words inside a notice pull a cosine down and those around it don't. A license file's finding holds for its directory;
+a file without one of its own takes that of its nearest ancestor directory.
 
 Defined cases: a null or empty text has no license; a null path has no directory and inherits nothing; of several
 license files in a directory the best cosine wins, then the template's name; of equal cosines in a file the
@@ -42,18 +44,20 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Terms weigh as in this many files, however many more there are.
+IDF_FILES = 1000
 #: More notices per license: sentences and headers that also stand alone. SPDX lines follow from the names.
 NOTICES = {
-    "AGPL-3.0": ("GNU Affero General Public License version 3", "GNU AGPL version 3"),
+    "AGPL-3.0": ("GNU Affero General Public License version 3", "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "GNU AGPL version 3"),
     "Apache-2.0": ("Apache License Version 2.0", "Apache License 2.0"),
     "BSD-3-Clause": ("BSD 3-Clause License", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",),
     "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
     "CC0-1.0": ("CC0 1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    "GPL-2.0": ("GNU General Public License version 2", "GNU GPL version 2"),
-    "GPL-3.0": ("GNU General Public License version 3", "GNU GPL version 3"),
-    "LGPL-3.0": ("GNU Lesser General Public License version 3", "GNU LGPL version 3"),
+    "GPL-2.0": ("GNU General Public License version 2", "GNU General Public License as published by the Free Software Foundation, either version 2 of the License", "GNU GPL version 2"),
+    "GPL-3.0": ("GNU General Public License version 3", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "GNU GPL version 3"),
+    "LGPL-3.0": ("GNU Lesser General Public License version 3", "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", "GNU LGPL version 3"),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     "MPL-2.0": ("Mozilla Public License Version 2.0", "Mozilla Public License 2.0"),
     "Unlicense": ("The Unlicense",),
@@ -105,20 +109,29 @@ def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
 
 
 class Matcher:
-    """Cosines of a line to all templates."""
+    """Cosines of lines and windows to all templates."""
 
-    def __init__(self, n_files: int, df: dict[str, int]) -> None:
+    def __init__(self, n_files: int, df: dict[str, int], min_cosine: float = MIN_COSINE) -> None:
         self.notices = templates()
         self.names = [name for name, _ in self.notices]
         self.required = [frozenset() if x == TEMPLATES[name] else required(x) for name, x in self.notices]
-        self.idf = {t: math.log((1 + n_files) / (1 + df.get(t, 0))) + 1 for _, x in self.notices for t in terms(x)}
-        self.other = math.log(1 + n_files) + 1
+        # A window must also agree in version numbers.
+        self.named = [required(x) | {t for t in terms(x) if t[0].isdigit()} for _, x in self.notices]
+        self.least = max(min_cosine, 0.0) ** 2 - 1e-9
+        n = min(n_files, IDF_FILES)
+        scale = n / n_files if n_files else 0.0
+        self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0) * scale)) + 1 for _, x in self.notices for t in terms(x)}
+        self.other = math.log(1 + n) + 1
         self.postings: dict[str, list[tuple[int, float]]] = {}
+        self.weights: list[dict[str, float]] = []
+        self.sizes: list[int] = []
         for k, (_, notice) in enumerate(self.notices):
             tf = Counter(terms(notice))
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in tf.items()))
-            for t, n in tf.items():
-                self.postings.setdefault(t, []).append((k, n * self.idf[t] / norm))
+            self.weights.append({t: n * self.idf[t] / norm for t, n in tf.items()})
+            self.sizes.append(sum(tf.values()))
+            for t, x in self.weights[-1].items():
+                self.postings.setdefault(t, []).append((k, x))
 
     def best(self, line: str) -> tuple[float, int]:
         tf = Counter(terms(line))
@@ -134,6 +147,57 @@ class Matcher:
         k = max(range(len(dots)), key=lambda i: (round(dots[i], 9) if self.required[i] <= tf.keys() else 0.0, -i))
         return (dots[k], k) if self.required[k] <= tf.keys() else (0.0, -1)
 
+    def window(self, found: list[str], k: int) -> float:
+        """The best cosine to template *k* of a window of its length that holds its naming terms."""
+        size, named, weights, idf, other = min(self.sizes[k], len(found)), self.named[k], self.weights[k], self.idf, self.other
+        pivot = min(sorted(named), key=found.count)
+        top, start, at = 0.0, -1, -1
+        tf: Counter = Counter()
+        dot = square = 0.0
+        for place, term in enumerate(found):
+            if term != pivot:
+                continue
+            for s in range(max(0, place - size + 1, at + 1), min(place, len(found) - size) + 1):
+                if s == start + 1 and start >= 0:
+                    changes = ((found[start], -1), (found[start + size], 1))
+                else:
+                    tf.clear()
+                    dot = square = 0.0
+                    changes = tuple((t, 1) for t in found[s : s + size])
+                for t, d in changes:
+                    w = idf[t] if t in weights else other
+                    c = tf[t]
+                    square += w * w * (2 * c * d + 1)
+                    dot += d * w * weights.get(t, 0.0)
+                    tf[t] = c + d
+                start = at = s
+                if all(tf[t] for t in named):
+                    top = max(top, dot / math.sqrt(square))
+        return top
+
+    def scan(self, text: str) -> tuple[float, int]:
+        """The best of all lines and windows of a text."""
+        found = terms(text)
+        present = self.postings.keys() & set(found)
+        cover = [0.0] * len(self.names)
+        for t in sorted(present):
+            for k, x in self.postings[t]:
+                cover[k] += x * x
+        # A cosine is never above the root of what share of the template's squared norm is there at all.
+        able = [k for k, x in enumerate(cover) if x >= self.least and x > 0]
+        top, which = 0.0, -1
+        if any(self.required[k] <= present for k in able):
+            for line in text.split("\n"):
+                got, k = self.best(line)
+                if k >= 0 and (round(got, 9), -k) > (round(top, 9), -which):
+                    top, which = got, k
+        for k in able:
+            if self.named[k] <= present:
+                got = self.window(found, k)
+                if got and (round(got, 9), -k) > (round(top, 9), -which):
+                    top, which = got, k
+        return top, which
+
 
 def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """*files* without ``text``, with own_license and own_score (null without one) and n_words."""
@@ -142,16 +206,12 @@ def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     held = files.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(n, df)
+        match = Matcher(n, df, min_cosine)
         for batch in batches:
             names, scores, words = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                top, which = 0.0, -1
-                for line in text.split("\n"):
-                    got, k = match.best(line)
-                    if k >= 0 and (round(got, 9), -k) > (round(top, 9), -which):
-                        top, which = got, k
+                top, which = match.scan(text)
                 hit = which >= 0 and top >= min_cosine
                 names.append(match.names[which] if hit else None)
                 scores.append(round(top, 6) if hit else None)

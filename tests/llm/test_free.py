@@ -239,3 +239,28 @@ def test_every_notice_alone(spark):
     got = {r.path: r for r in licenses.own_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert [got[f"{i}/x"].own_license for i in range(len(LICENSE_LINES))] == list(LICENSE_LINES.values())
     assert all(got[f"{i}/x"].own_score > 0.99 for i, name in enumerate(LICENSE_LINES.values()) if name)
+
+
+SURROUNDED = {
+    "// Licensed under the Apache License, Version 2.0, see LICENSE file.": "Apache-2.0",
+    "Copyright (c) 2024 Example Inc. All rights reserved.": "Proprietary",
+    "# This file, as all the others beside it, is\n# licensed under the Apache\n# License, Version 2.0, and comes with nothing else": "Apache-2.0",
+    "some prose " * 400 + "Released under the MIT License. " + "and more " * 400: "MIT",
+    " * it under the terms of the GNU Lesser General Public License as published\n * by the Free Software Foundation, either version 3 of the License, or": "LGPL-3.0",
+    "all the rights of the others and of every other reserved person": None,
+    "GNU Lesser General Public License, version 2.1, wrapped among quite a few other words of a text": None,
+}
+
+
+def test_notices_among_other_words_at_two_sizes(spark):
+    seen = []
+    for copies in (3, 60):
+        rows = [(f"{c}/{i}", line) for c in range(copies) for i, line in enumerate(SURROUNDED)] + [(f"pad/{i}", "plain words here") for i in range(50 * copies)]
+        got = licenses.own_licenses(spark.createDataFrame(rows, "path string, text string")).filter("path NOT LIKE 'pad/%'").collect()
+        for r in got:
+            assert r.own_license == list(SURROUNDED.values())[int(r.path.split("/")[1])]
+        seen.append({r.path: r.own_score for r in got if r.path.startswith("0/")})
+    assert seen[0].keys() == seen[1].keys() and all((a is None and seen[1][p] is None) or abs(a - seen[1][p]) < 0.02 for p, a in seen[0].items())
+    header = "some words // Licensed under Apache License of version 2.0 and more words"
+    small, large = (licenses.Matcher(n, {t: n // 100 for _, x in licenses.templates() for t in licenses.terms(x)}).scan(header) for n in (1000, 6_000_000))
+    assert small == large and small[0] > licenses.MIN_COSINE
