@@ -1,9 +1,11 @@
 """HTML extraction by tree scoring.
 
-A page becomes a tree. Subtrees that are never article text (scripts, forms, menus, ...) go, by element, role, class
-or id. Each block of text gives points for length and commas to its ancestors, less the further up; a container's
-points are discounted by its link density. The best container, widened to the article element around it, and those
-of its siblings that look like text too are kept; their blocks are the page's main text.
+A page becomes a tree. Subtrees that are never article text (scripts, forms, menus, ...) go, by element. A block whose
+class, id or role names it as such goes too if it is short or mostly links, unless many such blocks hold half of the article or page;
+a longer one only loses points. Each block of text gives points for length and commas to its ancestors, less the
+further up; a container's points are discounted by its link density. The best container, widened to the article
+element around it, and all its unmarked siblings that are not mostly links are kept; their blocks are the page's main
+text. Outside of an article, a list of short links is a menu and goes.
 
 Defined cases: a null or empty page has empty text; without any block of text the text is empty; character
 references are decoded, broken ones stay as written; white space inside a block, line breaks too, is one blank;
@@ -37,6 +39,12 @@ MARKS = frozenset(
     subscription signup login cookie cookies consent gdpr notice notification alert popup modal overlay dialog widget
     comment comments commentlist disqus respond replies reply discussion skip""".split()
 )
+#: Words that make the rest of a class a property of the block, not its name.
+ASPECTS = frozenset("has have no not non with without is hide show hljs token".split())
+#: A marked block of fewer characters goes; a longer one gets this share of its points.
+SHORT_BLOCK, MARKED_SHARE = 500, 0.25
+#: Least link density of a block of links, and characters below which a link is a menu's, on average.
+LINKS, MENU_LINK = 0.5, 15
 #: An element ends the open ones named here, up to the boundary elements.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDARY = frozenset("ul ol dl table body html article section main div blockquote td th".split())
@@ -47,29 +55,36 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "points", "text", "links", "n_links", "drop", "commas")
+    __slots__ = ("tag", "up", "kids", "points", "text", "links", "n_links", "drop", "mark", "commas")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool) -> None:
-        self.tag, self.up, self.drop = tag, up, drop
+    def __init__(self, tag: str, up: Node | None, drop: bool, mark: bool = False) -> None:
+        self.tag, self.up, self.drop, self.mark = tag, up, drop, mark
         self.kids: list = []
+        self.clear()
+
+    def clear(self) -> None:
         self.points = 0.0
         self.text = self.links = self.n_links = self.commas = 0
 
 
-def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
+def _marked(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element goes with all it holds, and whether its names mark it."""
     if tag in DROP or tag == "header" and not inside_article:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    mark = False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id", "role"):
-            found = MARKS.intersection(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-            if found - ({"header"} if inside_article else set()):  # an article's own header holds its title
-                return True
-    return False
+            return True, False
+        if name in ("class", "id", "role") and tag not in INLINE:
+            for token in value.split():
+                parts = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                found = MARKS.intersection(("".join(parts), *parts[:1], *parts[-1:]))
+                # An article's own header holds its title.
+                mark = mark or bool(found - ({"header"} if inside_article else set())) and ASPECTS.isdisjoint(parts)
+    return False, mark
 
 
 def tree(page: str) -> Node:
@@ -108,7 +123,7 @@ def tree(page: str) -> Node:
                 at = x.up
         if tag in ("html", "body"):
             continue
-        node = Node(tag, at, _marked(tag, m[3] or m[6] or "", articles > 0))
+        node = Node(tag, at, *_marked(tag, m[3] or m[6] or "", articles > 0))
         at.kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
@@ -175,15 +190,55 @@ def _density(x: Node) -> float:
     return x.links / x.text if x.text else 0.0
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The best container, widened to its article, and the siblings that look like text."""
+def _scope(x: Node) -> Node:
+    """The article around a node, or the page."""
+    x = x.up or x
+    while x.up is not None and x.tag not in ("article", "main"):
+        x = x.up
+    return x
+
+
+def _prune(root: Node) -> None:
+    """Score the tree without the marked blocks that are short or mostly links."""
     _score(root)
-    best, most = None, 0.0
+    links, short, inside, articles = [], [], None, False
+    for x, _, entering in _walk(root):
+        articles = articles or isinstance(x, Node) and x.tag in ("article", "main") and x.text > 0
+        if inside is not None:
+            inside = None if x is inside and not entering else inside
+        elif entering and isinstance(x, Node) and x.mark and x.text:
+            if _density(x) >= LINKS:
+                links.append(x)
+            elif x.text < SHORT_BLOCK:
+                short.append(x)
+            else:
+                continue
+            inside = x
+    held: dict[Node, int] = {}
+    for x in short:
+        held[_scope(x)] = held.get(_scope(x), 0) + x.text
+    gone = links + [x for x in short if (n := held[_scope(x)]) < SHORT_BLOCK or 2 * n < _scope(x).text or articles and _scope(x) is root]
+    if not gone or sum(x.text for x in gone) == root.text:
+        return
+    for x in gone:
+        x.drop = True
+    for x, _, entering in _walk(root):
+        if entering and isinstance(x, Node):
+            x.clear()
+    _score(root)
+
+
+def main_nodes(root: Node) -> list[Node | str]:
+    """The best container, widened to its article, and its siblings that are not marked or links."""
+    _prune(root)
+    best, most, marks = None, 0.0, 0
     for x, _, entering in _walk(root):
-        if entering and isinstance(x, Node) and x.tag not in INLINE and x.text:
-            value = x.points * (1 - _density(x))
-            if value > most:
-                best, most = x, value
+        if isinstance(x, Node):
+            marks += x.mark if entering else -x.mark
+            if entering and x.tag not in INLINE and x.text:
+                value = x.points * (1 - _density(x)) * (MARKED_SHARE if marks else 1)
+                if value > most:
+                    best, most = x, value
     if best is None:
         return []
     up, wide = best, None
@@ -193,16 +248,7 @@ def main_nodes(root: Node) -> list[Node]:
         up = up.up
     if wide is not None or best.up is None:
         return [wide or best]
-    keep = []
-    for k in best.up.kids:
-        if k is best:
-            keep.append(k)
-        elif isinstance(k, Node) and not k.drop and k.text:
-            text_like = k.points * (1 - _density(k)) >= max(10.0, 0.2 * most)
-            plain = k.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and _density(k) < 0.25
-            if text_like or plain:
-                keep.append(k)
-    return keep
+    return [k for k in best.up.kids if k is best or isinstance(k, str) or not k.drop and (best.mark or not k.mark) and (_density(k) < LINKS or not k.text)]
 
 
 def extract(page: str | None) -> str:
@@ -220,6 +266,7 @@ def extract(page: str | None) -> str:
 
     for top in main_nodes(tree(page)):
         skip: Node | None = None
+        articles = isinstance(top, Node) and top.tag in ("article", "main")
         for x, _, entering in _walk(top):
             if skip is not None:
                 if x is skip and not entering:
@@ -230,9 +277,9 @@ def extract(page: str | None) -> str:
                 part.append(" ")
             elif x.tag not in INLINE:
                 flush()
-                if entering and x is not top and x.n_links >= 3 and _density(x) >= 0.9:
-                    skip = x  # a list of links is a menu
-        flush()
+                if entering and x is not top and not articles and x.n_links >= 3 and _density(x) >= 0.9 and x.links < MENU_LINK * x.n_links:
+                    skip = x  # a list of short links is a menu
+    flush()
     return "\n".join(out)
 
 

@@ -264,3 +264,22 @@ def test_notices_among_other_words_at_two_sizes(spark):
     header = "some words // Licensed under Apache License of version 2.0 and more words"
     small, large = (licenses.Matcher(n, {t: n // 100 for _, x in licenses.templates() for t in licenses.terms(x)}).scan(header) for n in (1000, 6_000_000))
     assert small == large and small[0] > licenses.MIN_COSINE
+
+
+LONG = "<p>" + "A long paragraph, with commas, of some words. " * 8 + "</p>"
+ONCE = " ".join(("A long paragraph, with commas, of some words. " * 8).split())
+WHOLE_PAGES = {
+    f"<body><div class='content has-sidebar'>{LONG}</div><div class=sidebar>Buy this</div>": ONCE,
+    f"<body><div id='content' class='no-sidebar'>{LONG}</div>": ONCE,
+    f"<article>{LONG}<pre>x = 1 <span class='hljs-comment'># the first</span></pre></article>": f"{ONCE}\nx = 1 # the first",
+    f"<div><div>{LONG * 10}</div><div><p>One.</p><p>Two.</p><p>Three.</p></div><h4>Head</h4><ul><li>x</li></ul><table><tr><td>cell</table></div>": "\n".join([ONCE] * 10 + ["One.", "Two.", "Three.", "Head", "x", "cell"]),
+    f"<article>{LONG}<ol><li><a href=1>RFC 1</a><li><a href=2>RFC 2</a><li><a href=3>RFC 3</a></ol></article>": f"{ONCE}\nRFC 1\nRFC 2\nRFC 3",
+    f"<div>{LONG * 3}</div><ul class=menu><li><a href=1>a</a><li><a href=2>b</a></ul><ul><li><a href=1>c</a><li><a href=2>d</a></ul>": "\n".join([ONCE] * 3),
+    f"<article>{LONG * 2}<div class=social>{LONG * 2}</div></article>": "\n".join([ONCE] * 4),
+    "<div class=comment>One of two.</div><div class=comment>The other.</div>": "One of two.\nThe other.",
+}
+
+
+def test_pages_keep_marked_and_short_text():
+    for page, want in WHOLE_PAGES.items():
+        assert pages.extract(page) == want
