@@ -8,7 +8,8 @@ that end in that block, and the words themselves are compared.
 The patterns travel to the tasks in groups of at most ``group_chars`` characters of item text; a larger benchmark
 takes one pass over the documents per group, so what is sent is bounded at every size.
 
-Defined cases: null and empty texts have no words and no hits; null items and items without words have no pattern;
+Defined cases: null and empty texts have no words and no hits; null item texts and items without words have no pattern;
+an item without id is searched too, but is left out of the ids and their count;
 the items of equal texts are all reported; an item id that repeats counts once; repeated documents are searched one
 by one. With an empty benchmark nothing is hit.
 """
@@ -35,8 +36,8 @@ def split_words(text: str | None) -> list[bytes]:
 class Searcher:
     """Shift tables and suffix buckets for a group of items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.ids: list[str] = []
+    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
+        self.ids: list[str | None] = []
         self.number: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
@@ -93,7 +94,7 @@ class Searcher:
 
 
 def _groups(items: DataFrame, group_chars: int) -> tuple[int, DataFrame]:
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     # Half-full on average, so that uneven hashing stays within the bound for items of ordinary length.
     return max(1, -(-2 * size // group_chars) if size > group_chars else 1), items
@@ -129,7 +130,7 @@ def _search(sent, others: list[str], window: int):
                 got, who = find.find(seq)
                 counts.append(len(seq))
                 spans.append([{"lo": a, "hi": b} for a, b in merged(got)])
-                items.append([find.ids[k] for k in who])
+                items.append(sorted({find.ids[k] for k in who} - {None}))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in others]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=[*others, "n_words", "spans", "items"])
 
@@ -181,8 +182,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_chars:
 
 
 def _send(items: DataFrame, g: int, n: int):
-    part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == g)
-    return items.sparkSession.sparkContext.broadcast(sorted({(r["item_id"], r["text"]) for r in part.toLocalIterator()}))
+    part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g)
+    return items.sparkSession.sparkContext.broadcast(sorted({(r["item_id"], r["text"]) for r in part.toLocalIterator()}, key=lambda x: (x[0] is None, x[0] or "", x[1])))
 
 
 def _drop_hit(sent, window: int):

@@ -283,3 +283,14 @@ WHOLE_PAGES = {
 def test_pages_keep_marked_and_short_text():
     for page, want in WHOLE_PAGES.items():
         assert pages.extract(page) == want
+
+
+def test_benchmark_items_without_id_are_searched(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"pad {item} pad"), (2, "nothing of it"), (3, "other words of this item")], DOCS)
+    bench = spark.createDataFrame([(None, item), (None, "never seen"), (7, "other words"), (7, "this item")], "item_id long, text string")
+    for chars in (10**6, 20):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated, r.items_sha256) for r in decontaminate.report(docs, bench, group_chars=chars).collect()}
+        none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
+        assert got == {1: (12, 0, True, none), 2: (0, 0, False, none), 3: (4, 1, True, seven)}
+        assert [r.doc_id for r in decontaminate.clean(docs, bench, group_chars=chars).collect()] == [2]
