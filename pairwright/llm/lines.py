@@ -11,7 +11,8 @@ run is the union of such intervals.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line; lines are exact strings;
 runs don't cross documents but may repeat within one; rows without doc_id come first in the order; rows that agree
-in doc_id and text are one document and get one result; extra columns are kept; an empty table stays empty.
+in doc_id and text are one document and get one result, unless ``row`` tells them apart: then all but the least row are
+later copies; extra columns are kept; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -88,20 +89,31 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return lines.unionByName(later).withColumn("reach", reach).filter("is_line AND reach > j").select(*KEY, "j")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, row: str | None = None) -> DataFrame:
     """*docs* with later copies of repeated runs deleted from ``text``, and n_lines, n_removed, n_runs.
 
-    The lines to delete travel as 64-line bit masks and meet each text once.
+    The lines to delete travel as 64-line bit masks and meet each text once. *row* names a column that is distinct in
+    every row and the same whenever it is read; it is not returned. Of rows that agree in doc_id and text the least one
+    comes first, so the others are one later run from end to end and go as a whole if they hold *min_words* words.
     """
     gone = removed_lines(docs, min_words)
     bits = F.expr("shiftleft(1L, j % 64)")
     chunk = gone.groupBy(*KEY, F.expr("j div 64").cast("int").alias("c")).agg(F.bit_or(bits).alias("bits"))
     doc = chunk.groupBy(*KEY).agg(F.collect_list(F.struct("c", "bits")).alias("chunks"))
     doc = doc.withColumn("masks", F.expr("transform(sequence(0, array_max(chunks).c), i -> coalesce(get(filter(chunks, x -> x.c = i), 0).bits, 0L))"))
-    doc = doc.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "masks")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *row_key(), F.split(F.col("text").cast("string"), "\n").alias("lines"))
+    if row is not None:
+        copies = docs.filter("text IS NOT NULL").groupBy(*[k.alias(name) for k, name in zip(row_key(), KEY)]).agg(F.min(f"`{row}`").alias("first"), F.count(F.lit(1)).alias("n"))
+        both = doc.select(*KEY, "masks").unionByName(copies.filter("n > 1").drop("n"), allowMissingColumns=True)
+        doc = both.groupBy(*KEY).agg(F.first("masks", ignorenulls=True).alias("masks"), F.first("first", ignorenulls=True).alias("first"))
+    doc = doc.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "masks", *(["first"] if row is not None else []))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs", row)]
+    at = [F.col(f"`{row}`").alias("at")] if row is not None else []
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *at, *row_key(), F.split(F.col("text").cast("string"), "\n").alias("lines"))
     held = held.join(doc.hint("shuffle_hash"), F.col("k1").eqNullSafe(F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
+    if row is not None:
+        later = F.when(F.col("at") > F.col("first"), F.size(words(F.col("row.text"))) >= min_words)
+        whole = F.expr("transform(sequence(0, cast((size(lines) - 1) div 64 as int)), i -> -1L)")
+        held = held.withColumn("masks", F.when(later, whole).otherwise(F.col("masks")))
     gone_at = "coalesce(shiftright(get(masks, cast({i} div 64 as int)), cast({i} % 64 as int)) & 1L, 0L)"
     held = held.withColumn("flags", F.expr(f"IF(masks IS NULL, NULL, transform(sequence(0, size(lines) - 1), i -> {gone_at.format(i='i')}))"))
     out = held.select(
@@ -115,7 +127,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("_row")
+    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", place), row="_row")
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.length(kept).cast("long").alias("n_chars_kept"), F.md5(kept.cast("binary")).alias("kept_md5"))
 

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from pairwright.llm import lines, mixing, quality, secrets
@@ -144,3 +146,27 @@ def test_mix_documents_and_defined_cases(spark):
     assert len(per) == 5 and all(r.repeats <= 3 for r in per)
     assert mixing.mix(empty(spark, schema)).count() == 0
     assert mixing.mix(docs.filter(F.col("doc_id") == 3)).first().taken == 0
+
+
+def test_line_query_deletes_repeated_and_null_id_copies_as_sql_does(spark, tmp_path):
+    # Texts of one run each: the SQL orders copies by doc_id and line only, so which of equal rows keeps which run is open.
+    one, none, inner = "one line of more than five words", "a line without an id, three times", "same words in this line\nb\nsame words in this line"
+    rows = [(4, one), (4, one), (4, one), (5, one), (None, none), (None, none), (None, none), (6, "few words"), (6, "few words"), (7, None), (7, None), (8, ""), (8, ""), (9, inner)]
+    rows += [(10, "one two three four\n\nfive six")] * 2
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(lines.ORACLE)
+    got = lines.query(spark, str(tmp_path)).select(*want.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
+def test_lines_of_rows_told_apart_match_plain_version(spark):
+    long = "\n".join(f"line {i} of a longer text" for i in range(130))
+    rows = [(None, long), (None, long), (None, long), (4, TEXT), (4, TEXT), (5, TEXT), (6, "few words"), (6, "few words"), (7, "x\n" + TEXT), (8, long)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, at int")
+    got = lines.dedup(docs, row="at")
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed", "n_runs"]
+    texts, gone = brute.line_dedup(rows)
+    want = Counter((d, t, n) for (d, _), t, n in zip(rows, texts, gone))
+    assert Counter((r.doc_id, r.text, r.n_removed) for r in got.collect()) == want
