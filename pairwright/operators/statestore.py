@@ -1,61 +1,85 @@
-"""The state store: versions of parquet tables, a pointer file, and the relational operations on them.
+"""The state store: parquet tables under versions, and the relational operations on them.
 
-A commit writes a new version folder of every table and then swaps the pointer, so readers see all of it or none.
+A commit writes the tables it is given to folders of their own and then adds a manifest that lists every table's
+folders, so readers see all of it or none. Tables a commit doesn't name are carried forward by reference, and a writer
+that is refused leaves nothing that anyone reads.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.operators.manifests import Manifests, Moved
+
+__all__ = ["Moved", "StateStore"]
+#: Tables that a reset keeps: the conflict history and the journal.
+KEPT = ("conflicts", "pending")
+
 
 class StateStore:
-    """Tables under *path*: version=<n>/<table>, and CURRENT, a one-row table that names the version."""
+    """Tables below *path*; the newest manifest says which folders they consist of."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        self.manifests = Manifests(spark, self.path)
 
     def version(self) -> int | None:
-        """The committed version: the largest pointer file, as pointers are written once and whole."""
-        fs, path = self._fs()
-        at = path(f"{self.path}/pointers")
-        if not fs.exists(at):
-            return None
-        return max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=None)
+        """The committed version."""
+        return self.manifests.number()
+
+    def _content(self, version: int | None) -> dict:
+        found = None if version is None else self.manifests.read(version)
+        return found or {"tables": {}, "meta": {}}
+
+    def meta(self, version: int | None = None) -> dict:
+        """Small facts committed with the tables, such as the last batch number."""
+        return self._content(self.version() if version is None else version)["meta"]
+
+    def folders(self, name: str, version: int | None = None) -> list[str]:
+        return self._content(self.version() if version is None else version)["tables"].get(name, [])
 
     def read(self, name: str, version: int | None = None) -> DataFrame | None:
-        version = self.version() if version is None else version
-        fs, path = self._fs()
-        if version is None or not fs.exists(path(f"{self.path}/version={version}/{name}")):
-            return None
-        return self.spark.read.parquet(f"{self.path}/version={version}/{name}")
+        """A table as of a version, by default the newest; None where it has none."""
+        found = self.folders(name, version)
+        return self.spark.read.parquet(*found) if found else None
+
+    def commit(self, tables: dict[str, DataFrame], expect: int | None, append: dict[str, DataFrame] | None = None, drop: Iterable[str] = (), meta: dict | None = None) -> int:
+        """The next version: *tables* replaced, *append* added to, *drop* left out, all others as they were.
 
-    def commit(self, tables: dict[str, DataFrame], expect: int | None) -> int:
-        """Write *tables* as the next version; refuses if another commit came after *expect*."""
-        new = (expect or 0) + 1
+        Refuses (Moved) if another commit came after *expect*; the other one's tables stay untouched.
+        """
+        before = self._content(expect)
+        now = {name: folders for name, folders in before["tables"].items() if name not in set(drop)}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/version={new}/{name}")
-        if self.version() != expect:
-            raise RuntimeError(f"state moved on from version {expect}")
-        fs, path = self._fs()
-        mark = path(f"{self.path}/pointers/{new}")
-        fs.create(mark, False).close()  # fails where it exists: one of two writers wins
-        return new
-
-    def reset(self, keep: tuple[str, ...] = ("conflicts", "pending")) -> int | None:
-        """Forget all tables but the history and the journal."""
+            now[name] = [self._write(name, df)]
+        for name, df in (append or {}).items():
+            now[name] = [*now.get(name, []), self._write(name, df)]
+        return self.manifests.commit({"tables": now, "meta": before["meta"] | (meta or {})}, expect)
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        folder = self.manifests.new_folder(name)
+        df.write.parquet(folder)
+        return folder
+
+    def reset(self, keep: tuple[str, ...] = KEPT) -> int | None:
+        """Forget all tables but the history and the journal, and all facts."""
         now = self.version()
         if now is None:
             return None
-        held = {n: df for n in keep if (df := self.read(n, now)) is not None}
-        return self.commit(held or {f"empty-{uuid.uuid4().hex}": self.spark.range(0).toDF("id")}, now)
+        held = {name: folders for name, folders in self._content(now)["tables"].items() if name in keep}
+        return self.manifests.commit({"tables": held, "meta": {}}, now)
+
+    def vacuum(self, last: int = 2) -> list[str]:
+        """Delete what only manifests before the newest *last* list; folders of a commit under way are in none."""
+        now = self.version() or 0
+        listed = lambda n: {f for folders in self._content(n)["tables"].values() for f in folders}
+        live = set().union(*(listed(n) for n in range(max(1, now - last + 1), now + 1)))
+        old = set().union(*(listed(n) for n in range(1, max(1, now - last + 1)))) - live
+        self.manifests.drop(sorted(old))
+        return sorted(old)
 
 
 def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
@@ -107,8 +131,8 @@ def endpoint_upsert(stored: DataFrame, found: DataFrame) -> DataFrame:
 def replay_journal(pending: DataFrame, listed: DataFrame) -> DataFrame:
     """What becomes of interrupted re-creations (id, uid, left_href, old_right_href, new_right_href, ...).
 
-    alias: the old uid now means the new one; action: wait (the old is still there), done (the new or old record is
-    listed), put (write the saved card again) or drop.
+    alias: the old record is gone, so its uid now means the new one; action: done (the old record is still there or the
+    new one is listed), put (neither is, but the left card is: write the saved card again) or drop.
     """
     flag = lambda side, col: listed.filter(F.col("side") == side).select(F.col("href").alias(col), F.lit(True).alias(f"has_{col}"))
     out = pending.join(flag("left", "left_href"), "left_href", "left").join(flag("right", "old_right_href"), "old_right_href", "left").join(flag("right", "new_right_href"), "new_right_href", "left")
@@ -119,3 +143,65 @@ def replay_journal(pending: DataFrame, listed: DataFrame) -> DataFrame:
         gone.alias("alias"),
         F.when(~gone | F.col("has_new_right_href").isNotNull(), "done").when(F.col("has_left_href").isNotNull(), "put").otherwise("drop").alias("action"),
     )
+
+
+def delete_rows(stored: DataFrame, keys: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Delete by key: (what stays, per wanted key whether it was found)."""
+    asked = keys.select(*key).distinct()
+    here = stored.select(*key).distinct().withColumn("found", F.lit(True))
+    return stored.join(asked, key, "left_anti"), asked.join(here, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def newest_first(history: DataFrame, uid: Column | None = None) -> DataFrame:
+    """Conflicts, the newest (greatest id) first; of one uid where it is given."""
+    return (history if uid is None else history.filter(F.col("uid") == uid)).sort(F.desc("id"))
+
+
+def in_order(table: DataFrame) -> DataFrame:
+    """A whole table by ascending id, as every scan of the state returns it."""
+    return table.sort("id")
+
+
+def lookup(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """Point lookups: per wanted key the stored row, or nulls and found = false."""
+    rest = [c for c in table.columns if c not in key]
+    return keys.select(*key).distinct().join(table.select(*key, *rest, F.lit(True).alias("found")), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def set_token(stored: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Endpoints (side, version, token, ...) with new tokens (side, token): (new table, outcome per wanted side).
+
+    A side that was never discovered is not_found; an equal token is no write and keeps the version.
+    """
+    new = tokens.select("side", F.col("token").alias("_token"), F.lit(True).alias("_hit"))
+    j = stored.join(new, "side", "left")
+    moved = F.coalesce("_hit", F.lit(False)) & ~F.col("_token").eqNullSafe(F.col("token"))
+    table = j.select("side", *[F.when(moved, F.col("_token")).otherwise(F.col("token")).alias("token") if c == "token" else (F.col("version") + moved.cast("long")).alias("version") if c == "version" else F.col(c) for c in stored.columns if c != "side"])
+    known = stored.select("side", F.col("token").alias("_old"), F.lit(True).alias("_known"))
+    told = tokens.join(known, "side", "left").select("side", F.when(F.col("_known").isNull(), "not_found").when(F.col("token").eqNullSafe(F.col("_old")), "unchanged").otherwise("written").alias("outcome"))
+    return table, told
+
+
+def drop_row(contacts: DataFrame, failures: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drop the rows of *gone* (uid) and clear their failures: (contacts, failures)."""
+    uids = gone.select("uid").distinct()
+    return contacts.join(uids, "uid", "left_anti"), failures.join(uids, "uid", "left_anti")
+
+
+#: What a stored column must look like to be read: table -> (column, SQL condition). Null columns are judged like others.
+DECODE = {
+    "contacts": (
+        ("version", "version >= 0"), ("hash_version", "hash_version >= 0"), ("content_hash", "content_hash RLIKE '^[0-9a-fA-F]{64}$'"),
+        ("left_photo_hash", "left_photo_hash IS NULL OR left_photo_hash RLIKE '^[0-9a-fA-F]{64}$'"), ("right_photo_hash", "right_photo_hash IS NULL OR right_photo_hash RLIKE '^[0-9a-fA-F]{64}$'"),
+    ),
+    "failures": (("side", "side IN ('left', 'right')"), ("op", "op IN ('read', 'create', 'update', 'delete')"), ("attempts", "attempts >= 1")),
+    "skips": (("side", "side IN ('left', 'right')"), ("content_hash", "content_hash RLIKE '^[0-9a-fA-F]{64}$'"), ("hash_version", "hash_version >= 0"), ("candidate_count", "candidate_count >= 0")),
+    "conflicts": (("origin", "origin IN ('sync', 'baseline')"), ("winner", "winner IN ('left', 'right')")),
+    "endpoints": (("side", "side IN ('left', 'right')"), ("url", "url IS NOT NULL AND url <> ''")),
+}
+
+
+def decode(rows: DataFrame, table: str) -> DataFrame:
+    """Add ``corrupt``, the first column of a row that can't be what the store wrote; null for a good row."""
+    checks = [F.when(~F.coalesce(F.expr(cond), F.lit(False)), F.lit(col)) for col, cond in DECODE[table]]
+    return rows.withColumn("corrupt", F.coalesce(*checks))

@@ -20,23 +20,32 @@ def change_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(PAGES).parquet(path)
 
 
-def keep_snapshot(changes: DataFrame, store: StateStore, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Fold each micro-batch into the store's table ``listing`` (href, etag): the latest observation wins.
+def snapshot(store: StateStore, version: int | None = None) -> DataFrame | None:
+    """The listing (href, etag) that the changes kept so far add up to."""
+    held = store.read("changes", version)
+    if held is None:
+        return None
+    return held.groupBy("href").agg(F.max_by(F.struct("kind", "etag"), "batch").alias("x")).filter("x.kind = 'changed'").select("href", "x.etag")
 
-    The batch number is stored with the rows. A batch that runs again after a crash finds its number and changes
-    nothing, so the stream's offsets and the snapshot always agree.
+
+def keep_snapshot(changes: DataFrame, store: StateStore, checkpoint: str, interval: str | None = None, compact_after: int = 50) -> StreamingQuery:
+    """Keep each micro-batch's changes in the store's table ``changes``; ``snapshot`` reads what they add up to.
+
+    A batch appends its own changes only; the folders of more than *compact_after* batches are rewritten as one. The
+    batch number is committed with them, so a batch that runs again after a crash changes nothing, with rows or without.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
         version = store.version()
-        held = store.read("listing", version)
-        if held is not None and (held.agg(F.max("batch").alias("b")).first()["b"] or -1) >= number:
+        if store.meta(version).get("batch", -1) >= number:
+            return
+        delta = cdc.latest_changes(batch).withColumn("batch", F.lit(number).cast("long"))
+        if len(store.folders("changes", version)) < compact_after:
+            store.commit({}, version, append={"changes": delta}, meta={"batch": number})
             return
-        delta = cdc.latest_changes(batch)
-        new = delta.filter("kind = 'changed'").select("href", "etag")
-        rest = None if held is None else held.select("href", "etag").join(delta.select("href"), "href", "left_anti")
-        rows = new if rest is None else rest.unionByName(new)
-        store.commit({"listing": rows.withColumn("batch", F.lit(number).cast("long"))}, version)
+        both = store.read("changes", version).unionByName(delta)
+        last = both.groupBy("href").agg(F.max_by(F.struct("kind", "etag", "batch"), "batch").alias("x")).filter("x.kind = 'changed'").select("href", "x.*")
+        store.commit({"changes": last}, version, meta={"batch": number})
 
     writer = changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

@@ -85,10 +85,38 @@ def test_state_store(spark, tmp_path):
         store.commit({"contacts": one}, 1)
     with pytest.raises(RuntimeError):
         statestore.StateStore(spark, store.path).commit({"contacts": one}, None)
-    assert store.reset() == 3 and store.read("contacts") is None
+    assert store.commit({"listing": one}, 2) == 3 and store.read("contacts").count() == 2  # carried forward
+    assert store.commit({}, 3, append={"conflicts": one}, meta={"batch": 7}) == 4 and store.read("conflicts").count() == 2 and store.meta() == {"batch": 7}
+    assert store.reset() == 5 and store.read("contacts") is None and store.read("conflicts").count() == 2 and store.meta() == {}
+    assert len(store.vacuum(1)) == 3 and store.read("conflicts").count() == 2
     assert statestore.require_unique(one.union(one), ["uid"]).count() == 1
 
 
+def test_a_refused_writer_changes_nothing(spark, tmp_path):
+    store = statestore.StateStore(spark, str(tmp_path / "s"))
+    store.commit({"contacts": spark.range(3).toDF("id")}, None)
+    store.commit({"contacts": spark.range(10).toDF("id")}, 1)
+    with pytest.raises(statestore.Moved):  # it read version 1 and writes 99 rows
+        statestore.StateStore(spark, store.path).commit({"contacts": spark.range(99).toDF("id")}, 1)
+    assert store.version() == 2 and store.read("contacts").count() == 10
+    late = statestore.StateStore(spark, store.path)
+    late.manifests.number = lambda: 1  # both looked before either wrote
+    with pytest.raises(statestore.Moved):
+        late.commit({"contacts": spark.range(99).toDF("id")}, 1)
+    assert store.version() == 2 and store.read("contacts").count() == 10
+
+
+def test_stream_batches_are_folded_once(spark, tmp_path):
+    src, store = str(tmp_path / "in"), statestore.StateStore(spark, str(tmp_path / "store"))
+    for n, status in enumerate((200, 404, 404, 200)):  # the listing is empty in between
+        spark.createDataFrame([(n, 1, "a", status, f"e{n}" if status == 200 else None)], loop.PAGES).coalesce(1).write.mode("append").parquet(src)
+        q = loop.keep_snapshot(loop.change_stream(spark, src), store, str(tmp_path / "ck"), compact_after=2)
+        q.awaitTermination(60)
+        q.stop()
+        assert loop.snapshot(store).count() == (status == 200)
+    assert store.version() == 4 and store.meta() == {"batch": 3} and len(store.folders("changes")) < 3
+
+
 def test_guarded_writes(spark):
     server = spark.createDataFrame([("a", "1", "A"), ("b", "1", "B"), ("c", "1", "C")], "href string, etag string, body string")
     writes = [("a", "put", "1", "A2"), ("b", "put", None, "x"), ("c", "delete", "0", None), ("d", "put", None, "D"), ("e", "delete", "1", None), ("f", "put", None, "z" * 50)]
@@ -105,7 +133,7 @@ def test_stream_keeps_the_latest(spark, tmp_path):
         q = loop.keep_snapshot(loop.change_stream(spark, src), store, str(tmp_path / "ck"))
         q.awaitTermination(60)
         q.stop()
-    assert {(r.href, r.etag) for r in store.read("listing").collect()} == {("b", "2"), ("c", "9")}
+    assert {(r.href, r.etag) for r in loop.snapshot(store).collect()} == {("b", "2"), ("c", "9")} and store.meta() == {"batch": 1} and len(store.folders("changes")) == 2
 
 
 def test_poll_loop():
