@@ -37,7 +37,7 @@ MARKS = frozenset(
     footer nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside complementary contentinfo search
     searchbox toolbar pagination pager share sharing social related recommended recommendations newsletter subscribe
     subscription signup login cookie cookies consent gdpr notice notification alert popup modal overlay dialog widget
-    comment comments commentlist disqus respond replies reply discussion skip""".split()
+    comment comments commentlist disqus respond replies reply skip""".split()
 )
 #: Words that make the rest of a class a property of the block, not its name.
 ASPECTS = frozenset("has have no not non with without is hide show hljs token".split())
@@ -49,8 +49,12 @@ LINKS, MENU_LINK = 0.5, 15
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDARY = frozenset("ul ol dl table body html article section main div blockquote td th".split())
 
+#: Parts of tables and lists, which are no containers of their own.
+PARTS = frozenset("td th tr tbody thead tfoot table li ul ol dt dd dl".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute: its whole name, then its value with it, so that nothing inside a value or a longer name is taken for one.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -74,8 +78,12 @@ def _marked(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
     if not attrs or tag in ("html", "body", "article", "main"):
         return False, False
     mark = False
+    seen: set[str] = set()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
+        if name in seen:
+            continue  # the first of equal attributes counts
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True, False
         if name in ("class", "id", "role") and tag not in INLINE:
@@ -239,8 +247,10 @@ def main_nodes(root: Node) -> list[Node | str]:
                 value = x.points * (1 - _density(x)) * (MARKED_SHARE if marks else 1)
                 if value > most:
                     best, most = x, value
-    if best is None:
-        return []
+    if best is None:  # nothing but links: an article of them is still one
+        return next(([x] for x, _, entering in _walk(root) if entering and isinstance(x, Node) and x.tag in ("article", "main") and x.text), [])
+    while best.tag in PARTS and best.up is not None and best.up.up is not None:
+        best = best.up  # a cell or an item is part of what holds the table or list
     up, wide = best, None
     while up is not None:
         if up.tag == "article" or up.tag == "main" and wide is None:
