@@ -4,13 +4,17 @@ Totals by source, language and tokenizer version are additive. A batch of change
 once per changed document and becomes signed deltas: what a document counted before is taken off, what it counts now
 is added. Only those deltas touch the totals, so no old text is read again.
 
-A batch has a number and its own folders; committing it again, after a crash or by mistake, overwrites them with the
-same rows and changes no total. What a document counted before is its state under the largest smaller batch number.
+Batches are applied in the order of their numbers. A commit writes folders of its own and then a manifest that lists
+them, so what a failed commit wrote counts nowhere; a number that is committed already is done and changes nothing, and
+a smaller one that never was is refused, as later batches were counted without it. What a document counted before is
+its state under the largest committed batch. ``compact`` rewrites the states and deltas of all batches as one folder
+each; a commit does so by itself every ``compact_after`` batches, so it never reads a long history.
 
 Defined cases: a null text has 0 tokens and still counts as a document; null source or language is a group of its
-own; a change without doc_id is keyed by its text; of several rows for one document in a batch the last ``ord``
-wins, then a delete, then the larger text hash; deleting an unknown document changes nothing, inserting a
-known one revises it; an empty batch commits nothing.
+own; doc_id is a long or casts to one; a change without doc_id is keyed by its text; of several rows for one document in
+a batch the last ``ord`` wins, then a delete, then the larger text hash; deleting an unknown document changes nothing,
+inserting a known one revises it; an empty batch is committed and changes no total; texts are counted whole, however
+long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.llm.common import NO_ID, row_key, shared_dir, words
+from pairwright.operators.manifests import Manifests
 
 #: How the rank files' public vocabularies split text before merging; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,27 +67,32 @@ def with_tokens(rows: DataFrame, ranks: str | None = RANKS) -> DataFrame:
 
 
 class TokenRollup:
-    """Document states and delta totals in parquet folders under *path*, one of each per batch."""
-
-    def __init__(self, spark: SparkSession, path: str, ranks: str | None = RANKS) -> None:
-        self.spark, self.path, self.ranks = spark, path.rstrip("/"), ranks
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except Exception as e:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
-
-    def commit(self, changes: DataFrame, batch: int) -> None:
-        """Apply *changes* (op, doc_id, text, source, lang and, if rows of a document compete, ord) as batch number *batch*.
-
-        The state goes first; only the deltas, written last, change the totals.
-        """
+    """Document states and delta totals in parquet folders under *path*, as the newest manifest lists them."""
+
+    def __init__(self, spark: SparkSession, path: str, ranks: str | None = RANKS, compact_after: int = 50) -> None:
+        self.spark, self.ranks, self.compact_after = spark, ranks, compact_after
+        self.manifests = Manifests(spark, path)
+
+    def _now(self) -> tuple[int | None, dict]:
+        number = self.manifests.number()
+        return number, (self.manifests.read(number) if number else {"batches": [], "state": [], "deltas": []})
+
+    def _read(self, folders: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        folder = self.manifests.new_folder(name)
+        rows.write.parquet(folder)
+        return folder
+
+    def commit(self, changes: DataFrame, batch: int) -> bool:
+        """Apply *changes* (op, doc_id, text, source, lang and, if rows of a document compete, ord) as batch number
+        *batch*; False if that number was committed before."""
+        number, held = self._now()
+        if batch in held["batches"]:
+            return False
+        if held["batches"] and batch < held["batches"][-1]:
+            raise ValueError(f"batch {batch} comes after batch {held['batches'][-1]} was committed")
         order: Column = F.col("ord").cast("long") if "ord" in changes.columns else F.lit(0).cast("long")
         rows = changes.select(
             *row_key(), F.col("op"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), order.alias("ord")
@@ -93,26 +103,52 @@ class TokenRollup:
         last = counted.groupBy("k1", "k2").agg(F.max(F.struct("rank", "op", "source", "lang", "counts")).alias("x")).select("k1", "k2", "x.*")
         alive = (F.col("op") != "delete").cast("long")
         state = last.select("k1", "k2", "source", "lang", alive.alias("docs"), F.explode("counts").alias("c"))
-        state = state.select("k1", "k2", "source", "lang", "c.version", "docs", (F.col("c.tokens") * F.col("docs")).alias("tokens"))
-        self._write(state, "state", batch)
-        now = self._read("state", STATE).filter(F.col("batch") == batch).drop("batch")
-        earlier = self._read("state", STATE).filter(F.col("batch") < batch)
-        was = earlier.join(now.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-        was = was.groupBy("k1", "k2", "version").agg(F.max(F.struct("batch", "source", "lang", "docs", "tokens")).alias("x")).select("x.*", "version")
-        signed = now.unionByName(was.select("source", "lang", "version", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")), allowMissingColumns=True)
+        state = state.select(F.lit(batch).cast("long").alias("batch"), "k1", "k2", "source", "lang", "c.version", "docs", (F.col("c.tokens") * F.col("docs")).alias("tokens"))
+        new = self._write(state, "state")
+        now = self._read([new], STATE)
+        signed = now.select("source", "lang", "version", "docs", "tokens")
+        if held["state"]:
+            was = self._read(held["state"], STATE).join(now.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+            was = was.groupBy("k1", "k2", "version").agg(F.max(F.struct("batch", "source", "lang", "docs", "tokens")).alias("x")).select("x.*", "version")
+            signed = signed.unionByName(was.select("source", "lang", "version", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
         delta = signed.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
-        self._write(delta, "deltas", batch)
+        content = {"batches": [*held["batches"], batch], "state": [*held["state"], new], "deltas": [*held["deltas"], self._write(delta, "deltas")]}
+        self.manifests.commit(content, number)
+        if len(content["state"]) > self.compact_after:
+            self.compact()
+        return True
+
+    def compact(self) -> None:
+        """Rewrite the states (the last per document, none of deleted ones) and the deltas as one folder each."""
+        number, held = self._now()
+        last = self._read(held["state"], STATE).groupBy("k1", "k2", "version").agg(F.max(F.struct("batch", "source", "lang", "docs", "tokens")).alias("x"))
+        state = last.select("k1", "k2", "version", "x.*").filter("docs > 0").select("batch", "k1", "k2", "source", "lang", "version", "docs", "tokens")
+        content = {"batches": held["batches"], "state": [self._write(state, "state")], "deltas": [self._write(self.totals(), "deltas")]}
+        self.manifests.commit(content, number)
+        self.manifests.drop([*held["state"], *held["deltas"]])
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens over all committed batches."""
-        sums = self._read("deltas", DELTA).groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        _, held = self._now()
+        sums = self._read(held["deltas"], DELTA).groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.filter("docs <> 0 OR tokens <> 0")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Totals of all documents after four batches: all are inserted; the French ones are deleted; those come back, and the
+    German ones are revised to another text, source and language; last, these are revised to what the table holds, in
+    a batch that is committed twice. The end is the totals of the table as it is."""
     import uuid
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     rollup = TokenRollup(spark, f"{shared_dir(spark).rstrip('/')}/pairwright-counts-{uuid.uuid4().hex}")
-    rollup.commit(docs.withColumn("op", F.lit("insert")), 1)
+    as_op = lambda rows, op: rows.withColumn("op", F.lit(op))
+    known = docs.filter("doc_id IS NOT NULL")
+    french, german = known.filter("lang = 'fr'"), known.filter("lang = 'de'")
+    changed = german.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" revised")).alias("text"), F.col("lang").alias("source"), F.col("source").alias("lang"))
+    rollup.commit(as_op(docs, "insert"), 1)
+    rollup.commit(as_op(french, "delete"), 2)
+    rollup.commit(as_op(french, "insert").unionByName(as_op(changed, "revise")), 3)
+    for _ in range(2):
+        rollup.commit(as_op(german, "revise"), 4)
     return rollup.totals()
