@@ -5,26 +5,35 @@ length: within one length m, a block is up to three consecutive words. The shift
 move when it ends in a known block, m - block + 1 words for any other; a shift of 0 leads to the bucket of patterns
 that end in that block, and the words themselves are compared.
 
-The patterns travel to the tasks in groups of at most ``group_chars`` characters of item text; a larger benchmark
-takes one pass over the documents per group, so what is sent is bounded at every size.
+The patterns travel to the tasks in groups of about ``group_chars`` characters of item text; a larger benchmark takes
+one pass over the documents per group, so what is sent and held is bounded at every size. An item of more than
+``SEGMENT`` words is cut into segments that overlap by a window, so none exceeds a group. A worker builds a group's
+tables once and holds them as numpy arrays.
 
 Defined cases: null and empty texts have no words and no hits; null item texts and items without words have no pattern;
 an item without id is searched too, but is left out of the ids and their count;
 the items of equal texts are all reported; an item id that repeats counts once; repeated documents are searched one
-by one. With an empty benchmark nothing is hit.
+by one; a document is searched whole, however long. With an empty benchmark nothing is hit.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairwright.llm.common import cut
+
 WINDOW = 10
-GROUP_CHARS = 32_000_000
+#: Characters of item text in a group; a worker holds some 40 bytes for each (measured: README).
+GROUP_CHARS = 2_000_000
+#: Words of an item beyond which it is searched in segments.
+SEGMENT = 20_000
 #: Bytes that belong to words once A-Z are lower case: 0-9, a-z and all of non-ASCII; the others become blanks.
 KEEP = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -34,70 +43,109 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Searcher:
-    """Shift tables and suffix buckets for a group of items."""
+    """Shift tables and suffix buckets for a group of items (id or None, text)."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
         self.ids: list[str | None] = []
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        seqs: list[np.ndarray] = []
         for item, text in items:
-            seq = [self.number.setdefault(w, len(self.number) + 1) for w in split_words(text)]
-            if seq:
+            ws = split_words(text)
+            if ws:
+                number = self.number
                 self.ids.append(item)
-                for i in range(max(1, len(seq) - window + 1)):
-                    owners.setdefault(tuple(seq[i : i + window]), set()).add(len(self.ids) - 1)
-        self.base = len(self.number) + 1
-        self.tables: list[tuple[int, int, dict[int, int], dict[int, list[tuple[list[int], set[int]]]]]] = []
-        for m in sorted({len(p) for p in owners}):
+                seqs.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in ws), np.int32, len(ws)))
+        lens = np.array([min(window, len(s)) for s in seqs], np.int64)
+        #: Per pattern length: the length, its block, per block its shift or, below 0, its bucket, where buckets begin,
+        #: the patterns by bucket, and where the items of each begin.
+        self.tables: list[tuple[int, int, dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for m in sorted(set(lens.tolist())):
+            own = np.flatnonzero(lens == m)
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(seqs[k], m) for k in own])
+            who = np.repeat(own, [len(seqs[k]) - m + 1 for k in own]).astype(np.int32)
             block = min(3, m)
-            shift: dict[int, int] = {}
-            bucket: dict[int, list[tuple[list[int], set[int]]]] = {}
-            for p, who in owners.items():
-                if len(p) == m:
-                    for end in range(block, m + 1):
-                        code = self.code(p[end - block : end])
-                        shift[code] = min(shift.get(code, m), m - end)
-                    bucket.setdefault(self.code(p[m - block :]), []).append((list(p), who))
-            self.tables.append((m, block, shift, bucket))
-
-    def code(self, block) -> int:
-        out = 0
-        for x in block:
-            out = out * self.base + x
-        return out
-
-    def find(self, seq: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
+            # Sorted by their last block, then by the rest: patterns of a bucket and equal ones are neighbours.
+            order = np.lexsort([who, *rows[:, : m - block].T[::-1], *rows[:, m - block :].T[::-1]])
+            rows, who = rows[order], who[order]
+            first = np.append(np.flatnonzero(_changes(rows)), len(rows))  # a pattern's items lie in who[first[i] : first[i + 1]]
+            patterns = np.ascontiguousarray(rows[first[:-1]])
+            tails = patterns[:, m - block :]
+            at = np.append(np.flatnonzero(_changes(tails)), len(tails))
+            # A block may move the window by what is left to the end of the last pattern it can lie in.
+            table: dict[bytes, int] = {}
+            for end in range(block, m):
+                table.update(dict.fromkeys(_blocks(np.concatenate([seqs[k][end - block : end][None] for k in own])), m - end))
+            table.update((b, -1 - k) for k, b in enumerate(_blocks(tails[at[:-1]])))
+            self.tables.append((m, block, table, at, patterns, first, who))
+
+    def sequence(self, text: str | None) -> np.ndarray:
+        """A text's words as numbers, 0 for any that no item has."""
+        number = self.number
+        ws = split_words(text)
+        return np.fromiter((number.get(w, 0) for w in ws), np.int32, len(ws))
+
+    def find(self, seq: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
         """Word ranges of the occurrences, and the items they belong to."""
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
-        n, base = len(seq), self.base
-        for m, block, shift, bucket in self.tables:
+        n, raw = len(seq), seq.tobytes()
+        for m, block, table, at, patterns, first, who in self.tables:
             far = m - block + 1
+            get = table.get
             i = m - 1
-            get = shift.get
             while i < n:
-                if block == 3:
-                    code = (seq[i - 2] * base + seq[i - 1]) * base + seq[i]
-                else:
-                    code = self.code(seq[i - block + 1 : i + 1])
-                step = get(code, far)
-                if step:
+                step = get(raw[4 * (i - block + 1) : 4 * (i + 1)], far)
+                if step > 0:
                     i += step
                     continue
+                lo, hi = at[-1 - step], at[-step]
                 here = seq[i - m + 1 : i + 1]
-                for p, who in bucket[code]:
-                    if p == here:
-                        spans.append((i - m + 1, i + 1))
-                        found |= who
+                for p in (lo + np.flatnonzero((patterns[lo:hi] == here).all(axis=1))).tolist():
+                    spans.append((i - m + 1, i + 1))
+                    found.update(who[first[p] : first[p + 1]].tolist())
                 i += 1
         return spans, found
 
 
-def _groups(items: DataFrame, group_chars: int) -> tuple[int, DataFrame]:
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    # Half-full on average, so that uneven hashing stays within the bound for items of ordinary length.
-    return max(1, -(-2 * size // group_chars) if size > group_chars else 1), items
+def _changes(rows: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(rows), bool)
+    out[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return out
+
+
+def _blocks(rows: np.ndarray) -> list[bytes]:
+    """Rows of word numbers as byte strings, the keys of the tables."""
+    raw, width = np.ascontiguousarray(rows).tobytes(), 4 * rows.shape[1]
+    return [raw[k : k + width] for k in range(0, len(raw), width)]
+
+
+_built: dict[str, Searcher] = {}
+
+
+def searcher(name: str, items: list[tuple[str | None, str]], window: int) -> Searcher:
+    """The tables of a group, built once per worker; of several groups a worker holds the last one."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Searcher(items, window)
+    return _built[name]
+
+
+def segments(items: DataFrame, window: int, segment: int = SEGMENT) -> DataFrame:
+    """(item_id, text) of items with words, long ones as segments of *segment* windows; together they have the same windows."""
+    kept = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = kept.select("item_id", F.regexp_extract_all(lower, F.lit("([^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)"), F.lit(1)).alias("ws")).filter("size(ws) > 0")
+    starts = F.explode(F.expr(f"sequence(0, greatest(size(ws) - {window}, 0), {segment})"))
+    return split.select("item_id", "ws", starts.alias("at")).select("item_id", F.array_join(F.slice("ws", F.col("at") + 1, F.lit(segment + window - 1)), " ").alias("text"))
+
+
+def _groups(items: DataFrame, window: int, group_chars: int) -> tuple[int, DataFrame]:
+    """The number of groups and the segments to deal out among them, each once."""
+    held = cut(segments(items, window).distinct())
+    size = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    # Half-full on average, so that uneven hashing stays within the bound.
+    return max(1, -(-2 * size // group_chars) if size > group_chars else 1), held
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_chars: int = GROUP_CHARS) -> DataFrame:
@@ -105,7 +153,10 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_c
 
     One row per document and pattern group.
     """
-    n, items = _groups(items, group_chars)
+    return _occurrences(docs, *_groups(items, window, group_chars), window)
+
+
+def _occurrences(docs: DataFrame, n: int, items: DataFrame, window: int) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema
     span = T.StructType().add("lo", T.IntegerType()).add("hi", T.IntegerType())
@@ -118,15 +169,15 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_c
 
 
 def _search(sent, others: list[str], window: int):
+    name = uuid.uuid4().hex
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Searcher(sent.value, window)
-        number = find.number
+        find = searcher(name, sent.value, window)
         for batch in batches:
             counts, spans, items = [], [], []
             for text in batch.column(batch.schema.get_field_index("text")):
-                seq = [number.get(w, 0) for w in split_words(text.as_py())]
+                seq = find.sequence(text.as_py())
                 got, who = find.find(seq)
                 counts.append(len(seq))
                 spans.append([{"lo": a, "hi": b} for a, b in merged(got)])
@@ -150,8 +201,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_chars: int = GROUP_CHARS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    got = occurrences(docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), items, window, group_chars)
-    n, _ = _groups(items, group_chars)
+    n, items = _groups(items, window, group_chars)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if n > 1:  # every group's pass must see the same row numbers
+        docs = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    got = _occurrences(docs, n, items, window)
     if n > 1:  # the groups' ranges of a document meet; touching ranges stay apart only in number, not in words
         got = got.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         got = got.withColumn("spans", F.array_sort("spans"))
@@ -173,7 +227,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_chars:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_chars: int = GROUP_CHARS) -> DataFrame:
     """The documents without a hit, with the columns they came with; one pass per pattern group."""
-    n, items = _groups(items, group_chars)
+    n, items = _groups(items, window, group_chars)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     held = docs.select(row, F.col("text").cast("string").alias("text"))
     for g in range(n):
@@ -187,12 +241,13 @@ def _send(items: DataFrame, g: int, n: int):
 
 
 def _drop_hit(sent, window: int):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Searcher(sent.value, window)
-        number = find.number
+        find = searcher(name, sent.value, window)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([not find.find([number.get(w, 0) for w in split_words(t.as_py())])[0] for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([not find.find(find.sequence(t.as_py()))[0] for t in texts], pa.bool_()))
 
     return run
 
