@@ -1,20 +1,23 @@
 """Quality rules as a bitmask ledger (DataFrame functions only).
 
-``ledger`` evaluates every rule once per document and stores the measurements with one integer of failure
-bits. ``apply_policy`` is then one bitwise AND per document, so a new policy version needs no new look at the
-texts, and ``ablate`` says by bitwise aggregation what each rule of a policy is worth.
-
-Defined cases: a null or empty text has no words (it fails ``few_words``); lines and words are exact strings;
-repeated rows are judged one by one; extra columns pass through unless they carry a measurement's name, which
-the measurement then replaces. An empty table gives an empty ledger.
+``measured`` evaluates every rule once per document and gives the measurements with one integer of failure bits;
+``Ledger`` stores them by content and rule version, so a text is measured once, whatever documents, batches or policies
+follow. ``apply_policy`` is then one bitwise AND per document, so a new policy version needs no new look at the texts,
+and ``ablate`` says by bitwise aggregation what each rule of a policy is worth.
+
+Defined cases: a null or empty text has no words (it fails ``few_words``); lines and words are exact strings; texts are
+measured whole, however long; repeated rows are judged one by one; extra columns pass through unless they carry a
+measurement's name or start with ``_q_``, the names of what is computed here, which ``measure`` then replaces or leaves
+out (``keep`` returns all of them). An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import SPACE_RE
+from pairwright.llm.common import SPACE_RE, shared_dir
+from pairwright.operators.manifests import Manifests
 
 #: Rules in bit order: name -> SQL condition of failure over the measurements.
 RULES: dict[str, str] = {
@@ -32,6 +35,8 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "2025-web": (*BASE, "symbols", "exclamations", "word_length", "repeated_lines"),
 }
 CURRENT = "2025-web"
+#: Changes whenever RULES or the measurements do.
+RULE_VERSION = "2025-1"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_lines")
 
 
@@ -41,22 +46,24 @@ def mask(rules) -> int:
     return sum(1 << order.index(r) for r in rules)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", hash_bits: int = 64) -> DataFrame:
     """Add the measurements of MEASURES as long columns.
 
     ``n_repeat_words`` counts words in 3-word windows that occur twice or more in the text: each window becomes
     one long, its hash above its position, so sorting that array puts equal windows side by side; neighbours are
-    compared word by word before they count.
+    compared word by word before they count. Where two different windows share a hash, that text's windows are sorted
+    by their words instead, so the count is exact. *hash_bits* is for tests of that case.
     """
     clash = [c for c in docs.columns if c.startswith("_q_")]
     docs = docs.drop(*clash, *[c for c in MEASURES if c in docs.columns])
     blank = F.coalesce(F.col(text), F.lit(""))
-    same = (
-        "shiftrightunsigned(x ^ get(_q_sorted, {j}), _q_bits) = 0"
-        " AND get(_q_words, cast(x & _q_low as int)) = get(_q_words, cast(get(_q_sorted, {j}) & _q_low as int))"
-        " AND get(_q_words, cast(x & _q_low as int) + 1) = get(_q_words, cast(get(_q_sorted, {j}) & _q_low as int) + 1)"
-        " AND get(_q_words, cast(x & _q_low as int) + 2) = get(_q_words, cast(get(_q_sorted, {j}) & _q_low as int) + 2)"
-    )
+    at = lambda x, n: f"get(_q_words, cast({x} & _q_low as int) + {n})"
+    near = lambda j: f"coalesce(shiftrightunsigned(x ^ get(_q_sorted, {j}), _q_bits) = 0, false)"
+    equal = lambda j: " AND ".join(f"{at('x', n)} = {at(f'get(_q_sorted, {j})', n)}" for n in range(3))
+    hashed = "xxhash64(x, get(_q_words, i + 1), get(_q_words, i + 2))" + (f" & {2**hash_bits - 1}L" if hash_bits < 64 else "")
+    windows = "slice(_q_words, 1, greatest(cast(n_words as int) - 2, 0))"
+    exact = f"sort_array(transform({windows}, (x, i) -> named_struct('a', x, 'b', get(_q_words, i + 1), 'c', get(_q_words, i + 2), 'i', cast(i as bigint))))"
+    same = lambda j: f"coalesce(x.a = get(_q_exact, {j}).a AND x.b = get(_q_exact, {j}).b AND x.c = get(_q_exact, {j}).c, false)"
     out = (
         docs.withColumns({"_q_words": F.array_remove(F.split(blank, SPACE_RE), ""), "_q_lines": F.filter(F.split(blank, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))})
         .withColumns({"n_words": F.size("_q_words").cast("long"), "_q_joined": F.array_join("_q_words", ""), "n_lines": F.size("_q_lines").cast("long")})
@@ -64,17 +71,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumns({"_q_low": F.expr("shiftleft(1L, _q_bits) - 1")})
         .withColumns(
             {
-                "_q_sorted": F.expr(
-                    "sort_array(transform(slice(_q_words, 1, greatest(cast(n_words as int) - 2, 0)),"
-                    " (x, i) -> shiftleft(xxhash64(x, get(_q_words, i + 1), get(_q_words, i + 2)), _q_bits) | cast(i as bigint)))"
-                ),
+                "_q_sorted": F.expr(f"sort_array(transform({windows}, (x, i) -> shiftleft({hashed}, _q_bits) | cast(i as bigint)))"),
                 "word_chars": F.length("_q_joined").cast("long"),
                 "n_symbols": F.expr("cast(length(_q_joined) - length(regexp_replace(_q_joined, '[#*$%&|<>]', '')) as bigint)"),
                 "n_bangs": F.expr("cast(length(_q_joined) - length(replace(_q_joined, '!', '')) as bigint)"),
                 "n_dup_lines": F.expr("cast(size(_q_lines) - size(array_distinct(_q_lines)) as bigint)"),
             }
         )
-        .withColumn("_q_at", F.expr(f"sort_array(transform(filter(_q_sorted, (x, i) -> ({same.format(j='i - 1')}) OR ({same.format(j='i + 1')})), x -> x & _q_low))"))
+        .withColumn("_q_pairs", F.expr(f"filter(_q_sorted, (x, i) -> {near('i - 1')} OR {near('i + 1')})"))
+        .withColumn("_q_clash", F.expr(f"exists(transform(_q_sorted, (x, i) -> {near('i - 1')} AND NOT ({equal('i - 1')})), x -> x)"))
+        .withColumn("_q_exact", F.expr(f"IF(_q_clash, {exact}, NULL)"))
+        .withColumn("_q_twice", F.expr(f"transform(filter(_q_exact, (x, i) -> {same('i - 1')} OR {same('i + 1')}), x -> x.i)"))
+        .withColumn("_q_at", F.expr("sort_array(IF(_q_clash, _q_twice, transform(_q_pairs, x -> x & _q_low)))"))
         .withColumn("n_repeat_words", F.expr("aggregate(transform(_q_at, (x, i) -> least(3L, x - get(_q_at, i - 1))), 0L, (a, x) -> a + x)"))
     )
     # A later filter on a measurement would be pushed below and repeat all of the above in its condition;
@@ -83,12 +91,54 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], one).select(*[F.col(f"`{c}`") for c in docs.columns], "_q.*")
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Measurements and ``fail_bits``: bit i is set where the i-th rule fails."""
     bits = " | ".join(f"IF({cond}, {1 << i}, 0)" for i, cond in enumerate(RULES.values()))
     return measure(docs.drop("fail_bits"), text).withColumn("fail_bits", F.expr(bits))
 
 
+class Ledger:
+    """Measurements and failure bits by content (SHA-256) and rule version, in parquet folders that a manifest lists.
+
+    A commit evaluates the rules for contents that the ledger lacks only; copies within one batch are measured where they
+    lie, as moving texts to find them would cost more. Policies and ablations read the stored bits. A commit that fails
+    leaves nothing that counts; one that repeats adds nothing.
+    """
+
+    COLUMNS = ("content", *MEASURES, "fail_bits", "rule_version")
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.manifests = spark, Manifests(spark, path)
+
+    def read(self, version: str = RULE_VERSION) -> DataFrame | None:
+        """The stored rows of a rule version; None before the first commit."""
+        folders = (self.manifests.read() or {"folders": []})["folders"]
+        return self.spark.read.parquet(*folders).filter(F.col("rule_version") == version).drop("rule_version") if folders else None
+
+    def commit(self, docs: DataFrame, text: str = "text", version: str = RULE_VERSION) -> None:
+        number = self.manifests.number()
+        folders = (self.manifests.read(number) if number else {"folders": []})["folders"]
+        known = self.read(version)
+        fresh = docs.select(_content(text).alias("content"), F.col(f"`{text}`").cast("string").alias("text"))
+        if known is not None:
+            fresh = fresh.join(known.select("content"), "content", "left_anti")
+        # Measured first, so that what is shuffled to drop copies is a few numbers each, not texts.
+        rows = measured(fresh).drop("text").dropDuplicates(["content"]).withColumn("rule_version", F.lit(version))
+        folder = self.manifests.new_folder("rules")
+        rows.select(*self.COLUMNS).write.parquet(folder)
+        self.manifests.commit({"folders": [*folders, folder]}, number)
+
+    def judge(self, docs: DataFrame, policy: str = CURRENT, text: str = "text", version: str = RULE_VERSION) -> DataFrame:
+        """*docs* (without *text*) with the stored measurements, bits and the policy's verdict; each content is committed."""
+        others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *MEASURES, "fail_bits", "base_failed", "kept")]
+        held = docs.select(*others, _content(text).alias("_q_content"))
+        return apply_policy(held.join(self.read(version), F.col("_q_content") == F.col("content")).drop("_q_content", "content"), policy)
+
+
+def _content(text: str):
+    return F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"), 256)
+
+
 def apply_policy(led: DataFrame, version: str = CURRENT) -> DataFrame:
     """Add ``base_failed`` and ``kept`` under a policy version; a base failure always rejects."""
     bits = mask(POLICIES[version]) | mask(BASE)
@@ -113,13 +163,19 @@ def ablate(led: DataFrame, version: str = CURRENT) -> DataFrame:
 def keep(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
     """The documents that a policy keeps, with the columns they came with."""
     held = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col(f"`{text}`").alias("text"))
-    return apply_policy(ledger(held), version).filter("kept").select("_row.*")
+    return apply_policy(measured(held), version).filter("kept").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Documents judged from a stored ledger. ``lone_rule`` names the one rule that rejects a document, which the policy
+    would keep without it."""
+    import uuid
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_lines", "fail_bits", "base_failed", "kept"]
-    return apply_policy(ledger(docs)).select(*cols)
+    led = Ledger(spark, f"{shared_dir(spark).rstrip('/')}/pairwright-rules-{uuid.uuid4().hex}")
+    led.commit(docs)
+    lone = F.coalesce(*[F.when(F.col("fail_bits") == 1 << i, F.lit(name)) for i, name in enumerate(RULES)])
+    return led.judge(docs).select("doc_id", *MEASURES, "fail_bits", "base_failed", "kept", lone.alias("lone_rule"))
 
 
 ORACLE = """
@@ -149,5 +205,6 @@ WITH d AS (
     + CASE WHEN 10 * n_dup_lines > 5 * n_lines THEN 32 ELSE 0 END)::INTEGER AS fail_bits
   FROM m
 )
-SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
+SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
+       CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'exclamations' WHEN 16 THEN 'word_length' WHEN 32 THEN 'repeated_lines' END AS lone_rule FROM b
 """
