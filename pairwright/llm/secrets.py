@@ -1,12 +1,17 @@
 """Secret scans with an incremental blob ledger (DataFrame functions only).
 
-Every version of a file is addressed by the SHA-256 of its content. A scan covers only the pairs (blob, rule
-version) that the ledger lacks, each distinct content once, and findings are joined back to all rows that hold the
+Every version of a file is addressed by the SHA-256 of its content. A commit scans only the pairs (blob, rule version)
+that the ledger lacks; what it scanned and what it found are folders that a manifest then lists, so a commit that fails
+counts nowhere and one that repeats finds nothing left to scan. Findings are joined back to all rows that hold the
 blob. Spans are code points, end exclusive: with the text split at a rule's matches, a match starts after the
 lengths of all earlier pieces and matches.
 
+Only hashes are shuffled for all rows: which blobs are new is decided on them, and of the new contents only those that
+can hold a finding at all are moved, each once.
+
 Defined cases: a null text is the empty blob; equal texts share one scan and get equal findings; a text may have
-any number of matches; an empty table gives no rows; a batch committed twice changes nothing.
+any number of matches and any length; extra columns are ignored; an empty table gives no rows; a batch committed twice
+changes nothing; two writers that commit at once: the second is refused (Moved) and may try again.
 """
 
 from __future__ import annotations
@@ -15,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import cut
+from pairwright.llm.common import cut, shared_dir
+from pairwright.operators.manifests import Manifests
 
 RULE_VERSION = "2025-1"
 #: Kinds in order: (name, pattern, group that is measured, least length). The first three are the base; all fixed values.
@@ -66,42 +72,53 @@ def find(contents: DataFrame) -> DataFrame:
 
 
 def unseen(contents: DataFrame, scanned: DataFrame | None, version: str = RULE_VERSION) -> DataFrame:
-    """Distinct (blob, content) that *scanned* (blob, rule_version) doesn't have under *version*."""
-    fresh = contents.select("blob", "content").dropDuplicates(["blob"])
+    """Distinct blobs of *contents* that *scanned* (blob, rule_version) doesn't have under *version*."""
+    fresh = contents.select("blob").distinct()
     if scanned is None:
         return fresh
     return fresh.join(scanned.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
 
 
+def suspects(contents: DataFrame) -> DataFrame:
+    """One row (blob, content) per distinct content in which some rule can have a match."""
+    able = F.lit(False)
+    for pattern in QUICK.values():
+        able = able | F.col("content").rlike(pattern)
+    return contents.select("blob", "content").filter(able).dropDuplicates(["blob"])
+
+
 class BlobLedger:
-    """Scanned blobs and findings in parquet folders; each batch has a folder that a retry overwrites."""
+    """Scanned blobs and findings by rule version, in parquet folders that a manifest lists."""
+
+    SCANNED = "blob string, rule_version string"
+    FINDINGS = "blob string, rule int, kind string, start long, end long, rule_version string"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.manifests = spark, Manifests(spark, path)
 
-    def _read(self, name: str, schema: str, but: str | None = None) -> DataFrame:
-        try:
-            found = self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.path}/{name}")
-        except Exception as e:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], f"{schema}, batch string")
-        return found if but is None else found.filter(F.col("batch") != but)
+    def _read(self, name: str, schema: str) -> DataFrame:
+        folders = (self.manifests.read() or {}).get(name, [])
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def scanned(self, but: str | None = None) -> DataFrame:
-        return self._read("scanned", "blob string, rule_version string", but)
+    def scanned(self) -> DataFrame:
+        return self._read("scanned", self.SCANNED)
 
     def findings(self, version: str = RULE_VERSION) -> DataFrame:
-        held = self._read("findings", "blob string, rule int, kind string, start long, end long, rule_version string")
-        done = self.scanned().select("blob", "rule_version", "batch")
-        return held.filter(F.col("rule_version") == version).join(done, ["blob", "rule_version", "batch"], "left_semi").drop("batch", "rule_version")
+        return self._read("findings", self.FINDINGS).filter(F.col("rule_version") == version).drop("rule_version")
 
-    def commit(self, docs: DataFrame, batch: str, version: str = RULE_VERSION) -> None:
-        """Scan what is unseen in *docs*. Findings go first; only ``scanned`` makes them count."""
-        fresh = unseen(blobs(docs), self.scanned(but=batch), version)
+    def commit(self, docs: DataFrame, version: str = RULE_VERSION) -> None:
+        """Scan what is unseen in *docs* (text)."""
+        number = self.manifests.number()
+        held = (self.manifests.read(number) if number else None) or {"scanned": [], "findings": []}
+        contents = blobs(docs).select("blob", "content")
         v = F.lit(version).alias("rule_version")
-        find(fresh).select("blob", "rule", "kind", F.col("start").cast("long"), F.col("end").cast("long"), v).write.mode("overwrite").parquet(f"{self.path}/findings/batch={batch}")
-        fresh.select("blob", v).write.mode("overwrite").parquet(f"{self.path}/scanned/batch={batch}")
+        seen, found = self.manifests.new_folder("scanned"), self.manifests.new_folder("findings")
+        unseen(contents, self.scanned() if number else None, version).select("blob", v).write.parquet(seen)
+        if held["scanned"]:  # a first commit finds every blob new
+            new = self.spark.read.schema(self.SCANNED).parquet(seen)
+            contents = contents.join(new.select("blob"), "blob", "left_semi")
+        find(cut(suspects(contents))).select("blob", "rule", "kind", F.col("start").cast("long"), F.col("end").cast("long"), v).write.parquet(found)
+        self.manifests.commit({"scanned": [*held["scanned"], seen], "findings": [*held["findings"], found]}, number)
 
 
 def report(docs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -124,17 +141,22 @@ def report(docs: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, scanned: DataFrame | None = None, known: DataFrame | None = None, version: str = RULE_VERSION) -> DataFrame:
-    """``report`` over *docs*, scanning only what *scanned* lacks; *known* are the earlier findings."""
+def scan(docs: DataFrame) -> DataFrame:
+    """``report`` over *docs* (doc_id, text) without a ledger."""
     held = blobs(docs)
-    found = find(unseen(held, scanned, version))
-    if known is not None:
-        found = found.unionByName(known.select(*found.columns))
-    return report(held, found)
+    return report(held, find(suspects(held)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Findings of all documents through a ledger: first the documents of one half of all contents are committed, as an
+    earlier crawl, then all documents, of which only the other half is scanned then."""
+    import uuid
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    ledger = BlobLedger(spark, f"{shared_dir(spark).rstrip('/')}/pairwright-blobs-{uuid.uuid4().hex}")
+    ledger.commit(docs.filter(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 1) < "8"))
+    ledger.commit(docs)
+    return report(blobs(docs), ledger.findings())
 
 
 def _oracle() -> str:
