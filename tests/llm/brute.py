@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -155,3 +156,46 @@ def cosine(line, template, idf, other):
     va, vb = ({t: n * idf.get(t, other) for t, n in v.items()} for v in (a, b))
     norm = math.sqrt(sum(x * x for x in va.values()) * sum(x * x for x in vb.values()))
     return sum(va[t] * vb.get(t, 0) for t in va) / norm if norm else 0.0
+
+
+class Article(HTMLParser):
+    """The blocks of a page's article elements, of nothing else; for pages that mark their article."""
+
+    INLINE = frozenset("a b i em strong span code small sub sup u br".split())
+    AWAY = frozenset("script style nav footer aside form".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.away = 0
+        self.blocks, self.part = [], []
+
+    def flush(self):
+        if line := " ".join("".join(self.part).split()):
+            self.blocks.append(line)
+        self.part = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.away += tag in self.AWAY
+        if tag == "br":
+            self.part.append(" ")
+        elif tag not in self.INLINE:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.flush()
+        self.inside -= tag == "article"
+        self.away -= tag in self.AWAY
+
+    def handle_data(self, data):
+        if self.inside > 0 and not self.away:
+            self.part.append(data)
+
+
+def article(page):
+    parser = Article()
+    parser.feed(page or "")
+    parser.close()
+    parser.flush()
+    return "\n".join(parser.blocks)

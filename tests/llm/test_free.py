@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 
 import pytest
@@ -55,7 +56,34 @@ def test_jaccard_keep_one_and_defined_cases(spark):
     assert len(joined) == 7 and {r.n_links for r in joined if r.doc_id == 1} == {3}
     assert [r.class_id for r in joined if r.doc_id in (1, 2)] == [None] * 3  # the first has no id
     assert jaccard.join(empty(spark)).count() == 0
-    assert jaccard.stop_depth(24, 8, 0.8, 0.9995) == 5
+    assert jaccard.shortened(0.8, 24, 8, 0.9995) == 5 and jaccard.shortened(0.9, 24, 8, 0.9995) == 8
+
+
+@pytest.mark.parametrize(("edits", "depth"), [((1, 2), 8), ((3, 5), 6)])
+def test_jaccard_prefix_follows_the_data(spark, edits, depth):
+    """Close copies are found at whole labels; where less similar pairs occur, the prefix gets shorter."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{k}" for k in range(260)]
+        for c in range(4):
+            text = list(base)
+            for at in range(rng.randint(*edits) if c else 0):
+                text[20 + 50 * at] = f"new{c}{at}"
+            rows.append((len(rows), " ".join(text)))
+    got = jaccard.classes(spark.createDataFrame(rows, DOCS))
+    _, links = brute.jaccard(rows)
+    assert got.depth == depth and got.pairs == sum(links) // 2 and got.recall >= 0.9995
+    assert {r.k1: r.links for r in got.found.collect()} == dict(enumerate(links))
+
+
+def test_jaccard_measured_recall(spark):
+    """With few short trees pairs are missed; the measured recall says so, and is near that against brute force."""
+    rows = near_copies(11, groups=60, size=5, n=70)
+    got = jaccard.classes(spark.createDataFrame(rows, DOCS), trees=2, depth=6, target=0.2)
+    pairs = sum(brute.jaccard(rows)[1]) / 2
+    copies = sum(r.size * (r.size - 1) / 2 for r in got.found.collect())
+    assert 0.3 < got.recall < 0.98 and abs(got.pairs / (pairs - copies) - got.recall) < 0.15
 
 
 def test_components_of_a_long_chain(spark):
@@ -157,10 +185,59 @@ def test_token_rollup_batches(spark, tmp_path):
     apply(2, second, times=2)  # committed twice
     assert got() == totals()
     apply(3, [("insert", 1, "back", "s", "en", 0), ("insert", 2, "again", "s", "fr", 0)])
-    roll.commit(spark.createDataFrame(second, schema), 2)  # a late repeat of an older batch
+    assert not roll.commit(spark.createDataFrame(second, schema), 2)  # a late repeat of an older batch
+    assert got() == totals()
+    roll.commit(empty(spark, schema), 5)
     assert got() == totals()
-    roll.commit(empty(spark, schema), 4)
+    with pytest.raises(ValueError, match="batch 4 comes after batch 5"):
+        roll.commit(spark.createDataFrame(second, schema), 4)
+    roll.compact()
     assert got() == totals()
+    apply(6, [("delete", 1, None, None, None, 0), ("revise", 4, "newer text again", "s", "en", 0)])
+    assert got() == totals()
+
+
+def test_token_rollup_counts_committed_batches_only(spark, tmp_path, monkeypatch):
+    schema = "op string, doc_id long, text string, source string, lang string"
+    rows = lambda op, t: spark.createDataFrame([(op, 1, t, "s", "en")], schema)
+    roll = counts.TokenRollup(spark, str(tmp_path / "roll"), None, compact_after=2)
+    total = lambda: [(r.docs, r.tokens) for r in roll.totals().collect()]
+    roll.commit(rows("insert", "a b"), 1)
+    write = roll._write
+
+    def dies(df, name):
+        if name == "deltas":
+            raise OSError("lost")
+        return write(df, name)
+
+    monkeypatch.setattr(roll, "_write", dies)
+    with pytest.raises(OSError, match="lost"):
+        roll.commit(rows("revise", "a b c d e f g"), 2)
+    monkeypatch.setattr(roll, "_write", write)
+    assert total() == [(1, 2)]
+    roll.commit(rows("revise", "a b c"), 3)
+    assert total() == [(1, 3)]
+    roll.commit(rows("revise", "a"), 4)  # more folders than compact_after: rewritten as one each
+    assert total() == [(1, 1)] and len(roll._now()[1]["state"]) == 1
+    roll.commit(rows("delete", None), 5)
+    assert total() == []
+
+
+def test_token_count_query_is_the_table(spark):
+    import tiktoken
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", "lang").collect()
+    with open(counts.RANKS, "rb") as f:
+        bpe = tiktoken.Encoding("t", pat_str=counts.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    want = {}
+    for r in rows:
+        for v, n in ((counts.WORDS_VERSION, len(brute.words(r.text))), (counts.BPE_VERSION, len(bpe.encode_ordinary(r.text or "")))):
+            a, b = want.get((r.source, r.lang, v), (0, 0))
+            want[r.source, r.lang, v] = a + 1, b + n
+    assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in counts.query(spark, sf).collect()} == want
+
+
 
 
 PAGES = {
@@ -280,11 +357,40 @@ WHOLE_PAGES = {
 }
 
 
+def test_attribute_names_are_whole():
+    for inner in ("See <a href='/trips/hidden-gems'>the valley</a> now.", "<span data-id='share-12'>a</span> b", "<a href=/p?id=related>c</a>", "<span data-style='display:none' title='x hidden y'>d</span>"):
+        want = re.sub("<[^>]*>", "", inner)
+        assert pages.extract(f"<article><p>{inner}</p></article>") == want
+    assert pages.extract(f"<article><section aria-label='hidden costs'>{LONG}</section></article>") == ONCE
+    assert pages.extract(f"<div>{LONG}</div><div>{LONG}</div>") == f"{ONCE}\n{ONCE}"
+    assert pages.extract(f"<article>{LONG}<div class='discussion'>{LONG}</div></article>") == f"{ONCE}\n{ONCE}"
+    assert pages.extract(f"<div><p>Before.</p><table><tr><td>{LONG}</td></tr></table></div>") == f"Before.\n{ONCE}"
+    assert pages.extract(f"<article><p hidden=hidden>x</p>{LONG}<p class='a' class='ad'>y</p></article>") == f"{ONCE}\ny"
+
+
+def test_page_query_matches_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in pages.query(spark, sf).collect()}
+    assert got == {r.page_id: (r.url, (t := brute.article(r.html)), len(t)) for r in rows} and len(got) == len(rows)
+
+
 def test_pages_keep_marked_and_short_text():
     for page, want in WHOLE_PAGES.items():
         assert pages.extract(page) == want
 
 
+def test_long_items_are_searched_in_segments(spark, monkeypatch):
+    item = " ".join(f"i{k}" for k in range(95))
+    bench = spark.createDataFrame([(1, item), (2, "i1 i2"), (3, " ".join(["x"] * 30))], "item_id long, text string")
+    rows = [(k, f"pad {' '.join(item.split()[k : k + 10])} end") for k in range(86)] + [(100, "x " * 4000 + "y"), (101, "x " * 9)]
+    monkeypatch.setattr(decontaminate.segments, "__defaults__", (20,))
+    assert decontaminate.segments(bench, 10).count() == 5 + 1 + 2
+    for chars in (10**6, 100):
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.report(spark.createDataFrame(rows, DOCS), bench, group_chars=chars).collect()}
+        assert got == {**{k: (10, 2 if k <= 1 else 1) for k in range(86)}, 100: (4000, 1), 101: (0, 0)}
+
+
 def test_benchmark_items_without_id_are_searched(spark):
     item = " ".join(f"i{k}" for k in range(12))
     docs = spark.createDataFrame([(1, f"pad {item} pad"), (2, "nothing of it"), (3, "other words of this item")], DOCS)

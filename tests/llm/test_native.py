@@ -23,7 +23,7 @@ def empty(spark, schema=DOCS):
 def test_quality_matches_plain_version(spark):
     rng = random.Random(1)
     rows = ODD + [(10 + i, rng.choice(["\n", " "]).join(rng.choice("a bb ccc dd! # ee".split(" ")) * rng.randint(1, 3) for _ in range(rng.randint(0, 120)))) for i in range(60)]
-    got = quality.apply_policy(quality.ledger(spark.createDataFrame(rows, DOCS))).collect()
+    got = quality.apply_policy(quality.measured(spark.createDataFrame(rows, DOCS))).collect()
     want = sorted((d is None, d or 0, *brute.quality(t).values()) for d, t in rows)
     names = list(brute.quality("").keys())
     assert sorted((r.doc_id is None, r.doc_id or 0, *(r[n] for n in names)) for r in got) == want
@@ -36,11 +36,44 @@ def test_quality_columns_policies_and_ablation(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _q_words string, n_words long")
     kept = quality.keep(docs)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [rows[0]]
-    led = quality.ledger(docs)
+    led = quality.measured(docs)
     assert {r.doc_id for r in quality.apply_policy(led, "2024-base").filter("kept").collect()} == {1, 3}
     abl = {r.rule: (r.failing, r.failing_alone, r.kept_without) for r in quality.ablate(led).collect()}
     assert abl["symbols"] == (1, 1, 2) and abl["few_words"][0] == 1 and len(abl) == 6
-    assert quality.ledger(empty(spark)).count() == 0
+    assert quality.measured(empty(spark)).count() == 0
+
+
+def test_quality_counts_are_exact_where_hashes_clash(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["a", "b", "cc", f"x{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 90)))) for i in range(60)]
+    for bits in (0, 2, 5):
+        got = {r.doc_id: r.n_repeat_words for r in quality.measure(spark.createDataFrame(rows, DOCS), hash_bits=bits).collect()}
+        assert got == {d: brute.quality(t)["n_repeat_words"] for d, t in rows}
+
+
+def test_quality_ledger_measures_new_contents_only(spark, tmp_path, monkeypatch):
+    led = quality.Ledger(spark, str(tmp_path / "rules"))
+    docs = spark.createDataFrame(ODD, DOCS)
+    led.commit(docs.filter("doc_id < 4"))
+    assert led.read().count() == 2 and led.read("another").count() == 0
+    seen = []
+    measured = quality.measured
+    monkeypatch.setattr(quality, "measured", lambda rows, *a: seen.append(rows.count()) or measured(rows, *a))
+    led.commit(docs)
+    led.commit(docs)
+    assert seen == [5, 0] and led.read().count() == 5  # rows 4, 4 and the one without id share a text; null and empty are one
+    assert led.judge(docs).columns == ["doc_id", *quality.MEASURES, "fail_bits", "base_failed", "kept"]
+    for policy in quality.POLICIES:
+        one, two = led.judge(docs, policy), quality.apply_policy(measured(docs), policy).select(*led.judge(docs).columns)
+        assert Counter(map(tuple, one.collect())) == Counter(map(tuple, two.collect())) and one.count() == len(ODD)
+
+
+def test_ablation_matches_plain_version(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["\n", " "]).join(rng.choice("a bb ccc dd! # ee".split(" ")) * rng.randint(1, 3) for _ in range(rng.randint(0, 120)))) for i in range(80)]
+    bits = [brute.quality(t)["fail_bits"] for _, t in rows]
+    got = {r.rule: (r.failing, r.failing_alone, r.kept_without) for r in quality.ablate(quality.measured(spark.createDataFrame(rows, DOCS))).collect()}
+    assert got == {name: (sum(b >> i & 1 for b in bits), sum(b == 1 << i for b in bits), sum(b in (0, 1 << i) for b in bits)) for i, name in enumerate(quality.RULES)}
 
 
 def check_lines(spark, rows, min_words=5):
@@ -106,21 +139,24 @@ def test_secrets_match_plain_version(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
-def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
+def test_secret_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
     led = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
     docs = spark.createDataFrame(SECRETS, DOCS)
-    led.commit(docs.filter("doc_id <= 4"), "b1")
+    looked = []
+    suspects = secrets.suspects
+    monkeypatch.setattr(secrets, "suspects", lambda contents: looked.append(contents.count()) or suspects(contents))
+    led.commit(docs.filter("doc_id <= 4"))
     first = {tuple(r) for r in led.findings().collect()}
-    led.commit(docs, "b2")
-    led.commit(docs, "b2")  # again: nothing changes
-    scanned = led.scanned().groupBy("batch").count().collect()
-    assert {r["batch"]: r["count"] for r in scanned} == {"b1": 3, "b2": 3}  # null and empty are one blob
+    led.commit(docs)
+    led.commit(docs)  # again: nothing changes
+    assert looked == [4, 3, 0] and led.scanned().count() == 6  # null and empty are one blob
     assert first < {tuple(r) for r in led.findings().collect()}
-    known = led.findings()
-    again = secrets.scan(docs, led.scanned(), known)
+    again = secrets.report(secrets.blobs(docs), led.findings())
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, secrets.scan(docs).collect()))
     assert secrets.unseen(secrets.blobs(docs), led.scanned()).count() == 0
     assert secrets.unseen(secrets.blobs(docs), led.scanned(), "another version").count() == 6
+    led.commit(docs, "another version")
+    assert led.scanned().count() == 12 and led.findings().count() == led.findings("another version").count()
 
 
 def test_mixing_matches_plain_version(spark):
