@@ -27,7 +27,7 @@ def let(value: Column, body) -> Column:
 def logical_lines(raw: Column) -> Column:
     """Unfolded lines of a card's bytes; null where a line is not UTF-8. Folds may split a character."""
     latin = F.regexp_replace(F.decode(raw, "ISO-8859-1"), "^\u00ef\u00bb\u00bf", "")
-    whole = F.regexp_replace(latin, "(?<=.)\\r?\\n(?:\\r?\\n)*[ \\t]", "")
+    whole = F.regexp_replace(latin, "(?<=[^\\r\\n])\\r?\\n(?:\\r?\\n)*[ \\t]", "")
     kept = F.filter(F.transform(F.split(whole, "\n"), lambda x: F.regexp_replace(x, "\r$", "")), lambda x: x != "")
     return F.transform(kept, lambda x: F.try_validate_utf8(F.encode(x, "ISO-8859-1")))
 
@@ -58,7 +58,8 @@ def parse_line(line: Column) -> Column:
 
 
 def parse(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add props, uid and error (a code, null for a good card) to rows with a card's bytes."""
+    """Add props, uid, error (a code, null for a good card) and error_line (of a line that is not UTF-8 or malformed, from
+    1, among the unfolded ones) to rows with a card's bytes."""
     df = df.withColumn("_lines", logical_lines(F.col(raw)))
     df = df.withColumn("_props", F.transform("_lines", parse_line)).withColumn("_names", F.transform("_props", lambda p: F.upper(p["name"])))
     first = F.get("_props", F.lit(0))
@@ -78,7 +79,8 @@ def parse(df: DataFrame, raw: str = "raw") -> DataFrame:
         .when(version != "3.0", "unsupported_version")
         .when(F.coalesce(uid, F.lit("")) == "", "missing_uid")
     )
-    out = df.withColumns({"error": error})
+    bad = F.when(error == "not_utf8", F.array_position(F.transform("_lines", lambda x: x.isNull()), F.lit(True))).when(error == "malformed_line", F.array_position(F.transform("_props", lambda p: p.isNull()), F.lit(True)))
+    out = df.withColumns({"error": error, "error_line": bad})
     return out.withColumns({"props": F.when(F.col("error").isNull(), F.col("_props")), "uid": F.when(F.col("error").isNull(), uid)}).drop("_lines", "_props", "_names")
 
 
@@ -129,12 +131,13 @@ def values_of(props: Column, name: str) -> Column:
 
 
 def identity(props: Column) -> Column:
-    """struct(name, org): first usable FN, else N in reading order, unless it is a contact point; first ORG part."""
-    fn = F.get(F.filter(F.transform(values_of(props, "FN"), lambda v: T.unescape(v)), lambda v: T.unicode_trim(v) != ""), F.lit(0))
-    n = F.transform(T.components(F.get(values_of(props, "N"), F.lit(0))), lambda v: T.unicode_trim(T.unescape(v)))
-    in_order = F.filter(F.transform(F.array(*[F.lit(i) for i in (3, 1, 2, 0, 4)]), lambda i: F.get(n, i)), lambda v: v.isNotNull() & (v != ""))
-    org = T.unescape(F.get(T.components(F.get(values_of(props, "ORG"), F.lit(0))), F.lit(0)))
-    return F.struct(T.display_name(F.coalesce(fn, F.array_join(in_order, " "))).alias("name"), F.nullif(T.unicode_trim(org), F.lit("")).alias("org"))
+    """struct(name, org): first usable FN, else N in reading order, unless it is a contact point; first ORG part. Each is
+    on one line: no control characters, single blanks."""
+    fn = F.get(F.filter(F.transform(values_of(props, "FN"), lambda v: T.collapse(T.unescape(v))), lambda v: v != ""), F.lit(0))
+    n = F.transform(T.components(F.get(values_of(props, "N"), F.lit(0))), T.unescape)
+    in_order = F.transform(F.array(*[F.lit(i) for i in (3, 1, 2, 0, 4)]), lambda i: F.coalesce(F.get(n, i), F.lit("")))
+    org = T.collapse(T.unescape(F.get(T.components(F.get(values_of(props, "ORG"), F.lit(0))), F.lit(0))))
+    return F.struct(T.display_name(F.coalesce(fn, F.array_join(in_order, " "))).alias("name"), F.nullif(org, F.lit("")).alias("org"))
 
 
 def match_keys(props: Column) -> Column:
@@ -175,10 +178,24 @@ def photo(props: Column) -> Column:
     return F.when(p.isNotNull(), F.struct(kind.alias("kind"), F.when(kind == "inline", data).alias("bytes"), F.when(kind == "uri", p["value"]).alias("uri"), F.when(kind == "inline", F.sha2(data, 256)).alias("hash")))
 
 
+def photo_bytes(props: Column) -> Column:
+    """Bytes that a card's embedded photos take, estimated from their base64 characters; null without one."""
+    embedded = F.filter(props, lambda p: (F.upper(p["name"]) == "PHOTO") & F.exists(p["params"], lambda q: (F.upper(q["name"]) == "ENCODING") & F.exists(q["vals"], lambda v: F.upper(v).isin("B", "BASE64"))))
+    chars = F.aggregate(embedded, F.lit(0).cast("long"), lambda n, p: n + F.length(F.regexp_replace(p["value"], "[ \\t\\r\\n\\f=]", "")))
+    return F.when(F.size(embedded) > 0, T.photo_size(chars))
+
+
+def strip_photo(raw: Column) -> Column:
+    """The card's bytes without its embedded photos; one that is an address stays, as does every other byte."""
+    latin = F.decode(raw, "ISO-8859-1")
+    line = "(?imd)^(?:[a-z0-9_-]+\\.)?photo(?=[^:\\n]*;encoding=(?:b|base64)[;:\\r\\n])[;:][^\\n]*\\n(?:[ \\t][^\\n]*\\n)*"
+    return F.encode(F.regexp_replace(latin, line, ""), "ISO-8859-1")
+
+
 def without_photos(raw: Column) -> Column:
     """The card's bytes without PHOTO lines and their folds; every other byte stays."""
     latin = F.decode(raw, "ISO-8859-1")
-    return F.encode(F.regexp_replace(latin, "(?im)^(?:[a-z0-9_-]+\\.)?photo[;:][^\\n]*\\n(?:[ \\t][^\\n]*\\n)*", ""), "ISO-8859-1")
+    return F.encode(F.regexp_replace(latin, "(?imd)^(?:[a-z0-9_-]+\\.)?photo[;:][^\\n]*\\n(?:[ \\t][^\\n]*\\n)*", ""), "ISO-8859-1")
 
 
 def with_inline_photo(raw: Column, data: Column) -> Column:
@@ -190,14 +207,14 @@ def with_inline_photo(raw: Column, data: Column) -> Column:
     line = F.concat(F.lit("PHOTO;ENCODING=b"), kind, F.lit(":"), F.regexp_replace(F.base64(data), "[\\r\\n]", ""))
     rest = F.regexp_replace(F.substr(line, F.lit(76)), "(.{1,74})", "\n $1")
     folded = F.concat(F.replace(F.concat(F.substring(line, 1, 75), rest), F.lit("\n"), eol), eol)
-    at = F.regexp_instr(bare, F.lit("(?im)^END:VCARD"))
+    at = F.regexp_instr(bare, F.lit("(?imd)^END:VCARD"))
     return F.encode(F.concat(F.substring(bare, F.lit(1), at - 1), folded, F.substr(bare, at)), "ISO-8859-1")
 
 
 def with_uid(raw: Column, uid: Column) -> Column:
     """The first UID line becomes [group.]UID:<uid>; its parameters and folds go, its line ending stays."""
     latin = F.decode(raw, "ISO-8859-1")
-    line = "(?im)^((?:[a-z0-9_-]+\\.)?uid)[;:][^\\r\\n]*(?:\\r?\\n[ \\t][^\\r\\n]*)*"
+    line = "(?imd)^((?:[a-z0-9_-]+\\.)?uid)[;:][^\\r\\n]*(?:\\r?\\n[ \\t][^\\r\\n]*)*"
     at = F.regexp_instr(latin, F.lit(line))
     found = F.regexp_substr(latin, F.lit(line))
     label = F.regexp_extract(latin, line, 1)
@@ -206,14 +223,14 @@ def with_uid(raw: Column, uid: Column) -> Column:
     return F.when(at > 0, F.encode(new, "ISO-8859-1")).otherwise(raw)
 
 
-_PHOTO_LINES = "(?im)^(?:[a-z0-9_-]+\\.)?photo[;:][^\\n]*\\n(?:[ \\t][^\\n]*\\n)*"
+_PHOTO_LINES = "(?imd)^(?:[a-z0-9_-]+\\.)?photo[;:][^\\n]*\\n(?:[ \\t][^\\n]*\\n)*"
 
 
 def with_photos_of(raw: Column, other: Column) -> Column:
     """The card with the other card's PHOTO lines before END; unchanged if it has one itself or the other has none."""
     own, theirs = F.decode(raw, "ISO-8859-1"), F.decode(other, "ISO-8859-1")
     lines = F.array_join(F.regexp_extract_all(theirs, F.lit(f"({_PHOTO_LINES})"), F.lit(1)), "")
-    at = F.regexp_instr(own, F.lit("(?im)^END:VCARD"))
+    at = F.regexp_instr(own, F.lit("(?imd)^END:VCARD"))
     merged = F.encode(F.concat(F.substring(own, F.lit(1), at - 1), lines, F.substr(own, at)), "ISO-8859-1")
     return F.when(own.rlike(_PHOTO_LINES) | (lines == ""), raw).otherwise(merged)
 
@@ -222,7 +239,7 @@ def with_member_uids(raw: Column, aliases: Column) -> Column:
     """A group card with the members that *aliases* (map of old uid to new) names renamed; such a line comes back
     unfolded, every other byte stays, and a card without one of them is returned as it is."""
     latin = F.decode(raw, "ISO-8859-1")
-    line = "(?im)^((?:[a-z0-9_-]+\\.)?x-addressbookserver-member[^:\\r\\n]*:urn:uuid:)([^\\r\\n]*(?:\\r?\\n[ \\t][^\\r\\n]*)*)"
+    line = "(?imd)^((?:[a-z0-9_-]+\\.)?x-addressbookserver-member[^:\\r\\n]*:urn:uuid:)([^\\r\\n]*(?:\\r?\\n[ \\t][^\\r\\n]*)*)"
     heads = F.regexp_extract_all(latin, F.lit(line), F.lit(1))
     tails = F.regexp_extract_all(latin, F.lit(line), F.lit(2))
     gaps = F.split(latin, line)

@@ -51,9 +51,14 @@ def looks_like_contact_point(x: Column) -> Column:
     return x.contains("@") | (x.rlike("[0-9]") & x.rlike(r"(?U)^[0-9\s+\-().]*$"))
 
 
+def collapse(x: Column) -> Column:
+    """Control characters removed, white space collapsed and trimmed."""
+    return unicode_trim(F.regexp_replace(F.regexp_replace(x, r"\p{Cc}", ""), r"(?U)\s+", " "))
+
+
 def display_name(x: Column) -> Column:
     """Control characters removed, white space collapsed; null when empty or a contact point."""
-    clean = unicode_trim(F.regexp_replace(F.regexp_replace(x, r"\p{Cc}", ""), r"(?U)\s+", " "))
+    clean = collapse(x)
     return F.when((clean != "") & ~looks_like_contact_point(clean), clean)
 
 
@@ -83,10 +88,14 @@ def mint_href(collection: Column, uid: Column) -> Column:
     return F.concat(F.regexp_replace(collection, "/+$", ""), F.lit("/"), F.substring(F.sha2(uid.cast("binary"), 256), 1, 32), F.lit(".vcf"))
 
 
-def status_class(code: Column) -> Column:
+def status_class(code: Column, with_href: Column | None = None) -> Column:
+    """The error class of an HTTP status. 412 is a failed precondition of a record; without one it is permanent. No status
+    at all is a transport error, which is transient."""
+    named = F.lit(True) if with_href is None else with_href
     return (
-        F.when(code == 401, "unauthorized")
-        .when(code == 412, "precondition_failed")
+        F.when(code.isNull(), "transient")
+        .when(code == 401, "unauthorized")
+        .when((code == 412) & named, "precondition_failed")
         .when(code.isin(429, 503), "rate_limited")
         .when((code >= 500) & (code <= 599), "transient")
         .otherwise("permanent")
@@ -94,12 +103,13 @@ def status_class(code: Column) -> Column:
 
 
 def retry_after(x: Column, now: Column, cap: int = 3600) -> Column:
-    """Seconds to wait: digits (too many of them: the cap) or an HTTP date (past: 0), at most *cap*; else null."""
-    clean = F.trim(x)
+    """Seconds to wait: digits (too many of them: the cap) or an HTTP date in GMT (past: 0), at most *cap*; else null."""
+    clean = unicode_trim(x)
     number = F.when(F.length(clean) > 9, F.lit(cap).cast("long")).otherwise(F.least(F.lit(cap).cast("long"), F.try_to_number(clean, F.lit("999999999")).cast("long")))
-    date = F.try_to_timestamp(F.regexp_replace(clean, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    # The zone is part of the pattern, so the session's own doesn't matter.
+    date = F.try_to_timestamp(F.concat(F.regexp_replace(clean, r"^[A-Za-z]{3}, | GMT$", ""), F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss Z"))
     wait = F.greatest(F.lit(0).cast("long"), F.least(F.lit(cap).cast("long"), F.unix_timestamp(date) - F.unix_timestamp(now)))
-    return F.when(clean.rlike("^[0-9]+$"), number.cast("long")).when(date.isNotNull(), wait)
+    return F.when(clean.rlike("^[0-9]+$"), number.cast("long")).when(clean.rlike("^[A-Za-z]{3}, .* GMT$") & date.isNotNull(), wait)
 
 
 def backoff_seconds(attempts: Column, base: int = 120, cap: int = 86_400) -> Column:

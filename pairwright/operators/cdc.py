@@ -7,14 +7,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+MAX_PAGES = 100
+
+
 def latest_changes(pages: DataFrame) -> DataFrame:
     """Merge delta pages (page, ord, href, status, etag) to one row per href: the latest observation wins.
 
-    404 is a removal; members without an etag that are not removals are dropped. One aggregation, combined map-side.
+    404 is a removal; a member without an etag that is not a removal is no observation, so what came before it stays.
+    One aggregation, combined map-side.
     """
     kind = F.when(F.col("status") == 404, "removed").when(F.col("etag").isNotNull(), "changed")
-    last = pages.groupBy("href").agg(F.max_by(F.struct(kind.alias("kind"), "etag"), F.struct("page", "ord")).alias("x"))
-    return last.filter("x.kind IS NOT NULL").select("href", "x.kind", F.when(F.col("x.kind") == "changed", F.col("x.etag")).alias("etag"))
+    seen = pages.withColumn("kind", kind).filter("kind IS NOT NULL")
+    last = seen.groupBy("href").agg(F.max_by(F.struct("kind", "etag"), F.struct("page", "ord")).alias("x"))
+    return last.select("href", "x.kind", F.when(F.col("x.kind") == "changed", F.col("x.etag")).alias("etag"))
+
+
+def members(rows: DataFrame, collection: str) -> DataFrame:
+    """Listed members: without the collection itself and without subcollections, whose paths end in a slash."""
+    return rows.filter((F.regexp_replace("href", "/+$", "") != collection.rstrip("/")) & ~F.col("href").endswith("/"))
+
+
+def delta_pages(pages: DataFrame, collection: str, limit: int = MAX_PAGES) -> DataFrame:
+    """Whether a delta is complete, as one row (pages, complete, token, error), from all rows of its pages (page, ord,
+    href, status, etag, token).
+
+    507 on the collection says that another page follows, from that page's token on; a page without a token, or more
+    than *limit* pages, is permanent.
+    """
+    own = F.regexp_replace("href", "/+$", "") == collection.rstrip("/")
+    per = pages.groupBy("page").agg(F.max("token").alias("token"), F.coalesce(F.max(own & (F.col("status") == 507)), F.lit(False)).alias("more"))
+    out = per.agg(F.count(F.lit(1)).alias("pages"), F.max_by("token", "page").alias("token"), F.max_by("more", "page").alias("more"), F.max(F.col("token").isNull()).alias("blind"))
+    error = F.when(F.col("blind"), "permanent").when(F.col("more") & (F.col("pages") >= limit), "permanent")
+    return out.select("pages", (~F.coalesce("more", F.lit(True)) & error.isNull()).alias("complete"), F.when(error.isNull(), F.col("token")).alias("token"), error.alias("error"))
+
+
+def token_rejected(status: Column, body: Column, sent: Column) -> Column:
+    """400, 403 or 409 with the valid-sync-token precondition, where a token was sent at all."""
+    return F.coalesce(sent & status.isin(400, 403, 409) & F.coalesce(body, F.lit("")).rlike("<([A-Za-z0-9_-]+:)?valid-sync-token[\\s/>]"), F.lit(False))
+
+
+def choose_listing(endpoints: DataFrame) -> DataFrame:
+    """How to list each side of (side, supports_sync, token, rejected): 'delta' from its token, 'full' (a delta without a
+    token) or 'etags'. A rejected token starts over without one; a rejection without a token is permanent."""
+    how = F.when(~F.col("supports_sync"), "etags").when(F.col("token").isNull() & F.col("rejected"), "permanent").when(F.col("token").isNull() | F.col("rejected"), "full").otherwise("delta")
+    return endpoints.select("side", how.alias("listing"))
 
 
 def etag_listing(members: DataFrame) -> DataFrame:
@@ -89,6 +125,24 @@ def match_answers(requested: DataFrame, answers: DataFrame, batch: int = 50) ->
     return out.select("href", outcome.alias("outcome"), F.floor(F.col("ord") / batch).cast("long").alias("batch"))
 
 
-def is_idle(untracked: int, journal: int, due_failures: int, tokens: int, deltas: int) -> bool:
-    """Nothing to do: every row tracked or waiting, no journal, no due failure, both tokens, both deltas empty."""
-    return untracked == 0 and journal == 0 and due_failures == 0 and tokens == 2 and deltas == 0
+def idle_facts(state: DataFrame, failures: DataFrame, journal: DataFrame, endpoints: DataFrame, deltas: DataFrame, held_deletes: DataFrame) -> DataFrame:
+    """One row (untracked, journal, due_failures, tokens, deltas, idle): whether there is nothing to do.
+
+    A row without a tracked photo counts unless it waits: its delete was held last cycle, or a failure of its uid or
+    hrefs is not due yet. *state* is (uid, left_href, right_href, photo_tracked), *failures* (side, href, uid, due),
+    *endpoints* (side, token, supports_sync), *deltas* (href), *held_deletes* (uid).
+    """
+    waiting = failures.filter("NOT due")
+    open_rows = state.filter("NOT photo_tracked").join(held_deletes.select("uid").distinct(), "uid", "left_anti").join(waiting.select("uid").distinct(), "uid", "left_anti")
+    for s in ("left", "right"):
+        open_rows = open_rows.join(waiting.filter(F.col("side") == s).select(F.col("href").alias(f"{s}_href")).distinct(), f"{s}_href", "left_anti")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    both = n(open_rows, "untracked")
+    for df, name in ((journal, "journal"), (failures.filter("due"), "due_failures"), (endpoints.filter("token IS NOT NULL AND supports_sync"), "tokens"), (deltas, "deltas")):
+        both = both.crossJoin(n(df, name))  # one row each
+    return both.withColumn("idle", F.expr("untracked = 0 AND journal = 0 AND due_failures = 0 AND tokens = 2 AND deltas = 0"))
+
+
+def seen_rows(state: DataFrame, listing: DataFrame, side: str) -> DataFrame:
+    """The uids whose record a side has listed."""
+    return state.select("uid", F.col(f"{side}_href").alias("href")).join(listing.filter(F.col("side") == side).select("href").distinct(), "href", "left_semi").select("uid")

@@ -29,6 +29,6 @@ def cross_deletes(deletes: DataFrame) -> DataFrame:
     Each is held and names its first partner in the order of seq.
     """
     rows = deletes.withColumn("id", F.col("seq"))
-    pairs = may_be_same(rows.filter(F.col("on") == "right"), rows.filter(F.col("on") == "left"))
-    both = pairs.select(F.col("l").alias("seq"), F.col("r").alias("partner")).unionByName(pairs.select(F.col("r").alias("seq"), F.col("l").alias("partner")))
-    return both.groupBy("seq").agg(F.min("partner").alias("partner"))
+    left, right = (rows.filter(F.col("on") == s) for s in ("left", "right"))
+    both = may_be_same(left, right).unionByName(may_be_same(right, left))
+    return both.select(F.col("id").alias("seq"), F.col("first").alias("partner"))

@@ -1,15 +1,18 @@
 """Record linkage: pair what both sides hold without a common state, refuse what is ambiguous.
 
-Sides are frames (id, ...); contact points and other tokens are arrays without nulls. Overlap is always an equi join of
-exploded tokens, never a join on ``arrays_overlap``.
+Sides are frames (id, ...); contact points and other tokens are arrays without nulls. Nothing here makes a row per pair:
+a switchboard number on a hundred thousand cards costs a row per card. Who shares a token with whom is counted by
+inclusion and exclusion over the sets of tokens (``overlap``), and a partner is the least id per token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Records of more tokens are compared by token instead of by set of tokens, of which they would have too many.
+WIDE = 8
+
 
 def pair_uid(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pass 1, the same uid on both sides: adopt where the content is equal, else a baseline conflict."""
@@ -41,87 +44,120 @@ def content_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("id", "hash").join(per.select("hash", count.alias("candidates")), "hash").select("id", "candidates")
 
 
-def identity_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pass 3 candidates: the same name and a shared contact point, or, where neither has any, the same organization.
+def _sets(df: DataFrame, as_id: str) -> DataFrame:
+    """(id, set, size) of all sets of one token or more of records that have up to WIDE."""
+    narrow = df.select(F.col("id").alias(as_id), F.array_sort(F.array_distinct("tokens")).alias("_t")).filter(f"size(_t) BETWEEN 1 AND {WIDE}")
+    each = F.explode(F.expr("transform(sequence(1, cast(shiftleft(1, size(_t)) as int) - 1), m -> filter(_t, (x, i) -> (shiftright(m, i) & 1) = 1))"))
+    return narrow.select(as_id, each.alias("set")).withColumn("size", F.size("set"))
+
 
-    Rows are (id, name, tokens, org).
+def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, n, first) for the left records (id, tokens) that share a token with a right one: with how many, and the least
+    id of them.
+
+    How many right records hold one of the tokens a, b, ... is the sum over all sets of them of how many hold the whole
+    set, odd sets added and even ones taken off. The holders of a set are one count, combined map-side. Records of more
+    than WIDE tokens, on either side, are joined by token; no pair of two ordinary records is ever a row.
     """
-    a = left.filter("name IS NOT NULL").select(F.col("id").alias("l"), "name", F.col("tokens").alias("lt"), F.col("org").alias("lo"))
-    b = right.filter("name IS NOT NULL").select(F.col("id").alias("r"), "name", F.col("tokens").alias("rt"), F.col("org").alias("ro"))
-    by_point = a.select("l", "name", F.explode("lt").alias("t")).join(b.select("r", "name", F.explode("rt").alias("t")), ["name", "t"]).select("l", "r").distinct()
-    bare = a.filter("size(lt) = 0 AND lo IS NOT NULL").select("l", "name", F.col("lo").alias("org")).join(b.filter("size(rt) = 0 AND ro IS NOT NULL").select("r", "name", F.col("ro").alias("org")), ["name", "org"]).select("l", "r")
-    return by_point.unionByName(bare)
+    held = _sets(right, "r").groupBy("set").agg(F.count(F.lit(1)).alias("holders"), F.min("r").alias("least"))
+    sign = F.when(F.col("size") % 2 == 1, F.col("holders")).otherwise(-F.col("holders"))
+    by_set = _sets(left, "id").join(held, "set").groupBy("id").agg(F.sum(sign).alias("n"), F.min("least").alias("first"))
+    tokens = lambda df, as_id, cond: df.filter(cond).select(F.col("id").alias(as_id), F.explode(F.array_distinct("tokens")).alias("t"))
+    wide, narrow = F.size(F.array_distinct("tokens")) > WIDE, F.size(F.array_distinct("tokens")) <= WIDE
+    pairs = tokens(left, "id", wide).join(tokens(right, "r", F.lit(True)), "t").unionByName(tokens(left, "id", narrow).join(tokens(right, "r", wide), "t"))
+    by_pair = pairs.groupBy("id").agg(F.count_distinct("r").alias("n"), F.min("r").alias("first"))
+    return by_set.unionByName(by_pair).groupBy("id").agg(F.sum("n").cast("long").alias("n"), F.min("first").alias("first"))
 
 
-def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs that share a token; the tokens of (id, tokens) are exploded and joined."""
-    return left.select(F.col("id").alias("l"), F.explode("tokens").alias("t")).join(right.select(F.col("id").alias("r"), F.explode("tokens").alias("t")), "t").select("l", "r").distinct()
+def identity_tokens(df: DataFrame) -> DataFrame:
+    """(id, tokens) by which records match on identity: the name with each contact point, or, without any, the name with
+    the organization. Rows are (id, name, tokens, org); one without a name has none."""
+    named = lambda kind, x: F.concat(F.lit(kind), F.length("name").cast("string"), F.lit(":"), F.col("name"), F.lit("|"), x)
+    by_org = F.when(F.col("org").isNotNull(), F.array(named("o", F.col("org"))))
+    none = F.expr("cast(array() as array<string>)")
+    keys = F.when(F.col("name").isNull(), none).when(F.size("tokens") > 0, F.transform("tokens", lambda t: named("t", t))).otherwise(F.coalesce(by_org, none))
+    return df.select("id", keys.alias("tokens"))
 
 
-def may_be_same(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The looser test: same name, or a shared token, or the same organization where neither has tokens.
+def loose_tokens(df: DataFrame) -> DataFrame:
+    """(id, tokens) by which records may be the same: the name, each contact point, or, without any, the organization."""
+    some = lambda cond, kind, x: F.when(cond & x.isNotNull(), F.array(F.concat(F.lit(kind), x))).otherwise(F.expr("cast(array() as array<string>)"))
+    bare = F.size("tokens") == 0
+    return df.select("id", F.concat(some(F.lit(True), "n:", F.col("name")), F.transform("tokens", lambda t: F.concat(F.lit("t:"), t)), some(bare, "o:", F.col("org"))).alias("tokens"))
 
-    Three equi joins in place of one join with OR.
-    """
-    by_name = left.select(F.col("id").alias("l"), "name").join(right.select(F.col("id").alias("r"), "name"), "name").select("l", "r")
-    bare = left.filter("size(tokens) = 0").select(F.col("id").alias("l"), "org").join(right.filter("size(tokens) = 0").select(F.col("id").alias("r"), "org"), "org").select("l", "r")
-    return by_name.unionByName(overlapping(left, right)).unionByName(bare).distinct()
+
+def contested(own: DataFrame, reverse: DataFrame) -> DataFrame:
+    """(id, candidates) of ``overlap`` results both ways: how many, or, with a single one, how many claim that one."""
+    claims = reverse.select(F.col("id").alias("first"), F.col("n").alias("claims"))
+    return own.join(claims, "first", "left").select("id", F.when(F.col("n") == 1, F.col("claims")).otherwise(F.col("n")).alias("candidates"))
 
 
-def mutual(pairs: DataFrame) -> DataFrame:
-    """Add n_l and n_r, the candidates of either end, and accepted: each is the other's only one."""
-    out = pairs.withColumns({"n_l": F.count(F.lit(1)).over(W.partitionBy("l")), "n_r": F.count(F.lit(1)).over(W.partitionBy("r"))})
-    return out.withColumn("accepted", (F.col("n_l") == 1) & (F.col("n_r") == 1))
+def identity_match(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Per left record with a match on identity: n, first (the least), and accepted: each is the other's only one."""
+    a, b = identity_tokens(left), identity_tokens(right)
+    back = overlap(b, a).filter("n = 1").select(F.col("id").alias("first"), F.col("first").alias("only"))
+    return overlap(a, b).join(back, "first", "left").select("id", "n", "first", F.coalesce((F.col("n") == 1) & (F.col("only") == F.col("id")), F.lit(False)).alias("accepted"))
 
 
-def candidate_counts(pairs: DataFrame) -> DataFrame:
-    """Per left record: its candidates; with a single one, how many claim that candidate."""
-    counted = mutual(pairs)
-    return counted.groupBy("l").agg(F.when(F.max("n_l") == 1, F.max("n_r")).otherwise(F.max("n_l")).alias("candidates"))
+def may_be_same(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``overlap`` by the looser test: the same name, or a shared contact point, or, where neither has any, the same
+    organization."""
+    return overlap(loose_tokens(left), loose_tokens(right))
 
 
-def settle(side: DataFrame, other: DataFrame, known_other: DataFrame, content_left: DataFrame) -> DataFrame:
-    """What becomes of one side's leftovers (id, name, tokens), in this order of rules.
+def matches(left: DataFrame, right: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """``overlap`` results from left to right and from right to left: twin (nameless records by contact point) and alike
+    (by identity)."""
+    bare = [x.filter("name IS NULL").select("id", "tokens") for x in (left, right)]
+    keys = [identity_tokens(x) for x in (left, right)]
+    return {"twin": overlap(*bare), "alike": overlap(*keys)}, {"twin": overlap(*bare[::-1]), "alike": overlap(*keys[::-1])}
 
-    ``content_left`` (id, candidates) are refused content candidates: skip. A nameless record skips when it overlaps a
-    nameless leftover of the other side, or is a likely duplicate of any known card there; otherwise it is created. A
-    named record without a namesake on the other side is created, else skipped with its candidate count.
+
+def settle(side: DataFrame, other: DataFrame, known_other: DataFrame, content_left: DataFrame, found: tuple[dict[str, DataFrame], dict[str, DataFrame]] | None = None) -> DataFrame:
+    """What becomes of one side's leftovers (id, name, tokens, org), in this order of rules.
+
+    ``content_left`` (id, candidates) are refused content candidates: ambiguous. A nameless record is ambiguous when it
+    shares a contact point with a nameless leftover of the other side, or a likely duplicate of the known cards there
+    that it shares one with; otherwise it is created. A named record without a namesake on the other side is created,
+    else ambiguous with the number of its matches on identity (0: the name alone). Numbers follow ``contested``, those of
+    likely duplicates count all. *found* are the ``matches`` from *side* to *other* and back, where they are known.
     """
-    flag = lambda pairs, name: pairs.select(F.col("l").alias("id")).distinct().withColumn(name, F.lit(True))
-    nameless = side.filter("name IS NULL")
-    twins = flag(overlapping(nameless, other.filter("name IS NULL")), "twin")
-    dupes = flag(overlapping(nameless, known_other), "dupe")
-    namesakes = side.filter("name IS NOT NULL").select("id", "name").join(other.filter("name IS NOT NULL").select("name").distinct().withColumn("namesake", F.lit(True)), "name").select("id", "namesake")
-    shared = candidate_counts(_named_pairs(side, other)).select(F.col("l").alias("id"), F.col("candidates").alias("by_name"))
-    out = side.join(content_left.select("id", "candidates"), "id", "left").join(twins, "id", "left").join(dupes, "id", "left").join(namesakes, "id", "left").join(shared, "id", "left")
+    own, back = found or matches(side, other)
+    twins = contested(own["twin"], back["twin"]).withColumnRenamed("candidates", "twins")
+    alike = contested(own["alike"], back["alike"]).withColumnRenamed("candidates", "alike")
+    dupes = overlap(side.filter("name IS NULL"), known_other).select("id", F.col("n").alias("dupes"))
+    namesakes = side.filter("name IS NOT NULL").select("id", "name").join(other.filter("name IS NOT NULL").select("name").distinct(), "name", "left_semi").select("id", F.lit(True).alias("namesake"))
+    out = side.select("id", "name").join(content_left.select("id", "candidates"), "id", "left")
+    for df in (twins, dupes, namesakes, alike):
+        out = out.join(df, "id", "left")
     named = F.col("name").isNotNull()
-    outcome = (
-        F.when(F.col("candidates").isNotNull(), "ambiguous")
-        .when(~named & F.col("twin"), "ambiguous")
-        .when(~named & F.col("dupe"), "likely_duplicate")
-        .when(~named | F.col("namesake").isNull(), "create")
-        .otherwise("ambiguous")
-    )
-    count = F.when(F.col("candidates").isNotNull(), F.col("candidates")).when(named & F.col("namesake"), F.coalesce("by_name", F.lit(0))).otherwise(0)
+    rules: list[tuple[Column, str, Column]] = [
+        (F.col("candidates").isNotNull(), "ambiguous", F.col("candidates")),
+        (~named & F.col("twins").isNotNull(), "ambiguous", F.col("twins")),
+        (~named & F.col("dupes").isNotNull(), "likely_duplicate", F.col("dupes")),
+        (~named | F.col("namesake").isNull(), "create", F.lit(0)),
+    ]
+    outcome, count = F.lit("ambiguous"), F.coalesce("alike", F.lit(0))
+    for cond, name, n in reversed(rules):
+        outcome, count = F.when(cond, name).otherwise(outcome), F.when(cond, n).otherwise(count)
     return out.select("id", outcome.alias("outcome"), count.cast("long").alias("candidates"))
 
 
-def _named_pairs(side: DataFrame, other: DataFrame) -> DataFrame:
-    a = side.filter("name IS NOT NULL").select(F.col("id").alias("l"), "name", F.explode("tokens").alias("t"))
-    b = other.filter("name IS NOT NULL").select(F.col("id").alias("r"), "name", F.explode("tokens").alias("t"))
-    return a.join(b, ["name", "t"]).select("l", "r").distinct()
-
-
 def same_cycle_duplicates(created: DataFrame) -> DataFrame:
-    """Nameless records to be created that share a token with a named one created on the same side."""
-    return overlapping(created.filter("name IS NULL"), created.filter("name IS NOT NULL")).select(F.col("l").alias("id")).distinct()
+    """(id, candidates) of nameless records to be created that share a token with named ones created on the same side."""
+    return overlap(created.filter("name IS NULL"), created.filter("name IS NOT NULL")).select("id", F.col("n").alias("candidates"))
 
 
 def synced_duplicates(rows: DataFrame) -> DataFrame:
     """Rows (idx, name, tokens) without a name and the least other idx that shares a token; of two that name each other
-    only the first reports."""
-    a = rows.filter("name IS NULL").select("idx", F.explode("tokens").alias("t"))
-    b = rows.select(F.col("idx").alias("j"), F.explode("tokens").alias("t"))
-    best = a.join(b, "t").filter("idx <> j").groupBy("idx").agg(F.min("j").alias("j"))
+    only the first reports.
+
+    The least other one is the least of a token, or the second least where that is the row itself.
+    """
+    each = rows.select("idx", "name", F.explode(F.array_distinct("tokens")).alias("t"))
+    least = each.groupBy("t").agg(F.min("idx").alias("m1"))
+    second = each.join(least, "t").filter("idx <> m1").groupBy("t").agg(F.min("idx").alias("m2"))
+    best = each.filter("name IS NULL").join(least, "t").join(second, "t", "left")
+    best = best.groupBy("idx").agg(F.min(F.when(F.col("m1") != F.col("idx"), F.col("m1")).otherwise(F.col("m2"))).alias("j")).filter("j IS NOT NULL")
     back = best.select(F.col("idx").alias("j"), F.col("j").alias("back"))
     return best.join(back, "j", "left").filter("NOT (j < idx AND back <=> idx)").select("idx", F.col("j").alias("other"))

@@ -22,6 +22,70 @@ def allowed(uri: Column, host: str) -> Column:
     return uri.rlike("(?i)^https://") & F.try_parse_url(uri, F.lit("USERINFO")).isNull() & ((h == host) | h.endswith(f".{host}"))
 
 
+def blocked(entries: DataFrame, failed: DataFrame) -> DataFrame:
+    """Fetched cards (href, kind, uid) whose photo could not be fetched: (uid, href, reason) of *failed* (uid, reason). They
+    are held: their photo would read as removed."""
+    return entries.filter("kind = 'fetched' AND uid IS NOT NULL").select("uid", "href").join(failed.select("uid", "reason"), "uid")
+
+
+def current(cards: DataFrame, state: DataFrame, downloaded: DataFrame) -> DataFrame:
+    """The photos of cards (side, uid, kind, hash, uri), kind as in ``cards.photo``: adds now_hash, now_uri, has_bytes
+    and available.
+
+    An address on the left is known by the state's hash where the row is tracked under that address, without bytes; else
+    by what was *downloaded* (uri, hash); else it isn't available. An address on the right stands for itself, an
+    unreadable photo for its card's uid; neither can be copied. *state* is (uid, photo_tracked, photo_uri, photo_hash).
+    """
+    s = state.select("uid", F.when(F.col("photo_tracked"), F.col("photo_uri")).alias("uri"), F.col("photo_hash").alias("_known")).filter("uri IS NOT NULL AND _known IS NOT NULL")
+    d = downloaded.filter("hash IS NOT NULL").select("uri", F.col("hash").alias("_down"))
+    out = cards.join(s, ["uid", "uri"], "left").join(d, "uri", "left")
+    left_uri = (F.col("kind") == "uri") & (F.col("side") == "left")
+    text = lambda x: F.sha2(F.col(x).cast("binary"), 256)
+    now = F.when(F.col("kind") == "inline", F.col("hash")).when(left_uri, F.coalesce("_known", "_down")).when(F.col("kind") == "uri", text("uri")).when(F.col("kind") == "unreadable", text("uid"))
+    has = F.coalesce((F.col("kind") == "inline") | left_uri & F.col("_known").isNull() & F.col("_down").isNotNull(), F.lit(False))
+    return out.select(*cards.columns, now.alias("now_hash"), F.when(left_uri & now.isNotNull(), F.col("uri")).alias("now_uri"), has.alias("has_bytes"), (F.col("kind").isNull() | now.isNotNull()).alias("available"))
+
+
+def recorded(state: DataFrame) -> DataFrame:
+    """What stands for the photos of a side that was not read: (side, uid, now_hash, now_uri, has_bytes), as recorded."""
+    of = lambda s, hash_, uri: state.select(F.lit(s).alias("side"), "uid", F.col(hash_).alias("now_hash"), uri.alias("now_uri"), F.lit(False).alias("has_bytes")).filter("now_hash IS NOT NULL")
+    return of("left", "left_photo_hash", F.col("left_photo_uri")).unionByName(of("right", "right_photo_hash", F.lit(None).cast("string")))
+
+
+def attach_to_copies(ops: DataFrame, sources: DataFrame) -> DataFrame:
+    """The photos of copies: ops (uid, op, on) that create a card, with *sources* as from ``current`` (uid, now_hash,
+    now_uri, has_bytes, available) and fits, whether the copy may hold the photo.
+
+    Adds change (none, set, stripped; null for other ops) and the row's photo state after the op: tracked, left_hash,
+    left_uri, right_hash, stripped. Without the bytes, or where the photo isn't available, the row stays untracked.
+    """
+    j = ops.join(sources.select("uid", "now_hash", "now_uri", "has_bytes", "available", "fits"), "uid", "left")
+    copies = F.col("op").isin("create", "copy_group")
+    there, to_left = F.col("now_hash").isNotNull(), F.col("on") == "left"
+    open_row = copies & (F.coalesce("available", F.lit(True)) & (~there | F.col("has_bytes")))
+    change = F.when(~copies, None).when(open_row & there, F.when(to_left & ~F.coalesce("fits", F.lit(True)), "stripped").otherwise("set")).otherwise("none")
+    kept, set_ = F.when(open_row, F.col("now_hash")), F.when(change == "set", F.col("now_hash"))
+    return j.select(
+        *ops.columns,
+        change.alias("change"),
+        F.when(copies, open_row).alias("tracked"),
+        F.when(to_left, set_).otherwise(kept).alias("left_hash"),
+        F.when(~to_left & open_row, F.col("now_uri")).alias("left_uri"),
+        F.when(to_left, kept).otherwise(set_).alias("right_hash"),
+        F.coalesce(change == "stripped", F.lit(False)).alias("stripped"),
+    )
+
+
+def push(raw: Column, target: Column) -> tuple[Column, Column, Column]:
+    """(card as recorded, body to write, change) of a card that replaces *target*, or none (null): it is recorded without
+    photos; what is written keeps the target's."""
+    from pairwright.functions import cards
+
+    bare = cards.without_photos(raw)
+    body = F.coalesce(cards.with_photos_of(bare, target), bare)
+    return bare, body, F.when(body == bare, "none").otherwise("kept")
+
+
 def decide(rows: DataFrame, winner: str = "left") -> DataFrame:
     """Add left_action and right_action (keep, set, remove) to rows with tracked, left_hash, right_hash,
     left_bytes, right_bytes (whether bytes are at hand), left_recorded and right_recorded.

@@ -39,9 +39,13 @@ def read_back(outcomes: DataFrame, server: DataFrame, photos: DataFrame) -> Data
     return done.join(now, "href", "left").select("href", F.coalesce("photo_kind", F.lit("dropped")).alias("photo"))
 
 
-def append_conflicts(conflicts: DataFrame, path: str) -> None:
-    """History is only ever appended, before the winner is written."""
-    conflicts.write.mode("append").parquet(path)
+def append_conflicts(history: DataFrame | None, conflicts: DataFrame, cycle: str) -> DataFrame:
+    """The conflict history with *conflicts* of a cycle. History only ever grows, and is committed before the winner is
+    written; a cycle's conflicts that are there already, because the cycle runs again, are not added twice."""
+    new = conflicts.withColumn("cycle", F.lit(cycle))
+    if history is None:
+        return new
+    return history.unionByName(new.join(history.select("cycle", "uid"), ["cycle", "uid"], "left_anti"))
 
 
 def dump(rows: DataFrame, path: str) -> None:

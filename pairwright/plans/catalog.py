@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from pairwright.plans import cycle, linkage, merge, state
 
-QUERIES: dict = {**merge.QUERIES, **linkage.QUERIES, **state.QUERIES, "cycle_plan": cycle.cycle_plan, "cycle_skips": cycle.cycle_skips}
+QUERIES: dict = {**merge.QUERIES, **linkage.QUERIES, **state.QUERIES, **cycle.QUERIES}
 ORACLE: dict[str, str] = {**merge.ORACLE, **linkage.ORACLE, **state.ORACLE}

@@ -51,11 +51,18 @@ WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 <> 0 THEN p_name || '
 
 
 def pair_identity_mutual(spark, sf_dir):
-    return linkage.mutual(linkage.identity_pairs(*_parts(spark, sf_dir))).select("l", "r", "n_l", "n_r", "accepted")
+    return linkage.identity_match(*_parts(spark, sf_dir))
 
 
 def may_be_same(spark, sf_dir):
-    return linkage.may_be_same(*_parts(spark, sf_dir)).groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    return linkage.may_be_same(*_parts(spark, sf_dir))
+
+
+def token_overlap(spark, sf_dir):
+    """Orders of even and odd customers by the parts they hold: up to seven tokens each, many shared."""
+    line = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5")
+    rows = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.concat(F.lit("p"), F.expr("l_partkey % 1000"))).alias("tokens"))
+    return linkage.overlap(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"))
 
 
 def _refused(spark, sf_dir):
@@ -112,7 +119,7 @@ def relink_aliases(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        pair_uid, pair_content_mutual, candidate_counts, pair_identity_mutual, may_be_same, settle_outcomes, same_cycle_duplicates, synced_duplicates, unmapped_members, relink_groups, relink_aliases,
+        pair_uid, pair_content_mutual, candidate_counts, pair_identity_mutual, may_be_same, token_overlap, settle_outcomes, same_cycle_duplicates, synced_duplicates, unmapped_members, relink_groups, relink_aliases,
     )
 }
 
@@ -123,19 +130,23 @@ ORACLE = {
     "candidate_counts": f"""{_DOCS}, n AS (SELECT h, count(*) AS nr FROM r GROUP BY h), m AS (SELECT h, count(*) AS nl FROM l GROUP BY h)
         SELECT l.id, CASE WHEN nr = 1 THEN nl ELSE nr END AS candidates FROM l JOIN n USING (h) JOIN m USING (h)""",
     "pair_identity_mutual": f"""{_PARTS}
-        SELECT l, r, n_l, n_r, n_l = 1 AND n_r = 1 AS accepted FROM (SELECT *, count(*) OVER (PARTITION BY l) AS n_l, count(*) OVER (PARTITION BY r) AS n_r FROM ident)""",
+        SELECT l AS id, max(n_l) AS n, min(r) AS first, max(n_l) = 1 AND max(n_r) = 1 AS accepted
+        FROM (SELECT *, count(*) OVER (PARTITION BY l) AS n_l, count(*) OVER (PARTITION BY r) AS n_r FROM ident) GROUP BY l""",
+    "token_overlap": """
+        WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 1000 AS tok FROM lineitem WHERE l_linenumber <= 5)
+        SELECT a.id, count(DISTINCT b.id) AS n, min(b.id) AS first FROM t a JOIN t b USING (tok) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.id""",
     "may_be_same": f"""{_PARTS}
-        SELECT l.id AS l, count(*) AS n FROM l JOIN r ON l.name = r.name OR l.tok = r.tok OR (l.tok IS NULL AND r.tok IS NULL AND l.org = r.org) GROUP BY 1""",
-    "settle_outcomes": f"""{_PARTS}{_REFUSED}, f AS (
-          SELECT l.id, l.name, c.c,
-                 EXISTS (SELECT 1 FROM r WHERE r.name IS NULL AND r.tok = l.tok) AS twin, EXISTS (SELECT 1 FROM r WHERE r.id % 4 = 1 AND r.tok = l.tok) AS dupe,
-                 EXISTS (SELECT 1 FROM r WHERE r.name = l.name) AS namesake, (SELECT count(*) FROM named n WHERE n.l = l.id) AS mine,
-                 (SELECT count(*) FROM named n WHERE n.r = (SELECT min(n.r) FROM named n WHERE n.l = l.id)) AS theirs
-          FROM l LEFT JOIN cand c ON c.id = l.id)
-        SELECT id, CASE WHEN c IS NOT NULL THEN 'ambiguous' WHEN name IS NULL AND twin THEN 'ambiguous' WHEN name IS NULL AND dupe THEN 'likely_duplicate'
-                        WHEN name IS NULL OR NOT namesake THEN 'create' ELSE 'ambiguous' END AS outcome,
-               CASE WHEN c IS NOT NULL THEN c WHEN name IS NOT NULL AND namesake THEN CASE mine WHEN 0 THEN 0 WHEN 1 THEN theirs ELSE mine END ELSE 0 END::BIGINT AS candidates FROM f""",
-    "same_cycle_duplicates": f"{_PARTS} SELECT DISTINCT a.id FROM l a JOIN l b ON a.tok = b.tok WHERE a.name IS NULL AND b.name IS NOT NULL",
+        SELECT l.id, count(*) AS n, min(r.id) AS first FROM l JOIN r ON l.name = r.name OR l.tok = r.tok OR (l.tok IS NULL AND r.tok IS NULL AND l.org = r.org) GROUP BY 1""",
+    "settle_outcomes": f"""{_PARTS}{_REFUSED}, twin AS (SELECT l.id AS l, r.id AS r FROM l JOIN r ON l.name IS NULL AND r.name IS NULL AND l.tok = r.tok),
+        pairs AS (SELECT 'twin' AS k, * FROM twin UNION ALL SELECT 'alike', * FROM ident),
+        counted AS (SELECT *, count(*) OVER (PARTITION BY k, l) AS nl, count(*) OVER (PARTITION BY k, r) AS nr FROM pairs),
+        num AS (SELECT k, l, CASE WHEN max(nl) = 1 THEN max(nr) ELSE max(nl) END AS n FROM counted GROUP BY k, l),
+        dupe AS (SELECT l.id AS l, count(*) AS n FROM l JOIN r ON r.id % 4 = 1 AND r.tok = l.tok WHERE l.name IS NULL GROUP BY 1)
+        SELECT l.id, CASE WHEN c.c IS NOT NULL OR l.name IS NULL AND t.n IS NOT NULL THEN 'ambiguous' WHEN l.name IS NULL AND d.n IS NOT NULL THEN 'likely_duplicate'
+                          WHEN l.name IS NULL OR l.name NOT IN (SELECT name FROM r WHERE name IS NOT NULL) THEN 'create' ELSE 'ambiguous' END AS outcome,
+               CASE WHEN c.c IS NOT NULL THEN c.c WHEN l.name IS NULL THEN coalesce(t.n, d.n, 0) WHEN l.name NOT IN (SELECT name FROM r WHERE name IS NOT NULL) THEN 0 ELSE coalesce(a.n, 0) END::BIGINT AS candidates
+        FROM l LEFT JOIN cand c ON c.id = l.id LEFT JOIN num t ON t.k = 'twin' AND t.l = l.id LEFT JOIN num a ON a.k = 'alike' AND a.l = l.id LEFT JOIN dupe d ON d.l = l.id""",
+    "same_cycle_duplicates": f"{_PARTS} SELECT a.id, count(DISTINCT b.id) AS candidates FROM l a JOIN l b ON a.tok = b.tok WHERE a.name IS NULL AND b.name IS NOT NULL GROUP BY 1",
     "synced_duplicates": """
         WITH s AS (SELECT s_suppkey AS i, s_nationkey AS t, s_suppkey % 3 <> 0 AS bare FROM supplier),
              b AS (SELECT a.i, min(c.i) AS j FROM s a JOIN s c ON a.t = c.t AND a.i <> c.i WHERE a.bare GROUP BY a.i)

@@ -70,11 +70,32 @@ def test_unknown_entries_defer_deletes(spark):
 
 def test_no_pair_blowup_in_plans(spark):
     df = spark.createDataFrame([(1, "n", ["p:1"], "o", "h")], "id long, name string, tokens array<string>, org string, hash string")
-    for out in (linkage.identity_pairs(df, df), linkage.may_be_same(df, df), linkage.overlapping(df, df), linkage.content_match(df, df)):
+    for out in (linkage.identity_match(df, df), linkage.may_be_same(df, df), linkage.overlap(df, df), linkage.content_match(df, df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_one_number_on_very_many_cards(spark):
+    """A hundred thousand cards a side that share a number would be ten billion pairs; here they are counted."""
+    n = 100_000
+    side = lambda s: spark.range(n).select(F.col("id"), F.array(F.lit("p:0"), F.concat(F.lit(s), F.col("id") % 1000)).alias("tokens"), F.lit("same").alias("name"), F.lit(None).cast("string").alias("org"))
+    out = linkage.overlap(side("e:"), side("e:")).agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.max("first")).first()
+    assert tuple(out) == (n, n, n, 0)
+    assert linkage.identity_match(side("l:"), side("r:")).filter(f"n = {n} AND NOT accepted").count() == n
+    rows = side("l:").select(F.col("id").alias("idx"), F.when(F.col("id") == 0, "n").alias("name"), "tokens")
+    assert tuple(linkage.synced_duplicates(rows).agg(F.count(F.lit(1)), F.max("other")).first()) == (n - 1, 0)
+
+
+def test_overlap_of_wide_records(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [[(i, rng.sample([f"t{k}" for k in range(60)], rng.choice([0, 1, 3, 7, 8, 9, 20]))) for i in range(70)] for _ in range(2)]
+    a, b = (spark.createDataFrame(r, "id long, tokens array<string>") for r in rows)
+    want = {i: [j for j, y in rows[1] if set(x) & set(y)] for i, x in rows[0]}
+    assert {r.id: (r.n, r.first) for r in linkage.overlap(a, b).collect()} == {i: (len(js), js[0]) for i, js in want.items() if js}
+
+
 def test_state_store(spark, tmp_path):
     store = statestore.StateStore(spark, str(tmp_path / "s"))
     assert store.version() is None and store.read("contacts") is None
@@ -176,7 +197,50 @@ def test_failures_and_report(spark, tmp_path):
     report.write_report(lines, str(tmp_path / "report"))
     text = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
     assert text[0].startswith("in_sync 1, conflicts 0, reuid 0, by_identity 1") and text[1:] == ["In sync:", "  uid=u1", "Paired by identity:", "  uid=u2", "To copy:", "  uid=u3 to left"]
-    assert cdc.is_idle(0, 0, 0, 2, 0) and not cdc.is_idle(0, 1, 0, 2, 0)
+
+
+def test_delta_rules(spark):
+    rows = [(1, 1, "/b/x", 200, "1", "t1"), (1, 2, "/b/y", 404, None, "t1"), (1, 3, "/b/z", 200, "1", "t1"), (2, 1, "/b/x", 200, None, "t2"), (2, 2, "/b/y", 404, None, "t2"), (2, 3, "/b/y", 200, None, "t2"), (2, 4, "/b/z", 404, None, "t2")]
+    pages = spark.createDataFrame(rows, "page int, ord int, href string, status int, etag string, token string")
+    got = {r.href: (r.kind, r.etag) for r in cdc.latest_changes(pages).collect()}
+    assert got == {"/b/x": ("changed", "1"), "/b/y": ("removed", None), "/b/z": ("removed", None)}  # members without an etag are no observation
+    more = pages.unionByName(spark.createDataFrame([(1, 9, "/b/", 507, None, "t1"), (2, 8, "/b/sub/", 200, "1", "t2")], pages.schema))
+    assert {r.href for r in cdc.members(more, "/b").collect()} == {"/b/x", "/b/y", "/b/z"}
+    assert tuple(cdc.delta_pages(more, "/b").first()) == (2, True, "t2", None)
+    assert tuple(cdc.delta_pages(more.filter("page = 1"), "/b").first()) == (1, False, "t1", None)
+    assert tuple(cdc.delta_pages(more.filter("page = 1"), "/b", 1).first()) == (1, False, None, "permanent")
+    assert cdc.delta_pages(more.withColumn("token", F.lit(None).cast("string")), "/b").first().error == "permanent"
+    codes = spark.createDataFrame([(403, "<d:error><d:valid-sync-token/></d:error>", True), (409, "<valid-sync-token></valid-sync-token>", True), (403, "<d:valid-sync-token/>", False), (500, "<d:valid-sync-token/>", True), (400, None, True)], "c int, b string, t boolean")
+    assert [r[0] for r in codes.select(cdc.token_rejected(F.col("c"), F.col("b"), F.col("t"))).collect()] == [True, True, False, False, False]
+    ends = spark.createDataFrame([("a", True, "t", False), ("b", True, "t", True), ("c", True, None, False), ("d", False, None, False), ("e", True, None, True)], "side string, supports_sync boolean, token string, rejected boolean")
+    assert {r.side: r.listing for r in cdc.choose_listing(ends).collect()} == {"a": "delta", "b": "full", "c": "full", "d": "etags", "e": "permanent"}
+
+
+def test_idle(spark):
+    state = spark.createDataFrame([("a", "/l/a", "/r/a", False), ("b", "/l/b", "/r/b", False), ("c", "/l/c", "/r/c", False), ("d", "/l/d", "/r/d", True)], "uid string, left_href string, right_href string, photo_tracked boolean")
+    failed = spark.createDataFrame([("left", "/x", "a", False), ("right", "/r/b", None, False)], "side string, href string, uid string, due boolean")
+    ends = spark.createDataFrame([("left", "t", True), ("right", "t", True)], "side string, token string, supports_sync boolean")
+    none, held = spark.createDataFrame([], "href string"), spark.createDataFrame([("c",)], "uid string")
+    facts = lambda **x: cdc.idle_facts(**({"state": state, "failures": failed, "journal": none, "endpoints": ends, "deltas": none, "held_deletes": held} | x)).first()
+    assert facts().idle and not facts(held_deletes=held.limit(0)).idle and facts(held_deletes=held.limit(0)).untracked == 1
+    assert not facts(journal=held).idle and not facts(endpoints=ends.limit(1)).idle and not facts(deltas=spark.createDataFrame([("h",)], "href string")).idle
+    assert not facts(failures=failed.withColumn("due", F.lit(True))).idle
+    listing = spark.createDataFrame([("left", "/l/a"), ("left", "/l/a"), ("right", "/r/b")], "side string, href string")
+    assert [r.uid for r in cdc.seen_rows(state, listing, "left").collect()] == ["a"]
+
+
+def test_store_operations(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, uid string")
+    left, told = statestore.delete_rows(rows, spark.createDataFrame([("a",), ("z",)], "uid string"), ["uid"])
+    assert [r.id for r in left.collect()] == [2] and {r.uid: r.found for r in told.collect()} == {"a": True, "z": False}
+    assert [r.id for r in statestore.newest_first(rows).collect()] == [3, 2, 1] and [r.id for r in statestore.newest_first(rows, F.lit("a")).collect()] == [3, 1]
+    assert [r.id for r in statestore.in_order(rows.sort(F.desc("id"))).collect()] == [1, 2, 3]
+    ends = spark.createDataFrame([("left", 1, "t", "u"), ("right", 4, None, "v")], "side string, version long, token string, url string")
+    table, told = statestore.set_token(ends, spark.createDataFrame([("left", "t"), ("right", "n"), ("else", "x")], "side string, token string"))
+    assert {r.side: (r.version, r.token, r.url) for r in table.collect()} == {"left": (1, "t", "u"), "right": (5, "n", "v")}
+    assert {r.side: r.outcome for r in told.collect()} == {"left": "unchanged", "right": "written", "else": "not_found"}
+    bad = spark.createDataFrame([("left", "read", 1), ("up", "read", 1), ("left", "x", 1), ("left", "read", 0), ("left", "read", None)], "side string, op string, attempts int")
+    assert [r.corrupt for r in statestore.decode(bad, "failures").collect()] == [None, "side", "op", "attempts", "attempts"]
 
 
 def test_cards_held_after_a_failure(spark):
