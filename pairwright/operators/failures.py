@@ -43,6 +43,12 @@ def is_fatal(error: Column) -> Column:
     return error.isin(*FATAL)
 
 
+def holds_on_abort(op: Column, origin: Column) -> Column:
+    """Whether an op that an account-wide error ended holds its cards: only a synced record's. One card of an unsynced pair,
+    held alone, would make the other look unique and be copied back."""
+    return op.isin("update", "delete", "resurrect") | F.coalesce((op == "conflict") & (origin == "sync"), F.lit(False))
+
+
 def replay_history(events: DataFrame, key: list[str], order: list[str], base: int = 120, cap: int = 86_400) -> DataFrame:
     """The failure rows after a history of events (*key*, etag, at, ...): an equal etag (null-safe) counts one up,
     another restarts at 1.

@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from pairwright.functions.shared import cut
 from pairwright.operators import report
-from pairwright.plans import cycle
+from pairwright.operators.statestore import StateStore
+from pairwright.plans import apply, cycle
 from tests import plain_cycle
 
 SF = "/root/testdata/sf0.001"
@@ -15,6 +17,15 @@ SNAP = "href string, etag string, kind string, uid string, hash string, content
 STATE = "id long, uid string, left_href string, right_href string, stored_hash string, name string, tokens array<string>, org string"
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """A cycle is many small jobs here."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def made_up(seed):
     """Both sides and the state of some hundred records with many clashes of every kind."""
     rng = random.Random(seed)
@@ -109,3 +120,64 @@ def test_stale_hashes_and_failed_photos(spark):
     plan = cycle.plan_cycle(data[0], data[1], stale, failed_photos=failed)
     assert {(r.uid, r.op, r.on, r.hash) for r in plan.ops.collect()} == {("a", "refresh", "both", None), ("b", "refresh", None, "new")}
     assert [(r.uid, r.diag, r.href) for r in plan.diagnostics.collect()] == [("c", "photo_unavailable", "/l/c")]
+
+
+COLLECTIONS = {"left": "/l/", "right": "/r/"}
+
+
+def vcard(uid, name, tel, *more):
+    lines = ["BEGIN:VCARD", "VERSION:3.0", f"UID:{uid}", *([f"FN:{name}"] if name else []), *([f"TEL:{tel}"] if tel else []), *more, "END:VCARD", ""]
+    return bytearray("\r\n".join(lines).encode())
+
+
+def entries(server, side, failed=None):
+    rows = server.filter(F.col("side") == side)
+    return apply.snapshot_cards(rows.select("href", "etag", F.lit("fetched").alias("kind"), "body"))
+
+
+def one_cycle(spark, store, server, errors=None, at=0):
+    version = store.version()
+    state = found if (found := store.read("contacts", version)) is not None else spark.createDataFrame([], apply.STATE)
+    server = cut(server)
+    snaps = {s: cut(entries(server, s)) for s in ("left", "right")}
+    plan = cycle.plan_cycle(snaps["left"], snaps["right"], state)
+    own = None
+    for s in snaps:
+        rows = snaps[s].select(F.lit(s).alias("side"), "uid", "href", "etag", "name", "tokens", "org").join(server.filter(F.col("side") == s).select("href", "body"), "href")
+        own = rows if own is None else own.unionByName(rows)
+    own = cut(own.filter("uid IS NOT NULL"))
+    done = apply.apply_plan(plan.ops, own.select("side", "uid", "href", "etag", "body"), server, COLLECTIONS, errors)
+    listing = server.select("side", "href")
+    apply.finish(store, version, plan, done, own, at, listing, listing.limit(0), {"left": f"t{at}", "right": f"t{at}"}, f"c{at}")
+    return plan, done
+
+
+def test_cycles_converge_on_recorded_servers(spark, tmp_path):
+    left = [("a", "Ann", "+1"), ("b", "Bob", "+2"), ("moved", "Moe", "+3"), ("id1", "Ida", "+4"), ("clash", "Cleo", "+5")]
+    right = [("a", "Ann", "+1"), ("m2", "Moe", "+3"), ("id2", "ida", "+4"), ("clash", "Cleo B", "+5"), ("z", "Zoe", "+6")]
+    rows = [(s, f"/{s[0]}/{u}", "0", vcard(u, n, t, *(["NOTE:other"] if u == "id2" else []))) for s, side in (("left", left), ("right", right)) for u, n, t in side]
+    server = spark.createDataFrame(rows, "side string, href string, etag string, body binary")
+    store = StateStore(spark, str(tmp_path / "store"))
+    plan, done = one_cycle(spark, store, server, at=1)
+    assert {(r.uid, r.op, r.on) for r in plan.ops.collect()} == {("a", "adopt", None), ("clash", "conflict", "right"), ("moved", "recreate", "right"), ("id1", "recreate", "right"), ("b", "create", "right"), ("z", "create", "left")}
+    assert all(r.reason is None for r in done.outcomes.collect()) and not done.aborted
+    assert {r.uid for r in store.read("contacts").collect()} == {"a", "b", "moved", "id1", "clash", "z"} and store.read("pending").count() == 0
+    assert {(r.uid, r.origin, r.winner, bytes(r.right_body) == bytes(vcard("clash", "Cleo B", "+5"))) for r in store.read("conflicts").collect()} == {("clash", "baseline", "left", True), ("id1", "baseline", "left", False)}
+    bodies = {(r.side, r.uid): r.hash for s in ("left", "right") for r in entries(done.server, s).withColumn("side", F.lit(s)).collect()}
+    assert len(bodies) == 12 and all(bodies["left", u] == bodies["right", u] for _, u in bodies)
+    idle, _ = one_cycle(spark, store, done.server, at=2)
+    assert {r.op for r in idle.ops.collect()} <= {"refresh"} and not idle.skips.count()
+    # One side edits, the other deletes; one write is refused, then the account locks.
+    minted = {r.uid: r.href for r in entries(done.server, "right").collect()}
+    edited = done.server.filter("href NOT IN ('/l/a')").withColumn("body", F.when(F.col("href") == "/l/b", F.lit(bytes(vcard("b", "Bobby", "+2")))).when(F.col("href") == "/l/clash", F.lit(bytes(vcard("clash", "Cleopatra", "+5")))).otherwise(F.col("body")))
+    edited = edited.withColumn("etag", F.when(F.col("href").isin("/l/b", "/l/clash"), "9").otherwise(F.col("etag")))
+    errors = spark.createDataFrame([("right", minted["b"], "permanent")], "side string, href string, error string")
+    plan, done = one_cycle(spark, store, edited, errors, at=3)
+    assert {r.uid: r.reason for r in done.outcomes.filter("op <> 'refresh'").collect()} == {"a": None, "b": "rejected", "clash": None}
+    assert {(r.side, r.href, r.uid, r.op, r.attempts, r.reason) for r in store.read("failures").collect()} == {("left", "/l/b", "b", "update", 1, "rejected")}
+    assert "a" not in {r.uid for r in store.read("contacts").collect()} and store.meta()["tokens"]["left"] == "t3"
+    fatal = spark.createDataFrame([("right", minted["b"], "unauthorized")], "side string, href string, error string")
+    _, done = one_cycle(spark, store, done.server, fatal, at=4)
+    assert done.aborted and store.meta()["tokens"]["left"] == "t3"
+    assert {(r.href, r.attempts, r.reason) for r in store.read("failures").collect()} == {("/l/b", 2, "unauthorized")}
+    assert store.read("conflicts").count() == 2
