@@ -134,10 +134,73 @@ def photo_downloads(spark, sf_dir):
     return photos.downloads(fetched, state)
 
 
+def _card_photos(spark, sf_dir):
+    """Orders as cards with a photo of each kind, tracked or not, and what was downloaded."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(k % 5 == 0, "inline").when(k % 5 == 1, "unreadable").when(k % 5 < 4, "uri")
+    rows = o.select(F.when(k % 2 == 0, "left").otherwise("right").alias("side"), k.cast("string").alias("uid"), kind.alias("kind"), F.when(k % 5 == 0, F.concat(F.lit("h"), k)).alias("hash"), F.when((k % 5 == 2) | (k % 5 == 3), F.concat(F.lit("https://h/"), k % 300)).alias("uri"))
+    state = o.filter("o_orderkey % 7 <> 0").select(k.cast("string").alias("uid"), (k % 3 != 0).alias("photo_tracked"), F.concat(F.lit("https://h/"), F.when(k % 11 == 0, k % 299).otherwise(k % 300)).alias("photo_uri"), F.when(k % 13 != 0, F.concat(F.lit("s"), k)).alias("photo_hash"))
+    down = spark.range(300).filter("id % 4 <> 0").select(F.concat(F.lit("https://h/"), "id").alias("uri"), F.when(F.col("id") % 6 != 0, F.concat(F.lit("d"), "id")).alias("hash"))
+    return rows, state, down
+
+
+def photo_current(spark, sf_dir):
+    return photos.current(*_card_photos(spark, sf_dir))
+
+
+def photo_copies(spark, sf_dir):
+    """Copies of those cards to the other side."""
+    now = photos.current(*_card_photos(spark, sf_dir))
+    k = F.col("uid").cast("long")
+    ops = now.select("uid", F.when(k % 17 == 0, "update").when(k % 19 == 0, "copy_group").otherwise("create").alias("op"), F.when(F.col("side") == "left", "right").otherwise("left").alias("on"))
+    return photos.attach_to_copies(ops, now.withColumn("fits", k % 10 != 5))
+
+
+def photo_blocked(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    entries = o.select(F.concat(F.lit("/l/"), k).alias("href"), F.when(k % 4 == 0, "held").otherwise("fetched").alias("kind"), F.when(k % 4 != 0, k).alias("uid"))
+    return photos.blocked(entries, o.filter("o_orderkey % 6 = 1").select(k.alias("uid"), F.when(k % 5 == 0, "too_large").otherwise("transient").alias("reason")))
+
+
+def photo_recorded(spark, sf_dir):
+    v = F.col("vec_id")
+    state = table(spark, sf_dir, "embeddings").select(v.alias("uid"), F.when(v % 3 != 0, F.concat(F.lit("l"), v)).alias("left_photo_hash"), F.when(v % 4 == 0, F.concat(F.lit("u"), v)).alias("left_photo_uri"), F.when(v % 5 != 0, F.concat(F.lit("r"), v)).alias("right_photo_hash"))
+    return photos.recorded(state)
+
+
 def photo_fit(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", photos.fits(F.col("o_orderkey") % 1000, (F.col("o_orderkey") * 37) % 300_000).alias("fits"))
 
 
+def hex_hashes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    digest = F.sha2(k.cast("string").cast("binary"), 256)
+    raw = F.when(k % 4 == 0, F.upper(digest)).when(k % 4 == 1, F.substring(digest, 1, 63)).when(k % 4 == 2, F.concat(F.substring(digest, 1, 63), F.lit("g"))).otherwise(digest)
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.hex_digest(raw).alias("hash"))
+
+
+def row_decode(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, F.when(k % 7 == 0, "middle").otherwise("left").alias("side"), F.when(k % 5 == 0, F.lit(None)).otherwise("read").alias("op"), (k % 3).alias("attempts"))
+    return statestore.decode(rows, "failures").select("o_orderkey", "corrupt")
+
+
+def token_set(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    stored = c.filter("c_custkey % 4 <> 0").select(k.alias("side"), (k % 3).alias("version"), F.when(k % 5 != 0, F.lit("t")).alias("token"))
+    table_, told = statestore.set_token(stored, c.filter("c_custkey % 2 = 0").select(k.alias("side"), F.when(k % 6 == 0, "t").otherwise("n").alias("token")))
+    return table_.join(told, "side", "full_outer")
+
+
+def rows_deleted(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    kept, told = statestore.delete_rows(o.select("o_orderkey", F.col("o_custkey").alias("uid")), c.select((F.col("c_custkey") * 3).alias("uid")), ["uid"])
+    return kept.groupBy("uid").agg(F.count(F.lit(1)).alias("kept")).join(told, "uid", "full_outer")
+
+
 def status_class(spark, sf_dir):
     code = (200 + F.col("o_orderkey") % 400).cast("int")
     return table(spark, sf_dir, "orders").select("o_orderkey", T.status_class(code).alias("class"), failures.is_fatal(T.status_class(code)).alias("fatal"), failures.reason(T.status_class(code)).alias("reason"))
@@ -199,7 +262,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         failure_history, failure_attempts, failure_record, failures_resolved, backoff, state_upsert, update_versioned, last_seen_max, journal_replace, endpoint_upsert, replay_journal, photo_decide,
-        photo_next_state, photo_merge, photo_downloads, photo_fit, status_class, retry_after, collection_pick, mint_href, dump_sorted, text_forms, canonical_dates, canonical_hash,
+        photo_next_state, photo_merge, photo_downloads, photo_current, photo_copies, photo_blocked, photo_recorded, photo_fit, hex_hashes, row_decode, token_set, rows_deleted, status_class, retry_after, collection_pick, mint_href, dump_sorted, text_forms, canonical_dates, canonical_hash,
     )
 }
 
@@ -223,6 +286,18 @@ FROM (SELECT *, left_hash IS DISTINCT FROM left_recorded AS ln, right_hash IS DI
 """
 
 
+_CURRENT = """
+SELECT *, CASE WHEN kind = 'inline' THEN hash WHEN kind = 'uri' AND side = 'left' THEN coalesce(known, down) WHEN kind = 'uri' THEN sha256(uri) WHEN kind = 'unreadable' THEN sha256(uid) END AS now_hash,
+       CASE WHEN kind = 'uri' AND side = 'left' AND (known IS NOT NULL OR down IS NOT NULL) THEN uri END AS now_uri,
+       coalesce(kind = 'inline' OR kind = 'uri' AND side = 'left' AND known IS NULL AND down IS NOT NULL, false) AS has_bytes,
+       NOT coalesce(kind = 'uri' AND side = 'left' AND known IS NULL AND down IS NULL, false) AS available
+FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, o_orderkey::VARCHAR AS uid,
+             CASE o_orderkey % 5 WHEN 0 THEN 'inline' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'uri' WHEN 3 THEN 'uri' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN 'h' || o_orderkey END AS hash,
+             CASE WHEN o_orderkey % 5 IN (2, 3) THEN 'https://h/' || (o_orderkey % 300) END AS uri,
+             CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 13 <> 0 AND (o_orderkey % 11 <> 0 OR o_orderkey % 299 = o_orderkey % 300) THEN 's' || o_orderkey END AS known,
+             CASE WHEN o_orderkey % 300 % 4 <> 0 AND o_orderkey % 300 % 6 <> 0 THEN 'd' || (o_orderkey % 300) END AS down FROM orders)
+"""
+
 ORACLE = {
     "failure_history": f"SELECT user_id, event_id, attempts, first_at, {_WAIT.format('attempts')} AS wait_s FROM ({_HIST})",
     "failure_attempts": f"""SELECT user_id, event_type AS etag, attempts, first_at, {_WAIT.format('attempts')} AS wait_s
@@ -259,6 +334,28 @@ ORACLE = {
                      CASE right_action WHEN 'remove' THEN 'removed' WHEN 'set' THEN 'set' END AS rc FROM ({_photo_sql('right')}))""",
     "photo_downloads": """
         SELECT DISTINCT 'https://h/' || (o_orderkey % 500) AS uri FROM orders WHERE o_orderkey % 9 <> 0 AND (o_orderkey % 50 = 0 OR o_orderkey % 70 = 0 OR o_orderkey % 60 = 0 OR o_orderkey % 80 = 0)""",
+    "photo_current": f"SELECT side, uid, kind, hash, uri, now_hash, now_uri, has_bytes, available FROM ({_CURRENT})",
+    "photo_copies": f"""
+        SELECT uid, op, "on", CASE WHEN copies THEN CASE WHEN open AND now_hash IS NOT NULL THEN CASE WHEN "on" = 'left' AND k % 10 = 5 THEN 'stripped' ELSE 'set' END ELSE 'none' END END AS change,
+               CASE WHEN copies THEN open END AS tracked, CASE WHEN open THEN CASE WHEN "on" = 'right' THEN now_hash WHEN k % 10 <> 5 THEN now_hash END END AS left_hash,
+               CASE WHEN open AND "on" = 'right' THEN now_uri END AS left_uri, CASE WHEN open THEN now_hash END AS right_hash, coalesce(open AND now_hash IS NOT NULL AND "on" = 'left' AND k % 10 = 5, false) AS stripped
+        FROM (SELECT *, op <> 'update' AS copies, op <> 'update' AND available AND (now_hash IS NULL OR has_bytes) AS open FROM (
+          SELECT *, CASE WHEN k % 17 = 0 THEN 'update' WHEN k % 19 = 0 THEN 'copy_group' ELSE 'create' END AS op, CASE side WHEN 'left' THEN 'right' ELSE 'left' END AS "on" FROM ({_CURRENT})))""",
+    "photo_blocked": """
+        SELECT o_orderkey AS uid, '/l/' || o_orderkey AS href, CASE WHEN o_orderkey % 5 = 0 THEN 'too_large' ELSE 'transient' END AS reason FROM orders WHERE o_orderkey % 6 = 1 AND o_orderkey % 4 <> 0""",
+    "photo_recorded": """
+        SELECT 'left' AS side, vec_id AS uid, 'l' || vec_id AS now_hash, CASE WHEN vec_id % 4 = 0 THEN 'u' || vec_id END AS now_uri, false AS has_bytes FROM embeddings WHERE vec_id % 3 <> 0
+        UNION ALL SELECT 'right', vec_id, 'r' || vec_id, NULL, false FROM embeddings WHERE vec_id % 5 <> 0""",
+    "hex_hashes": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 3) THEN sha256(o_orderkey::VARCHAR) END AS hash FROM orders",
+    "row_decode": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'side' WHEN o_orderkey % 5 = 0 THEN 'op' WHEN o_orderkey % 3 = 0 THEN 'attempts' END AS corrupt FROM orders",
+    "token_set": """
+        SELECT side, CASE WHEN here THEN version + (wanted AND new IS DISTINCT FROM token)::INT END AS version, CASE WHEN wanted AND here THEN new ELSE token END AS token,
+               CASE WHEN wanted THEN CASE WHEN NOT here THEN 'not_found' WHEN new IS NOT DISTINCT FROM token THEN 'unchanged' ELSE 'written' END END AS outcome
+        FROM (SELECT c_custkey AS side, c_custkey % 4 <> 0 AS here, c_custkey % 2 = 0 AS wanted, c_custkey % 3 AS version, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 THEN 't' END AS token,
+                     CASE WHEN c_custkey % 6 = 0 THEN 't' ELSE 'n' END AS new FROM customer) WHERE here OR wanted""",
+    "rows_deleted": """
+        WITH a AS (SELECT c_custkey * 3 AS uid FROM customer), n AS (SELECT o_custkey AS uid, count(*) AS n FROM orders GROUP BY 1)
+        SELECT uid, CASE WHEN a.uid IS NULL THEN n END AS kept, CASE WHEN a.uid IS NOT NULL THEN n IS NOT NULL END AS found FROM a FULL JOIN n USING (uid)""",
     "photo_fit": """
         SELECT o_orderkey, o_orderkey % 1000 + e + ceil(e / 74) * 3 + 40 <= 280000 AS fits FROM (SELECT o_orderkey, ceil((o_orderkey * 37 % 300000) / 3) * 4 AS e FROM orders)""",
     "status_class": """
