@@ -7,7 +7,8 @@ it. A misspelt word shares most of its n-grams with the word, so
 it needs no entry of its own. As the model is linear, scoring needs one number per n-gram bucket: that table
 (2^``bits`` floats) is all that is sent to the tasks.
 
-The sample holds at most ``per_class`` rows of each label. Rows whose crc32(doc_id) mod 5 is 0 are held out.
+The sample holds at most ``per_class`` rows of each label; n-grams that fewer than one of its texts in ``rare`` has are
+not learnt. Score and sample take whole texts, however long. Rows whose crc32(doc_id) mod 5 is 0 are held out.
 
 Defined cases: null and empty texts have no n-grams and get the bias alone; texts are read whole; labels that are
 null are not used; a label that repeats counts once (the larger); rows without doc_id are scored and not held out;
@@ -31,6 +32,8 @@ STEPS = 1100
 L2 = 1e-5
 #: How much the rarer kind of label counts more in training: 0 not at all, 1 until both kinds weigh the same.
 POWER = 0.5
+#: An n-gram is learnt if one text in so many of the sample has it, and three at least; rarer ones would be learnt by heart.
+RARE = 120
 
 
 class Grams:
@@ -63,7 +66,7 @@ class Grams:
         return np.flatnonzero(seen)
 
 
-def train(texts: list[str | None], labels: list[int], rate: float, bits: int = BITS, dim: int = DIM, steps: int = STEPS, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(texts: list[str | None], labels: list[int], rate: float, bits: int = BITS, dim: int = DIM, steps: int = STEPS, seed: int = 5, rare: int = RARE) -> tuple[np.ndarray, float]:
     """(weight per bucket, bias): the trained model, folded to one logit."""
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
@@ -71,8 +74,8 @@ def train(texts: list[str | None], labels: list[int], rate: float, bits: int = B
         return np.zeros(1 << bits, np.float32), float(np.log(rate / (1 - rate)))
     grams = Grams(bits)
     found = [grams.of(t) for t in texts]
-    # Buckets of n-grams that fewer than one text in 120 has keep the zero vector: they would only be learnt by heart.
-    used = np.bincount(np.concatenate(found), minlength=1 << bits) >= max(3, len(texts) // 120)
+    # Buckets of rarer n-grams keep the zero vector.
+    used = np.bincount(np.concatenate(found), minlength=1 << bits) >= max(3, len(texts) // rare)
     bags = [(b[used[b]], np.float32(1 / max(1, len(b)))) for b in found]
     rng = np.random.default_rng(seed)
     emb = (rng.normal(0, 0.1, (1 << bits, dim)) * used[:, None]).astype(np.float32)
