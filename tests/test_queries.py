@@ -25,7 +25,8 @@ def con():
     return out
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+# The cycle's queries are views of one plan, which test_cycle.py holds against a plain planner on the same tables.
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if not n.startswith("cycle_") or n in catalog.ORACLE))
 def test_query(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     names = sorted(df.columns)
