@@ -5,7 +5,9 @@ lines), by the cosine of sparse TF-IDF vectors, and so is every window of as man
 line ends, that holds the words which name the license. The best at or above ``min_cosine`` names the file's license.
 Document frequencies of the templates' terms are counted over all files and taken as shares of at most ``IDF_FILES``
 files, so more files of the same kind change no score; any other term weighs like one that no file has, so unrelated
-words inside a notice pull a cosine down and those around it don't. A license file's finding holds for its directory;
+words inside a notice pull a cosine down and those around it don't. Whole license texts come first: a window as long as
+such a text with a cosine of ``full_cosine`` names the license, the best text wins, and notices are not asked (their
+first sentences are in several texts). A license file's finding holds for its directory;
 a file without one of its own takes that of its nearest ancestor directory.
 
 Defined cases: a null or empty text has no license; a null path has no directory and inherits nothing; of several
@@ -62,6 +64,70 @@ NOTICES = {
     "MPL-2.0": ("Mozilla Public License Version 2.0", "Mozilla Public License 2.0"),
     "Unlicense": ("The Unlicense",),
 }
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"""
+_ISC_NOTICE = """, provided that the above copyright notice and this permission notice appear in all copies"""
+_ISC_REST = """. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES
+OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution."""
+_BSD_ADVERTISING = """ All advertising materials mentioning features or use of this software must display the following acknowledgement: This
+product includes software developed by the organization."""
+_BSD_NAME = """ Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission."""
+_BSD_REST = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by
+any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+the software to the public domain."""
+_APACHE = """you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free
+Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope
+that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+the GNU {name} for more details."""
+#: Whole texts and headers by SPDX-like name, with words that each must have; fixed values.
+FULL_TEXTS = {
+    "0BSD": (_ISC + _ISC_REST, "fee granted tortious"),
+    "AGPL-3.0": (_GNU.format(name="Affero General Public License", version="3"), "gnu affero general public 3 redistribute"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the License); " + _APACHE, "apache 2.0 compliance governing"),
+    "BSD-2-Clause": (_BSD + _BSD_REST, "redistribution retain reproduce disclaimed"),
+    "BSD-3-Clause": (_BSD + _BSD_NAME + _BSD_REST, "redistribution retain reproduce disclaimed endorse promote"),
+    "BSD-4-Clause": (_BSD + _BSD_ADVERTISING + _BSD_NAME + _BSD_REST, "redistribution retain reproduce disclaimed endorse promote advertising mentioning"),
+    "GPL-2.0": (_GNU.format(name="General Public License", version="2"), "gnu general public 2 redistribute"),
+    "GPL-3.0": (_GNU.format(name="General Public License", version="3"), "gnu general public 3 redistribute"),
+    "ISC": (_ISC + _ISC_NOTICE + _ISC_REST, "fee granted provided appear tortious"),
+    "LGPL-3.0": (_GNU.format(name="Lesser General Public License", version="3"), "gnu lesser general public 3 redistribute"),
+    "MIT": (_MIT, "permission granted sublicense noninfringement"),
+    "Unlicense": (_UNLICENSE, "unencumbered jurisdictions dedicate"),
+    "Zlib": (_ZLIB, "misrepresented altered plainly"),
+}
+#: A window as long as a whole text is that text from this cosine on.
+FULL_COSINE = 0.85
 #: Words that name a license; a notice that has some of them is found only where they all stand.
 NAMING = frozenset(
     """affero agpl apache attribution binary bsd by cc endorse general gpl granted lesser lgpl mit mozilla nc noncommercial permission redistribution
@@ -93,7 +159,7 @@ def required(notice: str) -> frozenset[str]:
 
 def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
     """Number of files, and in how many each term of the templates occurs (a bounded vocabulary)."""
-    vocabulary = sorted({t for _, x in templates() for t in terms(x)})
+    vocabulary = sorted({t for _, x in templates() for t in terms(x)} | {t for x, _ in FULL_TEXTS.values() for t in terms(x)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, n = set(vocabulary), Counter(), 0
@@ -109,9 +175,9 @@ def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
 
 
 class Matcher:
-    """Cosines of lines and windows to all templates."""
+    """Cosines of lines and windows to all templates; the notices come first in its lists, then the whole texts."""
 
-    def __init__(self, n_files: int, df: dict[str, int], min_cosine: float = MIN_COSINE) -> None:
+    def __init__(self, n_files: int, df: dict[str, int], min_cosine: float = MIN_COSINE, full_cosine: float = FULL_COSINE) -> None:
         self.notices = templates()
         self.names = [name for name, _ in self.notices]
         self.required = [frozenset() if x == TEMPLATES[name] else required(x) for name, x in self.notices]
@@ -121,17 +187,26 @@ class Matcher:
         n = min(n_files, IDF_FILES)
         scale = n / n_files if n_files else 0.0
         self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0) * scale)) + 1 for _, x in self.notices for t in terms(x)}
+        self.full_idf = {t: math.log((1 + n) / (1 + df.get(t, 0) * scale)) + 1 for x, _ in FULL_TEXTS.values() for t in terms(x)}
+        self.full_cosine = full_cosine
         self.other = math.log(1 + n) + 1
         self.postings: dict[str, list[tuple[int, float]]] = {}
         self.weights: list[dict[str, float]] = []
         self.sizes: list[int] = []
         for k, (_, notice) in enumerate(self.notices):
-            tf = Counter(terms(notice))
-            norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in tf.items()))
-            self.weights.append({t: n * self.idf[t] / norm for t, n in tf.items()})
-            self.sizes.append(sum(tf.values()))
+            self._add(notice, self.idf)
             for t, x in self.weights[-1].items():
                 self.postings.setdefault(t, []).append((k, x))
+        for name, (text, needed) in sorted(FULL_TEXTS.items()):
+            self._add(text, self.full_idf)
+            self.names.append(name)
+            self.named.append(set(needed.split()))
+
+    def _add(self, text: str, idf: dict[str, float]) -> None:
+        tf = Counter(terms(text))
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
+        self.weights.append({t: n * idf[t] / norm for t, n in tf.items()})
+        self.sizes.append(sum(tf.values()))
 
     def best(self, line: str) -> tuple[float, int]:
         tf = Counter(terms(line))
@@ -139,7 +214,7 @@ class Matcher:
         if not own:
             return 0.0, -1
         norm = math.sqrt(sum((n * self.idf.get(t, self.other)) ** 2 for t, n in tf.items()))
-        dots = [0.0] * len(self.names)
+        dots = [0.0] * len(self.notices)
         for t in own:
             w = tf[t] * self.idf[t] / norm
             for k, x in self.postings[t]:
@@ -149,7 +224,7 @@ class Matcher:
 
     def window(self, found: list[str], k: int) -> float:
         """The best cosine to template *k* of a window of its length that holds its naming terms."""
-        size, named, weights, idf, other = min(self.sizes[k], len(found)), self.named[k], self.weights[k], self.idf, self.other
+        size, named, weights, idf, other = min(self.sizes[k], len(found)), self.named[k], self.weights[k], self.idf if k < len(self.notices) else self.full_idf, self.other
         pivot = min(sorted(named), key=found.count)
         top, start, at = 0.0, -1, -1
         tf: Counter = Counter()
@@ -176,10 +251,14 @@ class Matcher:
         return top
 
     def scan(self, text: str) -> tuple[float, int]:
-        """The best of all lines and windows of a text."""
+        """The best whole text, or else the best of all lines and windows."""
         found = terms(text)
-        present = self.postings.keys() & set(found)
-        cover = [0.0] * len(self.names)
+        own = set(found)
+        whole = [(round(self.window(found, k), 9), -k) for k in range(len(self.notices), len(self.names)) if self.named[k] <= own]
+        if whole and max(whole)[0] >= self.full_cosine:
+            return max(whole)[0], -max(whole)[1]
+        present = self.postings.keys() & own
+        cover = [0.0] * len(self.notices)
         for t in sorted(present):
             for k, x in self.postings[t]:
                 cover[k] += x * x

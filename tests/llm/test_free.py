@@ -6,7 +6,9 @@ import math
 import os
 import random
 import re
+import textwrap
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -343,6 +345,46 @@ def test_notices_among_other_words_at_two_sizes(spark):
     assert small == large and small[0] > licenses.MIN_COSINE
 
 
+def test_whole_license_texts_are_told_apart(spark):
+    files = {}
+    for name, (text, _) in licenses.FULL_TEXTS.items():
+        text = "Copyright (c) 2021 Jane Doe and others. " + text.replace("copyright holder", "regents of some place").replace("organization", "Regents")
+        files[name] = "\n".join(f" * {line}" for line in textwrap.wrap(text, 70)) + "\nint main() { return 0; }"
+    half = licenses.FULL_TEXTS["Zlib"][0][:150]
+    rows = [(name, text) for name, text in files.items()] + [("half", half), ("long", "plain words " * 20000 + files["BSD-2-Clause"])] + [(f"pad/{i}", "plain words of the text") for i in range(300)]
+    got = {r.path: r for r in licenses.own_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[name].own_license for name in files] == list(files) and all(got[name].own_score >= licenses.FULL_COSINE for name in files)
+    assert got["half"].own_license is None and got["long"].own_license == "BSD-2-Clause"
+
+
+def test_license_query_paths_and_inheritance(spark, tmp_path):
+    notice = "Released under the MIT License."
+    rows = [
+        (1, notice, "web", "en"),
+        (2, "plain prose", "web", "en"),
+        (13, "plain prose", "web", "de"),
+        (4, "plain prose " * 60 + "\nLicensed under CC BY 4.0.", "web", "en"),
+        (5, None, None, None),
+        (6, "All rights reserved.", None, None),
+        (6, "All rights reserved.", None, None),
+        (None, "", "web", "en"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(tuple(r) for r in licenses.query(spark, str(tmp_path)).drop("own_score").collect())
+    assert got == Counter(
+        [
+            (1, "web/en/LICENSE-1", "MIT", "MIT", None),
+            (2, "web/en/2/2", None, "MIT", "web/en"),
+            (13, "web/de/3/13", None, None, None),
+            (4, "web/en/4/4", "CC-BY-4.0", "CC-BY-4.0", None),
+            (5, "none/none/5/5", None, "Proprietary", "none/none"),
+            (6, "none/none/LICENSE-6", "Proprietary", "Proprietary", None),
+            (6, "none/none/LICENSE-6", "Proprietary", "Proprietary", None),
+            (None, None, None, None, None),
+        ]
+    )
+
+
 LONG = "<p>" + "A long paragraph, with commas, of some words. " * 8 + "</p>"
 ONCE = " ".join(("A long paragraph, with commas, of some words. " * 8).split())
 WHOLE_PAGES = {
