@@ -74,11 +74,13 @@ def train(texts: list[str | None], labels: list[int], rate: float, bits: int = B
         return np.zeros(1 << bits, np.float32), float(np.log(rate / (1 - rate)))
     grams = Grams(bits)
     found = [grams.of(t) for t in texts]
-    # Buckets of rarer n-grams keep the zero vector.
-    used = np.bincount(np.concatenate(found), minlength=1 << bits) >= max(3, len(texts) // rare)
-    bags = [(b[used[b]], np.float32(1 / max(1, len(b)))) for b in found]
+    # Rarer n-grams have no embedding; the others are numbered, so a step costs what is learnt and not all buckets.
+    used = np.flatnonzero(np.bincount(np.concatenate(found), minlength=1 << bits) >= max(3, len(texts) // rare))
+    place = np.full(1 << bits, -1)
+    place[used] = np.arange(len(used))
+    bags = [(place[b][place[b] >= 0], np.float32(1 / max(1, len(b)))) for b in found]
     rng = np.random.default_rng(seed)
-    emb = (rng.normal(0, 0.1, (1 << bits, dim)) * used[:, None]).astype(np.float32)
+    emb = rng.normal(0, 0.1, (1 << bits, dim))[used].astype(np.float32)
     out = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     gain = np.float32(100)  # a few words in hundreds decide; scales the mean
@@ -90,25 +92,26 @@ def train(texts: list[str | None], labels: list[int], rate: float, bits: int = B
         rate_now = 0.02 * max(0.0, 1 - step / steps) + 0.002
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            ids = np.concatenate([bags[k][0] for k in own])
-            part = np.repeat([bags[k][1] * gain for k in own], [len(bags[k][0]) for k in own])
-            doc = np.repeat(np.arange(len(own)), [len(bags[k][0]) for k in own])
-            mean = np.stack([np.bincount(doc, part * emb[ids, d], len(own)) for d in range(dim)], 1)
+            mixed = np.zeros((len(own), len(used)), np.float32)  # what share each n-gram has in a text's mean
+            for row, k in enumerate(own):
+                mixed[row, bags[k][0]] = bags[k][1] * gain
+            mean = mixed @ emb
             z = mean @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(own)), y[own]] -= 1
             p *= weigh[y[own]][:, None] / len(own)
             back = p @ out.T
-            grad_emb = np.stack([np.bincount(ids, part * back[doc, d], 1 << bits) for d in range(dim)], 1)
+            grad_emb = mixed.T @ back.astype(np.float32)
             grads = (grad_emb + L2 * emb, mean.T @ p, p.sum(0))
             step += 1
             for value, g, (m, v) in zip((emb, out, bias), grads, state, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 value -= (rate_now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    weight = gain * (emb @ (out[:, 1] - out[:, 0]))
-    return weight.astype(np.float32), float(bias[1] - bias[0])
+    weight = np.zeros(1 << bits, np.float32)
+    weight[used] = gain * (emb @ (out[:, 1] - out[:, 0]))
+    return weight, float(bias[1] - bias[0])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
