@@ -43,6 +43,11 @@ def is_fatal(error: Column) -> Column:
     return error.isin(*FATAL)
 
 
+def needs_discovery(error: Column) -> Column:
+    """Whether a side whose listing failed with this error class is looked up anew before the next cycle."""
+    return F.coalesce(error.isin("permanent", "transient"), F.lit(False))
+
+
 def holds_on_abort(op: Column, origin: Column) -> Column:
     """Whether an op that an account-wide error ended holds its cards: only a synced record's. One card of an unsynced pair,
     held alone, would make the other look unique and be copied back."""

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.functions.text import status_class
+
 MAX_CARD_BYTES = 280_000
+MAX_PHOTO_BYTES = 10 * 1024 * 1024
 
 
 def downloads(fetched: DataFrame, state: DataFrame) -> DataFrame:
@@ -22,6 +25,12 @@ def allowed(uri: Column, host: str) -> Column:
     return uri.rlike("(?i)^https://") & F.try_parse_url(uri, F.lit("USERINFO")).isNull() & ((h == host) | h.endswith(f".{host}"))
 
 
+def download_error(uri: Column, host: str, status: Column, n_bytes: Column, limit: int = MAX_PHOTO_BYTES) -> Column:
+    """Why a download of *uri* gives no photo, null if it does: an address that isn't allowed and a body over the limit are
+    permanent, a status outside 200 to 299 has its own class (none at all: transient)."""
+    return F.when(~F.coalesce(allowed(uri, host), F.lit(False)), "permanent").when(~F.coalesce(status.between(200, 299), F.lit(False)), status_class(status, F.lit(False))).when(n_bytes > limit, "permanent")
+
+
 def blocked(entries: DataFrame, failed: DataFrame) -> DataFrame:
     """Fetched cards (href, kind, uid) whose photo could not be fetched: (uid, href, reason) of *failed* (uid, reason). They
     are held: their photo would read as removed."""
@@ -160,3 +169,25 @@ def merge_ops(rows: DataFrame) -> DataFrame:
             "diag": F.when(blind, "unread_target").otherwise(F.col("diag")),
         }
     )
+
+
+def landed(writes: DataFrame, read: DataFrame) -> DataFrame:
+    """The photo state after writes (uid, side, change, left_hash, left_uri, stripped) that may have set a photo on the left.
+
+    *read* (uid, found, kind, uri) are the cards as read back, kind as in ``cards.photo``. Without a row the read-back
+    failed: the photo is there, its address unknown. A photo that the server did not keep is recorded as stripped, or it
+    would read as removed in the next cycle. A card that is gone right after its write is an error.
+    """
+    r = read.select("uid", "found", F.col("kind").alias("_kind"), F.col("uri").alias("_uri"))
+    j = writes.join(r, "uid", "left")
+    back = F.when(F.col("found").isNull(), "inline").when(~F.col("found"), "gone").when(F.col("_kind") == "uri", "uri").when(F.col("_kind").isNotNull(), "inline").otherwise("dropped")
+    j = j.withColumn("landed", F.when((F.col("side") == "left") & (F.col("change") == "set"), back))
+    kept = ~F.col("landed").eqNullSafe(F.lit("dropped"))
+    return j.select(
+        "uid",
+        "landed",
+        F.when(kept, F.col("left_hash")).alias("left_hash"),
+        F.when(F.col("landed") == "uri", F.col("_uri")).when(kept, F.col("left_uri")).alias("left_uri"),
+        (F.col("stripped") | ~kept).alias("stripped"),
+        F.when(F.col("landed") == "gone", "permanent").alias("error"),
+    )

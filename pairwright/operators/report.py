@@ -150,6 +150,12 @@ def log_lines(ops: DataFrame, outcomes: DataFrame) -> DataFrame:
     return j.select("stage", "ord", "uid", F.when(failed, "warn").otherwise("info").alias("level"), line.alias("line")).filter("line IS NOT NULL")
 
 
+def skip_lines(skips: DataFrame) -> DataFrame:
+    """(side, uid, level, line): a warning per skipped card (side, uid, outcome, candidates), without names or contact points."""
+    line = F.format_string("skipped uid=%s side=%s outcome=%s candidates=%d", "uid", "side", "outcome", "candidates")
+    return skips.select("side", "uid", F.lit("warn").alias("level"), line.alias("line"))
+
+
 def report_lines(lines: DataFrame) -> DataFrame:
     """(part, seq, line) of the whole report, to be sorted by (part, seq): a line of counts, then each section that has
     lines under its title."""

@@ -39,6 +39,14 @@ def read_back(outcomes: DataFrame, server: DataFrame, photos: DataFrame) -> Data
     return done.join(now, "href", "left").select("href", F.coalesce("photo_kind", F.lit("dropped")).alias("photo"))
 
 
+def learn_etags(accepted: DataFrame, read: DataFrame) -> DataFrame:
+    """The etags of *accepted* puts (side, href, etag, null if the server sent none): those of cards *read* (side, href, etag)
+    afterwards stand in. A card that then has none is gone right after its write, an error; it stays listed as written."""
+    j = accepted.join(read.select("side", "href", F.col("etag").alias("_read")), ["side", "href"], "left")
+    etag = F.coalesce("etag", "_read")
+    return j.select("side", "href", etag.alias("etag"), F.when(etag.isNull(), "permanent").alias("error"))
+
+
 def append_conflicts(history: DataFrame | None, conflicts: DataFrame, cycle: str) -> DataFrame:
     """The conflict history with *conflicts* of a cycle. History only ever grows, and is committed before the winner is
     written; a cycle's conflicts that are there already, because the cycle runs again, are not added twice."""

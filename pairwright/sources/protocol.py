@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairwright.functions.shared import cut
-from pairwright.functions.text import restore_crlf
+from pairwright.functions.text import restore_crlf, xml_escape
 
 _DAV, _CARD = "{DAV:}", "{urn:ietf:params:xml:ns:carddav}"
 MULTISTATUS = "doc_id long, ord int, href string, status int, propstat_error int, etag string, address_data string, is_collection boolean, is_addressbook boolean, displayname string, sync_token string, error string"
@@ -117,3 +117,25 @@ def dump_rows(cards: DataFrame) -> DataFrame:
     here = F.row_number().over(W.partitionBy("_pid").orderBy("href")) - 1
     # One row per partition.
     return rows.join(F.broadcast(base), "_pid").select((F.col("_base") + here).alias("ord"), "card")
+
+
+#: Namespaces of the request bodies; fixed values.
+_NS = 'xmlns:d="DAV:" xmlns:c="urn:ietf:params:xml:ns:carddav"'
+
+
+def propfind_body(*properties: str) -> str:
+    """A PROPFIND that asks for *properties*, written with prefix d (WebDAV) or c (cards)."""
+    return f"<d:propfind {_NS}><d:prop>{''.join(f'<{p}/>' for p in properties)}</d:prop></d:propfind>"
+
+
+def sync_body(token: Column) -> Column:
+    """A sync-collection report from *token* on; without one, of everything."""
+    head, tail = f"<d:sync-collection {_NS}><d:sync-token>", "</d:sync-token><d:sync-level>1</d:sync-level><d:prop><d:getetag/></d:prop></d:sync-collection>"
+    return F.concat(F.lit(head), xml_escape(F.coalesce(token, F.lit(""))), F.lit(tail))
+
+
+def multiget_body(hrefs: Column) -> Column:
+    """A multiget report of an array of hrefs."""
+    each = F.transform(hrefs, lambda h: F.concat(F.lit("<d:href>"), xml_escape(h), F.lit("</d:href>")))
+    head = f"<c:addressbook-multiget {_NS}><d:prop><d:getetag/><c:address-data/></d:prop>"
+    return F.concat(F.lit(head), F.array_join(each, ""), F.lit("</c:addressbook-multiget>"))
