@@ -199,3 +199,27 @@ def article(page):
     parser.close()
     parser.flush()
     return "\n".join(parser.blocks)
+
+
+def lloyd(rows, k=16, rounds=3):
+    """Plain Lloyd rounds in Python integers."""
+    most = 2**27
+    points = [(d, tuple(max(-most, min(most, math.floor(64 * x))) for x in v)) for d, v in rows]
+    first = sorted((d is None, hashlib.sha256(f"1:{d}".encode()).hexdigest() if d is not None else "", p) for d, p in points)
+    heads = [p for _, _, p in first[:k]]
+
+    def nearest(p):
+        return min((sum((a - b) ** 2 for a, b in zip(p, c)), i) for i, c in enumerate(heads))
+
+    for _ in range(rounds):
+        own = defaultdict(list)
+        for _, p in points:
+            own[nearest(p)[1]].append(p)
+        heads = [tuple(sum(x) // len(own[i]) for x in zip(*own[i])) if own[i] else c for i, c in enumerate(heads)]
+    found = [(d, *nearest(p)) for d, p in points]
+    sums = Counter()
+    for _, gap, i in found:
+        sums[i] += gap
+    top = 2**63 - 1
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in heads]
+    return [(d, i, gap, min(top, sums[i]), min(top, sum(sums.values())), digest[i]) for d, gap, i in found]
