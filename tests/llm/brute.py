@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -223,3 +224,35 @@ def lloyd(rows, k=16, rounds=3):
     top = 2**63 - 1
     digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in heads]
     return [(d, i, gap, min(top, sums[i]), min(top, sum(sums.values())), digest[i]) for d, gap, i in found]
+
+
+def near(a, b):
+    """Whether one code point inserted, deleted or replaced makes *a* of *b*."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > 1 or a == b:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(b))
+    return a[i + 1 :] == (b[i + 1 :] if len(a) == len(b) else b[i:])
+
+
+def variants(rows):
+    n = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
+    beside = {w: [v for v in n if near(w, v)] for w in n}
+    form = {}
+    for w, others in beside.items():
+        best = min(others, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return [(w, form[w], root(w), n[w], len(beside[w]), n[form[w]] if form[w] else None) for w in n]

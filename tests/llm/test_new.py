@@ -1,10 +1,12 @@
 """Centroid clustering, spelling variants and personal data, against plain versions."""
 
 
+import random
+
 import numpy as np
 import pytest
 
-from pairwright.llm import centroids
+from pairwright.llm import centroids, variants
 from tests.llm import brute
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -51,3 +53,34 @@ def test_walks_prune_and_stay_exact():
     for lo, hi, cluster, _ in parts:
         assert (want[lo:hi] == cluster).all()
     assert sum(hi - lo for lo, hi, _, gaps in parts if gaps is None) > 2900 and sum(hi - lo for lo, hi, _, _ in parts) == 3000
+
+
+DOCS = "doc_id long, text string"
+
+
+@pytest.mark.parametrize("letters", ["abÀÿ", "ab"])
+def test_variants_match_plain_version(spark, letters):
+    rng = random.Random(len(letters))
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(4, 9))) for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice([5, 20, 150])]) for _ in range(40))) for i in range(60)]
+    rows += [(None, "Straße STRASSE straßen, strasse-straßen"), (None, "strasse×y strasse×y strasse×y"), (7, None), (8, ""), (9, "aaaaa aaaaaa aaaaaaa " * 5)]
+    rows += [(100, "aéb\U0001f600aéb")] * 3 + [(i, "tete letter lettre setter better " * 5) for i in range(200, 210)] + [(300, "chained " * 4 + "chaine " * 9 + "chain " * 30)]
+    got = variants.group(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    want = sorted(brute.variants(rows))
+    assert sorted(map(tuple, got)) == want and len(want) > 50 and any(r[1] for r in want)
+
+
+def test_variants_of_very_long_words_and_empty_tables(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh") for _ in range(300_000))
+    one, two = long[:777] + "é" + long[778:], long[:150_000] + long[150_001:]
+    rows = [(1, " ".join([long] * 9)), (2, " ".join([one] * 4)), (3, " ".join([two] * 3)), (4, long[::-1])]
+    got = {r.word: r for r in variants.group(spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", word int")).collect()}
+    assert {w: (r.n, r.n_near, r.form == long) for w, r in got.items()} == {long: (9, 2, False), one: (4, 1, True), two: (3, 1, True)}
+    assert variants.group(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_followed_forms(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100 + i, 0) for i in range(9)]
+    got = variants.followed(spark.createDataFrame(chain, "id long, up long")).collect()
+    assert {(r.id, r.up) for r in got} == {(i, 40) for i in [*range(40), *range(100, 109)]}
