@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pairwright.llm import centroids, counts, decontaminate, jaccard, licenses, lines, mixing, pages, quality, secrets, toxicity, variants
+from pairwright.llm import centroids, counts, decontaminate, jaccard, licenses, lines, mixing, pages, personal, quality, secrets, toxicity, variants
 
 QUERIES = {
     "op1_line_dedup": lines.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_mix_sources": mixing.query,
     "op10_secret_scan": secrets.query,
+    "op11_personal_data": personal.query,
     "op12_spelling_variants": variants.query,
     "op13_dual_tree_lloyd": centroids.query,
     "pipeline": corpus_pipeline.run,

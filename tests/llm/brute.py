@@ -1,6 +1,7 @@
 """Plain versions of the corpus operators, to hold them against."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -256,3 +257,39 @@ def variants(rows):
         return root(form[w]) if form[w] else w
 
     return [(w, form[w], root(w), n[w], len(beside[w]), n[form[w]] if form[w] else None) for w in n]
+
+
+PERSONAL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def personal(t):
+    """The rules' spans, as written."""
+    out = []
+    for kind, pattern in PERSONAL.items():
+        for m in re.finditer(pattern, t or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            twice = [int(c) * (1 + i % 2) for i, c in enumerate(digits[::-1])]
+            if (
+                kind == "email"
+                or (kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")))
+                or (kind == "card" and 13 <= len(digits) <= 19 and sum(d // 10 + d % 10 for d in twice) % 10 == 0)
+                or (kind == "phone" and 9 <= len(digits) <= 15)
+            ):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def enumerated(unary, ends, pots):
+    """Label probabilities by summing over all labellings."""
+    n, labels = len(unary), len(unary[0])
+    sums = [[0.0] * labels for _ in range(n)]
+    for y in itertools.product(range(labels), repeat=n):
+        p = math.exp(sum(unary[i][y[i]] for i in range(n)) + sum(q[y[a]][y[b]] for (a, b), q in zip(ends, pots)))
+        for i in range(n):
+            sums[i][y[i]] += p
+    return [[x / sum(row) for x in row] for row in sums]

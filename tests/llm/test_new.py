@@ -1,12 +1,14 @@
 """Centroid clustering, spelling variants and personal data, against plain versions."""
 
 
+import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 
-from pairwright.llm import centroids, variants
+from pairwright.llm import centroids, personal, variants
 from tests.llm import brute
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -84,3 +86,69 @@ def test_followed_forms(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 0) for i in range(9)]
     got = variants.followed(spark.createDataFrame(chain, "id long, up long")).collect()
     assert {(r.id, r.up) for r in got} == {(i, 40) for i in [*range(40), *range(100, 109)]}
+
+
+def test_rules_match_the_plain_patterns():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for letters in ("a1.@-_ ", "12. ", "0123456789 -", "+12() .-", "a.@", "é@a.b1+ ") for _ in range(1500)]
+    texts += ["4111 1111-1111 1111, +44 20 7946 0958 x@y.z@q.r 001.02.3.255.9.9.9.9 256.1.1.1.1", "a@b.c_d@e.f"]
+    for t in texts:
+        assert [(personal.KINDS[k], s, e) for k, s, e in personal.base(t)] == brute.personal(t), t
+
+
+@pytest.mark.parametrize("part", ["a", "1", "@", "a@", "1.", "+1", "+1 ", "a1 ", "1 ", ".", "(", "+1-"])
+def test_rules_and_graphs_are_linear(part):
+    began = time.perf_counter()
+    text = part * (1_000_000 // len(part))
+    personal.base(text), personal.nodes(text)
+    assert time.perf_counter() - began < 8
+
+
+def test_messages_are_exact_on_trees_and_close_on_circles():
+    rng = np.random.default_rng(3)
+    tree = np.array([(0, 1), (1, 2), (1, 3), (4, 3), (5, 0)])
+    for ends, close in ((tree, 1e-4), (np.vstack([tree, [(2, 5)]]), 0.1)):
+        unary, pots = rng.normal(0, 1, (6, 3)), rng.normal(0, 0.6, (len(ends), 3, 3))
+        assert np.abs(personal.marginals(unary, ends, pots) - np.array(brute.enumerated(unary.tolist(), ends.tolist(), pots.tolist()))).max() < close
+    assert personal.marginals(np.zeros((2, 3)), np.zeros((0, 2), int), np.zeros((0, 3, 3))).tolist() == [[1 / 3] * 3] * 2
+
+
+def known_texts():
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choice("the of and an in to is that".split()) for _ in range(rng.randint(2, 9)))
+    number = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    address = lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    name = lambda: f"{rng.choice('abcdefg')}{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com"
+    other = lambda: rng.choice([f"v{rng.randint(1, 9)}", f"chapter {rng.randint(1, 99)}", f"{rng.randint(1900, 2030)}", f"key{rng.randint(10**8, 10**9)}x"])
+    return [(i, f"{say()} {rng.choice([number, address, name, other, other])()} {say()} {other()} {say()}") for i in range(600)]
+
+
+def test_personal_data_found_by_links(spark):
+    told = known_texts()
+    asked = [
+        (9001, "my number is +1 (743) 555-3824 ok, later call 743-555-3824 or (743) 555-3824 again"),
+        (9002, "in 1987 chapter 12 of version 3.2 had 743 pages"),
+        (9003, "mail bob@mail3.example.com and 10.20.30.40 then"),
+        (9004, "no data here"), (9005, None), (9006, ""), (None, "x " * 5000 + "1.2.3.4"), (None, "x " * 5000 + "1.2.3.4"),
+    ]
+    docs = spark.createDataFrame(told, DOCS)
+    model = personal.train(docs)
+    got = personal.scan(spark.createDataFrame([(*r, 1) for r in asked], DOCS + ", n_ip int"), model).collect()
+    assert got[0].asDict().keys() == {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}
+    by = {r.doc_id: r for r in got}
+    text = asked[0][1]
+    found = [text[int(s) : int(e)] for _, s, e in (x.split(":") for x in by[9001].spans.split(","))]
+    assert found == ["+1 (743) 555-3824", "743-555-3824", "(743) 555-3824"] and by[9001].n_phone == 1
+    assert [by[d].spans for d in (9002, 9004, 9005, 9006)] == [""] * 4 and by[9003].n_email == by[9003].n_ip == 1
+    assert sum(r.doc_id is None and r.n_ip == 1 and r.spans == "ip:10000:10007" for r in got) == 2
+    for r, (_, t) in zip(personal.scan(docs, model).collect(), told):
+        spans = brute.personal(t)
+        said = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.spans == said  # nothing else is personal
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in spans) for k in personal.KINDS]
+
+
+def test_personal_data_without_any(spark):
+    assert personal.scan(spark.createDataFrame([], DOCS), personal.train(spark.createDataFrame([], DOCS))).count() == 0
+    plain = spark.createDataFrame([(1, "page 3"), (2, "x")], DOCS)
+    assert [r.spans for r in personal.scan(plain, personal.train(plain)).collect()] == ["", ""]
