@@ -29,6 +29,8 @@ REASONS = {
     "duplicate_uid": "duplicate_uid",
     "uid_changed": "uid_changed",
 }
+#: Listing errors after which a side is looked up anew.
+REDISCOVER = ("permanent", "transient")
 #: Errors that end a cycle; all others are a record's own.
 FATAL = ("transient", "rate_limited", "unauthorized", "store_busy", "store_lost")
 
@@ -45,7 +47,7 @@ def is_fatal(error: Column) -> Column:
 
 def needs_discovery(error: Column) -> Column:
     """Whether a side whose listing failed with this error class is looked up anew before the next cycle."""
-    return F.coalesce(error.isin("permanent", "transient"), F.lit(False))
+    return F.coalesce(error.isin(*REDISCOVER), F.lit(False))
 
 
 def holds_on_abort(op: Column, origin: Column) -> Column:

@@ -78,6 +78,11 @@ class Manifests:
         """A folder path that no other writer uses."""
         return f"{self.path}/{name}-{uuid.uuid4().hex}"
 
+    def there(self, folders: list[str]) -> bool:
+        """Whether all *folders* exist."""
+        fs = self._fs()
+        return all(fs.exists(self._at(f)) for f in folders)
+
     def drop(self, folders: list[str]) -> None:
         """Delete folders that no manifest lists any more."""
         fs = self._fs()

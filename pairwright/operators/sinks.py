@@ -47,13 +47,17 @@ def learn_etags(accepted: DataFrame, read: DataFrame) -> DataFrame:
     return j.select("side", "href", etag.alias("etag"), F.when(etag.isNull(), "permanent").alias("error"))
 
 
+def new_conflicts(history: DataFrame, conflicts: DataFrame, cycle: str) -> DataFrame:
+    """A cycle's *conflicts* that the history doesn't have."""
+    return conflicts.withColumn("cycle", F.lit(cycle)).join(history.select("cycle", "uid"), ["cycle", "uid"], "left_anti").select(*conflicts.columns, "cycle")
+
+
 def append_conflicts(history: DataFrame | None, conflicts: DataFrame, cycle: str) -> DataFrame:
-    """The conflict history with *conflicts* of a cycle. History only ever grows, and is committed before the winner is
-    written; a cycle's conflicts that are there already, because the cycle runs again, are not added twice."""
-    new = conflicts.withColumn("cycle", F.lit(cycle))
+    """The conflict history with *conflicts* of a cycle. History only ever grows; a cycle's conflicts that are there already,
+    because they were stored before its writes or because the cycle runs again, are not added twice."""
     if history is None:
-        return new
-    return history.unionByName(new.join(history.select("cycle", "uid"), ["cycle", "uid"], "left_anti"))
+        return conflicts.withColumn("cycle", F.lit(cycle))
+    return history.unionByName(new_conflicts(history, conflicts, cycle))
 
 
 def dump(rows: DataFrame, path: str) -> None:

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.manifests import Manifests, Moved
 
-__all__ = ["Moved", "StateStore"]
+__all__ = ["Moved", "Repeated", "StateStore"]
 #: Tables that a reset keeps: the conflict history and the journal.
 KEPT = ("conflicts", "pending")
 
 
+class Repeated(ValueError):
+    """A commit would have given two rows one key."""
+
+
 class StateStore:
     """Tables below *path*; the newest manifest says which folders they consist of."""
 
@@ -46,10 +50,18 @@ class StateStore:
         found = self.folders(name, version)
         return self.spark.read.parquet(*found) if found else None
 
-    def commit(self, tables: dict[str, DataFrame], expect: int | None, append: dict[str, DataFrame] | None = None, drop: Iterable[str] = (), meta: dict | None = None) -> int:
+    def readable(self, version: int) -> bool:
+        """Whether all folders of a version are still there."""
+        content = self.manifests.read(version)
+        return content is not None and self.manifests.there([f for folders in content["tables"].values() for f in folders])
+
+    def commit(
+        self, tables: dict[str, DataFrame], expect: int | None, append: dict[str, DataFrame] | None = None, drop: Iterable[str] = (), meta: dict | None = None, unique: dict[str, list[list[str]]] | None = None
+    ) -> int:
         """The next version: *tables* replaced, *append* added to, *drop* left out, all others as they were.
 
-        Refuses (Moved) if another commit came after *expect*; the other one's tables stay untouched.
+        Refuses (Moved) if another commit came after *expect*; the other one's tables stay untouched. *unique* names the
+        keys of written tables; two rows with the same values, nulls aside, are refused (Repeated) and the version stays.
         """
         before = self._content(expect)
         now = {name: folders for name, folders in before["tables"].items() if name not in set(drop)}
@@ -57,6 +69,12 @@ class StateStore:
             now[name] = [self._write(name, df)]
         for name, df in (append or {}).items():
             now[name] = [*now.get(name, []), self._write(name, df)]
+        for name, keys in (unique or {}).items():
+            for key in keys if name in tables else []:
+                twice = require_unique(self.spark.read.parquet(*now[name]).dropna(subset=key), key)
+                if not twice.isEmpty():
+                    self.manifests.drop(now[name])
+                    raise Repeated(f"{name}: {', '.join(key)}")
         return self.manifests.commit({"tables": now, "meta": before["meta"] | (meta or {})}, expect)
 
     def _write(self, name: str, df: DataFrame) -> str:

@@ -1,11 +1,13 @@
 """Applying a cycle's plan: ops become guarded writes, then state rows, journal, history and failures.
 
-A side's server is a table (side, href, etag, body); there is no network here, so *errors* (side, href, error) stand for
-what a server answers instead of accepting a write. Ops touch records of their own only, so all first writes go out
-together, then all second and third ones of ops whose earlier writes were accepted. An error that concerns the whole
-account ends the cycle: no op after the first one that meets it runs, and only synced records' ops are held.
+Ops touch records of their own only, so all first writes go out together, then all second and third ones of ops whose
+earlier writes were accepted. An error that concerns the whole account ends the cycle: no op after the first one that
+meets it runs, and only synced records' ops are held.
 
-Server writes come first, the state after them; a cycle that dies in between is planned anew from what the servers list.
+What a write would destroy is stored before it: the history of conflicts before a loser is overwritten, the new card of a
+re-creation before its old one is deleted (``WriteAhead``, one commit per step that needs it). The state comes after the
+writes; a cycle that dies in between is planned anew from what the servers list, and the next one carries out what the
+journal still holds.
 """
 
 from __future__ import annotations
@@ -19,17 +21,19 @@ from pairwright.functions import cards
 from pairwright.functions.cards import CANONICAL_VERSION
 from pairwright.functions.shared import cut
 from pairwright.functions.text import mint_href
-from pairwright.operators import failures, sinks
+from pairwright.operators import cdc, failures, sinks, statestore
+from pairwright.operators.statestore import StateStore
+from pairwright.sources.connector import SIDES, Connector, FrameServer
 
-SIDES = ("left", "right")
-STATE = "id long, uid string, left_href string, left_etag string, right_href string, right_etag string, stored_hash string, hash_version int, name string, tokens array<string>, org string"
-FAILURES = "side string, href string, uid string, op string, etag string, attempts long, first_at long, reason string"
+STATE = "id long, uid string, left_href string, left_etag string, right_href string, right_etag string, stored_hash string, hash_version int, name string, tokens array<string>, org string, last_seen_at long"
+FAILURES = "side string, href string, uid string, op string, etag string, attempts long, first_at long, next_retry_at long, reason string"
+OUTCOMES = "stage int, ord long, uid string, side string, href string, method string, outcome string, etag string"
 JOURNAL = "uid string, left_href string, old_right_href string, old_right_uid string, new_right_href string, body binary"
 
 
 @dataclass
 class Applied:
-    server: DataFrame  # (side, href, etag, body) after the writes
+    server: DataFrame | None  # (side, href, etag, body) after the writes, where the server was a table
     outcomes: DataFrame  # (stage, ord, uid, op, on, reason), reason null for an op that is done; ops that didn't run are missing
     written: DataFrame  # (uid, side, href, etag) of accepted puts
     conflicts: DataFrame  # (uid, origin, winner, left_body, right_body), for the history
@@ -38,13 +42,15 @@ class Applied:
 
 
 def snapshot_cards(entries: DataFrame) -> DataFrame:
-    """A snapshot for ``plan_cycle`` from entries (href, etag, kind, body); a body that is no card makes it unreadable."""
+    """A snapshot for ``plan_cycle`` from entries (href, etag, kind, body); a body that is no card makes it unreadable. A side
+    is kept."""
     out = cards.parse(entries, "body")
     keys = cards.match_keys(F.col("props"))
     read = F.col("kind") == "fetched"
     when = lambda x: F.when(read & F.col("error").isNull(), x)
     none = F.expr("cast(array() as array<string>)")
     return out.select(
+        *[c for c in entries.columns if c == "side"],
         "href",
         "etag",
         F.when(read & F.col("error").isNotNull(), "unreadable").otherwise(F.col("kind")).alias("kind"),
@@ -96,43 +102,77 @@ def plan_writes(ops: DataFrame, own: DataFrame, collections: dict[str, str], rew
     return j.select("stage", "ord", "uid", "op", F.explode(writes).alias("w")).filter("w IS NOT NULL").select("stage", "ord", "uid", "op", "w.*")
 
 
-def apply_plan(ops: DataFrame, own: DataFrame, server: DataFrame, collections: dict[str, str], errors: DataFrame | None = None, rewritten: DataFrame | None = None) -> Applied:
-    """Run the ops of a plan in order; what reaches the driver is the place of the first error that ends the cycle."""
-    spark = ops.sparkSession
-    errors = errors if errors is not None else spark.createDataFrame([], "side string, href string, error string")
-    place = F.struct("stage", "ord", "uid").alias("place")
-    writes = cut(plan_writes(ops, own, collections, rewritten).join(errors, ["side", "href"], "left"))
-    end = writes.filter(failures.is_fatal(F.col("error"))).agg(F.min(place).alias("place")).first()["place"]
-    run = ops
-    if end is not None:
-        upto = F.struct(F.lit(end["stage"]).alias("stage"), F.lit(end["ord"]).cast("long").alias("ord"), F.lit(end["uid"]).alias("uid"))
-        run, writes = (df.filter(place <= upto) for df in (ops, writes))
-    now, told = server, None
+class WriteAhead:
+    """What a step's writes would destroy, committed to *store* before the step; ``version`` is the store's last one."""
+
+    def __init__(self, store: StateStore, version: int | None, cycle_id: str) -> None:
+        self.store, self.version, self.cycle_id = store, version, cycle_id
+
+    def conflicts(self, rows: DataFrame) -> None:
+        """The history grows by *rows* (uid, origin, winner, left_body, right_body)."""
+        if not rows.isEmpty():
+            held = self.store.read("conflicts", self.version)
+            new = sinks.append_conflicts(held, rows, self.cycle_id) if held is None else sinks.new_conflicts(held, rows, self.cycle_id)
+            self.version = self.store.commit({}, self.version, append={"conflicts": new})
+
+    def journal(self, rows: DataFrame) -> None:
+        """The journal's rows of these uids are replaced by *rows* (JOURNAL)."""
+        if not rows.isEmpty():
+            held = self.store.read("pending", self.version)
+            self.version = self.store.commit({"pending": rows if held is None else statestore.replace(held, rows, ["uid"])}, self.version)
+
+
+def apply_plan(
+    ops: DataFrame, own: DataFrame, server: DataFrame | Connector, collections: dict[str, str], errors: DataFrame | None = None, rewritten: DataFrame | None = None, log: WriteAhead | None = None
+) -> Applied:
+    """Run the ops of a plan step by step.
+
+    *server* is a connector, or a table (side, href, etag, body) with the *errors* (side, href, error) it answers. With
+    *log*, history and journal are stored before the writes they guard; without one they are the caller's to store.
+    """
+    table = isinstance(server, DataFrame)
+    book = FrameServer(server, collections, errors) if table else server
+    writes = cut(plan_writes(ops, own, collections, rewritten))
+    of_side = lambda s: own.filter(F.col("side") == s).select("uid", F.col("href").alias(f"{s}_href"), F.col("body").alias(f"{s}_body"))
+    fought = ops.filter("op = 'conflict' OR op = 'recreate' AND pass = 'identity'").withColumn("right_uid", F.coalesce("other_uid", "uid"))
+    fought = fought.join(of_side("left"), "uid", "left").join(of_side("right").withColumnRenamed("uid", "right_uid"), "right_uid", "left")
+    fought = cut(fought.select("stage", "ord", "uid", F.coalesce("origin", F.lit("baseline")).alias("origin"), "winner", "left_body", "right_body"))
+    fresh = writes.filter("op = 'recreate' AND step = 3").select("uid", F.col("href").alias("new_right_href"), "body")
+    again = ops.filter("op = 'recreate'").select("uid", F.col("other_uid").alias("old_right_uid")).join(fresh, "uid").join(of_side("left").drop("left_body"), "uid")
+    again = again.join(of_side("right").select(F.col("uid").alias("old_right_uid"), F.col("right_href").alias("old_right_href")), "old_right_uid")
+    again = cut(again.select("uid", "left_href", "old_right_href", "old_right_uid", "new_right_href", "body"))
+    if log:
+        log.conflicts(fought.drop("stage", "ord"))
+    told = None
     for step in (1, 2, 3):
-        w = writes.filter(F.col("step") == step)
+        w = writes.filter(F.col("step") == step).drop("step", "op")
         if told is not None:
             w = w.join(told.filter("outcome <> 'done'").select("uid"), "uid", "left_anti")
-        refused = w.filter("error IS NOT NULL").select("uid", "side", "href", "method", F.col("error").alias("outcome"), F.lit(None).cast("string").alias("etag"))
-        done, tables = refused, []
-        for s in SIDES:
-            put = w.filter((F.col("side") == s) & F.col("error").isNull())
-            new, out = sinks.apply_writes(now.filter(F.col("side") == s).drop("side"), put.select("href", F.col("method").alias("op"), "if_match", "body"))
-            tables.append(new.select(F.lit(s).alias("side"), "href", "etag", "body"))
-            done = done.unionByName(put.select("uid", "side", "href", "method").join(out.select("href", "outcome", "etag"), "href"))
-        told = cut(done) if told is None else cut(told.unionByName(done))
-        now = cut(tables[0].unionByName(tables[1]))
+        w = cut(w)
+        if w.isEmpty():
+            told = told if told is not None else ops.sparkSession.createDataFrame([], OUTCOMES)
+            continue
+        if log and step == 2:
+            log.journal(again.join(w.filter("method = 'delete'").select("uid"), "uid", "left_semi"))
+        done = book.write(w)
+        if told is not None and not done.filter("outcome = 'not_run'").isEmpty():
+            # The first steps of these ops are done; the next cycle finds out how they stand.
+            told = told.join(done.filter("outcome = 'not_run'").select("uid"), "uid", "left_anti")
+        told = cut(done if told is None else told.unionByName(done))
+    late = told.filter("outcome = 'not_run'").select("uid")
+    fatal = told.filter(failures.is_fatal(F.col("outcome"))).agg(F.min(F.struct("stage", "ord", "uid")).alias("p")).first()["p"]
+    run = ops.join(late, "uid", "left_anti")
+    if fatal is not None:  # ops that write nothing don't run after it either
+        upto = F.struct(F.lit(fatal["stage"]).alias("stage"), F.lit(fatal["ord"]).cast("long").alias("ord"), F.lit(fatal["uid"]).alias("uid"))
+        run = run.filter((F.struct("stage", "ord", "uid") <= upto) | ~F.col("op").isin("adopt", "refresh", "forget"))
+    told = told.filter("outcome <> 'not_run'")
     bad = told.filter("outcome <> 'done'").groupBy("uid").agg(F.min("outcome").alias("error"))
     outcomes = run.join(bad, "uid", "left").select("stage", "ord", "uid", "op", "on", "origin", "pass", F.when(F.col("error").isNotNull(), failures.reason(F.col("error"))).alias("reason"))
     written = told.filter("outcome = 'done' AND method = 'put'").select("uid", "side", "href", "etag")
-    cards_of = lambda s: own.filter(F.col("side") == s).select("uid", F.col("href").alias(f"{s}_href"), F.col("body").alias(f"{s}_body"))
-    fought = run.filter("op = 'conflict' OR op = 'recreate' AND pass = 'identity'").withColumn("right_uid", F.coalesce("other_uid", "uid"))
-    fought = fought.join(cards_of("left"), "uid", "left").join(cards_of("right").withColumnRenamed("uid", "right_uid"), "right_uid", "left")
-    conflicts = fought.select("uid", F.coalesce("origin", F.lit("baseline")).alias("origin"), "winner", "left_body", "right_body")
-    again = writes.filter("op = 'recreate' AND step = 3").select("uid", F.col("href").alias("new_right_href"), "body")
-    began = told.filter("method = 'delete' AND outcome = 'done'").select("uid").join(run.filter("op = 'recreate'").select("uid", F.col("other_uid").alias("old_right_uid")), "uid")
-    journal = began.join(written.filter("side = 'right'").select("uid"), "uid", "left_anti").join(again, "uid")
-    journal = journal.join(cards_of("left").drop("left_body"), "uid").join(cards_of("right").select(F.col("uid").alias("old_right_uid"), F.col("right_href").alias("old_right_href")), "old_right_uid")
-    return Applied(now, cut(outcomes), written, conflicts, journal.select("uid", "left_href", "old_right_href", "old_right_uid", "new_right_href", "body"), end is not None)
+    began = told.filter("method = 'delete' AND outcome = 'done'").select("uid")
+    journal = again.join(began, "uid", "left_semi").join(written.filter("side = 'right'").select("uid"), "uid", "left_anti")
+    conflicts = fought.join(run.select("uid"), "uid", "left_semi").drop("stage", "ord")
+    return Applied(book.cards if table else None, cut(outcomes), written, conflicts, journal, fatal is not None)
 
 
 def next_state(state: DataFrame, ops: DataFrame, applied: Applied, own: DataFrame) -> DataFrame:
@@ -162,15 +202,17 @@ def next_state(state: DataFrame, ops: DataFrame, applied: Applied, own: DataFram
         F.when(fresh, F.lit(CANONICAL_VERSION)).otherwise(F.col("hash_version")).cast("int").alias("hash_version"),
         *[F.when(fresh & F.col("keys").isNotNull(), F.col(f"keys.{c}")).otherwise(F.col(c)).alias(c) for c in ("name", "org")],
         F.coalesce(F.when(fresh, F.col("keys.tokens")), "tokens", F.expr("cast(array() as array<string>)")).alias("tokens"),
+        "last_seen_at",
     )
     top = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
     new = rows.filter("id IS NULL").crossJoin(top).withColumn("id", F.col("top") + 1 + F.monotonically_increasing_id()).drop("top")
     return rows.filter("id IS NOT NULL").unionByName(new)
 
 
-def next_failures(stored: DataFrame, ops: DataFrame, applied: Applied, own: DataFrame, at: int) -> DataFrame:
-    """FAILURES after a cycle: cards of failed ops recorded under the op's uid, those of finished ops cleared. After an error
-    that ended the cycle only synced records' ops hold their cards."""
+def next_failures(stored: DataFrame, ops: DataFrame, applied: Applied, own: DataFrame, at: int, base: int = 120) -> DataFrame:
+    """FAILURES after a cycle: cards of failed ops recorded under the op's uid with the time of their next try (*base* seconds
+    later, doubled per further failure), those of finished ops cleared. After an error that ended the cycle only synced
+    records' ops hold their cards."""
     bad = applied.outcomes.filter("reason IS NOT NULL")
     if applied.aborted:
         last = applied.outcomes.agg(F.max(F.struct("stage", "ord", "uid")).alias("p"))
@@ -183,35 +225,38 @@ def next_failures(stored: DataFrame, ops: DataFrame, applied: Applied, own: Data
     done = applied.outcomes.filter("reason IS NULL").select("uid").join(right_uid, "uid")
     clear = own.join(done.select("uid").unionByName(done.select(F.col("right_uid").alias("uid"))).distinct(), "uid", "left_semi").select("side", "href")
     left = stored.join(clear, ["side", "href"], "left_anti")
-    counted = failures.record(left, events).drop("wait_s")
-    who = events.select("side", "href", F.col("uid").alias("e_uid"), F.col("op").alias("e_op"))
-    before = left.select("side", "href", "uid", "op")
+    counted = failures.record(left, events, base)
+    who = events.select("side", "href", F.col("uid").alias("e_uid"), F.col("op").alias("e_op"), F.col("at").alias("e_at"))
+    before = left.select("side", "href", "uid", "op", "next_retry_at")
     out = counted.join(before, ["side", "href"], "left").join(who, ["side", "href"], "left")
-    return out.select("side", "href", F.coalesce("e_uid", "uid").alias("uid"), F.coalesce("e_op", "op").alias("op"), "etag", "attempts", "first_at", "reason")
+    again = F.coalesce(F.col("e_at") + F.col("wait_s"), "next_retry_at").alias("next_retry_at")
+    return out.select("side", "href", F.coalesce("e_uid", "uid").alias("uid"), F.coalesce("e_op", "op").alias("op"), "etag", "attempts", "first_at", again, "reason")
 
 
-def finish(store, expect: int | None, plan, applied: Applied, own: DataFrame, at: int, listing: DataFrame, held: DataFrame, tokens: dict[str, str], cycle_id: str) -> int:
+def finish(store, expect: int | None, plan, applied: Applied, own: DataFrame, at: int, listing: DataFrame, held: DataFrame, tokens: dict[str, str], cycle_id: str, base: int = 120) -> int:
     """Commit all that a cycle learned as one version of *store*: contacts, failures, conflicts and journal always; skips,
-    resolved failures, sync tokens and held deletes only where the cycle was not cut short.
+    resolved failures, times of last sight, sync tokens and held deletes only where the cycle was not cut short.
 
-    *listing* and *held* are (side, href).
+    *listing* and *held* are (side, href). Conflicts and journal rows that a ``WriteAhead`` has stored are not added again.
     """
     from pairwright.operators.report import held_delete_uids
 
     spark = plan.ops.sparkSession
     read = lambda name, schema: found if (found := store.read(name, expect)) is not None else spark.createDataFrame([], schema)
     state = next_state(read("contacts", STATE), plan.ops, applied, own)
-    failed = next_failures(read("failures", FAILURES), plan.ops, applied, own, at)
+    failed = next_failures(read("failures", FAILURES), plan.ops, applied, own, at, base)
     tables = {"contacts": state, "failures": failed, "conflicts": sinks.append_conflicts(store.read("conflicts", expect), applied.conflicts, cycle_id)}
     done = applied.outcomes.filter("op = 'recreate' AND reason IS NULL").select("uid")
-    old = read("pending", JOURNAL)
-    tables["pending"] = old.join(done, "uid", "left_anti").join(applied.journal.select("uid"), "uid", "left_anti").unionByName(applied.journal)
+    tables["pending"] = statestore.replace(read("pending", JOURNAL), applied.journal, ["uid"]).join(done, "uid", "left_anti")
+    unique = {"contacts": [["uid"], ["left_href"], ["right_href"]], "failures": [["side", "href"]], "pending": [["uid"]]}
     if applied.aborted:
-        return store.commit(tables, expect)
+        return store.commit(tables, expect, unique=unique)
     again = applied.outcomes.filter("reason IS NOT NULL").select("uid")
     still = failed.filter(F.col("first_at") == at).unionByName(failed.join(again, "uid", "left_semi")).select("side", "href").distinct()
     over = failures.resolved(failed.select("side", "href"), still, listing, held)
     tables["failures"] = failed.join(over, ["side", "href"], "left_anti")
+    seen = cdc.seen_rows(state, listing, "left").unionByName(cdc.seen_rows(state, listing, "right")).distinct().withColumn("last_seen_at", F.lit(at).cast("long"))
+    tables["contacts"] = statestore.last_seen(state, seen, "uid", "last_seen_at")
     tables["skips"] = plan.skips.withColumn("skipped_at", F.lit(at).cast("long"))
     tables["held_deletes"] = held_delete_uids(plan.diagnostics)
-    return store.commit(tables, expect, meta={"tokens": tokens, "cycle": cycle_id})
+    return store.commit(tables, expect, meta={"tokens": tokens, "cycle": cycle_id}, unique=unique)

@@ -19,11 +19,18 @@ STATE = "id long, uid string, left_href string, right_href string, stored_hash s
 
 @pytest.fixture(autouse=True, scope="module")
 def few_partitions(spark):
-    """A cycle is many small jobs here."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    """A cycle is many small jobs here, which take longer to compile than to run."""
+    yield from quick(spark)
+
+
+def quick(spark):
+    wanted = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def made_up(seed):
