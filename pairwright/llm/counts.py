@@ -20,6 +20,7 @@ long; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ from pairwright.operators.manifests import Manifests
 
 #: How the rank files' public vocabularies split text before merging; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of what PATTERN takes for white space that are counted by themselves.
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 #: Byte-level BPE ranks; a parameter of ``with_tokens``.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WORDS_VERSION, BPE_VERSION = "words/1", "byte-bpe-50k/1"
@@ -39,6 +42,20 @@ STATE = "batch long, k1 long, k2 long, source string, lang string, version strin
 DELTA = "batch long, source string, lang string, version string, docs long, tokens long"
 
 
+def n_tokens(bpe, text: str) -> int:
+    """How many tokens *text* has.
+
+    The encoder's splitter can't take a very long run of white space. Such a run is one piece by PATTERN, less its last
+    character where something follows it, as that may begin the next piece; it is counted by itself.
+    """
+    n, at = 0, 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(bpe.encode_ordinary(text[at : run.start()])) + len(bpe._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(bpe.encode_ordinary(text[at:]))
+
+
 def with_tokens(rows: DataFrame, ranks: str | None = RANKS) -> DataFrame:
     """Add ``counts``, an array of (version, tokens): words, and BPE tokens where a rank file is given.
 
@@ -58,7 +75,7 @@ def with_tokens(rows: DataFrame, ranks: str | None = RANKS) -> DataFrame:
         bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=sent.value, special_tokens={})
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            tokens = [len(bpe.encode_ordinary(t.as_py() or "")) for t in texts]
+            tokens = [n_tokens(bpe, t.as_py() or "") for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64())], names=[*names, "n_bpe"])
 
     out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("n_bpe", T.LongType())]))
