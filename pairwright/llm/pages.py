@@ -1,15 +1,20 @@
 """HTML extraction by tree scoring.
 
-A page becomes a tree. Subtrees that are never article text (scripts, forms, menus, ...) go, by element. A block whose
-class, id or role names it as such goes too if it is short or mostly links, unless many such blocks hold half of the article or page;
-a longer one only loses points. Each block of text gives points for length and commas to its ancestors, less the
-further up; a container's points are discounted by its link density. The best container, widened to the article
-element around it, and all its unmarked siblings that are not mostly links are kept; their blocks are the page's main
-text. Outside of an article, a list of short links is a menu and goes.
+A page becomes a tree, read in one pass. Subtrees that are never article text (scripts, forms, menus, ...) go, by element.
+A block whose class, id or role names it as such goes too, whatever its length, unless such blocks are what the page or
+article is about: those named as comments, adverts, side bars, notices or menus where they hold more than nine tenths of
+its text, those with other names (a promotion, a search box, sharing, ...) where they hold half of it. Each block of text
+gives points for length and commas to its ancestors, half of them from each to the next; a container's points are
+discounted by its link density. The best container is widened to the article element around it, or to the main element
+where that holds several articles; without either, it is kept with the siblings of it and of its ancestors that are not
+marked and not mostly links. Their blocks are the page's main text. Outside of an article, a list of short links is a
+menu and goes.
 
 Defined cases: a null or empty page has empty text; without any block of text the text is empty; character
-references are decoded, broken ones stay as written; white space inside a block, line breaks too, is one blank;
-unclosed elements end where their parent ends; equal pages are extracted one by one; extra columns are ignored.
+references are decoded, broken ones stay as written; a ``<`` that no ``>`` follows is text; after a tag whose quotes never
+close, quotes no longer hide a ``>``; white space inside a block, line breaks too, is one blank;
+unclosed elements end where their parent ends; equal pages are extracted one by one; extra columns are ignored. Reading,
+scoring and printing take time in proportion to the page, whatever is in it.
 """
 
 from __future__ import annotations
@@ -41,8 +46,13 @@ MARKS = frozenset(
 )
 #: Words that make the rest of a class a property of the block, not its name.
 ASPECTS = frozenset("has have no not non with without is hide show hljs token".split())
-#: A marked block of fewer characters goes; a longer one gets this share of its points.
-SHORT_BLOCK, MARKED_SHARE = 500, 0.25
+#: Those of them that name readers' comments, adverts, side bars, notices and menus.
+SURE = frozenset(
+    """ad ads adbox adslot adunit adsbygoogle advert adverts advertisement advertising adsense leaderboard skyscraper sponsor sponsored nav navbar navigation menu menubar breadcrumb
+    breadcrumbs sidebar aside complementary pagination pager newsletter subscribe subscription cookie cookies consent gdpr comment comments commentlist disqus respond replies reply""".split()
+)
+#: The share of points that a marked block keeps.
+MARKED_SHARE = 0.25
 #: Least link density of a block of links, and characters below which a link is a menu's, on average.
 LINKS, MENU_LINK = 0.5, 15
 #: An element ends the open ones named here, up to the boundary elements.
@@ -52,17 +62,20 @@ BOUNDARY = frozenset("ul ol dl table body html article section main div blockquo
 #: Parts of tables and lists, which are no containers of their own.
 PARTS = frozenset("td th tr tbody thead tfoot table li ul ol dt dd dl".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+#: A tag's name, and what follows it up to the ``>`` outside of quotes. Both go forward only.
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_REST = re.compile(r"((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: One attribute: its whole name, then its value with it, so that nothing inside a value or a longer name is taken for one.
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "points", "text", "links", "n_links", "drop", "mark", "commas")
+    __slots__ = ("tag", "up", "kids", "points", "text", "links", "n_links", "drop", "mark", "commas", "block")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool, mark: bool = False) -> None:
+    def __init__(self, tag: str, up: Node | None, drop: bool, mark: int = 0) -> None:
         self.tag, self.up, self.drop, self.mark = tag, up, drop, mark
+        self.block = up.block if tag in INLINE and up is not None else self
         self.kids: list = []
         self.clear()
 
@@ -71,13 +84,13 @@ class Node:
         self.text = self.links = self.n_links = self.commas = 0
 
 
-def _marked(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element goes with all it holds, and whether its names mark it."""
+def _marked(tag: str, attrs: str, inside_article: bool) -> tuple[bool, int]:
+    """Whether an element goes with all it holds, and how its names mark it: not (0), perhaps (1), surely (2)."""
     if tag in DROP or tag == "header" and not inside_article:
-        return True, False
+        return True, 0
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False, False
-    mark = False
+        return False, 0
+    mark = 0
     seen: set[str] = set()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
@@ -85,69 +98,129 @@ def _marked(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
             continue  # the first of equal attributes counts
         seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True, False
+            return True, 0
         if name in ("class", "id", "role") and tag not in INLINE:
             for token in value.split():
                 parts = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
                 found = MARKS.intersection(("".join(parts), *parts[:1], *parts[-1:]))
                 # An article's own header holds its title.
-                mark = mark or bool(found - ({"header"} if inside_article else set())) and ASPECTS.isdisjoint(parts)
+                if found - ({"header"} if inside_article else set()) and ASPECTS.isdisjoint(parts):
+                    mark = max(mark, 1 + bool(found & SURE))
     return False, mark
 
 
-def tree(page: str) -> Node:
-    """The page as nodes; a kid is a node or a string of decoded text."""
-    root = at = Node("html", None, False)
-    end = 0
-    articles = 0
-    pos, n = 0, len(page)
-    while pos < n:
-        m = _TAG.search(page, pos)
-        end = m.start() if m else n
-        if end > pos:
-            at.kids.append(_html.unescape(page[pos:end]))
-        if not m:
-            break
-        pos = m.end()
-        closing, tag = m[1] or m[4], (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if closing:
-            x = at
-            while x is not None and x.tag != tag:
-                x = x.up
-            if x is not None and x.up is not None and not (tag in INLINE and _block_between(at, x)):
-                while at is not x.up:
-                    articles -= at.tag in ("article", "main")
-                    at = at.up
-            continue
-        over = {"p"} if tag not in INLINE and tag not in RAW else set()
-        over = over | ENDS.get(tag, set())
-        if over:
-            x = at
-            while x.up is not None and x.tag not in over and x.tag not in BOUNDARY:
-                x = x.up
-            if x.tag in over:
-                at = x.up
-        if tag in ("html", "body"):
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name, attributes) of all tags and, without a name, comments and declarations. The caller may
+    send a place to go on from."""
+    pos, n, last, quotes = 0, len(page), page.rfind(">"), True
+    while (at := page.find("<", pos)) >= 0:
+        found = None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            found = (at, end + 3 if end >= 0 else n, "", "", "")
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            found = (at, end + 1 if end >= 0 else n, "", "", "")
+        elif at < last and (m := _OPEN.match(page, at)):
+            rest = _REST.match(page, m.end()) if quotes else None
+            if rest is None:
+                quotes = False
+                end = page.find(">", m.end())
+                found = (at, end + 1, m[1], m[2], page[m.end() : end])
+            else:
+                found = (at, rest.end(), m[1], m[2], rest[1])
+        if found is None:
+            pos = at + 1
             continue
-        node = Node(tag, at, *_marked(tag, m[3] or m[6] or "", articles > 0))
-        at.kids.append(node)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-            pos = close.end() if close else n
-        elif tag not in VOID and not (m[3] or m[6] or "").rstrip().endswith("/"):
-            at = node
-            articles += tag in ("article", "main")
-    return root
+        pos = found[1]
+        pos = (yield found) or pos
+
+
+class _Open:
+    """The open elements, with counts that say without a walk whether a tag is open: in all, among the inline elements in the
+    innermost block, and from the innermost boundary element on."""
+
+    def __init__(self, root: Node) -> None:
+        self.at = root
+        self.all: dict[str, int] = {}
+        self.inline: list[dict[str, int]] = [{}]
+        self.near: list[dict[str, int]] = [{}]
+        self.articles = 0
+
+    def push(self, node: Node) -> None:
+        tag = node.tag
+        self.at = node
+        self.all[tag] = self.all.get(tag, 0) + 1
+        self.articles += tag in ("article", "main")
+        if tag in BOUNDARY:
+            self.near.append({})
+        self.near[-1][tag] = self.near[-1].get(tag, 0) + 1
+        if tag in INLINE:
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
+        else:
+            self.inline.append({})
+
+    def pop(self) -> str:
+        tag = self.at.tag
+        self.all[tag] -= 1
+        self.articles -= tag in ("article", "main")
+        self.near[-1][tag] -= 1
+        if tag in BOUNDARY:
+            self.near.pop()
+        if tag in INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.inline.pop()
+        self.at = self.at.up
+        return tag
+
+    def close(self, tag: str) -> None:
+        """An end tag: an inline element isn't closed through a block."""
+        if (self.inline[-1] if tag in INLINE else self.all).get(tag):
+            while self.pop() != tag:
+                pass
 
+    def end(self, tags: set[str]) -> None:
+        """Close the innermost of *tags* that is no farther than the innermost boundary element."""
+        if any(self.near[-1].get(t) for t in tags):
+            while self.pop() not in tags:
+                pass
 
-def _block_between(at: Node, x: Node) -> bool:
-    while at is not x:
-        if at.tag not in INLINE:
-            return True
-        at = at.up
-    return False
+
+def tree(page: str) -> Node:
+    """The page as nodes; a kid is a node or a string of decoded text."""
+    root = Node("html", None, False)
+    held, done = _Open(root), 0
+    tags = _tags(page)
+    found = next(tags, None)
+    while found is not None:
+        start, end, closing, tag, attrs = found
+        tag, skip_to = tag.lower(), None
+        if start > done:
+            held.at.kids.append(_html.unescape(page[done:start]))
+        done = end
+        if tag and closing:
+            held.close(tag)
+        elif tag:
+            over = {"p"} if tag not in INLINE and tag not in RAW else set()
+            if over := over | ENDS.get(tag, set()):
+                held.end(over)
+            if tag not in ("html", "body"):
+                node = Node(tag, held.at, *_marked(tag, attrs, held.articles > 0))
+                held.at.kids.append(node)
+                if tag in RAW:
+                    close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, end)
+                    stop = page.find(">", close.end()) if close else -1
+                    done = skip_to = stop + 1 if stop >= 0 else len(page)
+                elif tag not in VOID and not attrs.rstrip().endswith("/"):
+                    held.push(node)
+        try:
+            found = tags.send(skip_to)
+        except StopIteration:
+            found = None
+    if done < len(page):
+        held.at.kids.append(_html.unescape(page[done:]))
+    return root
 
 
 def _walk(root: Node) -> Iterator[tuple[Node | str, Node | None, bool]]:
@@ -162,7 +235,7 @@ def _walk(root: Node) -> Iterator[tuple[Node | str, Node | None, bool]]:
 
 
 def _score(root: Node) -> None:
-    """Text, link and comma counts of all nodes, then points."""
+    """Text, link and comma counts of all nodes, then points: a block's go to its parent, half of them to the next."""
     link = 0
     blocks: list[Node] = []
     for x, up, entering in _walk(root):
@@ -170,9 +243,7 @@ def _score(root: Node) -> None:
             size = len("".join(x.split()))
             up.text += size
             up.links += size if link else 0
-            block = up
-            while block.tag in INLINE and block.up is not None:
-                block = block.up
+            block = up.block
             if size and (not blocks or blocks[-1] is not block):
                 blocks.append(block)
             if block is not up:
@@ -187,45 +258,41 @@ def _score(root: Node) -> None:
             if up is not None:
                 up.text, up.links, up.n_links = up.text + x.text, up.links + x.links, up.n_links + x.n_links
     for b in dict.fromkeys(blocks):
-        points = 1 + b.commas + min(b.text / 100, 3)
-        x, share = (b.up if b.up is not None else b), 1.0
-        while x is not None:
-            x.points += points * share
-            x, share = x.up, share / 2
+        (b.up if b.up is not None else b).points += 1 + b.commas + min(b.text / 100, 3)
+    for x, up, entering in _walk(root):
+        if not entering and isinstance(x, Node) and up is not None:
+            up.points += x.points / 2
 
 
 def _density(x: Node) -> float:
     return x.links / x.text if x.text else 0.0
 
 
-def _scope(x: Node) -> Node:
-    """The article around a node, or the page."""
-    x = x.up or x
-    while x.up is not None and x.tag not in ("article", "main"):
-        x = x.up
-    return x
-
-
 def _prune(root: Node) -> None:
-    """Score the tree without the marked blocks that are short or mostly links."""
+    """Score the tree without the marked blocks that are mostly links or aren't what their article is about."""
     _score(root)
-    links, short, inside, articles = [], [], None, False
+    links: list[Node] = []
+    marked: list[tuple[Node, Node]] = []  # with the article around it, or the page
+    scopes, inside, articles = [root], None, False
     for x, _, entering in _walk(root):
-        articles = articles or isinstance(x, Node) and x.tag in ("article", "main") and x.text > 0
+        if not isinstance(x, Node):
+            continue
+        articles = articles or x.tag in ("article", "main") and x.text > 0
+        if x.tag in ("article", "main"):
+            scopes.append(x) if entering else scopes.pop()
         if inside is not None:
             inside = None if x is inside and not entering else inside
-        elif entering and isinstance(x, Node) and x.mark and x.text:
+        elif entering and x.mark and x.text:
             if _density(x) >= LINKS:
                 links.append(x)
-            elif x.text < SHORT_BLOCK:
-                short.append(x)
             else:
-                continue
+                marked.append((x, scopes[-1]))
             inside = x
-    held: dict[Node, int] = {}
-    for x in short:
-        held[_scope(x)] = held.get(_scope(x), 0) + x.text
-    gone = links + [x for x in short if (n := held[_scope(x)]) < SHORT_BLOCK or 2 * n < _scope(x).text or articles and _scope(x) is root]
+    held: dict[tuple[Node, int], int] = {}
+    for x, scope in marked:
+        held[scope, x.mark] = held.get((scope, x.mark), 0) + x.text
+    few = lambda x, scope: 10 * held[scope, 2] <= 9 * scope.text if x.mark == 2 else 2 * held[scope, 1] < scope.text
+    gone = links + [x for x, scope in marked if few(x, scope) or articles and scope is root]
     if not gone or sum(x.text for x in gone) == root.text:
         return
     for x in gone:
@@ -237,12 +304,18 @@ def _prune(root: Node) -> None:
 
 
 def main_nodes(root: Node) -> list[Node | str]:
-    """The best container, widened to its article, and its siblings that are not marked or links."""
+    """The best container, widened to its article, or what is kept beside it and its ancestors, in page order."""
     _prune(root)
     best, most, marks = None, 0.0, 0
+    articles: dict[Node, int] = {}  # of each main element, outermost ones that aren't mostly links
+    mains: list[Node] = []
     for x, _, entering in _walk(root):
         if isinstance(x, Node):
-            marks += x.mark if entering else -x.mark
+            marks += bool(x.mark) if entering else -bool(x.mark)
+            if x.tag in ("article", "main"):
+                if entering and x.tag == "article" and x.text and _density(x) < LINKS and mains and mains[-1].tag == "main":
+                    articles[mains[-1]] = articles.get(mains[-1], 0) + 1
+                mains.append(x) if entering else mains.pop()
             if entering and x.tag not in INLINE and x.text:
                 value = x.points * (1 - _density(x)) * (MARKED_SHARE if marks else 1)
                 if value > most:
@@ -253,12 +326,25 @@ def main_nodes(root: Node) -> list[Node | str]:
         best = best.up  # a cell or an item is part of what holds the table or list
     up, wide = best, None
     while up is not None:
-        if up.tag == "article" or up.tag == "main" and wide is None:
+        if up.tag == "article" or up.tag == "main" and (wide is None or articles.get(up, 0) > 1):
             wide = up
         up = up.up
-    if wide is not None or best.up is None:
-        return [wide or best]
-    return [k for k in best.up.kids if k is best or isinstance(k, str) or not k.drop and (best.mark or not k.mark) and (_density(k) < LINKS or not k.text)]
+    if wide is not None:
+        for x in wide.kids if wide.tag == "main" else []:
+            if isinstance(x, Node) and x.tag == "article" and _density(x) >= LINKS:
+                x.drop = True
+        return [wide]
+    before: list[list[Node | str]] = []
+    after: list[list[Node | str]] = []
+    x = best
+    while x.up is not None:
+        fine = [k is x or isinstance(k, str) or not k.drop and (best.mark or not k.mark) and (_density(k) < LINKS or not k.text) for k in x.up.kids]
+        at = next(i for i, k in enumerate(x.up.kids) if k is x)
+        before.append([k for k, ok in zip(x.up.kids[:at], fine[:at], strict=True) if ok])
+        after.append([k for k, ok in zip(x.up.kids[at + 1 :], fine[at + 1 :], strict=True) if ok])
+        x = x.up
+    # A rule between levels: what stands beside an ancestor is no part of the block inside it.
+    return [k for level in reversed(before) for k in (*level, Node("hr", None, False))] + [best] + [k for level in after for k in (Node("hr", None, False), *level)]
 
 
 def extract(page: str | None) -> str:

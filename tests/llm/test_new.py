@@ -1,6 +1,7 @@
 """Centroid clustering, spelling variants and personal data, against plain versions."""
 
 
+import base64
 import hashlib
 import random
 import time
@@ -8,7 +9,7 @@ import time
 import numpy as np
 import pytest
 
-from pairwright.llm import centroids, personal, variants
+from pairwright.llm import centroids, counts, pages, personal, variants
 from tests.llm import brute
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -152,3 +153,76 @@ def test_personal_data_without_any(spark):
     assert personal.scan(spark.createDataFrame([], DOCS), personal.train(spark.createDataFrame([], DOCS))).count() == 0
     plain = spark.createDataFrame([(1, "page 3"), (2, "x")], DOCS)
     assert [r.spans for r in personal.scan(plain, personal.train(plain)).collect()] == ["", ""]
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    import tiktoken
+
+    with open(counts.RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("t", pat_str=counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_long_blanks_count_as_the_plain_encoder_counts_them(bpe):
+    rng = random.Random(6)
+    parts = ["a b", " ", "\n" * 1500, " " * 1000, " " * 1001, "\t \u3000\xa0" * 400, "\u2028" * 1200, "word", "\x1c" * 1100, "\u200b" * 1100, "é", "it's", "12"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))
+        assert counts.n_tokens(bpe, text) == len(bpe.encode_ordinary(text))
+
+
+@pytest.mark.parametrize("text", [" " * 10**7, "x" + "\n" * 10**7 + "y", "a" * 10**7])
+def test_very_long_runs_are_counted(bpe, text):
+    assert counts.n_tokens(bpe, text) > 10**6
+
+
+def test_a_batch_with_a_very_long_run_commits(spark, tmp_path):
+    rows = [(1, "one two", "s", "en", "insert", 1), (2, "a" + " " * 1_000_000 + "b", "s", "en", "insert", 1)]
+    changes = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, op string, ord long")
+    rollup = counts.TokenRollup(spark, str(tmp_path / "roll"))
+    rollup.commit(changes, 1)
+    assert {r.version: (r.docs, r.tokens) for r in rollup.totals().collect()}[counts.WORDS_VERSION] == (2, 4)
+
+
+LONG = "<p>" + "A long paragraph, with commas, of some words. " * 8 + "</p>"
+ONCE = " ".join(("A long paragraph, with commas, of some words. " * 8).split())
+
+
+def test_comments_sidebars_and_adverts_go_at_any_length():
+    for page, want in {
+        f"<article>{LONG}<div class='comments'>{'<div class=comment><p>I, as a reader, say this at some length here.</p></div>' * 12}</div></article>": ONCE,
+        f"<article>{LONG}<section id='comments'>{LONG * 3}</section></article>": ONCE,
+        f"<article>{LONG}<div class=sidebar>{LONG * 2}</div></article>": ONCE,
+        f"<div>{LONG * 2}<div class=advert>{LONG * 2}</div></div>": f"{ONCE}\n{ONCE}",
+        f"<div class=reply>{LONG * 9}</div><div><h1>Forum</h1></div>": "\n".join([ONCE] * 9 + ["Forum"]),
+    }.items():
+        assert pages.extract(page) == want
+
+
+def test_what_stands_beside_ancestors_is_kept():
+    assert pages.extract(f"<div><div><h1>TITLE</h1><p>INTRO one, two</p></div>\n<div>and<div>{LONG * 3}</div></div></div>") == "\n".join(["TITLE", "INTRO one, two", "and"] + [ONCE] * 3)
+    assert pages.extract(f"<main><article>{LONG}</article><article>{LONG}</article></main>") == f"{ONCE}\n{ONCE}"
+    assert pages.extract(f"<main><article>{LONG}</article><article><a href=x>more of it here</a></article></main>") == ONCE
+
+
+@pytest.mark.parametrize(
+    ("head", "part", "tail"),
+    [
+        ("", "<a", ""), ("", "if (i<n) x; ", ""), ("", '<a ">"', '"'), ("", "<div>a", ""), ("", "<i>", "<hr>" * 100_000), ("", "<p>", "</span>" * 100_000), ("<script>", "</script ", ""),
+        ("", "<div>", "<div class=ad>x</div>" * 50_000), ("", "&", ""), ("", "<!--", ""), ("<b><div>", "<i>x", "</b>" * 200_000), ("", "<a b='", ""), ("", "<table><tr><td>", ""),
+    ],
+)
+def test_pages_are_read_in_linear_time(head, part, tail):
+    page = head + part * (1_000_000 // len(part)) + tail
+    began = time.perf_counter()
+    pages.extract(page)
+    assert time.perf_counter() - began < 25
+
+
+def test_huge_pages():
+    began = time.perf_counter()
+    assert pages.extract("<a" * 500_000) == "<a" * 500_000
+    assert len(pages.extract("i<n " * 2_500_000)) == 10**7 - 1
+    assert time.perf_counter() - began < 15
+    assert pages.extract("<p>a<b and c</p><p title=\"x>y>b</p><p>1 < 2 <3</p>").startswith("a")
