@@ -7,8 +7,9 @@ it. A misspelt word shares most of its n-grams with the word, so
 it needs no entry of its own. As the model is linear, scoring needs one number per n-gram bucket: that table
 (2^``bits`` floats) is all that is sent to the tasks.
 
-The sample holds at most ``per_class`` rows of each label; n-grams that fewer than one of its texts in ``rare`` has are
-not learnt. Score and sample take whole texts, however long. Rows whose crc32(doc_id) mod 5 is 0 are held out.
+The sample holds at most ``per_class`` rows of each label, which reach the driver as the set of their n-gram buckets, packed:
+2^``bits`` / 8 bytes a row at most, some 100 MB in all, and a few KB a row as a rule. n-grams that fewer than ``least`` of its
+texts have, however large it is, are not learnt. Score and sample take whole texts, however long. Rows whose crc32(doc_id) mod 5 is 0 are held out.
 
 Defined cases: null and empty texts have no n-grams and get the bias alone; texts are read whole; labels that are
 null are not used; a label that repeats counts once (the larger); rows without doc_id are scored and not held out;
@@ -17,6 +18,7 @@ without labels of both kinds every score is the rate of toxic ones (0.5 without
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ STEPS = 1100
 L2 = 1e-5
 #: How much the rarer kind of label counts more in training: 0 not at all, 1 until both kinds weigh the same.
 POWER = 0.5
-#: An n-gram is learnt if one text in so many of the sample has it, and three at least; rarer ones would be learnt by heart.
-RARE = 120
+#: Texts of the sample that must have an n-gram for it to be learnt.
+LEAST = 3
 
 
 class Grams:
@@ -66,16 +68,25 @@ class Grams:
         return np.flatnonzero(seen)
 
 
-def train(texts: list[str | None], labels: list[int], rate: float, bits: int = BITS, dim: int = DIM, steps: int = STEPS, seed: int = 5, rare: int = RARE) -> tuple[np.ndarray, float]:
-    """(weight per bucket, bias): the trained model, folded to one logit."""
+def pack(found: np.ndarray, bits: int) -> bytes:
+    """Buckets as a compressed row of bits."""
+    seen = np.zeros(1 << bits, bool)
+    seen[found] = True
+    return zlib.compress(np.packbits(seen).tobytes(), 1)
+
+
+def unpack(bag: bytes, bits: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(bag), np.uint8), count=1 << bits))
+
+
+def train(found: list[np.ndarray], labels: list[int], rate: float, bits: int = BITS, dim: int = DIM, steps: int = STEPS, seed: int = 5, least: int = LEAST) -> tuple[np.ndarray, float]:
+    """(weight per bucket, bias): the model of texts with the buckets *found*, folded to one logit."""
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         rate = min(max(rate, 1e-6), 1 - 1e-6)
         return np.zeros(1 << bits, np.float32), float(np.log(rate / (1 - rate)))
-    grams = Grams(bits)
-    found = [grams.of(t) for t in texts]
     # Rarer n-grams have no embedding; the others are numbered, so a step costs what is learnt and not all buckets.
-    used = np.flatnonzero(np.bincount(np.concatenate(found), minlength=1 << bits) >= max(3, len(texts) // rare))
+    used = np.flatnonzero(np.bincount(np.concatenate(found), minlength=1 << bits) >= least)
     place = np.full(1 << bits, -1)
     place[used] = np.arange(len(used))
     bags = [(place[b][place[b] >= 0], np.float32(1 / max(1, len(b)))) for b in found]
@@ -86,13 +97,14 @@ def train(texts: list[str | None], labels: list[int], rate: float, bits: int = B
     gain = np.float32(100)  # a few words in hundreds decide; scales the mean
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
     step, batch = 0, 64
+    shares = np.zeros((batch, len(used)), np.float32)  # what share each n-gram has in a text's mean, for the texts of a step
     weigh = (len(y) / 2 / np.bincount(y, minlength=2)) ** POWER  # the rarer kind counts more
     while step < steps:
         order = rng.permutation(len(bags))
         rate_now = 0.02 * max(0.0, 1 - step / steps) + 0.002
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            mixed = np.zeros((len(own), len(used)), np.float32)  # what share each n-gram has in a text's mean
+            mixed = shares[: len(own)]
             for row, k in enumerate(own):
                 mixed[row, bags[k][0]] = bags[k][1] * gain
             mean = mixed @ emb
@@ -103,6 +115,8 @@ def train(texts: list[str | None], labels: list[int], rate: float, bits: int = B
             p *= weigh[y[own]][:, None] / len(own)
             back = p @ out.T
             grad_emb = mixed.T @ back.astype(np.float32)
+            for row, k in enumerate(own):
+                mixed[row, bags[k][0]] = 0
             grads = (grad_emb + L2 * emb, mean.T @ p, p.sum(0))
             step += 1
             for value, g, (m, v) in zip((emb, out, bias), grads, state, strict=True):
@@ -118,7 +132,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Train on at most *per_class* labelled rows of each kind, in the order of a hash of doc_id."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter("toxic IN (0, 1)")
@@ -129,9 +143,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
         ids = some if ids is None else ids.unionAll(some)
     # The sample's ids: at most 2 * per_class rows.
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.filter("text IS NOT NULL").toLocalIterator())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(bits)
+        for batch in batches:
+            bags = [pack(grams.of(t.as_py()), bits) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=["doc_id", "toxic", "bag"])
+
+    bags = sample.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, toxic int, bag binary")
+    rows = sorted((r["doc_id"], r["toxic"], bytes(r["bag"])) for r in bags.collect())
     total = sum(n.values())
-    return train([r[1] for r in rows], [r[2] for r in rows], n.get(1, 0) / total if total else 0.5)
+    return train([unpack(r[2], bits) for r in rows], [r[1] for r in rows], n.get(1, 0) / total if total else 0.5, bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

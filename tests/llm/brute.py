@@ -293,3 +293,50 @@ def enumerated(unary, ends, pots):
         for i in range(n):
             sums[i][y[i]] += p
     return [[x / sum(row) for x in row] for row in sums]
+
+
+def toxicity(bags, labels, steps, size, dim, batch=64, seed=5, least=3, l2=1e-5, power=0.5):
+    """A plain trainer of the subword-bag model, number by number: (weight per bucket, bias)."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n = Counter(b for bag in bags for b in bag)
+    start = rng.normal(0, 0.1, (size, dim))
+    emb = {b: [float(np.float32(x)) for x in start[b]] for b in sorted(n) if n[b] >= least}
+    out = [[float(np.float32(x)) for x in row] for row in rng.normal(0, 0.1, (dim, 2))]
+    bias = [0.0, 0.0]
+    weigh = [(len(labels) / 2 / labels.count(k)) ** power for k in (0, 1)]
+    moments = defaultdict(lambda: [0.0, 0.0])
+
+    def update(name, value, g, t, rate):
+        m = moments[name]
+        m[0] += 0.1 * (g - m[0])
+        m[1] += 0.01 * (g * g - m[1])
+        return value - rate * (m[0] / (1 - 0.9**t)) / (math.sqrt(m[1] / (1 - 0.99**t)) + 1e-6)
+
+    t = 0
+    while t < steps:
+        order = rng.permutation(len(bags))
+        rate = 0.02 * max(0.0, 1 - t / steps) + 0.002
+        for at in range(0, len(order), batch):
+            own = order[at : at + batch]
+            g_emb, g_out, g_bias = defaultdict(lambda: [0.0] * dim), [[0.0, 0.0] for _ in range(dim)], [0.0, 0.0]
+            for k in own:
+                known = [b for b in bags[k] if b in emb]
+                share = 100 / max(1, len(bags[k]))
+                mean = [share * sum(emb[b][d] for b in known) for d in range(dim)]
+                z = [sum(mean[d] * out[d][c] for d in range(dim)) + bias[c] for c in (0, 1)]
+                e = [math.exp(x - max(z)) for x in z]
+                err = [(e[c] / sum(e) - (labels[k] == c)) * weigh[labels[k]] / len(own) for c in (0, 1)]
+                for c in (0, 1):
+                    g_bias[c] += err[c]
+                    for d in range(dim):
+                        g_out[d][c] += mean[d] * err[c]
+                for b in known:
+                    for d in range(dim):
+                        g_emb[b][d] += share * sum(err[c] * out[d][c] for c in (0, 1))
+            t += 1
+            emb = {b: [update(("e", b, d), x, g_emb[b][d] + l2 * x, t, rate) for d, x in enumerate(v)] for b, v in emb.items()}
+            out = [[update(("o", d, c), x, g_out[d][c], t, rate) for c, x in enumerate(row)] for d, row in enumerate(out)]
+            bias = [update(("b", c), x, g_bias[c], t, rate) for c, x in enumerate(bias)]
+    return {b: 100 * sum(v[d] * (out[d][1] - out[d][0]) for d in range(dim)) for b, v in emb.items()}, bias[1] - bias[0]

@@ -9,7 +9,7 @@ import time
 import numpy as np
 import pytest
 
-from pairwright.llm import centroids, counts, pages, personal, variants
+from pairwright.llm import centroids, counts, pages, personal, toxicity, variants
 from tests.llm import brute
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -226,3 +226,19 @@ def test_huge_pages():
     assert len(pages.extract("i<n " * 2_500_000)) == 10**7 - 1
     assert time.perf_counter() - began < 15
     assert pages.extract("<p>a<b and c</p><p title=\"x>y>b</p><p>1 < 2 <3</p>").startswith("a")
+
+
+def test_toxicity_training_matches_a_plain_trainer():
+    rng = np.random.default_rng(9)
+    bags = [np.unique(rng.integers(0, 60, rng.integers(1, 25))) for _ in range(70)] + [np.zeros(0, int)] * 2
+    labels = [int(bag[:1].sum() % 3 == 0) for bag in bags]
+    for steps in (2, 12):
+        weight, bias = toxicity.train(bags, labels, 0.5, bits=6, dim=3, steps=steps)
+        plain, plain_bias = brute.toxicity([b.tolist() for b in bags], labels, steps, 64, 3)
+        assert abs(bias - plain_bias) < 1e-3 and set(np.flatnonzero(weight)) == set(plain)
+        assert max(abs(weight[b] - w) for b, w in plain.items()) < 0.02 * max(map(abs, plain.values()))
+
+
+def test_toxicity_bags_survive_packing():
+    for bag in ([], [0], [63], [1, 5, 62], range(64)):
+        assert toxicity.unpack(toxicity.pack(np.array(bag, int), 6), 6).tolist() == list(bag)
