@@ -1,8 +1,8 @@
 """Record linkage: pair what both sides hold without a common state, refuse what is ambiguous.
 
-Sides are frames (id, ...); contact points and other tokens are arrays without nulls. Nothing here makes a row per pair:
-a switchboard number on a hundred thousand cards costs a row per card. Who shares a token with whom is counted by
-inclusion and exclusion over the sets of tokens (``overlap``), and a partner is the least id per token.
+Sides are frames (id, ...); contact points and other tokens are arrays without nulls. A switchboard number on a hundred
+thousand cards costs some rows per card, never one per pair: who shares a token with whom is counted by pairs for tokens
+with few holders only, and by inclusion and exclusion over sets of the others (``overlap``).
 """
 
 from __future__ import annotations
@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Records of more tokens are compared by token instead of by set of tokens, of which they would have too many.
+from pairwright.functions.shared import cut
+
+#: A token that more records of the other side hold is heavy: its holders are counted, not listed.
+HEAVY = 32
+#: Records of more heavy tokens are compared by distinct sets of them instead of by all subsets, of which they would have too many.
 WIDE = 8
 
 
@@ -44,29 +48,51 @@ def content_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("id", "hash").join(per.select("hash", count.alias("candidates")), "hash").select("id", "candidates")
 
 
-def _sets(df: DataFrame, as_id: str) -> DataFrame:
-    """(id, set, size) of all sets of one token or more of records that have up to WIDE."""
-    narrow = df.select(F.col("id").alias(as_id), F.array_sort(F.array_distinct("tokens")).alias("_t")).filter(f"size(_t) BETWEEN 1 AND {WIDE}")
-    each = F.explode(F.expr("transform(sequence(1, cast(shiftleft(1, size(_t)) as int) - 1), m -> filter(_t, (x, i) -> (shiftright(m, i) & 1) = 1))"))
-    return narrow.select(as_id, each.alias("set")).withColumn("size", F.size("set"))
+def _subsets(df: DataFrame, as_id: str) -> DataFrame:
+    """(id, set, size) of all subsets of one token or more of sorted arrays ``heavy`` of up to WIDE."""
+    each = F.explode(F.expr("transform(sequence(1, cast(shiftleft(1, size(heavy)) as int) - 1), m -> filter(heavy, (x, i) -> (shiftright(m, i) & 1) = 1))"))
+    return df.filter(f"size(heavy) <= {WIDE}").select(as_id, each.alias("set")).withColumn("size", F.size("set"))
 
 
-def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id, n, first) for the left records (id, tokens) that share a token with a right one: with how many, and the least
-    id of them.
+def _heavy_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, n, first) over heavy tokens alone, of *left* (id, heavy) and *right* (r, heavy).
 
     How many right records hold one of the tokens a, b, ... is the sum over all sets of them of how many hold the whole
-    set, odd sets added and even ones taken off. The holders of a set are one count, combined map-side. Records of more
-    than WIDE tokens, on either side, are joined by token; no pair of two ordinary records is ever a row.
+    set, odd sets added and even ones taken off. The holders of a set are one count, combined map-side. Where a record has
+    more than WIDE heavy tokens, distinct sets of both sides meet instead, each with its count of records.
     """
-    held = _sets(right, "r").groupBy("set").agg(F.count(F.lit(1)).alias("holders"), F.min("r").alias("least"))
+    held = _subsets(right, "r").groupBy("set").agg(F.count(F.lit(1)).alias("holders"), F.min("r").alias("least"))
     sign = F.when(F.col("size") % 2 == 1, F.col("holders")).otherwise(-F.col("holders"))
-    by_set = _sets(left, "id").join(held, "set").groupBy("id").agg(F.sum(sign).alias("n"), F.min("least").alias("first"))
-    tokens = lambda df, as_id, cond: df.filter(cond).select(F.col("id").alias(as_id), F.explode(F.array_distinct("tokens")).alias("t"))
-    wide, narrow = F.size(F.array_distinct("tokens")) > WIDE, F.size(F.array_distinct("tokens")) <= WIDE
-    pairs = tokens(left, "id", wide).join(tokens(right, "r", F.lit(True)), "t").unionByName(tokens(left, "id", narrow).join(tokens(right, "r", wide), "t"))
-    by_pair = pairs.groupBy("id").agg(F.count_distinct("r").alias("n"), F.min("r").alias("first"))
-    return by_set.unionByName(by_pair).groupBy("id").agg(F.sum("n").cast("long").alias("n"), F.min("first").alias("first"))
+    by_set = _subsets(left, "id").join(held, "set").groupBy("id").agg(F.sum(sign).alias("n"), F.min("least").alias("first"))
+    wide = F.size("heavy") > WIDE
+    own = left.groupBy("heavy").agg(F.count(F.lit(1)).alias("_")).select("heavy", wide.alias("wide"), F.explode("heavy").alias("t"))
+    theirs = right.groupBy("heavy").agg(F.count(F.lit(1)).alias("holders"), F.min("r").alias("least"))
+    theirs = theirs.select(F.col("heavy").alias("theirs"), wide.alias("wide_too"), "holders", "least", F.explode("heavy").alias("t"))
+    met = own.join(theirs, "t").filter("wide OR wide_too").groupBy("heavy", "theirs").agg(F.first("holders").alias("holders"), F.first("least").alias("least"))
+    met = met.groupBy("heavy").agg(F.sum("holders").alias("n"), F.min("least").alias("first"))
+    return by_set.unionByName(left.join(met, "heavy").select("id", "n", "first"))
+
+
+def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, n, first) for the left records (id, tokens) that share a token with a right one: with how many, and the least
+    id of them. Tokens are split by how many right records hold them, which one count decides beforehand.
+
+    Light tokens, of HEAVY holders at most, make pairs: so many rows per left token at most. Heavy ones are counted by
+    ``_heavy_overlap``. A pair that shares tokens of both kinds is in both, so of the light pairs only those count that
+    have no heavy token in common.
+    """
+    l, r = (df.select(F.col("id").alias(as_id), F.explode(F.array_distinct("tokens")).alias("t")) for df, as_id in ((left, "id"), (right, "r")))
+    heavy = r.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("t").join(l.select("t").distinct(), "t", "left_semi")
+    if heavy.isEmpty():
+        return l.join(r, "t").select("id", "r").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first"))
+    heavy = cut(heavy)
+    own, theirs = (df.join(heavy, "t").groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("heavy")) for df, key in ((l, "id"), (r, "r")))
+    own, theirs = cut(own), cut(theirs)
+    pairs = l.join(heavy, "t", "left_anti").join(r.join(heavy, "t", "left_anti"), "t").select("id", "r").distinct()
+    pairs = pairs.join(own, "id", "left").join(theirs.withColumnRenamed("heavy", "heavy_too"), "r", "left")
+    apart = ~F.coalesce(F.arrays_overlap("heavy", "heavy_too"), F.lit(False))
+    light = pairs.groupBy("id").agg(F.sum(apart.cast("long")).alias("n"), F.min("r").alias("first"))
+    return light.unionByName(_heavy_overlap(own, theirs)).groupBy("id").agg(F.sum("n").cast("long").alias("n"), F.min("first").alias("first"))
 
 
 def identity_tokens(df: DataFrame) -> DataFrame:

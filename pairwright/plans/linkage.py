@@ -59,12 +59,22 @@ def may_be_same(spark, sf_dir):
 
 
 def token_overlap(spark, sf_dir):
-    """Orders of even and odd customers by the parts they hold: up to seven tokens each, many shared."""
-    line = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5")
+    """Even and odd orders by the parts they hold, many of them shared."""
+    line = table(spark, sf_dir, "lineitem")
     rows = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.concat(F.lit("p"), F.expr("l_partkey % 1000"))).alias("tokens"))
     return linkage.overlap(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"))
 
 
+def wide_overlap(spark, sf_dir):
+    """Even and odd orders by parts, days and suppliers of parts, of few holders, and by groups of suppliers of returned lines,
+    which hundreds share."""
+    line = table(spark, sf_dir, "lineitem")
+    mode = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("m:"), F.expr("l_suppkey % 7")))
+    named = [F.concat(F.lit("p:"), "l_partkey"), F.concat(F.lit("d:"), "l_partkey", F.lit("/"), F.col("l_shipdate").cast("date").cast("string")), F.concat(F.lit("s:"), "l_partkey", F.lit("/"), "l_suppkey"), mode]
+    rows = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.flatten(F.collect_list(F.array_compact(F.array(*named)))).alias("tokens"))
+    return linkage.overlap(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"))
+
+
 def _refused(spark, sf_dir):
     """Content candidates for the even parts: those whose type is shared by few odd ones stand in."""
     left, right = _parts(spark, sf_dir)
@@ -119,7 +129,7 @@ def relink_aliases(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        pair_uid, pair_content_mutual, candidate_counts, pair_identity_mutual, may_be_same, token_overlap, settle_outcomes, same_cycle_duplicates, synced_duplicates, unmapped_members, relink_groups, relink_aliases,
+        pair_uid, pair_content_mutual, candidate_counts, pair_identity_mutual, may_be_same, token_overlap, wide_overlap, settle_outcomes, same_cycle_duplicates, synced_duplicates, unmapped_members, relink_groups, relink_aliases,
     )
 }
 
@@ -133,7 +143,11 @@ ORACLE = {
         SELECT l AS id, max(n_l) AS n, min(r) AS first, max(n_l) = 1 AND max(n_r) = 1 AS accepted
         FROM (SELECT *, count(*) OVER (PARTITION BY l) AS n_l, count(*) OVER (PARTITION BY r) AS n_r FROM ident) GROUP BY l""",
     "token_overlap": """
-        WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 1000 AS tok FROM lineitem WHERE l_linenumber <= 5)
+        WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 1000 AS tok FROM lineitem)
+        SELECT a.id, count(DISTINCT b.id) AS n, min(b.id) AS first FROM t a JOIN t b USING (tok) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.id""",
+    "wide_overlap": """
+        WITH x AS (SELECT l_orderkey AS id, unnest(['p:' || l_partkey, 'd:' || l_partkey || '/' || l_shipdate::DATE, 's:' || l_partkey || '/' || l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'm:' || (l_suppkey % 7) END]) AS tok FROM lineitem),
+             t AS (SELECT DISTINCT id, tok FROM x WHERE tok IS NOT NULL)
         SELECT a.id, count(DISTINCT b.id) AS n, min(b.id) AS first FROM t a JOIN t b USING (tok) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.id""",
     "may_be_same": f"""{_PARTS}
         SELECT l.id, count(*) AS n, min(r.id) AS first FROM l JOIN r ON l.name = r.name OR l.tok = r.tok OR (l.tok IS NULL AND r.tok IS NULL AND l.org = r.org) GROUP BY 1""",

@@ -86,9 +86,19 @@ def test_one_number_on_very_many_cards(spark):
     assert tuple(linkage.synced_duplicates(rows).agg(F.count(F.lit(1)), F.max("other")).first()) == (n - 1, 0)
 
 
-def test_overlap_of_wide_records(spark):
+def test_one_number_on_very_many_wide_cards(spark):
+    """A hundred thousand cards a side of twelve tokens, of which all share one and two each share the rest."""
+    n = 100_000
+    own = [F.concat(F.lit(f"{k}:"), F.col("id") % 50_000) for k in range(11)]
+    side = spark.range(n).select("id", F.array(F.lit("p:0"), *own).alias("tokens"))
+    assert tuple(linkage.overlap(side, side).agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.max("first")).first()) == (n, n, n, 0)
+
+
+@pytest.mark.parametrize("heavy", [0, 5, 14, 32])
+def test_overlap_of_wide_records(spark, monkeypatch, heavy):
     import random
 
+    monkeypatch.setattr(linkage, "HEAVY", heavy)
     rng = random.Random(3)
     rows = [[(i, rng.sample([f"t{k}" for k in range(60)], rng.choice([0, 1, 3, 7, 8, 9, 20]))) for i in range(70)] for _ in range(2)]
     a, b = (spark.createDataFrame(r, "id long, tokens array<string>") for r in rows)
