@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stands for a line feed between two replacement steps; a private-use character.
-_LF = "\ue0ff"
-
 
 def unicode_trim(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -15,8 +12,9 @@ def unicode_trim(x: Column) -> Column:
 
 def unescape(x: Column) -> Column:
     r"""``\n`` and ``\N`` are line feeds, any other escaped character is itself, a last backslash stays."""
-    marked = F.regexp_replace(x, r"\G((?:(?s:[^\\]++)|(?s:\\[^nN]))*+)\\[nN]", "$1" + _LF)
-    return F.translate(F.regexp_replace(marked, r"(?s)\\(.)", "$1"), _LF, "\n")
+    # A line feed first becomes an escaped character like others, so no place-holder is needed.
+    escaped = F.regexp_replace(x, r"\G((?:(?s:[^\\]++)|(?s:\\[^nN]))*+)\\[nN]", "$1\\\\\n")
+    return F.regexp_replace(escaped, r"(?s)\\(.)", "$1")
 
 
 def components(x: Column) -> Column:
@@ -102,14 +100,28 @@ def status_class(code: Column, with_href: Column | None = None) -> Column:
     )
 
 
+def http_date(x: Column, now: Column) -> Column:
+    """The time of an HTTP date in one of its three forms; a year of two digits is the one that is at most 50 years ahead of *now*."""
+    # The zone is part of the pattern, so the session's own doesn't matter.
+    read = lambda part, form: F.try_to_timestamp(F.concat(part, F.lit(" +0000")), F.lit(f"{form} Z"))
+    fixed = F.when(x.rlike(r"^[A-Za-z]{3}, \d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} GMT$"), read(F.substring(x, 6, 20), "dd MMM yyyy HH:mm:ss"))
+    day = F.regexp_extract(x, r"^[A-Za-z]+day, (\d{2}-[A-Za-z]{3}-)\d{2} \d{2}:\d{2}:\d{2} GMT$", 1)
+    short = F.regexp_extract(x, r"-(\d{2}) (\d{2}:\d{2}:\d{2}) GMT$", 1)
+    clock = F.regexp_extract(x, r"(\d{2}:\d{2}:\d{2}) GMT$", 1)
+    year = F.when(short != "", F.floor(F.year(now) / 100) * 100 + short.try_cast("int")).cast("int")
+    year = F.when(year > F.year(now) + 50, year - 100).otherwise(year)
+    older = F.when(day != "", read(F.concat(day, F.lpad(year.cast("string"), 4, "0"), F.lit(" "), clock), "dd-MMM-yyyy HH:mm:ss"))
+    plain = F.regexp_replace(F.regexp_extract(x, r"^[A-Za-z]{3} ([A-Za-z]{3} [ \d]\d \d{2}:\d{2}:\d{2} \d{4})$", 1), " +", " ")
+    return F.coalesce(fixed, older, F.when(plain != "", read(plain, "MMM d HH:mm:ss yyyy")))
+
+
 def retry_after(x: Column, now: Column, cap: int = 3600) -> Column:
-    """Seconds to wait: digits (too many of them: the cap) or an HTTP date in GMT (past: 0), at most *cap*; else null."""
+    """Seconds to wait: digits (too many of them: the cap) or an ``http_date`` (past: 0), at most *cap*; else null."""
     clean = unicode_trim(x)
     number = F.when(F.length(clean) > 9, F.lit(cap).cast("long")).otherwise(F.least(F.lit(cap).cast("long"), F.try_to_number(clean, F.lit("999999999")).cast("long")))
-    # The zone is part of the pattern, so the session's own doesn't matter.
-    date = F.try_to_timestamp(F.concat(F.regexp_replace(clean, r"^[A-Za-z]{3}, | GMT$", ""), F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss Z"))
+    date = http_date(clean, now)
     wait = F.greatest(F.lit(0).cast("long"), F.least(F.lit(cap).cast("long"), F.unix_timestamp(date) - F.unix_timestamp(now)))
-    return F.when(clean.rlike("^[0-9]+$"), number.cast("long")).when(clean.rlike("^[A-Za-z]{3}, .* GMT$") & date.isNotNull(), wait)
+    return F.when(clean.rlike("^[0-9]+$"), number.cast("long")).when(date.isNotNull(), wait)
 
 
 def backoff_seconds(attempts: Column, base: int = 120, cap: int = 86_400) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import cards
 from pairwright.functions import text as T
-from pairwright.operators import failures, photos, statestore
+from pairwright.operators import cdc, failures, photos, statestore
 from pairwright.sources import protocol
 from pairwright.sources.tables import table
 
@@ -24,6 +24,18 @@ def failure_attempts(spark, sf_dir):
     return failures.current(hist, ["user_id"], ["ts", "event_id"]).select("user_id", "etag", "attempts", "first_at", "wait_s")
 
 
+def retry_times(spark, sf_dir):
+    """Per user the failure row with the time of its next try, and what holds back at the last event's time: users in fours share a uid."""
+    t = table(spark, sf_dir, "events")
+    hist = failures.replay_history(t.select("user_id", "event_id", F.col("event_type").alias("etag"), F.unix_timestamp("ts").alias("at"), "ts"), ["user_id"], ["ts", "event_id"])
+    rows = failures.current(hist, ["user_id"], ["ts", "event_id"]).withColumn("next_retry_at", F.col("at") + F.col("wait_s"))
+    rows = rows.crossJoin(t.agg((F.unix_timestamp(F.max("ts")) - 600).alias("now")))  # one row
+    k = F.col("user_id")
+    listed = F.when(k % 7 == 0, "changed").otherwise(F.col("etag"))
+    rows = rows.withColumns({"due": cdc.due(F.col("now"), F.col("next_retry_at"), listed, F.col("etag")), "key": k, "uid": F.when(k % 5 != 0, F.expr("user_id div 4"))})
+    return cdc.held(rows).select("user_id", "attempts", "first_at", "next_retry_at", "due", "held")
+
+
 def failure_record(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -261,7 +273,7 @@ def canonical_hash(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        failure_history, failure_attempts, failure_record, failures_resolved, backoff, state_upsert, update_versioned, last_seen_max, journal_replace, endpoint_upsert, replay_journal, photo_decide,
+        failure_history, failure_attempts, retry_times, failure_record, failures_resolved, backoff, state_upsert, update_versioned, last_seen_max, journal_replace, endpoint_upsert, replay_journal, photo_decide,
         photo_next_state, photo_merge, photo_downloads, photo_current, photo_copies, photo_blocked, photo_recorded, photo_fit, hex_hashes, row_decode, token_set, rows_deleted, status_class, retry_after, collection_pick, mint_href, dump_sorted, text_forms, canonical_dates, canonical_hash,
     )
 }
@@ -302,6 +314,11 @@ ORACLE = {
     "failure_history": f"SELECT user_id, event_id, attempts, first_at, {_WAIT.format('attempts')} AS wait_s FROM ({_HIST})",
     "failure_attempts": f"""SELECT user_id, event_type AS etag, attempts, first_at, {_WAIT.format('attempts')} AS wait_s
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM ({_HIST})) WHERE n = 1""",
+    "retry_times": f"""
+        WITH h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM ({_HIST})),
+             f AS (SELECT h.user_id, attempts, floor(epoch(e.ts))::BIGINT AS first_at, floor(epoch(h.ts))::BIGINT + {_WAIT.format('attempts')} AS next_retry_at FROM h JOIN events e ON e.event_id = h.first_at WHERE n = 1),
+             d AS (SELECT *, (SELECT floor(epoch(max(ts)))::BIGINT - 600 FROM events) >= next_retry_at OR user_id % 7 = 0 AS due FROM f)
+        SELECT user_id, attempts, first_at, next_retry_at, due, NOT bool_and(due) OVER (PARTITION BY CASE WHEN user_id % 5 <> 0 THEN 'u' || (user_id // 4) ELSE 'k' || user_id END) AS held FROM d""",
     "failure_record": f"""
         SELECT 'left' AS side, k AS href, CASE WHEN hit THEN ee ELSE se END AS etag, attempts, CASE WHEN hit AND NOT again THEN 9 ELSE 1 END AS first_at,
                CASE WHEN hit THEN CASE WHEN k % 4 = 0 THEN 'rejected' ELSE 'internal' END ELSE 'transient' END AS reason, {_WAIT.format('attempts')} AS wait_s

@@ -101,6 +101,9 @@ def test_photo_lines_and_members_are_rewritten(spark):
 def test_text(spark):
     f = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert f(T.unescape(F.lit("a\\nb\\\\nc\\,d\\"))) == "a\nb\\nc,d\\"
+    assert f(T.unescape(F.lit("a\ue0ffb\\N$1\\;c"))) == "a\ue0ffb\n$1;c"
+    at = F.to_timestamp(F.lit("1994-11-06 08:40:00"))
+    assert [f(T.retry_after(F.lit(x), at)) for x in ("Sunday, 06-Nov-94 08:49:37 GMT", "Sun Nov  6 08:49:37 1994", "Sun, 06 Nov 1994 08:49:37 GMT", "Sunday, 06-Nov-45 08:49:37 GMT", "Sun Nov 06 08:49:37 94")] == [577, 577, 577, 0, None]
     assert f(T.components(F.lit(r"a\;b;c;"))) == [r"a\;b", "c", ""]
     assert f(T.canonical_date(F.lit("--05-30"))) == "--0530" and f(T.canonical_date(F.lit("1980-04-01T16:37:00Z"))) == "19800401T163700Z"
     assert f(T.canonical_value(F.lit("a\\\\N\\N"))) == "a\\\\N\\n"
