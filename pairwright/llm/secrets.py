@@ -16,7 +16,7 @@ changes nothing; two writers that commit at once: the second is refused (Moved)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,12 +79,23 @@ def unseen(contents: DataFrame, scanned: DataFrame | None, version: str = RULE_V
     return fresh.join(scanned.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
 
 
-def suspects(contents: DataFrame) -> DataFrame:
-    """One row (blob, content) per distinct content in which some rule can have a match."""
+def can_match() -> Column:
+    """Whether some rule can have a match in ``content``."""
     able = F.lit(False)
     for pattern in QUICK.values():
         able = able | F.col("content").rlike(pattern)
-    return contents.select("blob", "content").filter(able).dropDuplicates(["blob"])
+    return able
+
+
+def suspects(contents: DataFrame) -> DataFrame:
+    """One row (blob, content) per distinct content in which some rule can have a match."""
+    return contents.select("blob", "content").filter(can_match()).dropDuplicates(["blob"])
+
+
+def addressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, blob, content) of *docs*, written once: every text is hashed and looked through a single time, and
+    content is kept where some rule can have a match only."""
+    return cut(blobs(docs).select("doc_id", "blob", F.when(can_match(), F.col("content")).alias("content")))
 
 
 class BlobLedger:
@@ -107,10 +118,10 @@ class BlobLedger:
         return self._read("findings", self.FINDINGS).filter(F.col("rule_version") == version).drop("rule_version")
 
     def commit(self, docs: DataFrame, version: str = RULE_VERSION) -> None:
-        """Scan what is unseen in *docs* (text)."""
+        """Scan what is unseen in *docs*, texts (text) or ``addressed`` rows (blob, content)."""
         number = self.manifests.number()
         held = (self.manifests.read(number) if number else None) or {"scanned": [], "findings": []}
-        contents = blobs(docs).select("blob", "content")
+        contents = (docs if "blob" in docs.columns else blobs(docs)).select("blob", "content")
         v = F.lit(version).alias("rule_version")
         seen, found = self.manifests.new_folder("scanned"), self.manifests.new_folder("findings")
         unseen(contents, self.scanned() if number else None, version).select("blob", v).write.parquet(seen)
@@ -152,11 +163,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     earlier crawl, then all documents, of which only the other half is scanned then."""
     import uuid
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held = addressed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     ledger = BlobLedger(spark, f"{shared_dir(spark).rstrip('/')}/pairwright-blobs-{uuid.uuid4().hex}")
-    ledger.commit(docs.filter(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 1) < "8"))
-    ledger.commit(docs)
-    return report(blobs(docs), ledger.findings())
+    ledger.commit(held.filter(F.substring("blob", 1, 1) < "8"))
+    ledger.commit(held)
+    return report(held, ledger.findings())
 
 
 def _oracle() -> str:
