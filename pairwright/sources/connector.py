@@ -142,7 +142,8 @@ class RecordedServers:
         version = self.store.version()
         errors = self.refuses() if self.refuses else self.spark.createDataFrame([], "side string, href string, error string")
         after, out = carried_out(self.cards(version), writes, errors)
-        self.store.commit({"cards": after}, version)
+        if not out.filter("outcome = 'done'").isEmpty():
+            self.store.commit({"cards": after}, version)
         return out
 
     def forget(self, side: str) -> None:
