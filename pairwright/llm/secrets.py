@@ -121,7 +121,7 @@ class BlobLedger:
         """Scan what is unseen in *docs*, texts (text) or ``addressed`` rows (blob, content)."""
         number = self.manifests.number()
         held = (self.manifests.read(number) if number else None) or {"scanned": [], "findings": []}
-        contents = (docs if "blob" in docs.columns else blobs(docs)).select("blob", "content")
+        contents = (blobs(docs) if "text" in docs.columns else docs).select("blob", "content")
         v = F.lit(version).alias("rule_version")
         seen, found = self.manifests.new_folder("scanned"), self.manifests.new_folder("findings")
         unseen(contents, self.scanned() if number else None, version).select("blob", v).write.parquet(seen)
