@@ -9,6 +9,7 @@ faster. Only the newest manifest is read by the driver; it names folders, never
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -83,6 +84,26 @@ class Manifests:
         fs = self._fs()
         return all(fs.exists(self._at(f)) for f in folders)
 
+    def pin(self, number: int) -> str:
+        """Mark a manifest as being read; what it lists is spared until ``unpin``."""
+        at = f"{self.path}/pins/{number}-{uuid.uuid4().hex}"
+        self._fs().create(self._at(at), False).close()
+        return at
+
+    def unpin(self, pin: str) -> None:
+        self._fs().delete(self._at(pin), False)
+
+    def pinned(self, max_age: float) -> set[int]:
+        """Manifests that are being read; pins older than *max_age* seconds, of readers that died, are taken away."""
+        fs, at = self._fs(), self._at(f"{self.path}/pins")
+        found = set()
+        for s in fs.listStatus(at) if fs.exists(at) else []:
+            if s.getModificationTime() < (time.time() - max_age) * 1000:
+                fs.delete(s.getPath(), False)
+            else:
+                found.add(int(s.getPath().getName().split("-")[0]))
+        return found
+
     def drop(self, folders: list[str]) -> None:
         """Delete folders that no manifest lists any more."""
         fs = self._fs()

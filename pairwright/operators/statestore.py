@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.manifests import Manifests, Moved
 
-__all__ = ["Moved", "Repeated", "StateStore"]
+__all__ = ["Moved", "Pinned", "Repeated", "StateStore"]
 #: Tables that a reset keeps: the conflict history and the journal.
 KEPT = ("conflicts", "pending")
 
@@ -90,16 +90,53 @@ class StateStore:
         held = {name: folders for name, folders in self._content(now)["tables"].items() if name in keep}
         return self.manifests.commit({"tables": held, "meta": {}}, now)
 
-    def vacuum(self, last: int = 2) -> list[str]:
-        """Delete what only manifests before the newest *last* list; folders of a commit under way are in none."""
+    def pin(self, version: int | None = None) -> Pinned:
+        """A handle on one version, by default the newest: all its tables are of that version while others commit and vacuum."""
+        return Pinned(self, self.version() if version is None else version)
+
+    def vacuum(self, last: int = 2, max_age: float = 7 * 86_400) -> list[str]:
+        """Delete what only manifests before the newest *last* list that no reader has pinned (less than *max_age* seconds
+        ago); folders of a commit under way are in none."""
         now = self.version() or 0
         listed = lambda n: {f for folders in self._content(n)["tables"].values() for f in folders}
-        live = set().union(*(listed(n) for n in range(max(1, now - last + 1), now + 1)))
-        old = set().union(*(listed(n) for n in range(1, max(1, now - last + 1)))) - live
+        spared = self.manifests.pinned(max_age) | set(range(max(1, now - last + 1), now + 1))
+        live = set().union(*(listed(n) for n in spared))
+        old = set().union(*(listed(n) for n in range(1, now + 1) if n not in spared)) - live
         self.manifests.drop(sorted(old))
         return sorted(old)
 
 
+class Pinned:
+    """One version of a store for reading; as a context manager it lets go at the end."""
+
+    def __init__(self, store: StateStore, version: int | None) -> None:
+        self.store, self.version = store, version
+        self._pin = None if version is None else store.manifests.pin(version)
+        if version is not None and not store.readable(version):  # vacuumed before the pin was set
+            self.release()
+            raise Moved(f"version {version} is gone")
+
+    def tables(self) -> list[str]:
+        return sorted(self.store._content(self.version)["tables"])
+
+    def read(self, name: str) -> DataFrame | None:
+        return None if self.version is None else self.store.read(name, self.version)
+
+    def meta(self) -> dict:
+        return self.store._content(self.version)["meta"]
+
+    def release(self) -> None:
+        if self._pin:
+            self.store.manifests.unpin(self._pin)
+            self._pin = None
+
+    def __enter__(self) -> Pinned:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
 def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
     """Rows of *key* values that occur more than once; empty for a good table."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
