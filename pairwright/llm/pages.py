@@ -234,34 +234,35 @@ def _walk(root: Node) -> Iterator[tuple[Node | str, Node | None, bool]]:
             stack.extend((k, x, True) for k in reversed(x.kids) if isinstance(k, str) or not k.drop)
 
 
-def _score(root: Node) -> None:
-    """Text, link and comma counts of all nodes, then points: a block's go to its parent, half of them to the next."""
+def _score(root: Node, again: bool = False) -> None:
+    """Text, link and comma counts of all nodes, and points: a block's go to its parent, half of them to the next."""
     link = 0
-    blocks: list[Node] = []
+    blocks: set[Node] = set()
     for x, up, entering in _walk(root):
         if isinstance(x, str):
             size = len("".join(x.split()))
+            commas = x.count(",")
             up.text += size
             up.links += size if link else 0
+            up.commas += commas
             block = up.block
-            if size and (not blocks or blocks[-1] is not block):
-                blocks.append(block)
             if block is not up:
-                block.commas += x.count(",")
-            up.commas += x.count(",")
+                block.commas += commas
+            if size:
+                blocks.add(block)
         elif entering:
+            if again:
+                x.clear()
             link += x.tag == "a"
         else:
             if x.tag == "a":
                 link -= 1
                 x.n_links += 1
+            if x in blocks:
+                (up if up is not None else x).points += 1 + x.commas + min(x.text / 100, 3)
             if up is not None:
                 up.text, up.links, up.n_links = up.text + x.text, up.links + x.links, up.n_links + x.n_links
-    for b in dict.fromkeys(blocks):
-        (b.up if b.up is not None else b).points += 1 + b.commas + min(b.text / 100, 3)
-    for x, up, entering in _walk(root):
-        if not entering and isinstance(x, Node) and up is not None:
-            up.points += x.points / 2
+                up.points += x.points / 2
 
 
 def _density(x: Node) -> float:
@@ -297,10 +298,7 @@ def _prune(root: Node) -> None:
         return
     for x in gone:
         x.drop = True
-    for x, _, entering in _walk(root):
-        if entering and isinstance(x, Node):
-            x.clear()
-    _score(root)
+    _score(root, again=True)
 
 
 def main_nodes(root: Node) -> list[Node | str]:
