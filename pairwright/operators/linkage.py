@@ -82,10 +82,11 @@ def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     have no heavy token in common.
     """
     l, r = (df.select(F.col("id").alias(as_id), F.explode(F.array_distinct("tokens")).alias("t")) for df, as_id in ((left, "id"), (right, "r")))
-    heavy = r.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("t").join(l.select("t").distinct(), "t", "left_semi")
+    heavy = r.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("t")
     if heavy.isEmpty():
-        return l.join(r, "t").select("id", "r").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first"))
-    heavy = cut(heavy)
+        # A left record meets HEAVY records per token at most: their set is small.
+        return l.join(r, "t").groupBy("id").agg(F.size(F.collect_set("r")).cast("long").alias("n"), F.min("r").alias("first"))
+    heavy = cut(heavy.join(l.select("t").distinct(), "t", "left_semi"))
     own, theirs = (df.join(heavy, "t").groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("heavy")) for df, key in ((l, "id"), (r, "r")))
     own, theirs = cut(own), cut(theirs)
     pairs = l.join(heavy, "t", "left_anti").join(r.join(heavy, "t", "left_anti"), "t").select("id", "r").distinct()
