@@ -52,7 +52,7 @@ def test_jaccard_on_the_table(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLE[name])
     df = queries.QUERIES[name](spark, SF)
@@ -64,4 +64,4 @@ def test_oracle(spark, name):
 def test_registered(spark):
     found = entry.queries()
     assert {"pipeline", *(n for n in found if n.startswith("op"))} == set(queries.QUERIES)
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14))
