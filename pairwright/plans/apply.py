@@ -23,7 +23,8 @@ from pairwright.functions.shared import cut
 from pairwright.functions.text import mint_href
 from pairwright.operators import cdc, failures, sinks, statestore
 from pairwright.operators.statestore import StateStore
-from pairwright.sources.connector import SIDES, Connector, FrameServer
+from pairwright.plans import pictures as pictures_
+from pairwright.sources.connector import SIDES, Connector, FrameServer, ListingFailed
 
 STATE = "id long, uid string, left_href string, left_etag string, right_href string, right_etag string, stored_hash string, hash_version int, name string, tokens array<string>, org string, last_seen_at long"
 FAILURES = "side string, href string, uid string, op string, etag string, attempts long, first_at long, next_retry_at long, reason string"
@@ -39,6 +40,8 @@ class Applied:
     conflicts: DataFrame  # (uid, origin, winner, left_body, right_body), for the history
     journal: DataFrame  # JOURNAL rows of re-creations that are not finished
     aborted: bool
+    changes: DataFrame  # (uid, side, change): what accepted puts did to photos
+    read: DataFrame  # (uid, found, kind, uri): left cards read back after a photo was set there
 
 
 def snapshot_cards(entries: DataFrame) -> DataFrame:
@@ -64,38 +67,44 @@ def snapshot_cards(entries: DataFrame) -> DataFrame:
     )
 
 
-def plan_writes(ops: DataFrame, own: DataFrame, collections: dict[str, str], rewritten: DataFrame | None = None) -> DataFrame:
-    """(uid, step, side, method, href, if_match, body) of all ops; state-only ops write nothing.
+def plan_writes(ops: DataFrame, own: DataFrame, collections: dict[str, str], rewritten: DataFrame | None = None, photo_rows: DataFrame | None = None, data: DataFrame | None = None) -> DataFrame:
+    """(uid, step, side, method, href, if_match, body, change) of all ops; state-only ops write nothing.
 
     *own* are both sides' cards (side, uid, href, etag, body), *rewritten* (uid, body) relinked groups. A group is put on
     the right first, then created on the left; a re-creation puts the winner on the left where the right one wins,
-    deletes the old right card, and creates the new one.
+    deletes the old right card, and creates the new one. No card's photo goes along with its content: what is overwritten
+    keeps its own unless *photo_rows* (of ``pictures.merge``) say otherwise, with the bytes in *data* (side, uid, data).
     """
     of = lambda s, p: own.filter(F.col("side") == s).select(F.col("uid").alias(f"{p}_uid"), F.struct("href", "etag", "body").alias(p))
-    j = ops.join(of("left", "l").withColumnRenamed("l_uid", "uid"), "uid", "left").join(of("right", "r").withColumnRenamed("r_uid", "uid"), "uid", "left")
+    j = pictures_.actions(ops, photo_rows, data).join(of("left", "l").withColumnRenamed("l_uid", "uid"), "uid", "left").join(of("right", "r").withColumnRenamed("r_uid", "uid"), "uid", "left")
     j = j.join(of("right", "old").withColumnRenamed("old_uid", "other_uid"), "other_uid", "left")
     fresh = rewritten if rewritten is not None else ops.sparkSession.createDataFrame([], "uid string, body binary")
     j = j.join(fresh.select("uid", F.col("body").alias("relinked_body")), "uid", "left")
     op, to_left = F.col("op"), F.col("on") == "left"
-    write = lambda step, side, method, href, etag, body: F.struct(F.lit(step).alias("step"), side.alias("side"), F.lit(method).alias("method"), href.alias("href"), etag.alias("if_match"), body.cast("binary").alias("body"))  # noqa: E731, E501
+    write = lambda step, side, method, href, etag, put=(F.lit(None), F.lit(None)): F.struct(F.lit(step).alias("step"), side.alias("side"), F.lit(method).alias("method"), href.alias("href"), etag.alias("if_match"), put[0].cast("binary").alias("body"), put[1].cast("string").alias("change"))  # noqa: E731, E501
+    photo = lambda content, target, action, to: pictures_.body(content, target, action, F.when(to == "left", F.col("right_data")).otherwise(F.col("left_data")), to == "left")
     none = F.lit(None).cast("string")
     left, right = F.lit("left"), F.lit("right")
     minted = F.when(to_left, mint_href(F.lit(collections["left"]), F.col("uid"))).otherwise(mint_href(F.lit(collections["right"]), F.col("uid")))
-    source = F.when(to_left, F.col("r.body")).otherwise(F.col("l.body"))
-    target = F.when(to_left, F.col("l")).otherwise(F.col("r"))
+    target, other = F.when(to_left, F.col("l")).otherwise(F.col("r")), F.when(to_left, F.col("r")).otherwise(F.col("l"))
+    source = F.when(F.coalesce("photo_only", F.lit(False)), target["body"]).otherwise(other["body"])
+    still = F.lit(None).cast("string")
+    main = photo(source, F.when(op.isin("update", "conflict"), target["body"]), F.col("action"), F.col("on"))
+    # The second write is over the op's source card.
+    counter = F.when(F.col("counter_side").isNotNull(), write(2, F.col("counter_side"), "put", other["href"], other["etag"], photo(other["body"], other["body"], F.col("counter_action"), F.col("counter_side"))))
     group = F.coalesce("relinked_body", "r.body")
     won = F.when((F.col("pass") == "identity") & (F.col("winner") == "left"), F.col("l.body")).otherwise(cards.with_uid(F.col("old.body"), F.col("uid")))
     writes = (
-        F.when(op.isin("create", "resurrect"), F.array(write(1, F.col("on"), "put", minted, none, source)))
-        .when(op.isin("update", "conflict"), F.array(write(1, F.col("on"), "put", target["href"], target["etag"], source)))
-        .when(op == "delete", F.array(write(1, F.col("on"), "delete", target["href"], target["etag"], F.lit(None))))
-        .when(op == "copy_group", F.array(write(1, right, "put", F.col("r.href"), F.col("r.etag"), group), write(2, left, "put", mint_href(F.lit(collections["left"]), F.col("uid")), none, group)))
+        F.when(op.isin("create", "resurrect"), F.array(write(1, F.col("on"), "put", minted, none, main)))
+        .when(op.isin("update", "conflict"), F.array(write(1, F.col("on"), "put", target["href"], target["etag"], main), counter))
+        .when(op == "delete", F.array(write(1, F.col("on"), "delete", target["href"], target["etag"])))
+        .when(op == "copy_group", F.array(write(1, right, "put", F.col("r.href"), F.col("r.etag"), (group, F.lit("kept"))), write(2, left, "put", mint_href(F.lit(collections["left"]), F.col("uid")), none, photo(group, none.cast("binary"), F.col("action"), left))))
         .when(
             op == "recreate",
             F.array(
-                F.when((F.col("pass") == "identity") & (F.col("winner") == "right"), write(1, left, "put", F.col("l.href"), F.col("l.etag"), won)),
-                write(2, right, "delete", F.col("old.href"), F.col("old.etag"), F.lit(None)),
-                write(3, right, "put", mint_href(F.lit(collections["right"]), F.col("uid")), none, won),
+                F.when((F.col("pass") == "identity") & (F.col("winner") == "right"), write(1, left, "put", F.col("l.href"), F.col("l.etag"), photo(won, F.col("l.body"), still, left))),
+                write(2, right, "delete", F.col("old.href"), F.col("old.etag")),
+                write(3, right, "put", mint_href(F.lit(collections["right"]), F.col("uid")), none, photo(won, F.col("old.body"), still, right)),
             ),
         )
     )
@@ -123,16 +132,18 @@ class WriteAhead:
 
 
 def apply_plan(
-    ops: DataFrame, own: DataFrame, server: DataFrame | Connector, collections: dict[str, str], errors: DataFrame | None = None, rewritten: DataFrame | None = None, log: WriteAhead | None = None
+    ops: DataFrame, own: DataFrame, server: DataFrame | Connector, collections: dict[str, str], errors: DataFrame | None = None, rewritten: DataFrame | None = None, log: WriteAhead | None = None,
+    photo_rows: DataFrame | None = None, data: DataFrame | None = None,
 ) -> Applied:
     """Run the ops of a plan step by step.
 
     *server* is a connector, or a table (side, href, etag, body) with the *errors* (side, href, error) it answers. With
-    *log*, history and journal are stored before the writes they guard; without one they are the caller's to store.
+    *log*, history and journal are stored before the writes they guard; without one they are the caller's to store. *data* and
+    *photo_rows* as for ``plan_writes``: a left card that a photo was set on is read back, as servers replace or drop photos.
     """
     table = isinstance(server, DataFrame)
     book = FrameServer(server, collections, errors) if table else server
-    writes = cut(plan_writes(ops, own, collections, rewritten))
+    writes = cut(plan_writes(ops, own, collections, rewritten, photo_rows, data))
     of_side = lambda s: own.filter(F.col("side") == s).select("uid", F.col("href").alias(f"{s}_href"), F.col("body").alias(f"{s}_body"))
     fought = ops.filter("op = 'conflict' OR op = 'recreate' AND pass = 'identity'").withColumn("right_uid", F.coalesce("other_uid", "uid"))
     fought = fought.join(of_side("left"), "uid", "left").join(of_side("right").withColumnRenamed("uid", "right_uid"), "right_uid", "left")
@@ -145,7 +156,7 @@ def apply_plan(
         log.conflicts(fought.drop("stage", "ord"))
     told = None
     for step in (1, 2, 3):
-        w = writes.filter(F.col("step") == step).drop("step", "op")
+        w = writes.filter(F.col("step") == step).drop("step", "op", "change")
         if told is not None:
             w = w.join(told.filter("outcome <> 'done'").select("uid"), "uid", "left_anti")
         w = cut(w)
@@ -159,6 +170,8 @@ def apply_plan(
             # The first steps of these ops are done; the next cycle finds out how they stand.
             told = told.join(done.filter("outcome = 'not_run'").select("uid"), "uid", "left_anti")
         told = cut(done if told is None else told.unionByName(done))
+    changes = cut(told.filter("outcome = 'done' AND method = 'put'").select("uid", "side", "href").join(writes.filter("method = 'put'").select("uid", "side", "href", "change"), ["uid", "side", "href"]))
+    told, read = read_back(book, told, changes)
     late = told.filter("outcome = 'not_run'").select("uid")
     fatal = told.filter(failures.is_fatal(F.col("outcome"))).agg(F.min(F.struct("stage", "ord", "uid")).alias("p")).first()["p"]
     run = ops.join(late, "uid", "left_anti")
@@ -172,7 +185,30 @@ def apply_plan(
     began = told.filter("method = 'delete' AND outcome = 'done'").select("uid")
     journal = again.join(began, "uid", "left_semi").join(written.filter("side = 'right'").select("uid"), "uid", "left_anti")
     conflicts = fought.join(run.select("uid"), "uid", "left_semi").drop("stage", "ord")
-    return Applied(book.cards if table else None, cut(outcomes), written, conflicts, journal, fatal is not None)
+    return Applied(book.cards if table else None, cut(outcomes), written, conflicts, journal, fatal is not None, changes, read)
+
+
+def read_back(book: Connector, told: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(*told* with the etags found, (uid, found, kind, uri)) of the left cards that *changes* set a photo on.
+
+    A card that is gone right after its write makes its op fail; where reading fails as a whole the photos are taken as set.
+    """
+    wrote = changes.filter("side = 'left' AND change = 'set'").select("uid", "side", "href")
+    none = told.sparkSession.createDataFrame([], "uid string, found boolean, kind string, uri string")
+    if wrote.isEmpty():
+        return told, none
+    try:
+        got = cut(book.fetch(wrote.select("side", "href")).select("side", "href", F.col("etag").alias("new_etag"), "body"))
+    except ListingFailed:
+        return told, none
+    seen = cards.parse(wrote.join(got, ["side", "href"], "left").withColumnRenamed("uid", "id"), "body")
+    p = cards.photo(F.col("props"))
+    seen = cut(seen.select(F.col("id").alias("uid"), F.col("new_etag").isNotNull().alias("found"), p["kind"].alias("kind"), p["uri"].alias("uri")))
+    gone = wrote.join(seen.filter("NOT found").select("uid"), "uid", "left_semi").select("side", "href", F.lit(True).alias("gone"))
+    told = told.join(got.select("side", "href", "new_etag"), ["side", "href"], "left").join(gone, ["side", "href"], "left")
+    put = F.col("method") == "put"
+    told = told.withColumns({"etag": F.when(put, F.coalesce("new_etag", "etag")).otherwise(F.col("etag")), "outcome": F.when(put & F.col("gone"), "permanent").otherwise(F.col("outcome"))})
+    return cut(told.select(*[x.split()[0] for x in OUTCOMES.split(", ")])), seen
 
 
 def next_state(state: DataFrame, ops: DataFrame, applied: Applied, own: DataFrame) -> DataFrame:
@@ -233,11 +269,11 @@ def next_failures(stored: DataFrame, ops: DataFrame, applied: Applied, own: Data
     return out.select("side", "href", F.coalesce("e_uid", "uid").alias("uid"), F.coalesce("e_op", "op").alias("op"), "etag", "attempts", "first_at", again, "reason")
 
 
-def finish(store, expect: int | None, plan, applied: Applied, own: DataFrame, at: int, listing: DataFrame, held: DataFrame, tokens: dict[str, str], cycle_id: str, base: int = 120) -> int:
+def finish(store, expect: int | None, plan, applied: Applied, own: DataFrame, at: int, listing: DataFrame, held: DataFrame, tokens: dict[str, str], cycle_id: str, base: int = 120, photos: DataFrame | None = None) -> int:
     """Commit all that a cycle learned as one version of *store*: contacts, failures, conflicts and journal always; skips,
     resolved failures, times of last sight, sync tokens and held deletes only where the cycle was not cut short.
 
-    *listing* and *held* are (side, href). Conflicts and journal rows that a ``WriteAhead`` has stored are not added again.
+    *listing* and *held* are (side, href), *photos* the photo rows after the cycle. Conflicts and journal rows that a ``WriteAhead`` has stored are not added again.
     """
     from pairwright.operators.report import held_delete_uids
 
@@ -246,9 +282,11 @@ def finish(store, expect: int | None, plan, applied: Applied, own: DataFrame, at
     state = next_state(read("contacts", STATE), plan.ops, applied, own)
     failed = next_failures(read("failures", FAILURES), plan.ops, applied, own, at, base)
     tables = {"contacts": state, "failures": failed, "conflicts": sinks.append_conflicts(store.read("conflicts", expect), applied.conflicts, cycle_id)}
+    if photos is not None:
+        tables["photos"] = photos
     done = applied.outcomes.filter("op = 'recreate' AND reason IS NULL").select("uid")
     tables["pending"] = statestore.replace(read("pending", JOURNAL), applied.journal, ["uid"]).join(done, "uid", "left_anti")
-    unique = {"contacts": [["uid"], ["left_href"], ["right_href"]], "failures": [["side", "href"]], "pending": [["uid"]]}
+    unique = {"contacts": [["uid"], ["left_href"], ["right_href"]], "failures": [["side", "href"]], "pending": [["uid"]], "photos": [["uid"]]}
     if applied.aborted:
         return store.commit(tables, expect, unique=unique)
     again = applied.outcomes.filter("reason IS NOT NULL").select("uid")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.cards import CANONICAL_VERSION
 from pairwright.functions.shared import cut
 from pairwright.operators import classify, guards, linkage, merge3, photos, report
+from pairwright.plans import pictures as pictures_
 
 CARD = "uid string, href string, hash string, content string, name string, tokens array<string>, org string"
 OPS = "stage int, ord long, uid string, op string, on string, winner string, origin string, other_uid string, pass string, relinked long, hash string"
@@ -30,15 +31,16 @@ class CyclePlan:
     open_cards: dict[str, DataFrame]  # by side: cards that no state row knows
     left: DataFrame  # the left snapshot
     state: DataFrame
+    photos: DataFrame | None = None  # rows as from ``pictures.merge``, where the plan was made with photos
 
     def guard(self) -> DataFrame:
         """(side, records, deletes, limit, blocked), two rows: whether the plan deletes too much of a side to be applied."""
         gone = self.ops.filter("op IN ('delete', 'forget')").select("uid", "op", "on")
         return guards.mass_deletions(self.state.select("uid").join(gone, "uid", "left"), [])
 
-    def report(self) -> DataFrame:
-        """(section, seq, line) of all sections that a plan without photos can have."""
-        return _report(self.ops, self.skips, self.diagnostics, self.open_cards, self.left, self.state)
+    def report(self, stripped: DataFrame | None = None) -> DataFrame:
+        """(section, seq, line) of all sections; *stripped* (uid) are the photos that the cycle's writes left out."""
+        return _report(self.ops, self.skips, self.diagnostics, self.open_cards, self.left, self.state, stripped)
 
 
 def with_defaults(left: DataFrame, right: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -55,11 +57,11 @@ def known_cards(snapshot: DataFrame, state: DataFrame) -> DataFrame:
     return both.groupBy(F.col("uid").alias("id")).agg(F.min_by("tokens", "rank").alias("tokens"))
 
 
-def plan_cycle(left: DataFrame, right: DataFrame, state: DataFrame, winner: str = "left", replayed: DataFrame | None = None, failed_photos: DataFrame | None = None) -> CyclePlan:
+def plan_cycle(left: DataFrame, right: DataFrame, state: DataFrame, winner: str = "left", replayed: DataFrame | None = None, failed_photos: DataFrame | None = None, pictures: pictures_.Pictures | None = None) -> CyclePlan:
     """Decide every record's op; what is ambiguous or suspicious is held or skipped, never guessed.
 
     *replayed* (old_uid, uid) are re-creations that an earlier cycle left unfinished, *failed_photos* (uid, href, reason)
-    left cards whose photo could not be fetched. Only two booleans reach the driver: whether either side has entries
+    left cards whose photo could not be fetched; *pictures* brings those itself and joins photos to the ops. Only two booleans reach the driver: whether either side has entries
     that may be any record. What several later steps read is written once; otherwise every pass would repeat all before it.
     """
     left, right, state = with_defaults(left, right, state)
@@ -78,6 +80,8 @@ def plan_cycle(left: DataFrame, right: DataFrame, state: DataFrame, winner: str
         one = rows.filter("appears_as IS NOT NULL").select(F.col("appears_as").alias("uid"), "href", "kind", "hash", "content", "name", "tokens", "org", "members")
         sides[name] = one.join(seen.filter("outcome = 'tracked'").select("uid"), "uid", "left_semi"), classify.uncertain(rows).first()["uncertain"]
         open_cards[name] = one.join(seen.filter("outcome = 'unsynced'").select("uid"), "uid", "left_semi")
+    if pictures is not None:
+        failed_photos = pictures.failed
     if failed_photos is not None:
         blocked = photos.blocked(snaps["left"], failed_photos)
         holds = holds.unionByName(blocked.select("uid", F.lit("photo_unavailable").alias("reason")))
@@ -89,6 +93,9 @@ def plan_cycle(left: DataFrame, right: DataFrame, state: DataFrame, winner: str
     free = free.withColumns({"stored_hash": merge3.baseline_hash(F.col("stored_hash"), F.col("hash_version"), F.coalesce("recomputed_hash", "stored_hash")), "hash_stale": stale})
     rows = merge3.statuses(free.select("id", "uid", "stored_hash", "hash_stale", "name", "tokens", "org"), sides["left"][0], sides["right"][0])
     decided = cut(classify.defer(merge3.decide(rows, winner), sides["left"][1], sides["right"][1]))
+    shown = None
+    if pictures is not None:
+        decided, shown = (cut(x) for x in pictures_.merge(decided, pictures, winner))
     crossed = cut(guards.cross_deletes(decided.filter("op = 'delete'").select(F.col("id").alias("seq"), "on", "name", "tokens", "org")))
     op = lambda df, stage, **cols: df.select(F.lit(stage).alias("stage"), *[(cols[f.name] if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema if f.name not in ("stage", "uid")], "uid").select(*schema.names)  # noqa: E731, E501
     schema = state.sparkSession.createDataFrame([], OPS).schema
@@ -150,10 +157,10 @@ def plan_cycle(left: DataFrame, right: DataFrame, state: DataFrame, winner: str
     diagnostics = diags[0]
     for d in diags[1:]:
         diagnostics = diagnostics.unionByName(d)
-    return CyclePlan(cut(ops), held, skips, diagnostics, open_cards, snaps["left"], state)
+    return CyclePlan(cut(ops), held, skips, diagnostics, open_cards, snaps["left"], state, shown)
 
 
-def _report(ops: DataFrame, skips: DataFrame, diagnostics: DataFrame, open_cards: dict[str, DataFrame], left: DataFrame, state: DataFrame) -> DataFrame:
+def _report(ops: DataFrame, skips: DataFrame, diagnostics: DataFrame, open_cards: dict[str, DataFrame], left: DataFrame, state: DataFrame, stripped: DataFrame | None = None) -> DataFrame:
     cards = None
     for s in SIDES:
         own = open_cards[s].select("uid", "name", "members", F.lit(s).alias("from_side"))
@@ -166,7 +173,7 @@ def _report(ops: DataFrame, skips: DataFrame, diagnostics: DataFrame, open_cards
     twins = linkage.synced_duplicates(state.select(F.col("id").alias("idx"), "name", "tokens"))
     uid = state.select(F.col("id").alias("idx"), "uid")
     twins = twins.join(uid, "idx").join(uid.select(F.col("idx").alias("other"), F.col("uid").alias("like_uid")), "other")
-    return report.all_sections(named, skips, diagnostics, report.unmapped_members(groups, known).select(F.col("id").alias("uid")), twins.select("uid", "like_uid"))
+    return report.all_sections(named, skips, diagnostics, report.unmapped_members(groups, known).select(F.col("id").alias("uid")), twins.select("uid", "like_uid"), stripped)
 
 
 def demo_inputs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

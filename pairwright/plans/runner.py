@@ -16,7 +16,7 @@ from pairwright.functions import cards
 from pairwright.functions.shared import cut
 from pairwright.operators import cdc, failures, statestore
 from pairwright.operators.statestore import StateStore
-from pairwright.plans import apply
+from pairwright.plans import apply, pictures
 from pairwright.plans.cycle import CyclePlan, plan_cycle
 from pairwright.sources.connector import SIDES, Connector, ListingFailed, TokenRejected
 
@@ -47,6 +47,7 @@ class Stored:
     failures: DataFrame
     pending: DataFrame
     held_deletes: DataFrame
+    photos: DataFrame  # pictures.PHOTOS
     tokens: dict[str, str]
 
 
@@ -59,7 +60,7 @@ def load(store: StateStore, forget: bool = False) -> Stored:
         return store.spark.createDataFrame([], schema) if found is None else found
 
     tokens = {} if forget else store.meta(version).get("tokens", {})
-    return Stored(version, read("contacts", apply.STATE), read("failures", apply.FAILURES), read("pending", apply.JOURNAL), read("held_deletes", "uid string"), tokens)
+    return Stored(version, read("contacts", apply.STATE), read("failures", apply.FAILURES), read("pending", apply.JOURNAL), read("held_deletes", "uid string"), read("photos", pictures.PHOTOS), tokens)
 
 
 def list_sides(server: Connector) -> DataFrame:
@@ -101,6 +102,12 @@ def with_due(failed: DataFrame, listing: DataFrame, now: int) -> DataFrame:
     return cdc.held(j).drop("key", "listed")
 
 
+def tracking(stored: Stored) -> DataFrame:
+    """The state rows with ``photo_tracked``."""
+    rows = stored.photos.filter("tracked").select("uid", F.lit(True).alias("photo_tracked"))
+    return stored.contacts.join(rows, "uid", "left").withColumn("photo_tracked", F.coalesce("photo_tracked", F.lit(False)))
+
+
 def is_idle(server: Connector, stored: Stored, now: int) -> tuple[bool, dict[str, str]]:
     """Whether nothing is to be done, and fresh tokens. A rejected or missing token means that it isn't known."""
     spark = stored.contacts.sparkSession
@@ -117,7 +124,7 @@ def is_idle(server: Connector, stored: Stored, now: int) -> tuple[bool, dict[str
     deltas = cut(deltas)
     # A card without a change is listed as it failed; a changed one makes a delta anyway.
     waiting = with_due(stored.failures, stored.failures.select("side", "href", "etag"), now)
-    state = stored.contacts.select("uid", "left_href", "right_href", F.lit(True).alias("photo_tracked"))
+    state = tracking(stored).select("uid", "left_href", "right_href", "photo_tracked")
     ends = spark.createDataFrame([(s, stored.tokens[s], True) for s in SIDES], "side string, token string, supports_sync boolean")
     return cdc.idle_facts(state, waiting, stored.pending, ends, deltas, stored.held_deletes).first()["idle"], fresh
 
@@ -125,7 +132,7 @@ def is_idle(server: Connector, stored: Stored, now: int) -> tuple[bool, dict[str
 def snapshots(server: Connector, stored: Stored, listing: DataFrame, now: int) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """(snapshots by side, own cards (side, uid, href, etag, name, tokens, org, body), held (side, href))."""
     held = cut(with_due(stored.failures, listing, now).filter("held").select("side", "href").join(listing.select("side", "href"), ["side", "href"], "left_semi"))
-    wanted = cdc.fetch_lists(listing, stored.contacts.withColumn("photo_tracked", F.lit(True))).select("side", "href")
+    wanted = cdc.fetch_lists(listing, tracking(stored)).select("side", "href")
     wanted = cut(wanted.join(held, ["side", "href"], "left_anti"))
     answers = server.fetch(wanted)
     rows = None
@@ -179,7 +186,8 @@ def run_cycle(store: StateStore, server: Connector, now: int, mode: str = "sync"
             server.forget(e.side)
         return Cycle("failed", store.version(), error=e.error)
     snaps, own, held = snapshots(server, stored, listing, now)
-    plan = plan_cycle(snaps["left"], snaps["right"], stored.contacts, winner, aliases)
+    shown = pictures.look(own.select("side", "uid", "href", "body"), stored.photos, server.pictures)
+    plan = plan_cycle(snaps["left"], snaps["right"], stored.contacts, winner, aliases, pictures=shown)
     guard = plan.guard()
     if dry:
         return Cycle("dry_run", stored.version, plan, guard)
@@ -189,8 +197,9 @@ def run_cycle(store: StateStore, server: Connector, now: int, mode: str = "sync"
     cycle_id = f"{now}-{uuid.uuid4().hex}"
     log = apply.WriteAhead(store, stored.version, cycle_id)
     collections = {s: server.collection(s) for s in SIDES}
-    done = apply.apply_plan(plan.ops, own.select("side", "uid", "href", "etag", "body"), server, collections, rewritten=relinked_bodies(plan, own, every), log=log)
-    version = apply.finish(store, log.version, plan, done, own, now, listing.select("side", "href"), held, tokens, cycle_id, base)
+    done = apply.apply_plan(plan.ops, own.select("side", "uid", "href", "etag", "body"), server, collections, rewritten=relinked_bodies(plan, own, every), log=log, photo_rows=plan.photos, data=shown.data)
+    after = pictures.next_photos(shown, plan.photos, plan.ops, done.outcomes, done.changes.select("uid", "side", "change"), done.read)
+    version = apply.finish(store, log.version, plan, done, own, now, listing.select("side", "href"), held, tokens, cycle_id, base, after)
     return Cycle("aborted" if done.aborted else "applied", version, plan, guard, done)
 
 

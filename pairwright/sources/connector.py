@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.shared import cut
-from pairwright.operators import failures, sinks
+from pairwright.operators import failures, photos, sinks
 from pairwright.operators.statestore import StateStore
 
 SIDES = ("left", "right")
@@ -51,6 +51,9 @@ class Connector(Protocol):
         """Carry out *writes* (stage, ord, uid, side, href, method, if_match, body) in the order of their places: (stage, ord,
         uid, side, href, method, outcome, etag). An account-wide error stops those of later places: outcome 'not_run'."""
 
+    def pictures(self, uris: DataFrame) -> DataFrame:
+        """(uri, data, error) of the left's photos at *uris* (uri); error is a class of error, null where there are bytes."""
+
     def forget(self, side: str) -> None:
         """Look the side up anew before the next cycle."""
 
@@ -92,6 +95,9 @@ class FrameServer:
     def collection(self, side: str) -> str:
         return self.collections[side]
 
+    def fetch(self, wanted: DataFrame) -> DataFrame:
+        return self.cards.join(wanted.select("side", "href").distinct(), ["side", "href"], "left_semi").select("side", "href", "etag", "body")
+
     def write(self, writes: DataFrame) -> DataFrame:
         self.cards, out = carried_out(self.cards, writes, self.errors)
         return out
@@ -101,12 +107,14 @@ class RecordedServers:
     """Servers on a StateStore: every accepted batch of writes is a version, and a version's number is a sync token.
 
     *refuses* gives the errors (side, href, error) that writes meet, *unlisted* the error class that listing a side meets.
+    The photos that the left's addresses lead to are (uri, status, data) in *album*, below *host*.
     """
 
-    def __init__(self, spark: SparkSession, path: str, collections: dict[str, str], refuses: Callable[[], DataFrame] | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, collections: dict[str, str], refuses: Callable[[], DataFrame] | None = None, album: DataFrame | None = None, host: str = "") -> None:
         self.spark, self.store, self.collections, self.refuses = spark, StateStore(spark, path), collections, refuses
         self.unlisted: dict[str, str] = {}
         self.forgotten: list[str] = []
+        self.album, self.host = album if album is not None else spark.createDataFrame([], "uri string, status int, data binary"), host
 
     def put(self, cards: DataFrame) -> None:
         """Make *cards* (CARDS) the content of both servers, as their own users would."""
@@ -146,6 +154,11 @@ class RecordedServers:
             self.store.commit({"cards": after}, version)
         return out
 
+    def pictures(self, uris: DataFrame) -> DataFrame:
+        j = uris.select("uri").join(self.album, "uri", "left")
+        error = photos.download_error(F.col("uri"), self.host, F.col("status"), F.octet_length("data"))
+        return j.select("uri", F.when(error.isNull(), F.col("data")).alias("data"), error.alias("error"))
+
     def forget(self, side: str) -> None:
         self.forgotten.append(side)
         self.unlisted.pop(side, None)
