@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwright.functions import text as T
@@ -50,10 +51,50 @@ def rediscovery(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", failures.needs_discovery(T.status_class(code, F.lit(False))).alias("discover"))
 
 
-QUERIES = {f.__name__: f for f in (request_bodies, photo_fetch, etag_learned, photo_landed, skip_log, rediscovery)}
+def _multiget(spark, sf_dir):
+    """A call per customer for its orders, five to a request; answers spell hrefs in another way and fail in various ways."""
+    k, n = F.col("o_orderkey"), F.col("n")
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("n", place).withColumn("doc_id", F.col("o_custkey") * 1000 + F.expr("n div 5"))
+    o = o.withColumn("ord", F.expr("n % 5"))
+    requested = o.select("doc_id", "ord", F.concat(F.lit("/b/%41"), k, F.lit(".vcf")).alias("href"))
+    status = lambda code: F.lit(f"<d:status>HTTP/1.1 {code} X</d:status>")
+    etag, data = F.concat(F.lit("<d:getetag>e"), k, F.lit("</d:getetag>")), F.concat(F.lit("<c:address-data>N:"), k, F.lit("\nX&lt;</c:address-data>"))
+    prop = lambda inner, code: F.concat(F.lit("<d:propstat><d:prop>"), inner, F.lit("</d:prop>"), status(code), F.lit("</d:propstat>"))
+    parts = F.when(k % 7 == 0, status(404)).when(k % 101 == 0, status(503)).when(k % 103 == 0, status(403)).when(k % 13 == 0, F.concat(prop(etag, 200), prop(F.lit("<c:address-data/>"), 404))).otherwise(prop(F.concat(etag, data), 200))
+    entry = F.concat(F.lit("<d:response><d:href>http://h/b/A"), k, F.lit(".vcf</d:href>"), parts, F.lit("</d:response>"))
+    head = '<d:multistatus xmlns:d="DAV:" xmlns:c="urn:ietf:params:xml:ns:carddav"><d:response><d:href>/b/</d:href><d:status>HTTP/1.1 507 X</d:status></d:response>'
+    docs = o.groupBy("o_custkey", "doc_id").agg(F.sort_array(F.collect_list(F.when(k % 11 != 0, F.struct("ord", entry.alias("x"))))).alias("xs"))  # five at most
+    call, batch = F.col("o_custkey"), F.col("doc_id") % 1000
+    body = F.concat(F.when((call % 19 == 0) & (batch == 0), "<!DOCTYPE x>").otherwise(""), F.lit(head), F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit("</d:multistatus>"))
+    payloads = docs.select("doc_id", call.alias("call"), F.when((call % 17 == 0) & (batch == 1), 500).otherwise(207).alias("status"), body.alias("body"))
+    return protocol.multiget_rows(requested, payloads, "http://h/b/")
+
+
+def multiget_calls(spark, sf_dir):
+    return protocol.multiget_calls(_multiget(spark, sf_dir))
+
+
+def multiget_cards(spark, sf_dir):
+    return protocol.multiget_cards(_multiget(spark, sf_dir)).select("call", "doc_id", "ord", "href", "outcome", "etag", "body")
+
+
+QUERIES = {f.__name__: f for f in (request_bodies, photo_fetch, etag_learned, photo_landed, skip_log, rediscovery, multiget_calls, multiget_cards)}
 
 _NS = 'xmlns:d="DAV:" xmlns:c="urn:ietf:params:xml:ns:carddav"'
+_MULTIGET = """
+    WITH o AS (SELECT o_custkey AS call, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders),
+    e AS (SELECT *, n // 5 AS b, call * 1000 + n // 5 AS doc_id, n % 5 AS ord FROM o),
+    r AS (SELECT call, doc_id, ord, '/b/A' || k || '.vcf' AS href,
+                 CASE WHEN call % 19 = 0 AND b = 0 AND NOT (call % 17 = 0 AND b = 1) THEN 'permanent' WHEN call % 17 = 0 AND b = 1 THEN 'transient' END AS whole,
+                 CASE WHEN k % 11 = 0 OR k % 7 = 0 THEN 'missing' WHEN k % 101 = 0 THEN 'transient' WHEN k % 103 = 0 THEN 'permanent' WHEN k % 13 = 0 THEN 'missing' ELSE 'found' END AS one, k FROM e),
+    c AS (SELECT call, arg_min(coalesce(whole, one), (doc_id, CASE WHEN whole IS NULL THEN ord ELSE -1 END)) FILTER (whole IS NOT NULL OR one IN ('transient', 'permanent')) AS error,
+                 count(*) FILTER (one = 'found') AS f, count(*) FILTER (one = 'missing') AS m FROM r GROUP BY 1)
+    """
 ORACLE = {
+    "multiget_calls": f"{_MULTIGET} SELECT call, error, CASE WHEN error IS NULL THEN f END AS found, CASE WHEN error IS NULL THEN m END AS missing FROM c",
+    "multiget_cards": f"""{_MULTIGET} SELECT call, doc_id, ord, href, one AS outcome, CASE WHEN one = 'found' THEN 'e' || k END AS etag, CASE WHEN one = 'found' THEN 'N:' || k || chr(13) || chr(10) || 'X<' END AS body
+        FROM r WHERE call IN (SELECT call FROM c WHERE error IS NULL)""",
     "request_bodies": f"""
         SELECT c_custkey, '<d:sync-collection {_NS}><d:sync-token>' || CASE WHEN c_custkey % 3 <> 0 THEN 't&apos;' || c_custkey ELSE '' END
                || '</d:sync-token><d:sync-level>1</d:sync-level><d:prop><d:getetag/></d:prop></d:sync-collection>' AS sync,

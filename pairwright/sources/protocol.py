@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairwright.functions.shared import cut
-from pairwright.functions.text import restore_crlf, xml_escape
+from pairwright.functions.text import restore_crlf, status_class, xml_escape
 
 _DAV, _CARD = "{DAV:}", "{urn:ietf:params:xml:ns:carddav}"
 MULTISTATUS = "doc_id long, ord int, href string, status int, propstat_error int, etag string, address_data string, is_collection boolean, is_addressbook boolean, displayname string, sync_token string, error string"
@@ -73,6 +73,44 @@ def multistatus(payloads: DataFrame) -> DataFrame:
     return out.withColumn("address_data", restore_crlf(F.col("address_data")))
 
 
+def multiget_rows(requested: DataFrame, payloads: DataFrame, base: str) -> DataFrame:
+    """What multiget reports say about the cards asked for: (call, doc_id, ord, href, outcome, etag, body).
+
+    *requested* is (doc_id, ord, href), *payloads* (doc_id, call, status, body): a call is one or more requests, each with an
+    answer, and doc_id numbers them in order. Hrefs of both are brought to one spelling below *base*; what a request
+    didn't ask for falls away, what it didn't answer is missing, as is a card or a property that is not found (404, 410).
+    Any other outcome is a class of error. A request that failed as a whole is one row of ord -1 without an href.
+    """
+    answers = payloads.select("doc_id", "call", F.col("status").alias("http"), "body")
+    entries = cut(multistatus(answers.filter("http = 207")).drop("displayname", "is_collection", "is_addressbook"))
+    broken = entries.filter("error IS NOT NULL").select("doc_id", F.lit("permanent").alias("outcome"))
+    broken = broken.unionByName(answers.filter("NOT http <=> 207").select("doc_id", status_class(F.col("http"), F.lit(False)).alias("outcome")))
+    asked = requested.select("doc_id", "ord", canonical_paths(base, F.col("href")).alias("href"))
+    told = entries.filter("error IS NULL").select("doc_id", canonical_paths(base, F.col("href")).alias("href"), F.lit(True).alias("told"), "status", "propstat_error", "etag", "address_data")
+    j = asked.join(broken.select("doc_id").distinct(), "doc_id", "left_anti").join(told, ["doc_id", "href"], "left")
+    whole = F.col("etag").isNotNull() & F.col("address_data").isNotNull()
+    code = F.when(F.col("status").isNotNull() & ~F.col("status").between(200, 299), F.col("status")).when(~whole, F.col("propstat_error"))
+    outcome = F.when(F.col("told").isNull() | code.isin(404, 410), "missing").when(code.between(500, 599), "transient").when(code.isNull() & whole, "found").otherwise("permanent")
+    rows = j.select("doc_id", "ord", "href", outcome.alias("outcome"), F.when(outcome == "found", F.col("etag")).alias("etag"), F.when(outcome == "found", F.col("address_data")).alias("body"))
+    rows = rows.unionByName(broken.withColumn("ord", F.lit(-1)), allowMissingColumns=True)
+    return rows.join(answers.select("doc_id", "call"), "doc_id").select("call", "doc_id", "ord", "href", "outcome", "etag", "body")
+
+
+def multiget_calls(rows: DataFrame) -> DataFrame:
+    """(call, error, found, missing) of rows as from ``multiget_rows``: one card's error is its whole call's, the first by
+    request and place; a failed call has found nothing. One aggregation, combined map-side."""
+    n = lambda outcome: F.count(F.when(F.col("outcome") == outcome, 1))
+    bad = ~F.col("outcome").isin("found", "missing")
+    out = rows.groupBy("call").agg(F.min_by(F.when(bad, F.col("outcome")), F.when(bad, F.struct("doc_id", "ord"))).alias("error"), n("found").alias("f"), n("missing").alias("m"))
+    return out.select("call", "error", F.when(F.col("error").isNull(), F.col("f")).alias("found"), F.when(F.col("error").isNull(), F.col("m")).alias("missing"))
+
+
+def multiget_cards(rows: DataFrame) -> DataFrame:
+    """The rows of calls that did not fail, both found and missing ones."""
+    failed = multiget_calls(rows).filter("error IS NOT NULL").select("call")
+    return rows.join(failed, "call", "left_anti")
+
+
 def select_collection(collections: DataFrame, default: str) -> DataFrame:
     """One collection (principal, ord, path) per principal: the one whose last segment is *default*, else the first."""
     last = F.element_at(F.split(F.regexp_replace("path", "/+$", ""), "/"), -1)
