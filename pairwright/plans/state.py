@@ -137,6 +137,20 @@ def photo_merge(spark, sf_dir):
     return photos.merge_ops(rows).select("uid", "op", "on", "diag", "photo_action", "counter_side", "counter_action")
 
 
+def cycle_photos(spark, sf_dir):
+    """Customers' photos, read, recorded, or not at hand, joined to their plan rows as a cycle does it."""
+    from pairwright.plans import merge, pictures
+
+    decided = merge.three_way_matrix(spark, sf_dir)
+    k, of = F.col("uid"), decided.select("uid")
+    h = lambda n: F.concat(F.lit("p"), F.expr(f"uid div {n} % 3"))
+    now = lambda s, none, n, bare, away: of.filter(k % none != 0).select(F.lit(s).alias("side"), "uid", h(n).alias("now_hash"), F.lit(None).cast("string").alias("now_uri"), (k % bare != 0).alias("has_bytes"), (k % away != 0).alias("available"))
+    stored = of.filter(k % 4 != 0).select("uid", (k % 3 != 0).alias("tracked"), F.lit(None).cast("string").alias("left_uri"), F.when(k % 5 != 0, h(2)).alias("left_hash"), F.when(k % 7 != 0, h(3)).alias("right_hash"), F.lit(False).alias("stripped"))
+    shown = pictures.Pictures(now("left", 6, 4, 11, 13).unionByName(now("right", 8, 5, 9, 14)), of, stored, of)
+    moved, rows = pictures.merge(decided, shown, "left")
+    return moved.select("uid", "op", "on", "diag").join(rows.select("uid", "action", "counter_side", "counter_action", "open"), "uid")
+
+
 def photo_downloads(spark, sf_dir):
     k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders")
@@ -274,7 +288,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         failure_history, failure_attempts, retry_times, failure_record, failures_resolved, backoff, state_upsert, update_versioned, last_seen_max, journal_replace, endpoint_upsert, replay_journal, photo_decide,
-        photo_next_state, photo_merge, photo_downloads, photo_current, photo_copies, photo_blocked, photo_recorded, photo_fit, hex_hashes, row_decode, token_set, rows_deleted, status_class, retry_after, collection_pick, mint_href, dump_sorted, text_forms, canonical_dates, canonical_hash,
+        photo_next_state, photo_merge, cycle_photos, photo_downloads, photo_current, photo_copies, photo_blocked, photo_recorded, photo_fit, hex_hashes, row_decode, token_set, rows_deleted, status_class, retry_after, collection_pick, mint_href, dump_sorted, text_forms, canonical_dates, canonical_hash,
     )
 }
 
@@ -401,20 +415,45 @@ ORACLE = {
 }
 
 
-def _photo_merge_sql() -> str:
-    from pairwright.plans import merge
-
+def _photo_merge_sql(rows: str, more: str = "") -> str:
+    """The merge of photo actions la and ra into plan *rows* with known, lf and rf (whether a side was read)."""
     return f"""
-SELECT uid, CASE WHEN dest IS NULL THEN op WHEN NOT blind THEN 'update' END AS op, coalesce(dest, "on") AS "on", CASE WHEN blind THEN 'unread_target' ELSE diag END AS diag,
+SELECT {more} uid, CASE WHEN dest IS NULL THEN op WHEN NOT blind THEN 'update' END AS op, coalesce(dest, "on") AS "on", CASE WHEN blind THEN 'unread_target' ELSE diag END AS diag,
        CASE WHEN writes THEN CASE "on" WHEN 'left' THEN la ELSE ra END WHEN op = 'resurrect' AND known THEN 'copy' WHEN dest IS NOT NULL AND NOT blind THEN CASE dest WHEN 'left' THEN la ELSE ra END END AS photo_action,
        CASE WHEN writes AND "on" = 'left' AND ra <> 'keep' AND rf THEN 'right' WHEN writes AND "on" = 'right' AND la <> 'keep' AND lf THEN 'left' END AS counter_side,
        CASE WHEN writes AND "on" = 'left' AND ra <> 'keep' AND rf THEN ra WHEN writes AND "on" = 'right' AND la <> 'keep' AND lf THEN la END AS counter_action
 FROM (SELECT *, CASE dest WHEN 'left' THEN NOT lf WHEN 'right' THEN NOT rf END AS blind FROM (
   SELECT *, known AND op IN ('update', 'conflict') AS writes,
          CASE WHEN known AND (op IS NULL OR op = 'refresh') AND diag IS NULL AND 'deleted' NOT IN (left_status, right_status) THEN CASE WHEN la <> 'keep' THEN 'left' WHEN ra <> 'keep' THEN 'right' END END AS dest
-  FROM (SELECT *, uid % 3 <> 0 OR 'unchanged' NOT IN (left_status, right_status) AS known, CASE uid % 5 WHEN 0 THEN 'set' WHEN 1 THEN 'remove' ELSE 'keep' END AS la,
-               CASE WHEN uid % 7 = 0 THEN 'set' ELSE 'keep' END AS ra, left_status IN ('same', 'changed') AS lf, right_status IN ('same', 'changed') AS rf FROM ({merge.ORACLE["three_way_matrix"]}))))
+  FROM ({rows})))
 """
 
 
-ORACLE["photo_merge"] = _photo_merge_sql()
+def _photo_merge_rows() -> str:
+    from pairwright.plans import merge
+
+    return f"""SELECT *, uid % 3 <> 0 OR 'unchanged' NOT IN (left_status, right_status) AS known, CASE uid % 5 WHEN 0 THEN 'set' WHEN 1 THEN 'remove' ELSE 'keep' END AS la,
+               CASE WHEN uid % 7 = 0 THEN 'set' ELSE 'keep' END AS ra, left_status IN ('same', 'changed') AS lf, right_status IN ('same', 'changed') AS rf FROM ({merge.ORACLE["three_way_matrix"]})"""
+
+
+def _cycle_photos_sql() -> str:
+    from pairwright.plans import merge
+
+    rows = f"""
+SELECT *, CASE WHEN fine AND to_l THEN CASE WHEN rh IS NULL THEN 'remove' WHEN rb THEN 'set' ELSE 'keep' END ELSE 'keep' END AS la,
+       CASE WHEN fine AND to_r THEN CASE WHEN lh IS NULL THEN 'remove' WHEN lb THEN 'set' ELSE 'keep' END ELSE 'keep' END AS ra FROM (
+  SELECT *, CASE WHEN tracked THEN rh IS DISTINCT FROM rrec AND lh IS NOT DISTINCT FROM lrec ELSE rh IS NOT NULL AND lh IS NULL END AS to_l,
+         CASE WHEN tracked THEN lh IS DISTINCT FROM lrec AND (rh IS NOT DISTINCT FROM rrec OR lh IS DISTINCT FROM rh) ELSE lh IS NOT NULL AND rh IS NULL END AS to_r FROM (
+    SELECT *, CASE WHEN lf THEN CASE WHEN uid % 6 <> 0 THEN 'p' || uid // 4 % 3 END WHEN left_status = 'unchanged' THEN lrec END AS lh, lf AND uid % 6 <> 0 AND uid % 11 <> 0 AS lb,
+           CASE WHEN rf THEN CASE WHEN uid % 8 <> 0 THEN 'p' || uid // 5 % 3 END WHEN right_status = 'unchanged' THEN rrec END AS rh, rf AND uid % 8 <> 0 AND uid % 9 <> 0 AS rb,
+           NOT (lf AND uid % 6 <> 0 AND uid % 13 = 0 OR rf AND uid % 8 <> 0 AND uid % 14 = 0) AS fine, tracked OR 'unchanged' NOT IN (left_status, right_status) AS known FROM (
+      SELECT *, uid % 4 <> 0 AND uid % 3 <> 0 AS tracked, CASE WHEN uid % 4 <> 0 AND uid % 5 <> 0 THEN 'p' || uid // 2 % 3 END AS lrec, CASE WHEN uid % 4 <> 0 AND uid % 7 <> 0 THEN 'p' || uid // 3 % 3 END AS rrec,
+             left_status IN ('same', 'changed') AS lf, right_status IN ('same', 'changed') AS rf FROM ({merge.ORACLE["three_way_matrix"]}))))"""
+    return f"""
+SELECT uid, op, "on", diag, CASE WHEN fine THEN photo_action END AS action, counter_side, counter_action,
+       fine AND known AND coalesce(op, 'refresh') IN ('refresh', 'update', 'conflict') AND diag IS NULL AND 'deleted' NOT IN (left_status, right_status) AS open
+FROM ({_photo_merge_sql(rows, "fine, known, left_status, right_status,")})"""
+
+
+ORACLE["cycle_photos"] = _cycle_photos_sql()
+ORACLE["photo_merge"] = _photo_merge_sql(_photo_merge_rows())

@@ -103,7 +103,9 @@ def test_modes_guard_and_reset(spark, tmp_path):
     done = runner.run_cycle(store, server, 2)
     assert done.outcome == "applied" and done.settled and versions() == (1, 1)
     assert {(r.uid, r.last_seen_at) for r in store.read("contacts").collect()} == {(f"u{i}", 2) for i in range(13)}
-    again = runner.run_cycle(store, server, 3)
+    again = runner.run_cycle(store, server, 3)  # pairs that are new are read once more, for their photos
+    assert again.outcome == "applied" and {r.op for r in again.plan.ops.collect()} == {"refresh"} and versions() == (2, 1) and store.read("photos").filter("tracked").count() == 13
+    again = runner.run_cycle(store, server, 4)
     assert again.outcome == "idle" and again.plan is None
     server.put(server.cards().filter("side = 'right' OR href = '/l/u0'"))  # thirteen cards are gone on the left
     before = versions()
@@ -126,7 +128,7 @@ def test_failed_cards_come_back_at_their_stored_time(spark, tmp_path):
     server.refuses = lambda: spark.createDataFrame([("right", minted, "permanent")], "side string, href string, error string")
     rows = lambda: {(r.side, r.uid, r.attempts, r.first_at, r.next_retry_at, r.reason) for r in store.read("failures").collect()}
     assert runner.run_cycle(store, server, 1000).outcome == "applied" and rows() == {("left", "b", 1, 1000, 1120, "rejected")}
-    assert runner.run_cycle(store, server, 1060).outcome == "idle" and rows() == {("left", "b", 1, 1000, 1120, "rejected")}
+    assert runner.run_cycle(store, server, 1060).outcome == "applied" and rows() == {("left", "b", 1, 1000, 1120, "rejected")}
     assert runner.run_cycle(store, server, 1130).outcome == "applied" and rows() == {("left", "b", 2, 1000, 1370, "rejected")}
     assert runner.run_cycle(store, server, 1200).outcome == "idle" and rows() == {("left", "b", 2, 1000, 1370, "rejected")}
     server.refuses = None
