@@ -32,6 +32,11 @@ class Cycle:
     applied: apply.Applied | None = None
     error: str | None = None  # the class of the listing error of a failed cycle
 
+    def report(self) -> DataFrame:
+        """The plan's report, with the photos that its writes left out."""
+        left_out = self.applied.changes.filter("side = 'left' AND change = 'stripped'").select("uid") if self.applied else None
+        return self.plan.report(left_out)
+
     @property
     def settled(self) -> bool:
         """Whether a reset that this cycle was asked for has taken effect."""

@@ -93,7 +93,7 @@ _MULTIGET = """
     """
 ORACLE = {
     "multiget_calls": f"{_MULTIGET} SELECT call, error, CASE WHEN error IS NULL THEN f END AS found, CASE WHEN error IS NULL THEN m END AS missing FROM c",
-    "multiget_cards": f"""{_MULTIGET} SELECT call, doc_id, ord, href, one AS outcome, CASE WHEN one = 'found' THEN 'e' || k END AS etag, CASE WHEN one = 'found' THEN 'N:' || k || chr(13) || chr(10) || 'X<' END AS body
+    "multiget_cards": f"""{_MULTIGET} SELECT call, doc_id, ord::INTEGER AS ord, href, one AS outcome, CASE WHEN one = 'found' THEN 'e' || k END AS etag, CASE WHEN one = 'found' THEN 'N:' || k || chr(13) || chr(10) || 'X<' END AS body
         FROM r WHERE call IN (SELECT call FROM c WHERE error IS NULL)""",
     "request_bodies": f"""
         SELECT c_custkey, '<d:sync-collection {_NS}><d:sync-token>' || CASE WHEN c_custkey % 3 <> 0 THEN 't&apos;' || c_custkey ELSE '' END

@@ -172,7 +172,10 @@ def test_photos_follow_their_records(spark, tmp_path):
         ("right", "large", "F", "+6", inline(large)), ("left", "gone", "G", "+7", at("missing")), ("left", "clash", "H", "+8", at("one")), ("right", "clash", "H H", "+8", inline(two)),
     ]
     server, store = servers(spark, tmp_path, rows, [("one", 200, one), ("three", 200, three), ("missing", 404, None)])
-    until_idle(store, server, 1)
+    began = runner.run_cycle(store, server, 1)
+    lines = {(r.section, r.line.split()[0]) for r in began.report().filter("section IN ('photos_stripped', 'photos_unavailable')").collect()}
+    assert ("photos_stripped", "uid=large") in lines and any(s == "photos_unavailable" for s, _ in lines)
+    until_idle(store, server, 2)
     got = faces(server)
     want = {"gap_r": one, "gap_l": two, "new_l": three, "new_r": four}
     for u, data in want.items():
