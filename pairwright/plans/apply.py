@@ -46,9 +46,9 @@ class Applied:
 
 def snapshot_cards(entries: DataFrame) -> DataFrame:
     """A snapshot for ``plan_cycle`` from entries (href, etag, kind, body); a body that is no card makes it unreadable. A side
-    is kept."""
+    is kept; ``photo`` (kind, uri, hash) is the card's photo without its bytes."""
     out = cards.parse(entries, "body")
-    keys = cards.match_keys(F.col("props"))
+    keys, p = cards.match_keys(F.col("props")), cards.photo(F.col("props"))
     read = F.col("kind") == "fetched"
     when = lambda x: F.when(read & F.col("error").isNull(), x)
     none = F.expr("cast(array() as array<string>)")
@@ -64,6 +64,7 @@ def snapshot_cards(entries: DataFrame) -> DataFrame:
         F.coalesce(when(cards.tokens(keys)), none).alias("tokens"),
         when(keys["org"]).alias("org"),
         F.coalesce(when(F.when(cards.is_group(F.col("props")), cards.members(F.col("props")))), none).alias("members"),
+        when(F.when(p.isNotNull(), F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), p["hash"].alias("hash")))).alias("photo"),
     )
 
 

@@ -24,7 +24,7 @@ SIDES = ("left", "right")
 @dataclass
 class Pictures:
     now: DataFrame  # (side, uid, now_hash, now_uri, has_bytes, available) of cards that were read
-    data: DataFrame  # (side, uid, data): the bytes that can be copied
+    data: DataFrame  # (side, uid, data): the bytes behind the left's addresses, as far as they were fetched
     stored: DataFrame  # PHOTOS
     failed: DataFrame  # (uid, href, reason): left cards whose photo could not be fetched
 
@@ -35,22 +35,32 @@ def known_as(stored: DataFrame) -> DataFrame:
 
 
 def look(own: DataFrame, stored: DataFrame, fetch) -> Pictures:
-    """The photos of both sides' cards *own* (side, uid, href, body; no body where a card was not read).
+    """The photos of both sides' cards *own* (side, uid, href, photo), photo as from ``apply.snapshot_cards``.
 
     *fetch* answers (uri, data, error) for addresses (uri); each address that is needed is asked for once. One that gives
     no bytes blocks its cards.
     """
-    parsed = cards.parse(own.filter("body IS NOT NULL").select("side", F.col("uid").alias("card_uid"), "href", "body"), "body")
-    held = cut(parsed.select("side", F.col("card_uid").alias("uid"), "href", cards.photo(F.col("props")).alias("p")).select("side", "uid", "href", "p.kind", "p.hash", "p.uri", "p.bytes"))
+    held = cut(own.filter("photo IS NOT NULL").select("side", "uid", "href", "photo.kind", "photo.hash", "photo.uri"))
     state = known_as(stored)
     left = held.filter("side = 'left' AND kind = 'uri'").select("uid", "href", "uri")
     got = cut(fetch(photos.downloads(left, state)))
     fine = got.filter("error IS NULL").select("uri", "data", F.sha2("data", 256).alias("hash"))
     now = photos.current(held.select("side", "uid", "kind", "hash", "uri"), state, fine.select("uri", "hash"))
-    copied = held.filter("kind = 'inline'").select("side", "uid", F.col("bytes").alias("data"))
-    copied = copied.unionByName(left.join(fine, "uri").select(F.lit("left").alias("side"), "uid", "data"))
+    data = left.join(fine, "uri").select(F.lit("left").alias("side"), "uid", "data")
     failed = left.join(got.filter("error IS NOT NULL").select("uri", F.col("error").alias("reason")), "uri").select("uid", "href", "reason")
-    return Pictures(cut(now.select("side", "uid", "now_hash", "now_uri", "has_bytes", "available")), cut(copied), stored, cut(failed))
+    return Pictures(cut(now.select("side", "uid", "now_hash", "now_uri", "has_bytes", "available")), cut(data), stored, cut(failed))
+
+
+def bytes_to_copy(pictures: Pictures, own: DataFrame, ops: DataFrame, rows: DataFrame) -> DataFrame:
+    """(side, uid, data) of the photos that the ops copy; only their cards *own* (side, uid, body) are read for it."""
+    across = lambda c: F.when(F.col(c) == "left", "right").otherwise("left").alias("side")
+    need = ops.filter("op IN ('create', 'copy_group')").select("uid", across("on"))
+    j = ops.select("uid", "on").join(rows, "uid")
+    need = need.unionByName(j.filter("action IN ('set', 'copy')").select("uid", across("on"))).unionByName(j.filter("counter_action = 'set'").select("uid", across("counter_side")))
+    need = cut(need)
+    bodies = own.join(need, ["side", "uid"], "left_semi").join(pictures.data, ["side", "uid"], "left_anti").select("side", F.col("uid").alias("card_uid"), "body")
+    inline = cards.parse(bodies, "body").select("side", F.col("card_uid").alias("uid"), cards.photo(F.col("props"))["bytes"].alias("data")).filter("data IS NOT NULL")
+    return cut(inline.unionByName(pictures.data.join(need, ["side", "uid"], "left_semi").select("side", "uid", "data")))
 
 
 def merge(decided: DataFrame, pictures: Pictures, winner: str) -> tuple[DataFrame, DataFrame]:

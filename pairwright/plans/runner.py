@@ -135,7 +135,7 @@ def is_idle(server: Connector, stored: Stored, now: int) -> tuple[bool, dict[str
 
 
 def snapshots(server: Connector, stored: Stored, listing: DataFrame, now: int) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    """(snapshots by side, own cards (side, uid, href, etag, name, tokens, org, body), held (side, href))."""
+    """(snapshots by side, own cards (side, uid, href, etag, name, tokens, org, photo, body), held (side, href))."""
     held = cut(with_due(stored.failures, listing, now).filter("held").select("side", "href").join(listing.select("side", "href"), ["side", "href"], "left_semi"))
     wanted = cdc.fetch_lists(listing, tracking(stored)).select("side", "href")
     wanted = cut(wanted.join(held, ["side", "href"], "left_anti"))
@@ -151,7 +151,7 @@ def snapshots(server: Connector, stored: Stored, listing: DataFrame, now: int) -
     for s in SIDES:
         one = stored.contacts.select(F.lit(s).alias("side"), F.col(f"{s}_href").alias("href"), "uid")
         known = one if known is None else known.unionByName(one)
-    own = read.filter("kind = 'fetched' AND uid IS NOT NULL").select("side", "uid", "href", "etag", "name", "tokens", "org").join(rows.select("side", "href", "body"), ["side", "href"])
+    own = read.filter("kind = 'fetched' AND uid IS NOT NULL").select("side", "uid", "href", "etag", "name", "tokens", "org", "photo").join(rows.select("side", "href", "body"), ["side", "href"])
     quiet = rows.filter("kind = 'unchanged'").select("side", "href", "etag").join(known, ["side", "href"])
     return {s: read.filter(F.col("side") == s).drop("side") for s in SIDES}, cut(own.unionByName(quiet, allowMissingColumns=True)), held
 
@@ -191,7 +191,7 @@ def run_cycle(store: StateStore, server: Connector, now: int, mode: str = "sync"
             server.forget(e.side)
         return Cycle("failed", store.version(), error=e.error)
     snaps, own, held = snapshots(server, stored, listing, now)
-    shown = pictures.look(own.select("side", "uid", "href", "body"), stored.photos, server.pictures)
+    shown = pictures.look(own.select("side", "uid", "href", "photo"), stored.photos, server.pictures)
     plan = plan_cycle(snaps["left"], snaps["right"], stored.contacts, winner, aliases, pictures=shown)
     guard = plan.guard()
     if dry:
@@ -202,7 +202,7 @@ def run_cycle(store: StateStore, server: Connector, now: int, mode: str = "sync"
     cycle_id = f"{now}-{uuid.uuid4().hex}"
     log = apply.WriteAhead(store, stored.version, cycle_id)
     collections = {s: server.collection(s) for s in SIDES}
-    done = apply.apply_plan(plan.ops, own.select("side", "uid", "href", "etag", "body"), server, collections, rewritten=relinked_bodies(plan, own, every), log=log, photo_rows=plan.photos, data=shown.data)
+    done = apply.apply_plan(plan.ops, own.select("side", "uid", "href", "etag", "body"), server, collections, rewritten=relinked_bodies(plan, own, every), log=log, photo_rows=plan.photos, data=pictures.bytes_to_copy(shown, own, plan.ops, plan.photos))
     after = pictures.next_photos(shown, plan.photos, plan.ops, done.outcomes, done.changes.select("uid", "side", "change"), done.read)
     version = apply.finish(store, log.version, plan, done, own, now, listing.select("side", "href"), held, tokens, cycle_id, base, after)
     return Cycle("aborted" if done.aborted else "applied", version, plan, guard, done)
