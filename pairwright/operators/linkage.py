@@ -14,8 +14,10 @@ from pairwright.functions.shared import cut
 
 #: A token that more records of the other side hold is heavy: its holders are counted, not listed.
 HEAVY = 32
-#: Records of more heavy tokens are compared by distinct sets of them instead of by all subsets, of which they would have too many.
+#: Records of so many heavy tokens are counted by all subsets of them at any size of the tables, of more if the tables are large.
 WIDE = 8
+#: Heavy tokens that one long tells apart.
+BITS = 64
 
 
 def pair_uid(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -48,54 +50,90 @@ def content_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("id", "hash").join(per.select("hash", count.alias("candidates")), "hash").select("id", "candidates")
 
 
-def _subsets(df: DataFrame, as_id: str) -> DataFrame:
-    """(id, set, size) of all subsets of one token or more of sorted arrays ``heavy`` of up to WIDE."""
-    each = F.explode(F.expr("transform(sequence(1, cast(shiftleft(1, size(heavy)) as int) - 1), m -> filter(heavy, (x, i) -> (shiftright(m, i) & 1) = 1))"))
-    return df.filter(f"size(heavy) <= {WIDE}").select(as_id, each.alias("set")).withColumn("size", F.size("set"))
+def _subsets(df: DataFrame, widest: int) -> DataFrame:
+    """(key, set, ...) of all subsets of one token or more of the sorted arrays ``heavy`` of up to *widest*; of a thousand a row at once."""
+    low = F.expr("shiftleft(1L, least(size(heavy), 10)) - 1")
+    masks = df.filter(F.size("heavy") <= widest).withColumn("hi", F.explode(F.expr("sequence(0L, shiftleft(1L, greatest(size(heavy) - 10, 0)) - 1)")))
+    masks = masks.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), low))).withColumn("m", F.expr("shiftleft(hi, 10) + lo")).filter("m > 0")
+    return masks.select("*", F.expr("filter(heavy, (x, i) -> (shiftright(m, i) & 1) = 1)").alias("set")).drop("heavy", "hi", "lo", "m")
 
 
 def _heavy_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, n, first) over heavy tokens alone, of *left* (id, heavy) and *right* (r, heavy).
 
     How many right records hold one of the tokens a, b, ... is the sum over all sets of them of how many hold the whole
-    set, odd sets added and even ones taken off. The holders of a set are one count, combined map-side. Where a record has
-    more than WIDE heavy tokens, distinct sets of both sides meet instead, each with its count of records.
+    set, odd sets added and even ones taken off. The holders of a set are one count, combined map-side. Records with the
+    same heavy tokens count as one, with a number. Where a record has so many heavy tokens that comparing it with the
+    other side's distinct records is less work than all its subsets, it is compared.
+
+    The joins name their method: an exploded table is far larger than the file Spark would judge it by, and would go
+    through the driver as a broadcast.
     """
-    held = _subsets(right, "r").groupBy("set").agg(F.count(F.lit(1)).alias("holders"), F.min("r").alias("least"))
-    sign = F.when(F.col("size") % 2 == 1, F.col("holders")).otherwise(-F.col("holders"))
-    by_set = _subsets(left, "id").join(held, "set").groupBy("id").agg(F.sum(sign).alias("n"), F.min("least").alias("first"))
-    wide = F.size("heavy") > WIDE
-    own = left.groupBy("heavy").agg(F.count(F.lit(1)).alias("_")).select("heavy", wide.alias("wide"), F.explode("heavy").alias("t"))
-    theirs = right.groupBy("heavy").agg(F.count(F.lit(1)).alias("holders"), F.min("r").alias("least"))
-    theirs = theirs.select(F.col("heavy").alias("theirs"), wide.alias("wide_too"), "holders", "least", F.explode("heavy").alias("t"))
-    met = own.join(theirs, "t").filter("wide OR wide_too").groupBy("heavy", "theirs").agg(F.first("holders").alias("holders"), F.first("least").alias("least"))
-    met = met.groupBy("heavy").agg(F.sum("holders").alias("n"), F.min("least").alias("first"))
-    return by_set.unionByName(left.join(met, "heavy").select("id", "n", "first"))
+    own = cut(left.groupBy("heavy").agg(F.count(F.lit(1)).alias("_")).select("heavy", F.monotonically_increasing_id().alias("key")))
+    theirs = cut(right.groupBy("heavy").agg(F.count(F.lit(1)).alias("holders"), F.min("r").alias("least")).withColumn("other", F.monotonically_increasing_id()))
+    # A record meets few of the other side's sets by each token: a sixteenth of them stands for that.
+    widest = max(WIDE, max(own.count(), theirs.count()).bit_length() - 5)
+    held = _subsets(theirs.drop("other"), widest).groupBy("set").agg(F.sum("holders").alias("holders"), F.min("least").alias("least"))
+    sign = F.when(F.size("set") % 2 == 1, F.col("holders")).otherwise(-F.col("holders"))
+    met = _subsets(own, widest).join(held.hint("merge"), "set").select("key", sign.alias("n"), "least")
+    wide = F.size("heavy") > widest
+    if own.filter(wide).union(theirs.select("heavy", "other").filter(wide)).isEmpty():
+        by_set = met
+    else:
+        t = F.explode("heavy").alias("t")
+        ours = own.select("key", wide.alias("wide"), t)
+        others = theirs.select("other", "holders", "least", wide.alias("wide_too"), t)
+        some = ours.filter("wide").join(others.hint("merge"), "t").unionByName(ours.filter("NOT wide").join(others.filter("wide_too").hint("merge"), "t"))
+        by_set = met.unionByName(some.select("key", "other", F.col("holders").alias("n"), "least").distinct().drop("other"))
+    by_set = by_set.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("first"))
+    by_set = own.join(by_set.hint("merge"), "key").select("heavy", "n", "first")
+    return left.join(by_set.hint("merge"), "heavy").select("id", "n", "first")
 
 
 def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, n, first) for the left records (id, tokens) that share a token with a right one: with how many, and the least
-    id of them. Tokens are split by how many right records hold them, which one count decides beforehand.
+    id of them. A record may be several rows. Tokens are split by how many right rows hold them, which is counted beforehand.
 
-    Light tokens, of HEAVY holders at most, make pairs: so many rows per left token at most. Heavy ones are counted by
-    ``_heavy_overlap``. A pair that shares tokens of both kinds is in both, so of the light pairs only those count that
-    have no heavy token in common.
+    Light tokens, of HEAVY holders at most, send each left record a list of their holders: so many ids per left token at
+    most. Heavy ones are counted by ``_heavy_overlap``. A pair that shares tokens of both kinds is in both, so the lists
+    leave out holders that have a heavy token in common with the record: each row carries its heavy tokens as bits. Of
+    more than 64 heavy tokens some share a bit; those pairs are then compared by the tokens themselves.
     """
-    l, r = (df.select(F.col("id").alias(as_id), F.explode(F.array_distinct("tokens")).alias("t")) for df, as_id in ((left, "id"), (right, "r")))
-    heavy = r.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("t")
-    if heavy.isEmpty():
-        # A left record meets HEAVY records per token at most: their set is small.
-        return l.join(r, "t").groupBy("id").agg(F.size(F.collect_set("r")).cast("long").alias("n"), F.min("r").alias("first"))
-    heavy = cut(heavy.join(l.select("t").distinct(), "t", "left_semi"))
-    own, theirs = (df.join(heavy, "t").groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("heavy")) for df, key in ((l, "id"), (r, "r")))
-    own, theirs = cut(own), cut(theirs)
-    pairs = l.join(heavy, "t", "left_anti").join(r.join(heavy, "t", "left_anti"), "t").select("id", "r").distinct()
-    pairs = pairs.join(own, "id", "left").join(theirs.withColumnRenamed("heavy", "heavy_too"), "r", "left")
-    apart = ~F.coalesce(F.arrays_overlap("heavy", "heavy_too"), F.lit(False))
-    light = pairs.groupBy("id").agg(F.sum(apart.cast("long")).alias("n"), F.min("r").alias("first"))
+    right = right.select(F.col("id").alias("r"), "tokens")
+    each = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct("tokens")).alias("t"))
+    l, r = each(left, "id"), each(right, "r")
+    # Hashes are shorter to exchange than tokens; those that several tokens share only make a few candidates more.
+    number = F.hash("t").alias("h")
+    often = cut(r.groupBy(number).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("h"))
+    heavy = cut(r.withColumn("h", number).join(often, "h", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("t"))
+    many = heavy.count()
+    if not many:
+        held = r.repartition("t").groupBy("t").agg(F.collect_list("r").alias("rs"))
+        return _listed(l.join(held.hint("merge"), "t").select("id", "rs"))
+    heavy = cut((heavy.coalesce(1) if many <= BITS else heavy).withColumn("number", F.monotonically_increasing_id()))
+    bit = F.expr(f"shiftleft(1L, cast(number % {BITS} as int))")
+    own, theirs = (cut(df.join(heavy, "t").groupBy(key).agg(F.sort_array(F.collect_set("number")).alias("heavy"), F.bit_or(bit).alias("bits"))) for df, key in ((l, "id"), (r, "r")))
+    l, r = (
+        each(df.join(sets.select(key, "bits").hint("merge"), key, "left"), key, F.coalesce("bits", F.lit(0)).alias("bits")).join(heavy, "t", "left_anti")
+        for df, sets, key in ((left, own, "id"), (right, theirs, "r"))
+    )
+    held = r.repartition("t").groupBy("t").agg(F.collect_list("r").alias("rs"), F.collect_list("bits").alias("theirs"))
+    met = l.join(held.hint("merge"), "t")
+    light = _listed(met.select("id", F.expr("filter(rs, (x, i) -> (theirs[i] & bits) = 0)").alias("rs")))
+    if many > BITS:
+        unsure = met.select("id", F.explode(F.expr("filter(rs, (x, i) -> (theirs[i] & bits) <> 0)")).alias("r")).distinct()
+        unsure = unsure.join(own.select("id", "heavy").hint("merge"), "id").join(theirs.select("r", F.col("heavy").alias("heavy_too")).hint("merge"), "r").filter("NOT arrays_overlap(heavy, heavy_too)")
+        light = light.unionByName(unsure.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first")))
     return light.unionByName(_heavy_overlap(own, theirs)).groupBy("id").agg(F.sum("n").cast("long").alias("n"), F.min("first").alias("first"))
 
 
+def _listed(lists: DataFrame) -> DataFrame:
+    """(id, n, first) of the distinct elements of a record's lists (id, rs); whole rows are exchanged, as no two lists of a record meet before."""
+    rs = F.array_distinct(F.flatten(F.collect_list("rs")))
+    sets = lists.filter("size(rs) > 0").repartition("id").groupBy("id").agg(rs.alias("rs"))
+    return sets.select("id", F.size("rs").cast("long").alias("n"), F.array_min("rs").alias("first"))
+
+
 def identity_tokens(df: DataFrame) -> DataFrame:
     """(id, tokens) by which records match on identity: the name with each contact point, or, without any, the name with
     the organization. Rows are (id, name, tokens, org); one without a name has none."""

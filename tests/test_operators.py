@@ -1,6 +1,7 @@
 """Merge matrix, a whole cycle, the state store, sinks, streams and protocol payloads."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,40 @@ def test_overlap_of_wide_records(spark, monkeypatch, heavy):
     assert {r.id: (r.n, r.first) for r in linkage.overlap(a, b).collect()} == {i: (len(js), js[0]) for i, js in want.items() if js}
 
 
+def test_overlap_sends_no_exploded_table_through_the_driver(spark, monkeypatch):
+    """Subsets of heavy tokens are many times their file; Spark judged them by it and broadcast them."""
+    monkeypatch.setattr(linkage, "HEAVY", 5)
+    df = spark.range(400).select("id", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.concat(F.lit("t"), (F.col("id") * (k + 1)) % 17)).alias("tokens"))
+    out = linkage.overlap(df, df)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for n, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            below = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
+            assert not any("Generate" in y for y in lines[n:below]), lines[n]
+    want = {r.id: set(r.tokens) for r in df.collect()}
+    assert {r.id: (r.n, r.first) for r in out.collect()} == {i: (len(js), min(js)) for i, x in want.items() if (js := [j for j, y in want.items() if x & y])}
+
+
+@pytest.mark.parametrize("bits", [1, 4, 64])
+@pytest.mark.parametrize("heavy", [5, 32])
+def test_overlap_of_heavy_tokens_that_share_a_bit(spark, monkeypatch, heavy, bits):
+    """Records come in several rows here, and a pair may share tokens of both kinds; no row per pair is exchanged for the clear ones."""
+    import random
+
+    monkeypatch.setattr(linkage, "HEAVY", heavy)
+    monkeypatch.setattr(linkage, "BITS", bits)
+    rng = random.Random(5)
+    names = [f"t{k}" for k in range(12)] + [f"u{k}" for k in range(120)]
+    rows = [[(i % 80, [rng.choice(names[:12] if rng.random() < 0.3 else names) for _ in range(rng.choice([0, 1, 2]))]) for i in range(160)] for _ in range(2)]
+    held = [{i: {t for j, x in side if j == i for t in x} for i in range(80)} for side in rows]
+    out = linkage.overlap(*(spark.createDataFrame(r, "id long, tokens array<string>") for r in rows))
+    want = {i: [j for j, y in held[1].items() if x & y] for i, x in held[0].items()}
+    assert {r.id: (r.n, r.first) for r in out.collect()} == {i: (len(js), js[0]) for i, js in want.items() if js}
+    if bits == 64:
+        assert not re.search(r"hashpartitioning\(id#\d+L?, r#", out._jdf.queryExecution().executedPlan().toString())
+
+
 def test_state_store(spark, tmp_path):
     store = statestore.StateStore(spark, str(tmp_path / "s"))
     assert store.version() is None and store.read("contacts") is None
