@@ -60,8 +60,7 @@ def may_be_same(spark, sf_dir):
 
 def token_overlap(spark, sf_dir):
     """Even and odd orders by the parts they hold, many of them shared."""
-    line = table(spark, sf_dir, "lineitem")
-    rows = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.concat(F.lit("p"), F.expr("l_partkey % 1000"))).alias("tokens"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.array(F.concat(F.lit("p"), F.expr("l_partkey % 1000"))).alias("tokens"))
     return linkage.overlap(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"))
 
 
@@ -71,7 +70,7 @@ def wide_overlap(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     mode = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("m:"), F.expr("l_suppkey % 7")))
     named = [F.concat(F.lit("p:"), "l_partkey"), F.concat(F.lit("d:"), "l_partkey", F.lit("/"), F.col("l_shipdate").cast("date").cast("string")), F.concat(F.lit("s:"), "l_partkey", F.lit("/"), "l_suppkey"), mode]
-    rows = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.flatten(F.collect_list(F.array_compact(F.array(*named)))).alias("tokens"))
+    rows = line.select(F.col("l_orderkey").alias("id"), F.array_compact(F.array(*named)).alias("tokens"))
     return linkage.overlap(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"))
 
 
