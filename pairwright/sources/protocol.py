@@ -21,8 +21,14 @@ from pairwright.functions.text import restore_crlf, status_class, xml_escape
 
 _DAV, _CARD = "{DAV:}", "{urn:ietf:params:xml:ns:carddav}"
 MULTISTATUS = "doc_id long, ord int, href string, status int, propstat_error int, etag string, address_data string, is_collection boolean, is_addressbook boolean, displayname string, sync_token string, error string"
+_TOKEN, _RESPONSE, _HREF, _STATUS, _PROPSTAT, _PROP, _KINDS = (_DAV + x for x in ("sync-token", "response", "href", "status", "propstat", "prop", "resourcetype"))
+_VALUES = {f"{_DAV}getetag": "etag", f"{_DAV}displayname": "displayname", f"{_CARD}address-data": "address_data"}
 #: Characters a path segment keeps unescaped.
 _SAFE = "!$&'()*+,;=:@-._~"
+#: Hrefs that nothing has to be resolved in: a path from the root, after a host or not, of characters that stay or are escaped.
+_PLAIN = re.compile(r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?=/)|(?!//))((?:/(?!\.{1,2}(?:/|\Z))[A-Za-z0-9!$&'()*+,=:@._~%-]*)+)")
+_ASCII = re.compile("%[0-7][0-9A-Fa-f]")
+_ONE_SPELLING = {f"%{h}{d}": quote(chr(int(h + d, 16)), safe=_SAFE) for h in "01234567" for d in "0123456789ABCDEFabcdef"}
 
 
 def _status(text: str | None) -> int | None:
@@ -32,7 +38,7 @@ def _status(text: str | None) -> int | None:
 
 def parse_multistatus(body: str) -> list[dict]:
     """The responses of one answer. Names match by namespace; a DTD, another root or broken XML is one error row."""
-    if re.search(r"<!DOCTYPE", body, re.I):
+    if "<!doctype" in body.lower():
         return [{"ord": 0, "error": "dtd"}]
     try:
         root = ET.fromstring(body)
@@ -40,22 +46,25 @@ def parse_multistatus(body: str) -> list[dict]:
         return [{"ord": 0, "error": "malformed"}]
     if root.tag != f"{_DAV}multistatus":
         return [{"ord": 0, "error": "root"}]
-    token = root.findtext(f"{_DAV}sync-token")
+    token = root.findtext(_TOKEN)
     rows = []
-    for n, r in enumerate(root.findall(f"{_DAV}response")):
-        row: dict = {"ord": n, "href": (r.findtext(f"{_DAV}href") or "").strip(), "status": _status(r.findtext(f"{_DAV}status")), "sync_token": token, "is_collection": False, "is_addressbook": False}
-        for ps in r.findall(f"{_DAV}propstat"):
-            code = _status(ps.findtext(f"{_DAV}status"))
+    for n, r in enumerate(root.findall(_RESPONSE)):
+        row: dict = {"ord": n, "href": (r.findtext(_HREF) or "").strip(), "status": _status(r.findtext(_STATUS)), "sync_token": token, "is_collection": False, "is_addressbook": False}
+        for ps in r.findall(_PROPSTAT):
+            code = _status(ps.findtext(_STATUS))
             if code is not None and not 200 <= code < 300:
                 row.setdefault("propstat_error", code)
                 continue
-            for prop in ps.findall(f"{_DAV}prop"):
-                kinds = [k.tag for k in prop.iterfind(f"{_DAV}resourcetype/*")]
-                row["is_collection"] |= f"{_DAV}collection" in kinds
-                row["is_addressbook"] |= f"{_CARD}addressbook" in kinds
-                for name, tag in (("etag", f"{_DAV}getetag"), ("displayname", f"{_DAV}displayname"), ("address_data", f"{_CARD}address-data")):
-                    if (value := prop.findtext(tag)) is not None:
-                        row[name] = value
+            for prop in ps.findall(_PROP):
+                own: dict = {}
+                for x in prop:
+                    if (name := _VALUES.get(x.tag)) is not None:
+                        own.setdefault(name, x.text or "")
+                    elif x.tag == _KINDS:
+                        kinds = [k.tag for k in x]
+                        row["is_collection"] |= f"{_DAV}collection" in kinds
+                        row["is_addressbook"] |= f"{_CARD}addressbook" in kinds
+                row |= own
         rows.append(row)
     return rows
 
@@ -66,8 +75,9 @@ def multistatus(payloads: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"doc_id": d.as_py(), **row} for d, body in zip(*batch.columns, strict=True) for row in parse_multistatus(body.as_py() or "")]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows = [(d, row) for d, body in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in parse_multistatus(body or "")]
+            columns = [[d for d, _ in rows], *([row.get(name) for _, row in rows] for name in schema.names[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     out = payloads.select("doc_id", "body").mapInArrow(run, MULTISTATUS)
     return out.withColumn("address_data", restore_crlf(F.col("address_data")))
@@ -106,7 +116,8 @@ def multiget_calls(rows: DataFrame) -> DataFrame:
 
 
 def multiget_cards(rows: DataFrame) -> DataFrame:
-    """The rows of calls that did not fail, both found and missing ones."""
+    """The rows of calls that did not fail, both found and missing ones. They are written once, as they are read twice."""
+    rows = cut(rows)
     failed = multiget_calls(rows).filter("error IS NOT NULL").select("call")
     return rows.join(failed, "call", "left_anti")
 
@@ -121,6 +132,10 @@ def select_collection(collections: DataFrame, default: str) -> DataFrame:
 def canonical_path(base: str, href: str) -> str:
     """An href as a path: resolved, host dropped, each segment decoded and encoded in one way; a segment that isn't
     UTF-8 stays as it is."""
+    if plain := _PLAIN.fullmatch(href):
+        path, n = _ASCII.subn(lambda m: _ONE_SPELLING[m[0]], plain[1])
+        if n == plain[1].count("%"):
+            return path
     out = []
     for segment in urlsplit(urljoin(base, href)).path.split("/"):
         try:

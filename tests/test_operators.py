@@ -141,6 +141,23 @@ def test_overlap_of_heavy_tokens_that_share_a_bit(spark, monkeypatch, heavy, bit
         assert not re.search(r"hashpartitioning\(id#\d+L?, r#", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_multiget_cards_reads_its_rows_once(spark):
+    requested = spark.createDataFrame([(0, 0, "/b/%41.vcf")], "doc_id long, ord int, href string")
+    body = '<d:multistatus xmlns:d="DAV:"><d:response><d:href>http://h/b/A.vcf</d:href><d:status>HTTP/1.1 404 X</d:status></d:response></d:multistatus>'
+    payloads = spark.createDataFrame([(0, 7, 207, body)], "doc_id long, call long, status int, body string")
+    out = protocol.multiget_cards(protocol.multiget_rows(requested, payloads, "http://h/b/"))
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.call, r.href, r.outcome) for r in out.collect()] == [(7, "/b/A.vcf", "missing")]
+
+
+@pytest.mark.parametrize(
+    ("href", "path"),
+    [("/b/%41%2f%25%7e.vcf", "/b/A%2F%25~.vcf"), ("http://h:80/b/x", "/b/x"), ("//h/b", "/b"), ("/b/../c/./d", "/c/d"), ("http://h/b/../c", "/b/../c"), ("/b/%c3%a9", "/b/%C3%A9"), ("/b/%ff", "/b/%ff"), ("/b/%zz", "/b/%25zz"), ("/b/x?y#z", "/b/x"), ("/b/c;", "/b/c"), ("x", "/b/x"), ("http://h", ""), ("/...", "/...")],
+)
+def test_one_spelling_of_hrefs(href, path):
+    assert protocol.canonical_path("http://h/b/", href) == path
+
+
 def test_state_store(spark, tmp_path):
     store = statestore.StateStore(spark, str(tmp_path / "s"))
     assert store.version() is None and store.read("contacts") is None
