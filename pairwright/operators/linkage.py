@@ -105,8 +105,10 @@ def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     # Hashes are shorter to exchange than tokens; those that several tokens share only make a few candidates more.
     number = F.hash("t").alias("h")
     often = cut(r.groupBy(number).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("h"))
-    heavy = cut(r.withColumn("h", number).join(often, "h", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("t"))
-    many = heavy.count()
+    many = 0
+    if not often.isEmpty():
+        heavy = cut(r.withColumn("h", number).join(often, "h", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("t"))
+        many = heavy.count()
     if not many:
         held = r.repartition("t").groupBy("t").agg(F.collect_list("r").alias("rs"))
         return _listed(l.join(held.hint("merge"), "t").select("id", "rs"))
