@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from pairwright.functions import subsets
 from pairwright.functions.shared import cut
 
 #: A token that more records of the other side hold is heavy: its holders are counted, not listed.
@@ -18,6 +20,8 @@ HEAVY = 32
 WIDE = 8
 #: Heavy tokens that one long tells apart.
 BITS = 64
+#: Most frequent tokens, whose sets are counted apart; rows of a token that are counted together; heavy tokens that one task numbers.
+TOP, SLICE, DENSE = 12, 1 << 17, 1 << 16
 
 
 def pair_uid(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -58,36 +62,80 @@ def _subsets(df: DataFrame, widest: int) -> DataFrame:
     return masks.select("*", F.expr("filter(heavy, (x, i) -> (shiftright(m, i) & 1) = 1)").alias("set")).drop("heavy", "hi", "lo", "m")
 
 
-def _heavy_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id, n, first) over heavy tokens alone, of *left* (id, heavy) and *right* (r, heavy).
+def _top_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(top, n) of what sets of the TOP most frequent tokens add: so few that all their subsets are counted."""
+    top = F.expr(f"filter(heavy, x -> x < {TOP})").alias("heavy")
+    own, theirs = left.select(top).distinct().withColumn("key", F.col("heavy")), right.groupBy(top).agg(F.sum("holders").alias("holders"))
+    held = _subsets(theirs, TOP).groupBy("set").agg(F.sum("holders").alias("holders"))
+    sign = F.when(F.size("set") % 2 == 1, F.col("holders")).otherwise(-F.col("holders"))
+    return cut(_subsets(own, TOP).join(held.hint("merge"), "set").groupBy(F.col("key").alias("top")).agg(F.sum(sign).alias("n")))
+
+
+def _compared(left: DataFrame, right: DataFrame, widest: int) -> DataFrame:
+    """(id, n) for pairs of which one record has more than *widest* heavy tokens: a row per pair of different sets."""
+    own = cut(left.groupBy("heavy").agg(F.count(F.lit(1)).alias("_")).select("heavy", F.monotonically_increasing_id().alias("key")))
+    theirs = cut(right.withColumn("other", F.monotonically_increasing_id()))
+    wide, t = F.size("heavy") > widest, F.explode("heavy").alias("t")
+    ours, others = own.select("key", wide.alias("wide"), t), theirs.select("other", "holders", wide.alias("wide_too"), t)
+    some = ours.filter("wide").join(others.hint("merge"), "t").unionByName(ours.filter("NOT wide").join(others.filter("wide_too").hint("merge"), "t"))
+    by_set = some.select("key", "other", "holders").distinct().groupBy("key").agg(F.sum("holders").alias("n"))
+    by_set = own.join(by_set.hint("merge"), "key").select("heavy", "n")
+    return left.join(by_set.hint("merge"), "heavy").select("id", "n")
+
 
-    How many right records hold one of the tokens a, b, ... is the sum over all sets of them of how many hold the whole
-    set, odd sets added and even ones taken off. The holders of a set are one count, combined map-side. Records with the
-    same heavy tokens count as one, with a number. Where a record has so many heavy tokens that comparing it with the
-    other side's distinct records is less work than all its subsets, it is compared.
+def _heavy_overlap(left: DataFrame, right: DataFrame, many: int) -> DataFrame:
+    """(id, n, first), a record in several rows, over heavy tokens alone, of *left* (id, heavy) and *right* (heavy, holders,
+    least), whose records with the same tokens are one row.
+
+    Tokens are numbers in order of their holders, the most first. Each right record that shares tokens with a left one is
+    counted by inclusion and exclusion over the shared ones. A set of them is counted where its last token is: each record
+    goes there with its tokens before that one, so rows are as many as tokens, and the subsets, of which there are far
+    more, are made inside the tasks and never exchanged (``subsets.meet``). A token that a large part of all records hold
+    has few tokens before it; sets of the TOP first ones are counted apart. Of a token in more than SLICE rows, sets are
+    dealt out by their token before the last, left records by their ids. The least id needs no sets.
+
+    Where a record has so many heavy tokens that comparing it with the other side's distinct records is less work than
+    all its subsets, it is compared.
 
     The joins name their method: an exploded table is far larger than the file Spark would judge it by, and would go
     through the driver as a broadcast.
     """
-    own = cut(left.groupBy("heavy").agg(F.count(F.lit(1)).alias("_")).select("heavy", F.monotonically_increasing_id().alias("key")))
-    theirs = cut(right.groupBy("heavy").agg(F.count(F.lit(1)).alias("holders"), F.min("r").alias("least")).withColumn("other", F.monotonically_increasing_id()))
+    sizes = [df.agg(F.count(F.lit(1)), F.max(F.size("heavy"))).first() for df in (left, right)]
     # A record meets few of the other side's sets by each token: a sixteenth of them stands for that.
-    widest = max(WIDE, max(own.count(), theirs.count()).bit_length() - 5)
-    held = _subsets(theirs.drop("other"), widest).groupBy("set").agg(F.sum("holders").alias("holders"), F.min("least").alias("least"))
-    sign = F.when(F.size("set") % 2 == 1, F.col("holders")).otherwise(-F.col("holders"))
-    met = _subsets(own, widest).join(held.hint("merge"), "set").select("key", sign.alias("n"), "least")
-    wide = F.size("heavy") > widest
-    if own.filter(wide).union(theirs.select("heavy", "other").filter(wide)).isEmpty():
-        by_set = met
+    widest = max(WIDE, max(n for n, _ in sizes).bit_length() - 5)
+    narrow = F.size("heavy") <= widest
+    counted = F.sum(F.when(F.col("narrow"), F.col("holders")).otherwise(0)).alias("holders"), F.count_if("narrow").alias("sets"), F.min("least").alias("least")
+    held = cut(right.select("holders", "least", narrow.alias("narrow"), F.explode("heavy").alias("t")).groupBy("t").agg(*counted))
+    claims = left.filter(narrow).select(F.explode("heavy").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("claims"))
+    by_token = cut(held.join(claims.hint("merge"), "t", "left").select("t", "sets", F.coalesce("claims", F.lit(0)).alias("claims")))
+    held = F.broadcast(held) if many <= DENSE else held.hint("merge")
+    single = F.when(F.col("narrow") & (F.col("t") >= TOP), F.col("holders")).otherwise(0)
+    out = left.select("id", narrow.alias("narrow"), F.explode("heavy").alias("t")).join(held, "t").select("id", single.alias("n"), F.col("least").alias("first"))
+    none = F.lit(None).cast(right.schema["least"].dataType).alias("first")
+    if max(n or 0 for _, n in sizes) > widest:
+        out = out.unionByName(_compared(left, right, widest).withColumn("first", none))
+    left, right = left.filter(narrow), right.filter(narrow)
+    top = F.expr(f"filter(heavy, x -> x < {TOP})").alias("top")
+    out = out.unionByName(left.select("id", top).join(F.broadcast(_top_overlap(left, right)), "top").select("id", "n", none))
+
+    keys = ["mine", "id", "holders"]
+    each = lambda df: df.select(*keys, F.posexplode("heavy").alias("i", "t"), "heavy").filter(f"i > 0 AND t >= {TOP}").select(*keys, "t", F.expr("slice(heavy, 1, i)").alias("prefix"))
+    own = each(left.withColumns({"mine": F.lit(True), "holders": F.lit(0).cast("long")}))
+    theirs = each(right.withColumns({"mine": F.lit(False), "id": F.lit(None).cast(left.schema["id"].dataType)}))
+    large = by_token.filter((F.col("sets") > SLICE) | (F.col("claims") > SLICE))
+    if large.isEmpty():
+        rows = own.unionByName(theirs).select("*", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.lit(0).alias("salt"))
     else:
-        t = F.explode("heavy").alias("t")
-        ours = own.select("key", wide.alias("wide"), t)
-        others = theirs.select("other", "holders", "least", wide.alias("wide_too"), t)
-        some = ours.filter("wide").join(others.hint("merge"), "t").unionByName(ours.filter("NOT wide").join(others.filter("wide_too").hint("merge"), "t"))
-        by_set = met.unionByName(some.select("key", "other", F.col("holders").alias("n"), "least").distinct().drop("other"))
-    by_set = by_set.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("first"))
-    by_set = own.join(by_set.hint("merge"), "key").select("heavy", "n", "first")
-    return left.join(by_set.hint("merge"), "heavy").select("id", "n", "first")
+        often = lambda n: F.greatest(F.ceil(n), F.lit(1)).cast("int")
+        large = F.broadcast(large.select("t", often(F.col("sets") / SLICE).alias("parts"), often(F.col("claims") / F.greatest("sets", F.lit(SLICE))).alias("salts")))
+        part = F.explode(F.expr("array_distinct(transform(prefix, x -> cast(x % parts as int)))")).alias("part")
+        dealt = lambda df, salt: df.join(large, "t", "left").fillna(1, ["parts", "salts"]).select(*keys, "t", "prefix", "parts", "salts", part).select(*keys, "t", "prefix", "part", "parts", salt.alias("salt"))
+        rows = dealt(own, F.pmod(F.hash("id"), "salts")).unionByName(dealt(theirs, F.explode(F.expr("sequence(0, salts - 1)"))))
+    total = by_token.agg(F.coalesce(F.sum(F.col("sets") + F.col("claims")), F.lit(0))).first()[0]
+    unit = ["t", "part", "salt"]
+    rows = rows.repartition(total // subsets.ROWS + 1, *unit).sortWithinPartitions(*unit, "mine")
+    met = rows.mapInArrow(subsets.meet, StructType([left.schema["id"], StructField("n", LongType())]))
+    return out.unionByName(met.select("id", "n", none))
 
 
 def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -107,14 +155,22 @@ def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     often = cut(r.groupBy(number).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("h"))
     many = 0
     if not often.isEmpty():
-        heavy = cut(r.withColumn("h", number).join(often, "h", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("t"))
+        heavy = cut(r.withColumn("h", number).join(often, "h", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY))
         many = heavy.count()
     if not many:
         held = r.repartition("t").groupBy("t").agg(F.collect_list("r").alias("rs"))
         return _listed(l.join(held.hint("merge"), "t").select("id", "rs"))
-    heavy = cut((heavy.coalesce(1) if many <= BITS else heavy).withColumn("number", F.monotonically_increasing_id()))
+    few = many <= DENSE
+    heavy = cut((heavy.coalesce(1) if few else heavy).orderBy(F.desc("n")).select("t", F.monotonically_increasing_id().cast("int" if few else "long").alias("number")))
     bit = F.expr(f"shiftleft(1L, cast(number % {BITS} as int))")
-    own, theirs = (cut(df.join(heavy, "t").groupBy(key).agg(F.sort_array(F.collect_set("number")).alias("heavy"), F.bit_or(bit).alias("bits"))) for df, key in ((l, "id"), (r, "r")))
+    all_heavy = r.join(heavy, "t", "left_anti").isEmpty()
+    kept = [F.sort_array(F.collect_set("number")).alias("heavy")] + [F.bit_or(bit).alias("bits")] * (not all_heavy)
+    own, theirs = (df.join(heavy, "t").groupBy(key).agg(*kept) for df, key in ((l, "id"), (r, "r")))
+    own, theirs = cut(own), theirs if all_heavy else cut(theirs)
+    by_heavy = _heavy_overlap(own.select("id", "heavy"), cut(theirs.groupBy("heavy").agg(F.count(F.lit(1)).alias("holders"), F.min("r").alias("least"))), many)
+    total = lambda df: df.groupBy("id").agg(F.sum("n").cast("long").alias("n"), F.min("first").alias("first"))
+    if all_heavy:
+        return total(by_heavy)
     l, r = (
         each(df.join(sets.select(key, "bits").hint("merge"), key, "left"), key, F.coalesce("bits", F.lit(0)).alias("bits")).join(heavy, "t", "left_anti")
         for df, sets, key in ((left, own, "id"), (right, theirs, "r"))
@@ -126,7 +182,7 @@ def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
         unsure = met.select("id", F.explode(F.expr("filter(rs, (x, i) -> (theirs[i] & bits) <> 0)")).alias("r")).distinct()
         unsure = unsure.join(own.select("id", "heavy").hint("merge"), "id").join(theirs.select("r", F.col("heavy").alias("heavy_too")).hint("merge"), "r").filter("NOT arrays_overlap(heavy, heavy_too)")
         light = light.unionByName(unsure.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first")))
-    return light.unionByName(_heavy_overlap(own, theirs)).groupBy("id").agg(F.sum("n").cast("long").alias("n"), F.min("first").alias("first"))
+    return total(light.unionByName(by_heavy))
 
 
 def _listed(lists: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from pairwright.functions import subsets
 from pairwright.operators import cdc, failures, linkage, merge3, report, sinks, statestore
 from pairwright.plans import cycle
 from pairwright.sources import protocol
@@ -141,6 +142,59 @@ def test_overlap_of_heavy_tokens_that_share_a_bit(spark, monkeypatch, heavy, bit
         assert not re.search(r"hashpartitioning\(id#\d+L?, r#", out._jdf.queryExecution().executedPlan().toString())
 
 
+def shuffled_rows(spark):
+    jvm, context = spark._jvm, spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(60_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_overlap_exchanges_no_subsets(spark):
+    """Records of eight heavy tokens have 255 sets of them each, which are counted inside the tasks."""
+    import random
+
+    rng, n = random.Random(9), 2000
+    rows = [[(i, rng.sample([f"t{k}" for k in range(60)], 8)) for i in range(n)] for _ in range(2)]
+    before = shuffled_rows(spark)
+    got = {r.id: (r.n, r.first) for r in linkage.overlap(*(spark.createDataFrame(r, "id long, tokens array<string>") for r in rows)).collect()}
+    assert shuffled_rows(spark) - before < 2 * n * 8 * 6
+    held = [(j, set(y)) for j, y in rows[1]]
+    for i, x in rows[0][::40]:
+        js = [j for j, y in held if not y.isdisjoint(x)]
+        assert got[i] == (len(js), js[0])
+    assert len(got) == n
+
+
+@pytest.mark.parametrize(("top", "size", "dense"), [(0, 4, 1 << 16), (2, 9, 3), (12, 1 << 17, 3)])
+def test_overlap_deals_out_frequent_tokens(spark, monkeypatch, top, size, dense):
+    """Tokens of few holders on one side and many on the other; some too frequent for one place, more of them than are numbered at once."""
+    import random
+
+    for name, value in {"HEAVY": 2, "TOP": top, "SLICE": size, "DENSE": dense}.items():
+        monkeypatch.setattr(linkage, name, value)
+    rng = random.Random(11)
+    pick = lambda names: rng.sample(names, rng.choice([0, 1, 3, 6, 8])) + ["all"] * (rng.random() < 0.9)
+    names = [f"t{k}" for k in range(20)]
+    rows = [[(f"l{i:03}", pick(names[:8] if i % 2 else names)) for i in range(90)], [(i, pick(names[4:] if i % 3 else names)) for i in range(60)]]
+    out = linkage.overlap(spark.createDataFrame(rows[0], "id string, tokens array<string>"), spark.createDataFrame(rows[1], "id long, tokens array<string>"))
+    want = {i: [j for j, y in rows[1] if set(x) & set(y)] for i, x in rows[0]}
+    assert {r.id: (r.n, r.first) for r in out.collect()} == {i: (len(js), js[0]) for i, js in want.items() if js}
+
+
+@pytest.mark.parametrize(("rows", "step"), [(1, 1), (7, 40), (1 << 18, 1 << 21)])
+def test_sets_are_counted_in_bounded_steps(rows, step):
+    """Rows of two units in batches of three, taken and counted in pieces of any size."""
+    import pyarrow as pa
+
+    units = {5: ([(0, 1), (0, 1), (2, 3, 4), (1, 2, 3, 4)], [(1,), (0, 1, 2), (2, 3, 4), (0, 3)]), 9: ([(0,)] * 5 + [(0, 5, 7)], [(5, 7), (0, 7), (8,)])}
+    made = [(t, 0, 1, 0, mine, 100 * t + i if mine else None, 1, x) for t, sides in units.items() for mine, side in zip((False, True), sides) for i, x in enumerate(side)]
+    names = ["t", "part", "parts", "salt", "mine", "id", "holders", "prefix"]
+    batches = pa.Table.from_pylist([dict(zip(names, r)) for r in made]).to_batches(max_chunksize=3)
+    got = {r["id"]: r["n"] for b in subsets.meet(iter(batches), rows, step) for r in b.to_pylist()}
+    want = {100 * t + i: sum(bool(set(x) & set(y)) for y in theirs) for t, (theirs, mine) in units.items() for i, x in enumerate(mine)}
+    assert got == {i: -n for i, n in want.items() if n}
+
+
 def test_multiget_cards_reads_its_rows_once(spark):
     requested = spark.createDataFrame([(0, 0, "/b/%41.vcf")], "doc_id long, ord int, href string")
     body = '<d:multistatus xmlns:d="DAV:"><d:response><d:href>http://h/b/A.vcf</d:href><d:status>HTTP/1.1 404 X</d:status></d:response></d:multistatus>'
